@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import langid, media, mixing
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_query,
+    "op5_language_id": langid.op5_query,
     "op9_media_columns": media.op9_query,
 }
 
