@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing
+from . import langid, media, mixing, packing
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
+    "op7_best_fit_packing": packing.op7_query,
     "op9_media_columns": media.op9_query,
 }
 
