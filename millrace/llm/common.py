@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,8 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there goes when this program ends."""
+    if not _made:
+        atexit.register(_clean)
+    _made.append(f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _clean() -> None:
+    """Tables that Spark has read lazily may be needed to the end, so they are removed there: by Spark, or by path if it has gone."""
+    spark = SparkSession.getActiveSession()
+    for path in _made:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing
+from . import langid, media, mixing, packing, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_query,
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
     "op7_best_fit_packing": packing.op7_query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
