@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing, warc
+from . import langid, lm, media, mixing, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
+    "op3_lm_scoring": lm.op3_query,
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
     "op7_best_fit_packing": packing.op7_query,
