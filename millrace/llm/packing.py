@@ -8,6 +8,9 @@ their place by their rank among the rows of their length.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,43 +31,78 @@ Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 class WordTokenizer:
     """Token ids of whole texts, word by word: the vocabulary's rules never reach across white space, so words that recur are encoded once."""
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        #: A symbol with one id of its own parts words that are encoded together. Words with it, or with a special token, go alone.
+        self.mark, self.mark_id = next(((c, ids[0]) for c in "¦§¶†•★" if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
+        self.alone = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()] + [self.mark.encode()] * bool(self.mark)
         self.reset()
 
     def reset(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.place) + len(words) > self.most:
-            self.reset()
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        counts = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(counts.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        first = len(self.place)
-        self.place.update(zip(new, range(first, first + len(new)), strict=True))
-        self.used += len(flat)
+        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def encoded(self, words: list[bytes], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, in a row, and how many each has."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        made = self.tokenizer.encode_batch_fast([f" {self.mark} ".join([*(w.decode("utf-8", "replace") for w in g), ""]) if together > 1 else g[0].decode("utf-8", "replace") for g in groups], add_special_tokens=False)
+        flat = [e.ids for e in made]
+        ids = np.fromiter(itertools.chain.from_iterable(flat), np.uint32, sum(map(len, flat)))
+        if together == 1:
+            return ids, np.fromiter(map(len, flat), np.int64, len(flat))
+        ends = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
+
+    def learn(self, new: list[bytes]) -> None:
+        odd, every = [] if self.mark else new, b" ".join(new)
+        if self.mark and any(x in every for x in self.alone):
+            odd = [w for w in new if any(x in w for x in self.alone)]
+            new = list(dict.fromkeys(new).keys() - set(odd))
+        for words, together in ((odd, 1), (new, 256)) if self.mark else ((odd, 1),):
+            if not words:
+                continue
+            flat, counts = self.encoded(words, together)
+            first = len(self.place)
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while first + len(words) > len(self.start):
+                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.start[first : first + len(words)] = self.used + np.cumsum(counts) - counts
+            self.count[first : first + len(words)] = counts
+            self.place.update(zip(words, range(first, first + len(words)), strict=True))
+            self.used += len(flat)
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self.place) > self.most:  # what was learned first tends to be what is frequent
+            kept = self.most // 2
+            self.place = dict(itertools.islice(self.place.items(), kept))
+            self.used = int(self.start[kept - 1] + self.count[kept - 1])
         words = [t.split() for t in texts]
-        self.learn(set().union(*words))
-        for own in words:
-            at = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-            n = self.count[at]
-            total = int(n.sum())
-            yield self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(total)]
+        flat = [w for own in words for w in own]
+        at = np.fromiter(map(self.place.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(unknown))
+        n = self.count[at]
+        ids = self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(own) for own in words])] if words else []
+        begin = 0
+        for end in ends:
+            yield ids[begin:end]
+            begin = end
+
+
+@functools.lru_cache(2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per process, so that what a task has learned serves the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,12 +111,11 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     A document is its text's ids and then the end id; a null text counts as empty. Only documents over
     the capacity are cut, at its multiples.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
+        tokenizer = word_tokenizer(path)
         for batch in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows: list[tuple] = []
             where: list[int] = []
