@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, media, mixing, packing, warc
+from . import embeddings, langid, lm, media, mixing, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
     "op7_best_fit_packing": packing.op7_query,
+    "op8_embedding_near_dedup": embeddings.op8_query,
     "op9_media_columns": media.op9_query,
 }
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op8_embedding_near_dedup": embeddings.OP8_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
