@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, lm, media, mixing, packing, warc
+from . import embeddings, langid, lines, lm, media, mixing, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
+    "op2_line_dedup": lines.op2_query,
     "op3_lm_scoring": lm.op3_query,
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
@@ -17,5 +18,6 @@ QUERIES = {
 SQL = {
     "op1_warc": warc.OP1_SQL,
     "op8_embedding_near_dedup": embeddings.OP8_SQL,
+    "op2_line_dedup": lines.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
