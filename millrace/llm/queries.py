@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, lines, lm, media, mixing, packing, warc
+from . import embeddings, jaccard, langid, lines, lm, media, mixing, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": lm.op3_query,
     "op4_mix_sources": mixing.op4_query,
     "op5_language_id": langid.op5_query,
+    "op6_jaccard_join": jaccard.op6_query,
     "op7_best_fit_packing": packing.op7_query,
     "op8_embedding_near_dedup": embeddings.op8_query,
     "op9_media_columns": media.op9_query,
@@ -19,5 +20,6 @@ SQL = {
     "op1_warc": warc.OP1_SQL,
     "op8_embedding_near_dedup": embeddings.OP8_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
