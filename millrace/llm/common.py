@@ -82,3 +82,29 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches bounded in rows and bytes, so that a batch of long texts still fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+class SideTable:
+    """A table in the shared folder that tasks read by slot and chunk, so that what they look up comes to the rows they scan."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    @classmethod
+    def write(cls, df: DataFrame, name: str, slots: int) -> SideTable:
+        """Write df, with columns slot and chunk, in a folder for each slot."""
+        path = new_path(df.sparkSession, name)
+        df.repartition(slots, "slot").sortWithinPartitions("slot", "chunk").write.partitionBy("slot").parquet(path)
+        return cls(path)
+
+    def rows(self, slot: int, chunk: int):
+        """The rows of one chunk, as an Arrow table without the slot."""
+        import pyarrow as pa
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(self.path) if ":" in self.path.split("/")[0] else (fs.LocalFileSystem(), self.path)
+        folder = f"{root}/slot={slot}"
+        if where.get_file_info(folder).type != fs.FileType.Directory:
+            return pa.table({"bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        return ds.dataset(folder, filesystem=where, format="parquet").to_table(columns=["bucket", "data"], filter=ds.field("chunk") == chunk)
