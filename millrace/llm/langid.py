@@ -190,8 +190,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
 def reject_unknown(docs: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language can't be told: `und`, or a calibrated probability under `least`; docs' columns only."""
     names = docs.columns
-    mine = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col("text").alias("text_in"))
-    said = identify(mine, train(labelled), "text_in", "said_lang", "said_score")
+    mine = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)])
+    said = identify(mine, train(labelled), f"k{names.index('text')}", "said_lang", "said_score")
     return said.where((F.col("said_lang") != UNDETERMINED) & (F.col("said_score") >= least)).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -51,7 +51,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = chunks(rows).withColumn("sign", F.xxhash64("chunk"))
     signs = materialize(cut.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1").select("sign"), "line-signs")
     some = materialize(cut.join(broadcast_if_small(signs), "sign", "left_semi"), "line-chunks")
-    groups = some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "of", "first")).alias("earliest")).where("n > 1").drop("n")
+    groups = materialize(some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "of", "first")).alias("earliest")).where("n > 1").drop("n"), "line-groups")
     later = some.join(groups, ["sign", "chunk"]).where(F.struct("doc_id", "of", "first") != F.col("earliest"))
     return materialize(later.groupBy("doc_id", "of").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "line-spans")
 
