@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, langid, lines, lm, media, mixing, packing, warc
+from . import embeddings, jaccard, langid, lines, lm, media, mixing, packing, repeats, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
@@ -14,12 +14,14 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_query,
     "op8_embedding_near_dedup": embeddings.op8_query,
     "op9_media_columns": media.op9_query,
+    "op10_suffix_dedup": repeats.op10_query,
 }
 
 SQL = {
     "op1_warc": warc.OP1_SQL,
-    "op8_embedding_near_dedup": embeddings.OP8_SQL,
     "op2_line_dedup": lines.OP2_SQL,
-    "op6_jaccard_join": jaccard.OP6_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
+    "op8_embedding_near_dedup": embeddings.OP8_SQL,
+    "op10_suffix_dedup": repeats.OP10_SQL,
 }

@@ -373,3 +373,20 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same for DuckDB, over the hexadecimal form of every window.
+OP10_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM t)),
+f AS (SELECT w, min(doc_id) AS least FROM g GROUP BY w HAVING count(*) > 1),
+c AS (SELECT g.doc_id, g.p FROM g JOIN f ON g.w = f.w WHERE f.least < g.doc_id),
+r AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM c),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT e.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(t.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS tail FROM e JOIN t ON t.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
