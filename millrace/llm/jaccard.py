@@ -26,7 +26,7 @@ U = np.uint64
 #: Empty parts that a class may have before it signs them as well: two that link then agree on another part, or both sign them.
 SPARE = 2
 #: Members of a group.
-GROUP = 64
+GROUP = 256
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,27 +36,46 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingles of a text, hashed to 64 bits and sorted; remembers words up to a bound."""
+    """Distinct shingles of texts, hashed to 64 bits and sorted; remembers words up to a bound."""
 
-    def __init__(self, words: int, most: int = 400_000) -> None:
+    def __init__(self, words: int, most: int = 500_000) -> None:
         self.words, self.known, self.most = words, {}, most
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        own = (text or b"").lower().split()
-        if not own:
-            return np.zeros(0, U)
+    def hashes(self, flat: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(own):
-            if w not in known:
+        try:
+            return np.fromiter(map(known.__getitem__, flat), U, len(flat))
+        except KeyError:
+            for w in set(flat).difference(known):
                 known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, own), U, len(own))
-        n = min(self.words, len(h))
-        out = np.full(len(h) - n + 1, n, U)
-        for j in range(n):
-            out = mix(out * U(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
-        return np.unique(out)
+            return np.fromiter(map(known.__getitem__, flat), U, len(flat))
+
+    def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        own = [(t or b"").lower().split() for t in texts]
+        h = self.hashes([w for ws in own for w in ws])
+        k, none, out, at = self.words, np.zeros(0, U), [], 0
+        runs = np.full(max(0, len(h) - k + 1), k, U)
+        for j in range(k):
+            runs = mix(runs * U(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]) if len(runs) else runs
+        for ws in own:
+            n = len(ws)
+            if n >= k:
+                made = np.sort(runs[at : at + n - k + 1])
+                out.append(made[np.concatenate([[True], made[1:] != made[:-1]])])
+            elif n:
+                whole = np.full(1, n, U)
+                for j in range(n):
+                    whole = mix(whole * U(0x9E3779B97F4A7C15) + h[at + j : at + j + 1])
+                out.append(whole)
+            else:
+                out.append(none)
+            at += n
+        return out
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        return self.many([text])[0]
 
 
 def size_classes(least: int, most: int = 1 << 40) -> list[int]:
@@ -118,33 +137,22 @@ def class_key(shingles: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.array(h >> 64, U).view(np.int64)), int(np.array(h & (1 << 64) - 1, U).view(np.int64))
 
 
-def classify(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """doc_id, of, n_shingles, cls, check: cls is the class of the shingle set, null for an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in batches:
-            sets = [shingle(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            keys = [class_key(s, seed) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "of", "n_shingles", "cls", "check"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, of long, n_shingles long, cls long, check long")
-
-
-def signed(rows: DataFrame, words: int, least: int, seed: int) -> DataFrame:
-    """sign, cls: a row for each signature of each document."""
+def classify(rows: DataFrame, words: int, least: int, seed: int) -> DataFrame:
+    """doc_id, of, n_shingles, cls, check, signs: cls is the class of the shingle set, null for an empty one; signs are its signatures."""
     sizes = size_classes(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = [shingle(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
+            keys = [class_key(s, seed) if len(s) else (None, None) for s in sets]
             row, sign = signatures(sets, least, sizes)
-            cls = np.array([class_key(s, seed)[0] if len(s) else 0 for s in sets], np.int64)
-            pairs = np.unique(np.stack([sign.view(np.int64), cls[row]]), axis=1) if len(sign) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["sign", "cls"])
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(len(sets) + 1))
+            signs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long_of(sign[order]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), signs], names=["doc_id", "of", "n_shingles", "cls", "check", "signs"])
 
-    return rows.select("text").mapInArrow(run, "sign long, cls long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, of long, n_shingles long, cls long, check long, signs array<long>")
 
 
 def overlap_links(a: np.ndarray, b: np.ndarray, least: int) -> bool:
@@ -177,44 +185,66 @@ def verify_stars(pairs: DataFrame, texts: DataFrame, words: int, least: int) ->
         hubs, shingle = Sets(words), Shingler(words)
         for batch in batches:
             a, b = batch.column("cls").to_pylist(), batch.column("hub").to_pylist()
-            ta, tb = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
-            ok = [overlap_links(shingle(ta[i].as_py()), hubs.get(b[i], tb[i].as_py()), least) for i in range(len(a))]
+            tb = batch.column("text_b").cast(pa.binary())
+            own = shingle.many(batch.column("text_a").cast(pa.binary()).to_pylist())
+            ok = [overlap_links(own[i], hubs.get(b[i], tb[i].as_py()), least) for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], names=["a", "b"])
 
     return with_hub.select("cls", "hub", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+class Group:
+    """A group's row of the token-group matrix, and its members once it is opened."""
+
+    def __init__(self, classes: list[int], sets: list[np.ndarray]) -> None:
+        self.classes, self.flat = np.array(classes, np.int64), np.concatenate(sets)
+        self.lengths = np.array([len(s) for s in sets])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.union = np.unique(self.flat)
+
+    def linked(self, own: np.ndarray, least: int) -> np.ndarray:
+        """Classes of the members that link with a set; none if the set's overlap with the union is too small for any."""
+        at = np.minimum(np.searchsorted(self.union, own), len(self.union) - 1)
+        if 100 * int((self.union[at] == own).sum()) < least * len(own):
+            return self.classes[:0]
+        at = np.minimum(np.searchsorted(own, self.flat), len(own) - 1)
+        both = np.add.reduceat((own[at] == self.flat).astype(np.int64), self.starts)
+        return self.classes[100 * both >= least * (len(own) + self.lengths - both)]
+
+
 def open_groups(queries: DataFrame, members: DataFrame, words: int, least: int) -> DataFrame:
-    """Links (a, b) between queries (grp, salt, cls, text) and the members (grp, salt, cls, text) of the groups they may qualify for.
+    """Links (a, b) between queries (fam, block, salt, cls, text) and the members (same columns) of the groups they may qualify for.
 
-    A row of the token-group matrix is the union of a group's shingles. A query overlaps with what it
-    links to in `least` percent of its own shingles, and so with the union; groups where it doesn't are
-    not opened. Groups have a bounded size, and a group that many queries ask is dealt over salts.
+    A query overlaps with what it links to in `least` percent of its own shingles, and so with the
+    group's union; groups where it doesn't are not opened. A group that many queries ask is dealt over
+    salts.
     """
+    key = ["fam", "block", "salt"]
     rows = members.withColumn("ord", F.lit(0)).unionByName(queries.withColumn("ord", F.lit(1)))
-    dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "ord").select("grp", "salt", "ord", "cls", "text")
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ord").select(*key, "ord", "cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, now = Shingler(words), None
-        inside: list[tuple[int, np.ndarray]] = []
-        union: np.ndarray | None = None
+        held: tuple[list[int], list[np.ndarray]] = ([], [])
+        group: Group | None = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            grp, salt, order, cls = (batch.column(c).to_pylist() for c in ("grp", "salt", "ord", "cls"))
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(len(grp)):
-                if (grp[i], salt[i]) != now:
-                    now, inside, union = (grp[i], salt[i]), [], None
-                own = shingle(texts[i].as_py())
+            a, b = [], []
+            keys, order, cls = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True)), batch.column("ord").to_pylist(), batch.column("cls").to_pylist()
+            sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
+            for i, own in enumerate(sets):
+                if keys[i] != now:
+                    now, held, group = keys[i], ([], []), None
                 if not order[i]:
-                    inside.append((cls[i], own))
+                    held[0].append(cls[i])
+                    held[1].append(own)
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([s for _, s in inside])) if inside else np.zeros(0, U)
-                at = np.minimum(np.searchsorted(union, own), max(len(union) - 1, 0))
-                if len(union) and 100 * int((union[at] == own).sum()) >= least * len(own):
-                    out += [(cls[i], c) for c, s in inside if c != cls[i] and overlap_links(own, s, least)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                group = group or (Group(*held) if held[0] else None)
+                found = group.linked(own, least) if group else np.zeros(0, np.int64)
+                found = found[found != cls[i]]
+                if len(found):  # one link to the query for each member: a star, whatever the links among them
+                    a.append(np.full(len(found), cls[i]))
+                    b.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -233,36 +263,44 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text"))
     seed = 0
     while True:
-        known = materialize(classify(rows, words, seed), "classes")
+        known = materialize(classify(rows, words, least, seed), "classes")
         reps = known.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "of")).alias("rep"), F.min("check").alias("x"), F.max("check").alias("y"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m"))
         if reps.where("x <> y or n <> m").isEmpty():
             break
         seed += 1  # two sets met in 64 bits: hash anew
 
-    signs = signed(rows, words, least, seed)
-    shared = materialize(signs.groupBy("sign").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sign", "hub"), "signs")
+    # classes that share a signature, and as hub of each the one that shares most
+    signs = known.where("cls is not null").select(F.explode("signs").alias("sign"), "cls")
+    shared = materialize(signs.groupBy("sign").agg(F.min("cls").alias("one"), F.max("cls").alias("two"), F.count("*").alias("size")).where("one <> two").select("sign", "size"), "signs")
     members = materialize(signs.join(broadcast_if_small(shared), "sign").distinct(), "members")
-    pairs = materialize(members.where("cls <> hub").select("cls", "hub").distinct(), "pairs")
+    degrees = materialize(members.groupBy("cls").agg(F.sum("size").alias("degree")), "degrees")
+    hubs = materialize(members.join(broadcast_if_small(degrees), "cls").groupBy("sign").agg(F.max(F.struct("degree", "cls")).alias("top")).select("sign", F.col("top.cls").alias("hub")), "hubs")
+    pairs = materialize(members.join(broadcast_if_small(hubs), "sign").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times")), "pairs")
     wanted = pairs.select("cls").union(pairs.select("hub")).distinct()
     chosen = materialize(reps.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.of").alias("rep_of")).join(wanted, "cls"), "chosen")
     texts = materialize(rows.join(broadcast_if_small(chosen), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("of") == F.col("rep_of"))).select("cls", "text").dropDuplicates(["cls"]), "texts")
-    stars = materialize(verify_stars(pairs, texts, words, least), "stars")
+    stars = materialize(verify_stars(pairs.select("cls", "hub"), texts, words, least), "stars")
     inside = materialize(connected_components(stars), "star-groups")
 
+    # signatures whose classes are still apart: their classes, grouped by the hub they share most with
     placed = members.select("sign", "cls").join(inside.withColumnRenamed("node", "cls"), "cls", "left").select("sign", "cls", F.coalesce("component", "cls").alias("star"))
-    torn = placed.groupBy("sign").agg(F.min("star").alias("one"), F.max("star").alias("two")).where("one <> two").select("sign")
-    rest = materialize(placed.join(broadcast_if_small(materialize(torn, "torn")), "sign"), "rest")
-    sizes = rest.select("star", "cls").distinct().groupBy("star").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    grouped = materialize(rest.join(sizes, "star").withColumn("grp", F.xxhash64("star", F.pmod(F.xxhash64("cls"), F.col("blocks")))), "groups")
-    asked = grouped.select("sign", F.col("cls").alias("query"), F.col("star").alias("from")).join(grouped.select("sign", "grp", "star").distinct(), "sign").where(F.col("from") > F.col("star")).select("query", "grp").distinct()
-    asked = materialize(asked, "asked")
-    per_group = asked.groupBy("grp").agg(F.ceil(F.count("*") / (16 * GROUP)).cast("int").alias("salts"))
-    queries = asked.join(per_group, "grp").select("grp", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls")).join(texts, "cls").select("grp", "salt", "cls", "text")
-    holders = grouped.select("grp", "cls").distinct().join(per_group, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("grp", "salt", "cls", "text")
-    links = stars if asked.isEmpty() else stars.union(materialize(open_groups(queries, holders, words, least), "opened"))
-    found = connected_components(links) if links is not stars else inside
-    named = known.where("cls is not null").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    torn = materialize(placed.groupBy("sign").agg(F.min("star").alias("one"), F.max("star").alias("two")).where("one <> two").select("sign"), "torn")
+    family = pairs.groupBy("cls").agg(F.max(F.struct("times", "hub")).alias("top")).select("cls", F.col("top.hub").alias("hub"))
+    rest = materialize(placed.join(broadcast_if_small(torn), "sign").join(family, "cls", "left").select("sign", "cls", "star", F.coalesce("hub", "cls").alias("fam")), "rest")
+    held = rest.select("cls", "fam").distinct()
+    blocks = materialize(held.groupBy("fam").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
+    grouped = materialize(held.join(blocks, "fam").select("cls", "fam", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "groups")
+    lowest = materialize(rest.groupBy("sign", "fam").agg(F.min("star").alias("low")), "lowest")
+    asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "fam").distinct()
+    asked = materialize(asking.join(grouped.select("fam", "block").distinct(), "fam"), "asked")
+    per_group = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("salts")), "salts")
+    queries = asked.join(per_group, ["fam", "block"]).select("fam", "block", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls")).join(texts, "cls").select("fam", "block", "salt", "cls", "text")
+    holders = grouped.join(per_group, ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("fam", "block", "salt", "cls", "text")
+    found = inside
+    if not asked.isEmpty():
+        found = materialize(connected_components(stars.union(materialize(open_groups(queries, holders, words, least), "opened"))), "components")
+    named = materialize(known.where("cls is not null").select("doc_id", "of", "n_shingles", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "of", "n_shingles", F.coalesce("component", "cls").alias("label")), "named")
+    first = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "firsts")
     full = named.join(first, "label").select("doc_id", "of", "n_shingles", "component_id")
     return full.unionByName(known.where("cls is null").select("doc_id", "of", "n_shingles", F.col("doc_id").alias("component_id")))
 
