@@ -213,38 +213,52 @@ class Group:
 
 
 def open_groups(queries: DataFrame, members: DataFrame, words: int, least: int) -> DataFrame:
-    """Links (a, b) between queries (fam, block, salt, cls, text) and the members (same columns) of the groups they may qualify for.
+    """Links (a, b) between queries (fam, block, salt, cls, star, text) and the members (same columns) of the groups they may qualify for.
 
     A query overlaps with what it links to in `least` percent of its own shingles, and so with the
     group's union; groups where it doesn't are not opened. A group that many queries ask is dealt over
-    salts.
+    salts. All links are found; of those, each place gives out the ones that join stars which were
+    apart there, which keeps the components and not a row for each pair.
     """
     key = ["fam", "block", "salt"]
     rows = members.withColumn("ord", F.lit(0)).unionByName(queries.withColumn("ord", F.lit(1)))
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ord").select(*key, "ord", "cls", "text")
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ord").select(*key, "ord", "cls", "star", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, now = Shingler(words), None
         held: tuple[list[int], list[np.ndarray]] = ([], [])
         group: Group | None = None
+        star_of: dict[int, int] = {}
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
         for batch in batches:
             a, b = [], []
             keys, order, cls = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True)), batch.column("ord").to_pylist(), batch.column("cls").to_pylist()
+            star = batch.column("star").to_pylist()
             sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
             for i, own in enumerate(sets):
                 if keys[i] != now:
                     now, held, group = keys[i], ([], []), None
+                    star_of.clear()
+                    above.clear()
                 if not order[i]:
                     held[0].append(cls[i])
                     held[1].append(own)
+                    star_of[cls[i]] = star[i]
                     continue
                 group = group or (Group(*held) if held[0] else None)
-                found = group.linked(own, least) if group else np.zeros(0, np.int64)
-                found = found[found != cls[i]]
-                if len(found):  # one link to the query for each member: a star, whatever the links among them
-                    a.append(np.full(len(found), cls[i]))
-                    b.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], names=["a", "b"])
+                for other in group.linked(own, least).tolist() if group else ():
+                    x, y = root(star[i]), root(star_of[other])
+                    if x != y:
+                        above[x] = y
+                        a.append(cls[i])
+                        b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -287,15 +301,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     torn = materialize(placed.groupBy("sign").agg(F.min("star").alias("one"), F.max("star").alias("two")).where("one <> two").select("sign"), "torn")
     family = pairs.groupBy("cls").agg(F.max(F.struct("times", "hub")).alias("top")).select("cls", F.col("top.hub").alias("hub"))
     rest = materialize(placed.join(broadcast_if_small(torn), "sign").join(family, "cls", "left").select("sign", "cls", "star", F.coalesce("hub", "cls").alias("fam")), "rest")
-    held = rest.select("cls", "fam").distinct()
+    held = rest.select("cls", "fam", "star").distinct()
     blocks = materialize(held.groupBy("fam").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
-    grouped = materialize(held.join(blocks, "fam").select("cls", "fam", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "groups")
+    grouped = materialize(held.join(blocks, "fam").select("cls", "fam", "star", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "groups")
     lowest = materialize(rest.groupBy("sign", "fam").agg(F.min("star").alias("low")), "lowest")
-    asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "fam").distinct()
+    asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "star", "fam").distinct()
     asked = materialize(asking.join(grouped.select("fam", "block").distinct(), "fam"), "asked")
     per_group = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("salts")), "salts")
-    queries = asked.join(per_group, ["fam", "block"]).select("fam", "block", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls")).join(texts, "cls").select("fam", "block", "salt", "cls", "text")
-    holders = grouped.join(per_group, ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("fam", "block", "salt", "cls", "text")
+    queries = asked.join(per_group, ["fam", "block"]).select("fam", "block", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls"), "star").join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
+    holders = grouped.join(per_group, ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
     found = inside
     if not asked.isEmpty():
         found = materialize(connected_components(stars.union(materialize(open_groups(queries, holders, words, least), "opened"))), "components")
