@@ -112,3 +112,49 @@ def kept_after_duplicates(df: DataFrame, cluster: str, id_col: str, vector: str
 
     rows = df.select(F.col(cluster).alias("c"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     return rows.groupBy("c").applyInArrow(run, "id long, kept boolean, sim double").withColumnRenamed("id", id_col)
+
+
+def expected_gradient_norm(df: DataFrame, id_col: str, label: str, vector: str = "embedding", heads: int = 5, steps: int = 8, rate: float = 0.5, seed: int = 0) -> DataFrame:
+    """id, score: the mean last-layer gradient norm, bias included, over linear heads after a few steps of full-batch descent.
+
+    A step is one pass: tasks sum the gradients of all heads over their rows, and the driver adds up one
+    array per task, of heads x (dimensions + 1) x labels.
+    """
+    names = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(label)).cast("int") - 1
+    rows = df.select(F.col(id_col).cast("long").alias("id"), place.alias("y"), F.col(vector).cast("array<double>").alias("v")).persist()
+    try:
+        n, dims = rows.count(), len(rows.first()["v"])
+        w = np.stack([np.random.default_rng([seed, r]).standard_normal((dims + 1, len(names))) * 0.01 for r in range(heads)])
+        w[:, -1] = 0
+
+        def errors(batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x = np.array(batch.column("v").to_pylist(), np.float64)
+            x = np.hstack([x, np.ones((len(x), 1))])
+            z = np.einsum("nd,hdc->hnc", x, w)
+            p = np.exp(z - z.max(2, keepdims=True))
+            p /= p.sum(2, keepdims=True)
+            p[:, np.arange(len(x)), batch.column("y").to_numpy()] -= 1
+            return x, p
+
+        for _ in range(steps):
+
+            def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros_like(w)  # noqa: B023
+                for batch in batches:
+                    x, e = errors(batch, w)  # noqa: B023
+                    total += np.einsum("nd,hnc->hdc", x, e)
+                yield pa.RecordBatch.from_pydict({"g": pa.array([total.tobytes()], pa.binary())})
+
+            parts = rows.mapInArrow(gradient, "g binary").collect()
+            w = w - rate / n * sum(np.frombuffer(bytes(r["g"]), np.float64).reshape(w.shape) for r in parts)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, e = errors(batch, w)
+                s = np.linalg.norm(e, axis=2).mean(0) * np.linalg.norm(x, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(s, 6))], names=[id_col, "score"])
+
+        return rows.mapInArrow(score, f"{id_col} long, score double")
+    finally:
+        rows.unpersist()
