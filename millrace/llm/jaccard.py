@@ -1,10 +1,11 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Documents with equal shingle sets are one class. A class signs its set in parts (tokens dealt to parts
-by hash): of two sets that link, fewer tokens differ than there are parts, so some part is equal, and
-classes that can link share a signature, whatever the tokens' frequencies. Classes that share one are
-partitioned into groups of similar documents around hubs; the matrix holds each group's token union. A
-query is bounded by its overlap with the union, and only groups that qualify are opened and verified.
+Documents with equal shingle sets are one class. Two sets that link must share one of their rarest
+shingles: of a set's shingles, rarest first, so many at the front that a partner can't lack them all.
+Those are a class's signatures; shingles that no other class has come first of all, so a set with too
+many of them signs nothing. Classes that share a signature are partitioned into groups of similar
+documents around hubs; the matrix holds each group's token union. A query is bounded by its overlap
+with the union, and only groups that qualify are opened and verified.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, table
+from .common import broadcast_if_small, materialize, small_batches, stored_bytes, table
 from .components import connected_components
+from .shared import chunk_of, shared_among, slot_of, write_shared
 
 U = np.uint64
-#: Empty parts that a class may have before it signs them as well: two that link then agree on another part, or both sign them.
-SPARE = 2
 #: Members of a group.
 GROUP = 256
 
@@ -88,44 +89,17 @@ def size_classes(least: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def parts_of(sizes: list[int], k: int, least: int) -> int:
-    """Parts of size class k: one more than tokens may differ between two sets of it that link, and the spare ones."""
-    most = sizes[k + 1] - 1
-    return 2 * most * (100 - least) // (100 + least) + 1 + SPARE
-
-
-def signatures(sets: list[np.ndarray], least: int, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of sets: each signs the parts of its size class, and those of the next if it can link with its smallest."""
-    rows, classes = [], []
-    for i, s in enumerate(sets):
-        if not len(s):
-            continue
-        k = int(np.searchsorted(sizes, len(s), "right")) - 1
-        if k > 0:
-            rows.append(i)
-            classes.append(k)
-        if 100 * len(s) >= least * sizes[k + 1]:
-            rows.append(i)
-            classes.append(k + 1)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    parts = np.array([parts_of(sizes, k, least) for k in classes])
-    first = np.cumsum(parts) - parts
-    flat = np.concatenate([sets[i] for i in rows])
-    lengths = np.array([len(sets[i]) for i in rows])
-    part = (mix(flat + U(0x51ED270B)) % np.repeat(parts, lengths).astype(U)).astype(np.int64) + np.repeat(first, lengths)
-    order = np.argsort(part, kind="stable")
-    part, flat = part[order], mix(flat[order] ^ U(0xD6E8FEB86659FD93))
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sums = np.zeros(int(parts.sum()), U)
-    filled = np.zeros(len(sums), bool)
-    sums[part[starts]], filled[part[starts]] = np.add.reduceat(flat, starts), True
-    owner = np.repeat(np.arange(len(rows)), parts)
-    empties = np.bincount(owner[~filled], minlength=len(rows))
-    place = np.arange(len(sums)) - first[owner]
-    signed = filled | (empties[owner] > SPARE)
-    label = mix(np.array(classes, U)[owner] << U(40) | place.astype(U))
-    return np.array(rows)[owner][signed], mix(sums + label)[signed]
+def signatures(tokens: np.ndarray, full: int, rare: int, least: int, sizes: list[int]) -> np.ndarray:
+    """Signatures of a set of `full` shingles from those that others share, rarest first; `rare` more are its own.
+
+    A partner has `least` percent of the set's shingles, so it shares one of the first
+    full - ceil(least * full / 100) + 1 of them, its own included. A signature holds the class of sizes
+    too: a set signs for its own class, and for the next if it can link with the smallest set there.
+    """
+    front = tokens[: max(0, full - -(-least * full // 100) + 1 - rare)]
+    k = int(np.searchsorted(sizes, full, "right")) - 1
+    classes = [k] * (k > 0) + [k + 1] * (100 * full >= least * sizes[k + 1])
+    return np.concatenate([mix(front ^ mix(np.full(1, c, U))) for c in classes]) if classes else front[:0]
 
 
 def long_of(h: np.ndarray) -> pa.Array:
@@ -137,24 +111,85 @@ def class_key(shingles: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.array(h >> 64, U).view(np.int64)), int(np.array(h & (1 << 64) - 1, U).view(np.int64))
 
 
-def classify(rows: DataFrame, words: int, least: int, seed: int) -> DataFrame:
-    """doc_id, of, n_shingles, cls, check, signs: cls is the class of the shingle set, null for an empty one; signs are its signatures."""
+def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list, list]]:
+    """(chunk, slot, ids, hashes, texts) of batches in which a chunk's rows lie together."""
+    now, held = None, ([], [], [])
+    for batch in batches:
+        for chunk, slot, i, of, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "slot", "doc_id", "of")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            if (chunk, slot) != now:
+                if now is not None:
+                    yield *now, *held
+                now, held = (chunk, slot), ([], [], [])
+            for store, x in zip(held, (i, of, text), strict=True):
+                store.append(x)
+    if now is not None:
+        yield *now, *held
+
+
+def classify(rows: DataFrame, words: int, least: int, seed: int, buckets: int) -> DataFrame:
+    """doc_id, of, n_shingles, cls, check, signs: cls is the class of the shingle set, null for an empty one; signs are its signatures.
+
+    A first pass finds the shingles that two classes have, and how common each is.
+    """
     sizes = size_classes(least)
 
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        shingle = Shingler(words)
+        for chunk, slot, _, _, texts in texts_in(batches):
+            sets = shingle.many(texts)
+            keys = np.array([class_key(s, seed)[0] if len(s) else 0 for s in sets], np.int64)
+            yield chunk, slot, np.concatenate(sets), np.repeat(keys, [len(s) for s in sets])
+
+    side = write_shared(rows, owned, buckets, buckets, "shared-shingles")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for batch in batches:
-            sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
+        for chunk, slot, ids, of, texts in texts_in(batches):
+            sets = shingle.many(texts)
             keys = [class_key(s, seed) if len(s) else (None, None) for s in sets]
-            row, sign = signatures(sets, least, sizes)
-            order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(len(sets) + 1))
-            signs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long_of(sign[order]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("of"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), signs], names=["doc_id", "of", "n_shingles", "cls", "check", "signs"])
-
+            full = np.array([len(s) for s in sets])
+            flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), full)
+            some, level = shared_among(side, slot, chunk, flat, buckets)
+            order = np.lexsort((flat[some], level, row[some]))
+            tokens = flat[some[order]]
+            cut = np.searchsorted(row[some], np.arange(len(sets) + 1))
+            made = [signatures(tokens[cut[i] : cut[i + 1]], int(full[i]), int(full[i] - cut[i + 1] + cut[i]), least, sizes) for i in range(len(sets))]
+            ends = np.cumsum([0, *map(len, made)])
+            signs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long_of(np.concatenate(made)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(of, pa.int64()), pa.array(full, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), signs], names=["doc_id", "of", "n_shingles", "cls", "check", "signs"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, of long, n_shingles long, cls long, check long, signs array<long>")
 
 
+def repeated_signs(known: DataFrame) -> DataFrame:
+    """sign, cls: distinct within a chunk of the classified rows, for signatures that two classes have, or few more. Those of one class alone never become rows."""
+    slots = buckets = min(max(-(-stored_bytes(known) // (4 << 20)), 32), 1 << 14)
+    rows = known.where("size(signs) > 0").select("cls", "signs", chunk_of(4096).alias("chunk")).withColumn("slot", slot_of("chunk", slots))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            chunk, slot, cls = (batch.column(c).to_numpy() for c in ("chunk", "slot", "cls"))
+            signs = batch.column("signs")
+            flat, count = signs.flatten().to_numpy(zero_copy_only=False).view(U), signs.value_lengths().to_numpy()
+            owner, of = np.repeat(cls, count), np.repeat(chunk, count)
+            for c in dict.fromkeys(chunk.tolist()):
+                mine = of == c
+                yield c, int(slot[np.flatnonzero(chunk == c)[0]]), flat[mine], owner[mine]
+
+    side = write_shared(rows, chunks, buckets, slots, "shared-signs")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, slot, sign, owner in chunks(batches):
+            some = shared_among(side, slot, chunk, sign, buckets)[0]
+            pairs = np.unique(np.stack([sign[some].view(np.int64), owner[some]]), axis=1) if len(some) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["sign", "cls"])
+
+    return rows.mapInArrow(pick, "sign long, cls long").distinct()
+
+
 def overlap_links(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < least * large:
@@ -274,19 +309,25 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     """
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text"))
+    named = [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")]
+    buckets = min(max(-(-stored_bytes(docs) // (4 << 20)), 32), 1 << 14)
+    try:
+        rows = docs.select(*named, chunk_of(1024).alias("chunk"))
+    except AnalysisException:  # no files stand behind the frame
+        rows = materialize(docs.select(*named), "jaccard-docs").select("doc_id", "of", "text", chunk_of(1024).alias("chunk"))
+    rows = rows.withColumn("slot", slot_of("chunk", buckets))
     seed = 0
     while True:
-        known = materialize(classify(rows, words, least, seed), "classes")
+        known = materialize(classify(rows, words, least, seed, buckets), "classes")
         reps = known.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "of")).alias("rep"), F.min("check").alias("x"), F.max("check").alias("y"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m"))
         if reps.where("x <> y or n <> m").isEmpty():
             break
         seed += 1  # two sets met in 64 bits: hash anew
 
     # classes that share a signature, and as hub of each the one that shares most
-    signs = known.where("cls is not null").select(F.explode("signs").alias("sign"), "cls")
+    signs = materialize(repeated_signs(known), "repeated")
     shared = materialize(signs.groupBy("sign").agg(F.min("cls").alias("one"), F.max("cls").alias("two"), F.count("*").alias("size")).where("one <> two").select("sign", "size"), "signs")
-    members = materialize(signs.join(broadcast_if_small(shared), "sign").distinct(), "members")
+    members = materialize(signs.join(broadcast_if_small(shared), "sign"), "members")
     degrees = materialize(members.groupBy("cls").agg(F.sum("size").alias("degree")), "degrees")
     hubs = materialize(members.join(broadcast_if_small(degrees), "cls").groupBy("sign").agg(F.max(F.struct("degree", "cls")).alias("top")).select("sign", F.col("top.cls").alias("hub")), "hubs")
     pairs = materialize(members.join(broadcast_if_small(hubs), "sign").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("times")), "pairs")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SideTable, materialize, small_batches, stored_bytes, table
+from .shared import chunk_of, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Bytes of a string that counts, and of an anchor.
@@ -118,15 +119,6 @@ def chunks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
         yield *now, *held
 
 
-def several(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """Distinct keys that occur twice or are flagged."""
-    order = np.argsort(keys, kind="stable")
-    keys, flags = keys[order], flags[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(start, len(keys)))
-    return keys[start][(count > 1) | np.maximum.reduceat(flags, start).astype(bool)]
-
-
 def suffix_intervals(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal repeats of `least` bytes or more in the rows of a byte matrix, with all occurrences: (row, start, length, least doc) of each.
 
@@ -224,43 +216,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     slots = buckets
     rows = _chunked(docs, id_col, text_col, chunk_rows, slots)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct anchors of each chunk, by bucket, and whether two of its documents have them."""
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The anchors of each chunk, and whose they are."""
         for chunk, slot, _, ids, texts in chunks_in(batches):
             c = Chunk(ids, texts)
-            owner = np.array(ids, np.int64)[c.row] if len(c.row) else np.zeros(0, np.int64)
-            order = np.lexsort((owner, c.anchor))
-            key, owner = c.anchor[order], owner[order]
-            if not len(key):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            flag = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
-            key = key[start]
-            bucket = (key % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, flag, bucket = (key[order] >> U(32)).astype(np.uint32), flag[order].astype(np.uint8), bucket[order]
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            used = np.flatnonzero(cut[1:] > cut[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), chunk)), pa.array(np.full(len(used), slot)), pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()), pa.array([flag[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "chunk", "slot", "keys", "flags"])
-
-    def repeated(group: pa.Table) -> pa.Table:
-        """Of each chunk's anchors in this bucket, those that several documents have."""
-        keys = [np.frombuffer(k, np.uint32) for k in group.column("keys").to_pylist()]
-        both = several(np.concatenate(keys), np.concatenate([np.frombuffer(f, np.uint8) for f in group.column("flags").to_pylist()]))
-        mine = [k[np.isin(k, both, assume_unique=True)].tobytes() for k in keys]
-        return pa.Table.from_arrays([group.column("slot"), group.column("chunk"), group.column("bucket"), pa.array(mine, pa.binary())], names=["slot", "chunk", "bucket", "data"])
+            yield chunk, slot, c.anchor, np.array(ids, np.int64)[c.row]
 
-    found = rows.mapInArrow(anchors, "bucket long, chunk long, slot long, keys binary, flags binary")
-    known = SideTable.write(found.groupBy("bucket").applyInArrow(repeated, "slot long, chunk long, bucket long, data binary"), "anchors", slots)
+    known = write_shared(rows, anchors, buckets, slots, "anchors")
 
     def candidates(c: Chunk, chunk: int, slot: int, side: SideTable) -> np.ndarray:
         """The chunk's segments whose anchors several documents have."""
-        said = side.rows(slot, chunk)
-        keys = [np.frombuffer(d, np.uint32).astype(U) | U(b) << U(32) for b, d in zip(said.column("bucket").to_pylist(), said.column("data").to_pylist(), strict=True)]
-        have = np.sort(np.concatenate(keys)) if keys else np.zeros(0, U)
-        own = (c.anchor % U(buckets)) << U(32) | c.anchor >> U(32)
-        at = np.minimum(np.searchsorted(have, own), max(len(have) - 1, 0))
-        return np.flatnonzero(have[at] == own) if len(have) else np.zeros(0, np.int64)
+        return shared_among(side, slot, chunk, c.anchor, buckets)[0]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct repeated segments of each chunk with their least document, by bucket."""
@@ -360,13 +326,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_rows: int, slots: int) -> DataFrame:
     """doc_id, text, chunk, slot: a chunk is a run of rows of one file; a frame that no files stand behind is written first."""
-    chunk = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / chunk_rows))
+    chunk = chunk_of(chunk_rows)
     named = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     try:
         rows = docs.select(*named, chunk.alias("chunk"))
     except AnalysisException:
         rows = materialize(docs.select(*named), "repeat-docs").select("doc_id", "text", chunk.alias("chunk"))
-    return rows.withColumn("slot", F.pmod("chunk", F.lit(slots)).cast("long"))
+    return rows.withColumn("slot", slot_of("chunk", slots))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
