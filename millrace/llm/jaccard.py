@@ -27,7 +27,7 @@ from .shared import chunk_of, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Members of a group.
-GROUP = 256
+GROUP = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -348,7 +348,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     lowest = materialize(rest.groupBy("sign", "fam").agg(F.min("star").alias("low")), "lowest")
     asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "star", "fam").distinct()
     asked = materialize(asking.join(grouped.select("fam", "block").distinct(), "fam"), "asked")
-    per_group = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("salts")), "salts")
+    per_group = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("salts")), "salts")
     queries = asked.join(per_group, ["fam", "block"]).select("fam", "block", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls"), "star").join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
     holders = grouped.join(per_group, ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
     found = inside

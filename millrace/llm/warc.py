@@ -232,7 +232,7 @@ class WarcReader(DataSourceReader):
                 room = self.target
             parts[-1].files.append((path, size))
             room -= size
-        return parts
+        return parts or [FilePart([])]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         where, _ = place(self.path)
