@@ -17,13 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, small_batches, stored_bytes, table
 from .components import connected_components
-from .shared import chunk_of, shared_among, slot_of, write_shared
+from .shared import chunk_of, on_files, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Members of a group.
@@ -310,12 +309,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     spark = docs.sparkSession
     small_batches(spark, 1000)
     named = [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")]
+    docs, named = on_files(docs, *named)
     buckets = min(max(-(-stored_bytes(docs) // (4 << 20)), 32), 1 << 14)
-    try:
-        rows = docs.select(*named, chunk_of(1024).alias("chunk"))
-    except AnalysisException:  # no files stand behind the frame
-        rows = materialize(docs.select(*named), "jaccard-docs").select("doc_id", "of", "text", chunk_of(1024).alias("chunk"))
-    rows = rows.withColumn("slot", slot_of("chunk", buckets))
+    rows = docs.select(*named, chunk_of(1024).alias("chunk")).withColumn("slot", slot_of("chunk", buckets))
     seed = 0
     while True:
         known = materialize(classify(rows, words, least, seed, buckets), "classes")

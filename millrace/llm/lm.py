@@ -15,11 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, materialize, small_batches, stored_bytes, table
+from .shared import chunk_of, on_files
 
 U = np.uint64
 #: Hash of the end of a text, which is a token that no word equals.
@@ -148,16 +148,6 @@ def count_of(levels: np.ndarray, least: int) -> np.ndarray:
     return np.where(levels > 0, least * 2.0 ** (levels - 1), 0.0)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, held_out, chunk: chunks are runs of rows of one file, the same whenever it is read. A frame that no files stand behind is written first."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_bucket(F.col(id_col), 10) == 0).alias("held_out"))
-    run = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / CHUNK_ROWS))
-    try:
-        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_bucket(F.col(id_col), 10) == 0).alias("held_out"), run.alias("chunk"))
-    except AnalysisException:
-        return materialize(own, "lm-docs").select("doc_id", "text", "held_out", run.alias("chunk"))
-
-
 def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every whole text by a model of the rows whose crc32(id) mod 10 is not 0.
 
@@ -168,8 +158,10 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
     """
     spark = docs.sparkSession
     small_batches(spark, CHUNK_ROWS)
-    rows = chunked(docs, id_col, text_col)
-    buckets = min(max(-(-stored_bytes(docs) // options.bucket_bytes), 32), 1 << 20)
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_bucket(F.col(id_col), 10) == 0).alias("held_out"))
+    rows = docs.select(*named, chunk_of(CHUNK_ROWS).alias("chunk"))
+    buckets = min(max(-(-stored_bytes(docs) // options.bucket_bytes), 32), 1 << 14)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per chunk: its words with their training counts, and the training counts of pairs, by bucket."""
@@ -269,7 +261,6 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
         p = weight * seen + (1 - weight) * base
         return pa.Table.from_arrays([docs_of.column("doc_id").combine_chunks(), docs_of.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(np.log10(base), first)), pa.array(np.add.reduceat(np.log10(p), first))], schema=schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

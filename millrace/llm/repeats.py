@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SideTable, materialize, small_batches, stored_bytes, table
-from .shared import chunk_of, shared_among, slot_of, write_shared
+from .common import SideTable, small_batches, stored_bytes, table
+from .shared import chunk_of, on_files, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Bytes of a string that counts, and of an anchor.
@@ -210,11 +209,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     small_batches(spark, 1024)
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = stored_bytes(docs)
     chunk_rows = 1024 << min(5, max(0, math.ceil(math.log2(max(size, 1) / (64 << 30)) / 2)))
     buckets = min(max(-(-size // bucket_bytes), 32), 4 * chunk_rows)
     slots = buckets
-    rows = _chunked(docs, id_col, text_col, chunk_rows, slots)
+    rows = docs.select(*named, chunk_of(chunk_rows).alias("chunk")).withColumn("slot", slot_of("chunk", slots))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """The anchors of each chunk, and whose they are."""
@@ -286,7 +287,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     sent = rows.mapInArrow(segments, "bucket long, chunk long, slot long, anchors binary, docs binary, lengths binary, data binary")
     answers = SideTable.write(sent.groupBy("bucket").applyInArrow(stretches, "slot long, chunk long, bucket long, data binary"), "stretches", slots)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, slot, shown, ids, texts in chunks_in(batches):
@@ -324,17 +324,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, chunk_rows: int, slots: int) -> DataFrame:
-    """doc_id, text, chunk, slot: a chunk is a run of rows of one file; a frame that no files stand behind is written first."""
-    chunk = chunk_of(chunk_rows)
-    named = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
-    try:
-        rows = docs.select(*named, chunk.alias("chunk"))
-    except AnalysisException:
-        rows = materialize(docs.select(*named), "repeat-docs").select("doc_id", "text", chunk.alias("chunk"))
-    return rows.withColumn("slot", slot_of("chunk", slots))
-
-
 def op10_query(spark, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SideTable
+from .common import SideTable, materialize
 
 U = np.uint64
 #: (chunk, slot, keys, owner of each key), for each chunk in some batches.
@@ -28,6 +29,16 @@ def chunk_of(rows: int) -> Column:
     return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
 
 
+def on_files(docs: DataFrame, *columns: Column) -> tuple[DataFrame, list[Column]]:
+    """A frame that files stand behind, and columns to select of it: docs itself, or else these columns of docs, written out. Only then is a row's place known, and the table's size."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs, list(columns)
+    except AnalysisException:
+        stored = materialize(docs.select(*columns), "rows")
+        return stored, [F.col(c) for c in stored.columns]
+
+
 def slot_of(chunk: str, slots: int) -> Column:
     return F.pmod(F.col(chunk), F.lit(slots)).cast("long")
 
