@@ -362,6 +362,11 @@ def test_bin_completion_finds_what_best_fit_misses():
     assert sum(m for _, m in packing.bin_completion(counts, 10)) == 4 and packing.bin_completion({}, 10) == []
 
 
+def test_packing_query_fills_its_sequences(spark):
+    rows = packing.op7_query(spark, "/root/testdata/sf0.01").collect()
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
+
+
 # ---- embeddings
 
 
@@ -433,6 +438,19 @@ def test_media_round_trip(spark, odd, none):
     assert media.audio_features(media.encode_audio(empty, "payload")).count() == 0
 
 
+def test_media_query_digests(spark):
+    got = {r.doc_id: r for r in media.op9_query(spark, SMALL).collect()}
+    seen = {}
+    for d in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect():
+        raw, r = (d.text or "").encode(), got.pop(d.doc_id)
+        want = raw + b"\xff" * (576 if not raw else -len(raw) % 576)
+        stored = media.wav_header(len(want), 16000) + want
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert seen.setdefault(d.text, r.feature) == r.feature
+    assert not got and len(set(seen.values())) == len(seen)
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(4000) / 16000
     for up, down in ((1, 2), (3, 2), (2, 3), (1, 1)):
