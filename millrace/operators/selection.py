@@ -209,3 +209,10 @@ def fingerprint(ids: Column, ordered: Column | None = None) -> Column:
     """First 12 hex digits of the SHA-256 of a list of ids, as aggregate: sorted, or in the order of `ordered`."""
     listed = F.array_sort(F.collect_list(ids)) if ordered is None else F.transform(F.array_sort(F.collect_list(F.struct(ordered.alias("o"), ids.alias("i")))), lambda s: s["i"])
     return F.substring(F.sha2(F.concat(F.lit("["), F.array_join(listed.cast("array<string>"), ", "), F.lit("]")).cast("binary"), 256), 1, 12)
+
+
+def array_fingerprint(array) -> str:
+    """First 12 hex digits of the SHA-256 of a NumPy array's type, shape and bytes: for arrays that the driver has, such as weights."""
+    import hashlib
+
+    return hashlib.sha256(f"{array.dtype.str}|{array.shape}|".encode() + array.tobytes()).hexdigest()[:12]

@@ -236,3 +236,9 @@ def test_streams_score_what_arrives(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == 1
+
+
+def test_array_fingerprint_sees_type_shape_and_bytes():
+    a = np.arange(6.0)
+    prints = {S.array_fingerprint(x) for x in (a, a.reshape(2, 3), a.astype(np.float32), a + 1)}
+    assert len(prints) == 4 and S.array_fingerprint(a) == S.array_fingerprint(a.copy())
