@@ -14,26 +14,31 @@ def ranged(df: DataFrame, *order: Column) -> DataFrame:
     return materialize(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranged")
 
 
-def global_rank(df: DataFrame, *order: Column, out: str = "rk") -> DataFrame:
-    """Position from 1 in the order. End the order with a unique column, or ties are broken anyhow."""
-    rows = ranged(df, *order)
-    before = _before(rows.groupBy("range_").agg(F.count("*").alias("n_")), "n_")
-    own = F.row_number().over(Window.partitionBy("range_").orderBy(*order))
-    return rows.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn(out, (F.col("own_") + F.col("before_")).cast("long")).drop("own_", "before_", "range_")
+def global_rank(df: DataFrame, *order: Column, out: str = "rk", by: str | None = None) -> DataFrame:
+    """Position from 1 in the order, or in the order within each value of `by`, of which one may hold most rows. End the order with a unique column, or ties are broken anyhow."""
+    return _placed(df, None, order, out, by)
 
 
-def running_sum(df: DataFrame, value: str, *order: Column, out: str = "running") -> DataFrame:
-    """Sum of `value` over the rows before, and the row itself, in the order."""
-    rows = ranged(df, *order)
-    before = _before(rows.groupBy("range_").agg(F.sum(value).alias("n_")), "n_")
-    own = F.sum(value).over(Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("own_", own).join(F.broadcast(before), "range_").withColumn(out, F.col("own_") + F.col("before_")).drop("own_", "before_", "range_")
+def running_sum(df: DataFrame, value: str, *order: Column, out: str = "running", by: str | None = None) -> DataFrame:
+    """Sum of `value` over the rows before, and the row itself, in the order, or in that within each value of `by`."""
+    return _placed(df, value, order, out, by)
 
 
-def _before(per_range: DataFrame, value: str) -> DataFrame:
-    """What the ranges before each hold: one row per range, so as many as shuffle partitions."""
-    w = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    return per_range.select("range_", F.coalesce(F.sum(value).over(w), F.lit(0)).alias("before_"))
+def _placed(df: DataFrame, value: str | None, order: tuple[Column, ...], out: str, by: str | None) -> DataFrame:
+    """Ranges of (by, order) are dealt to tasks; a row's place is that in its range and what the ranges before hold of its group."""
+    rows = ranged(df, *([F.col(by).asc()] if by else []), *order)
+    groups = ["range_", *([by] if by else [])]
+    own = F.row_number() if value is None else F.sum(value)
+    held = rows.groupBy(*groups).agg((F.count("*") if value is None else F.sum(value)).alias("n_"))
+    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(F.col("range_").alias("of_range_"), *([F.col(by).alias("of_group_")] if by else []), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
+    on = F.col("range_") == F.col("of_range_")
+    # without groups there is one row per range; with them, no more than ranges and groups, which Spark may find too many to broadcast
+    before, on = (before, on & F.col(by).eqNullSafe(F.col("of_group_"))) if by else (F.broadcast(before), on)
+    inside = Window.partitionBy(*groups).orderBy(*order)
+    placed = rows.withColumn("own_", own.over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    found = F.col("own_") + F.col("before_")
+    return placed.join(before, on).withColumn(out, found.cast("long") if value is None else found).drop("own_", "before_", "range_", "of_range_", "of_group_")
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -82,7 +87,6 @@ def token_prefix(df: DataFrame, budget: float, tokens: str, *order: Column) -> D
 
 def stratified_token_prefix(df: DataFrame, fraction: float, stratum: str, tokens: str, *order: Column) -> DataFrame:
     """The prefix cut in each stratum, with the budget int(fraction * its tokens)."""
-    by = Window.partitionBy(stratum)
-    before = F.coalesce(F.sum(tokens).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    budgets = df.groupBy(stratum).agg(F.floor(F.lit(fraction) * F.sum(tokens)).alias("budget"))
-    return df.withColumn("before", before).join(budgets, stratum).where(F.col("before") < F.col("budget"))
+    budgets = df.groupBy(F.col(stratum).alias("of_stratum_")).agg(F.floor(F.lit(fraction) * F.sum(tokens)).alias("budget"))
+    placed = running_sum(df, tokens, *order, by=stratum).withColumn("before", F.col("running") - F.col(tokens))
+    return placed.join(budgets, F.col(stratum).eqNullSafe(F.col("of_stratum_"))).where(F.col("before") < F.col("budget")).drop("of_stratum_", "running")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.randomness import gumbel, uniform
 
-from .order import global_rank, minmax, quantile_gate, top_k
+from .order import global_rank, minmax, quantile_gate, running_sum, top_k
 
 
 @dataclass(frozen=True)
@@ -113,8 +113,9 @@ def halves(df: DataFrame, id_col: str, label: str | None = None, seed: int = 41)
         ranked = global_rank(df, uniform(F.col(id_col), seed, "halves").asc(), F.col(id_col).asc(), out="place")
         n = df.count()
         return ranked.withColumn("half", F.when(F.col("place") <= (n + 1) // 2, "V1").otherwise("V2"))
-    w = Window.partitionBy(label).orderBy(uniform(F.col(id_col), seed, "halves").asc(), F.col(id_col).asc())
-    return df.withColumn("half", F.when(F.ntile(2).over(w) == 1, "V1").otherwise("V2"))
+    sizes = df.groupBy(F.col(label).alias("of_label_")).agg(F.count("*").alias("n_"))
+    ranked = global_rank(df, uniform(F.col(id_col), seed, "halves").asc(), F.col(id_col).asc(), out="place", by=label)
+    return ranked.join(sizes, F.col(label).eqNullSafe(F.col("of_label_"))).withColumn("half", F.when(F.col("place") <= F.ceil(F.col("n_") / 2), "V1").otherwise("V2")).drop("of_label_", "n_")
 
 
 def gated_top(df: DataFrame, importance: str, gate: str, q: float, k: int, id_col: str) -> DataFrame:
@@ -128,11 +129,12 @@ def quadmix_counts(df: DataFrame, criteria: list[str], domain: str, id_col: str,
     for c in criteria:
         merged = merged + (1.0 - (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}") + 1e-12)) / len(criteria)
     rows = df.crossJoin(F.broadcast(bounds)).withColumn("merged", F.round(merged, 9)).withColumn("weight_", F.col(tokens).cast("double") if tokens else F.lit(1.0))
-    w = Window.partitionBy(domain)
-    rank = F.sum("weight_").over(w.orderBy("merged", id_col).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight_").over(w)
+    sizes = rows.groupBy(F.col(domain).alias("of_domain_")).agg(F.sum("weight_").alias("all_"))
+    rows = running_sum(rows, "weight_", F.col("merged").asc(), F.col(id_col).asc(), out="upto_", by=domain).join(sizes, F.col(domain).eqNullSafe(F.col("of_domain_")))
+    rank = F.col("upto_") / F.col("all_")
     z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -F.lit(lam) * (F.lit(omega) - F.col("quality_rank"))))
     expected = F.when(F.col("quality_rank") <= omega, F.lit(eta) / (1.0 + F.exp(z)) + epsilon).otherwise(F.lit(epsilon))
-    return rows.withColumn("quality_rank", rank).withColumn("expected", expected).drop("weight_", *[f"{n}_{c}" for c in criteria for n in ("lo", "hi")])
+    return rows.withColumn("quality_rank", rank).withColumn("expected", expected).drop("weight_", "upto_", "all_", "of_domain_", *[f"{n}_{c}" for c in criteria for n in ("lo", "hi")])
 
 
 def ccs(df: DataFrame, difficulty: str, k: int, id_col: str, bins: int = 50, cutoff: float = 0.1, seed: int = 0) -> DataFrame:
@@ -143,8 +145,8 @@ def ccs(df: DataFrame, difficulty: str, k: int, id_col: str, bins: int = 50, cut
     keep = int(n * (1.0 - cutoff))
     each = max(1, k // bins)
     kept = ranked.where(F.col("ease") <= keep).withColumn("stratum", F.least(F.floor((F.col("ease") - 1) * bins / F.lit(max(keep, 1))), F.lit(bins - 1)).cast("int"))
-    w = Window.partitionBy("stratum").orderBy(uniform(F.col(id_col), seed, "ccs").asc(), F.col(id_col).asc())
-    return top_k(kept.withColumn("turn", F.row_number().over(w)).withColumn("late", (F.col("turn") > each).cast("int")), k, F.col("late").asc(), F.when(F.col("late") == 0, F.col("stratum")).otherwise(F.col("ease")).asc(), F.col("turn").asc(), F.col(id_col).asc())
+    turned = global_rank(kept, uniform(F.col(id_col), seed, "ccs").asc(), F.col(id_col).asc(), out="turn", by="stratum")
+    return top_k(turned.withColumn("late", (F.col("turn") > each).cast("int")), k, F.col("late").asc(), F.when(F.col("late") == 0, F.col("stratum")).otherwise(F.col("ease")).asc(), F.col("turn").asc(), F.col(id_col).asc())
 
 
 def allocate(sizes: dict[int, int], k: int) -> dict[int, int]:
@@ -165,8 +167,8 @@ def ccs_equal_width(df: DataFrame, difficulty: str, k: int, id_col: str, bins: i
     binned = kept.crossJoin(F.broadcast(one)).withColumn("stratum", F.least(F.floor((d - F.col("lo_")) * bins / (F.col("hi_") - F.col("lo_") + 1e-12)), F.lit(bins - 1)).cast("int"))
     sizes = {r["stratum"]: r["n"] for r in binned.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # at most `bins` rows
     share = F.create_map(*[x for s, n in allocate(sizes, k).items() for x in (F.lit(s), F.lit(n))]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    w = Window.partitionBy("stratum").orderBy(uniform(F.col(id_col), seed, "ccs").asc(), F.col(id_col).asc())
-    return binned.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= F.element_at(share, F.col("stratum"))).drop("lo_", "hi_")
+    turned = global_rank(binned, uniform(F.col(id_col), seed, "ccs").asc(), F.col(id_col).asc(), out="turn", by="stratum")
+    return turned.where(F.col("turn") <= F.element_at(share, F.col("stratum"))).drop("lo_", "hi_")
 
 
 def perplexity_correlation(df: DataFrame, loss: str, domain: str, gains: dict[str, float], k: int, id_col: str) -> DataFrame:
@@ -177,16 +179,14 @@ def perplexity_correlation(df: DataFrame, loss: str, domain: str, gains: dict[st
     e = {x: math.exp((gains[x] - mean) / (sd + 1e-9)) for x in names}
     quota = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(round(e[n] / sum(e.values()) * k)))])
     s = F.round(F.col(loss), 6)
-    w = Window.partitionBy(domain).orderBy(s.asc(), F.col(id_col).asc())
-    turned = df.withColumn("turn", F.row_number().over(w)).withColumn("late", (F.col("turn") > F.coalesce(F.element_at(quota, F.col(domain)), F.lit(0))).cast("int"))
+    turned = global_rank(df, s.asc(), F.col(id_col).asc(), out="turn", by=domain).withColumn("late", (F.col("turn") > F.coalesce(F.element_at(quota, F.col(domain)), F.lit(0))).cast("int"))
     return top_k(turned, k, F.col("late").asc(), F.when(F.col("late") == 0, F.col(domain)).asc(), s.asc(), F.col(id_col).asc())
 
 
 def interleave(df: DataFrame, domain: str, shares: dict[str, float], k: int, id_col: str) -> DataFrame:
     """Rows of each domain in id order, emitted in proportion to its share."""
-    w = Window.partitionBy(domain).orderBy(id_col)
     share = F.create_map(*[x for n, s in shares.items() for x in (F.lit(n), F.lit(float(s)))])
-    turned = df.withColumn("due", F.row_number().over(w) / F.greatest(F.element_at(share, F.col(domain)), F.lit(1e-12)))
+    turned = global_rank(df, F.col(id_col).asc(), out="turn_", by=domain).withColumn("due", F.col("turn_") / F.greatest(F.element_at(share, F.col(domain)), F.lit(1e-12)))
     return top_k(turned, k, F.round("due", 6).asc(), F.col(domain).asc(), F.col(id_col).asc())
 
 

@@ -260,7 +260,7 @@ PERPCORR_GAINS = {"en": 0.3, "de": 0.1, "fr": 0.35, "es": 0.18}
 GAIN_ROWS = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PERPCORR_GAINS.items())
 
 
-@query("perpcorr", f"WITH {BASE}, g AS (SELECT doc_id, lang, rr, row_number() OVER (PARTITION BY lang ORDER BY rr, doc_id) AS turn, count(*) OVER () // 5 AS k FROM s), v(lang, gain) AS (VALUES {GAIN_ROWS}), x AS (SELECT lang, exp((gain - avg(gain) OVER ()) / (stddev_pop(gain) OVER () + 1e-9)) AS e FROM v), y AS (SELECT lang, e / sum(e) OVER () AS share FROM x) SELECT g.lang, count(*) AS taken FROM g JOIN y ON g.lang = y.lang WHERE turn <= round_even(share * k, 0) GROUP BY g.lang")
+@query("perpcorr", f"WITH {BASE}, g AS (SELECT doc_id, lang, rr, row_number() OVER (PARTITION BY lang ORDER BY rr, doc_id) AS turn, count(*) OVER () // 5 AS k FROM s), v(lang, gain) AS (VALUES {GAIN_ROWS}), x AS (SELECT lang, exp((gain - avg(gain) OVER ()) / (stddev_pop(gain) OVER () + 1e-9)) AS e FROM v), y AS (SELECT lang, e / sum(e) OVER () AS share FROM x), z AS (SELECT g.lang, k, row_number() OVER (ORDER BY g.lang, rr, doc_id) AS rk FROM g JOIN y ON g.lang = y.lang WHERE turn <= round_even(share * k, 0)) SELECT lang, count(*) AS taken FROM z WHERE rk <= k GROUP BY lang")
 def perpcorr(spark, d):
     """Documents that each language's gain gives it, lowest loss first; how many of each are taken within the quotas."""
     s = signals(spark, d)
@@ -285,10 +285,10 @@ def text_noise_pool(spark, d):
 @query("crossdomain_noise", "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n, text FROM documents), x AS (SELECT doc_id, p, lang, CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'fr' WHEN 'fr' THEN 'es' ELSE 'en' END AS other FROM r) SELECT x.doc_id, y.doc_id AS taken_from FROM x JOIN r y ON y.lang = x.other AND y.p = x.p % y.n")
 def crossdomain_noise(spark, d):
     """Each document's text replaced by that of a document of another language, by position."""
-    w = Window.partitionBy("lang")
-    r = table(spark, d, "documents").select("doc_id", "lang", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("p"), F.count("*").over(w).alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    r = O.global_rank(docs, F.col("doc_id").asc(), out="place", by="lang").select("doc_id", "lang", (F.col("place") - 1).alias("p"))
     other = F.when(F.col("lang") == "en", "de").when(F.col("lang") == "de", "fr").when(F.col("lang") == "fr", "es").otherwise("en")
-    n = r.select(F.col("lang").alias("other"), F.col("n").alias("m")).distinct()
+    n = docs.groupBy(F.col("lang").alias("other")).agg(F.count("*").alias("m"))
     x = r.select("doc_id", "p", other.alias("other")).join(F.broadcast(n), "other").withColumn("q", F.col("p") % F.col("m"))
     y = r.select(F.col("lang").alias("other"), F.col("p").alias("q"), F.col("doc_id").alias("taken_from"))
     return x.join(y, ["other", "q"]).select("doc_id", "taken_from")
