@@ -48,9 +48,9 @@ def knn_agreement(spark, d):
     return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), F.round("agreement", 5).alias("agreement"))
 
 
-@query("knn_inlier", f"WITH {NEAR} SELECT id AS vec_id, round(avg(sim), 5) AS inlier, round(1 - avg(sim), 5) AS novelty FROM n GROUP BY id")
+@query("knn_inlier", f"WITH {NEAR} SELECT id AS vec_id, round(avg(sim), 6) AS inlier, round(1 - avg(sim), 6) AS novelty FROM n GROUP BY id")
 def knn_inlier(spark, d):
-    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), F.round("inlier", 5).alias("inlier"), F.round("novelty", 5).alias("novelty"))
+    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), F.round("inlier", 6).alias("inlier"), F.round("novelty", 6).alias("novelty"))
 
 
 @query("knn_join", f"WITH {NEAR} SELECT id, other, sim AS value, place FROM n WHERE place <= 3")
@@ -58,18 +58,18 @@ def knn_join(spark, d):
     return N.neighbours(rows(spark, d), 3, "vec_id").select("id", "other", "value", "place")
 
 
-@query("auth_label_full", f"WITH {NEAR}, q AS (SELECT id, round(avg(CASE WHEN own = its THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS a, round(avg(sim), 5) AS i FROM n GROUP BY id), r AS (SELECT id, (row_number() OVER (ORDER BY a, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ra, (row_number() OVER (ORDER BY i, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ri FROM q) SELECT id AS vec_id, round(ra, 6) AS auth_label, round(least(ra, ri), 6) AS auth_full, round(least(ra, ri), 6) AS auth2 FROM r")
+@query("auth_label_full", f"WITH {NEAR}, q AS (SELECT id, round(avg(CASE WHEN own = its THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS a, round(avg(sim), 6) AS i FROM n GROUP BY id), r AS (SELECT id, (row_number() OVER (ORDER BY a, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ra, (row_number() OVER (ORDER BY i, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ri FROM q) SELECT id AS vec_id, round(ra, 6) AS auth_label, round(least(ra, ri), 6) AS auth_full, round(least(ra, ri), 6) AS auth2 FROM r")
 def auth_label_full(spark, d):
     """Rank-normalised label agreement, and the least of it and the rank-normalised inlier score."""
-    s = N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select("id", F.round("agreement", 6).alias("a"), F.round("inlier", 5).alias("i"))
+    s = N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select("id", F.round("agreement", 6).alias("a"), F.round("inlier", 6).alias("i"))
     s = O.rank01(O.rank01(s, "a", "id", "ra"), "i", "id", "ri")
     least = F.round(F.least("ra", "ri"), 6)
     return s.select(F.col("id").alias("vec_id"), F.round("ra", 6).alias("auth_label"), least.alias("auth_full"), least.alias("auth2"))
 
 
-@query("density_select", f"WITH {FAR}, s AS (SELECT id AS vec_id, round(avg(dist), 5) AS sparsity FROM n GROUP BY id), k AS (SELECT vec_id, round(ln(sparsity + 1e-12::DOUBLE) + {gumbel_sql('vec_id', 0, 'density')}, 5) AS key, count(*) OVER () AS n FROM s), r AS (SELECT *, row_number() OVER (ORDER BY key DESC, vec_id) AS rk FROM k) SELECT vec_id, key, rk FROM r WHERE rk <= n // 5")
+@query("density_select", f"WITH {FAR}, s AS (SELECT id AS vec_id, round(avg(dist), 7) AS sparsity FROM n GROUP BY id), k AS (SELECT vec_id, round(ln(sparsity + 1e-12::DOUBLE) + {gumbel_sql('vec_id', 0, 'density')}, 5) AS key, count(*) OVER () AS n FROM s), r AS (SELECT *, row_number() OVER (ORDER BY key DESC, vec_id) AS rk FROM k) SELECT vec_id, key, rk FROM r WHERE rk <= n // 5")
 def density_select(spark, d):
-    s = N.density(rows(spark, d), "vec_id").select(F.col("id").alias("vec_id"), F.round("sparsity", 5).alias("sparsity"))
+    s = N.density(rows(spark, d), "vec_id").select(F.col("id").alias("vec_id"), F.round("sparsity", 7).alias("sparsity"))
     from millrace.functions.randomness import gumbel
 
     keyed = s.withColumn("key", F.round(F.log(F.col("sparsity") + F.lit(1e-12)) + gumbel(F.col("vec_id"), 0, "density"), 5))
@@ -188,11 +188,11 @@ def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     return per.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy(*by).agg((F.sum("won") / (F.sum("p") * F.sum("q"))).alias("auroc"))
 
 
-@query("auroc_detectors", f"WITH nz AS ({NOISED}), e AS (SELECT vec_id, label, bad, embedding::DOUBLE[] AS v FROM nz), p AS (SELECT a.vec_id AS id, a.bad, a.label = b.label AS same, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS place FROM p QUALIFY place <= 15), g AS (SELECT id, any_value(bad) AS bad, round(-avg(CASE WHEN same THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS agreement, round(-avg(sim), 5) AS inlier FROM n GROUP BY id), l AS (SELECT id, bad, 'agreement' AS detector, agreement AS s FROM g UNION ALL SELECT id, bad, 'inlier', inlier FROM g), r AS (SELECT *, rank() OVER (PARTITION BY detector ORDER BY s) + (count(*) OVER (PARTITION BY detector, s) - 1) / 2.0 AS rk FROM l) SELECT detector, round((sum(rk) FILTER (bad) - count(*) FILTER (bad) * (count(*) FILTER (bad) + 1) / 2.0) / (count(*) FILTER (bad) * count(*) FILTER (NOT bad))::DOUBLE, 5) AS auroc FROM r GROUP BY detector")
+@query("auroc_detectors", f"WITH nz AS ({NOISED}), e AS (SELECT vec_id, label, bad, embedding::DOUBLE[] AS v FROM nz), p AS (SELECT a.vec_id AS id, a.bad, a.label = b.label AS same, b.vec_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS place FROM p QUALIFY place <= 15), g AS (SELECT id, any_value(bad) AS bad, round(-avg(CASE WHEN same THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS agreement, round(-avg(sim), 6) AS inlier FROM n GROUP BY id), l AS (SELECT id, bad, 'agreement' AS detector, agreement AS s FROM g UNION ALL SELECT id, bad, 'inlier', inlier FROM g), r AS (SELECT *, rank() OVER (PARTITION BY detector ORDER BY s) + (count(*) OVER (PARTITION BY detector, s) - 1) / 2.0 AS rk FROM l) SELECT detector, round((sum(rk) FILTER (bad) - count(*) FILTER (bad) * (count(*) FILTER (bad) + 1) / 2.0) / (count(*) FILTER (bad) * count(*) FILTER (NOT bad))::DOUBLE, 5) AS auroc FROM r GROUP BY detector")
 def auroc_detectors(spark, d):
     n = noised(spark, d)
     g = N.neighbour_signals(n, 15, "vec_id", "label").join(n.select(F.col("vec_id").alias("id"), "bad"), "id")
-    long = g.select("bad", F.explode(F.array(F.struct(F.lit("agreement").alias("detector"), F.round(-F.col("agreement"), 6).alias("s")), F.struct(F.lit("inlier").alias("detector"), F.round(-F.col("inlier"), 5).alias("s")))).alias("x")).select("bad", "x.detector", "x.s")
+    long = g.select("bad", F.explode(F.array(F.struct(F.lit("agreement").alias("detector"), F.round(-F.col("agreement"), 6).alias("s")), F.struct(F.lit("inlier").alias("detector"), F.round(-F.col("inlier"), 6).alias("s")))).alias("x")).select("bad", "x.detector", "x.s")
     return auroc(long, "s", "bad", "detector").select("detector", F.round("auroc", 5).alias("auroc"))
 
 
