@@ -235,26 +235,26 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
         before = np.concatenate([flat[:1], flat[:-1]])
         before[first] = END_HASH
         kinds = replies_of.column("kind").to_pylist()
-        lists = {k: ([], []) for k in ("words", "pairs")}
-        for kind, keys, counts in zip(kinds, replies_of.column("keys").to_pylist(), replies_of.column("counts").to_pylist(), strict=True):
-            lists[kind][0].append(np.frombuffer(keys, U))
-            lists[kind][1].append(np.frombuffer(counts, np.int64))
-        tables = {}
-        for kind, (keys, counts) in lists.items():
-            keys, counts = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((keys, U), (counts, np.int64)))
-            order = np.argsort(keys)
-            tables[kind] = keys[order], counts[order]
-
-        def look(kind: str, keys: np.ndarray) -> np.ndarray:
-            have, counts = tables[kind]
+        have, counts, served_of = [np.zeros(0, U)], [np.zeros(0, np.int64)], []
+        for kind, keys, data in zip(kinds, replies_of.column("keys").to_pylist(), replies_of.column("counts").to_pylist(), strict=True):
+            if kind == "words":
+                have.append(np.frombuffer(keys, U))
+                counts.append(np.frombuffer(data, np.int64))
+            else:
+                served_of.append((int(np.frombuffer(keys, U)[0]), np.frombuffer(data, np.uint8)))
+        have, counts = np.concatenate(have), np.concatenate(counts)
+        order = np.argsort(have)
+        have, counts = have[order], counts[order]
+
+        def look(keys: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
             return np.where(have[at] == keys, counts[at], 0) if len(have) else np.zeros(len(keys), np.int64)
 
-        count = look("words", flat)
+        count = look(flat)
         context = np.concatenate([count[:1], count[:-1]])
-        context[first] = look("words", np.array([END_HASH], U))[0]
+        context[first] = look(np.array([END_HASH], U))[0]
         pairs = pair_hash(before, flat)
-        levels = words_known["filter"].levels(pairs) if shared is not None else look("pairs", pairs)
+        levels = words_known["filter"].levels(pairs) if shared is not None else levels_served(pairs, served_of, buckets)
         base = (count + options.add) / floor
         weight = options.weight * context / (context + options.trust)
         seen = np.minimum(count_of(levels, options.least_count) / np.maximum(context, 1), 1.0)
@@ -264,8 +264,21 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
     return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def levels_served(pairs: np.ndarray, replies: list[tuple[int, np.ndarray]], buckets: int) -> np.ndarray:
+    """Levels of a chunk's pairs from its replies: each bucket's, in the order of the distinct fingerprints that the chunk has in it."""
+    codes, at = np.unique((pairs % U(buckets)) << U(32) | pairs >> U(32), return_inverse=True)
+    levels = np.concatenate([np.zeros(0, np.uint8), *(data for _, data in sorted(replies, key=lambda r: r[0]))])
+    if len(levels) != len(codes):
+        raise ValueError(f"{len(levels)} levels for {len(codes)} pairs")
+    return levels[at].astype(np.int64)
+
+
 def served(rows: DataFrame, shards: DataFrame, buckets: int, options: LanguageModelOptions) -> DataFrame:
-    """Levels of the chunks' pairs, probed where each shard of the filter lies: kind, chunk, keys, counts."""
+    """Levels of the chunks' pairs, probed where each shard of the filter lies: kind, chunk, keys (the bucket), counts.
+
+    A pair is asked for by its 32-bit fingerprint, which with its bucket is all that the filter sees, and
+    answered by one byte: a chunk knows which fingerprints it has in a bucket, so they needn't come back.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -275,15 +288,19 @@ def served(rows: DataFrame, shards: DataFrame, buckets: int, options: LanguageMo
             for c in dict.fromkeys(chunk.tolist()):
                 hashed = [words.hashes(texts[i]) for i in np.flatnonzero(chunk == c)]
                 keys = np.unique(np.concatenate([pair_hash(np.concatenate([np.array([END_HASH], U), h[:-1]]), h) for h in hashed]))
-                out = [(b, c, k.tobytes()) for b, k, _ in dealt(keys, keys, buckets)]
+                out = [(b, c, (k >> U(32)).astype(np.uint32).tobytes()) for b, k, _ in dealt(keys, keys, buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys"])
 
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
         own = Filter([shard.column("data")[0].as_py() if shard.num_rows else b""], options.probes, options.least_count)
-        out = []
+        wanted: dict[int, list[np.ndarray]] = {}
         for c, keys in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            levels = own.levels(np.frombuffer(keys, U))
-            out.append(("pairs", c, np.frombuffer(keys, U)[levels > 0].tobytes(), levels[levels > 0].astype(np.int64).tobytes()))
+            wanted.setdefault(c, []).append(np.frombuffer(keys, np.uint32))
+        name = np.array(asked.column("bucket")[:1].to_pylist(), U).tobytes()
+        out = []
+        for c, prints in wanted.items():
+            levels = own.levels(np.unique(np.concatenate(prints)).astype(U) << U(32))
+            out.append(("pairs", c, name, levels.astype(np.uint8).tobytes()))
         names = ["kind", "chunk", "keys", "counts"]
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=names)
@@ -293,4 +310,5 @@ def served(rows: DataFrame, shards: DataFrame, buckets: int, options: LanguageMo
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    """Scores by a filter that keeps all pairs, those seen once too."""
+    return score_texts(table(spark, sf_dir, "documents"), LanguageModelOptions(least_count=1))

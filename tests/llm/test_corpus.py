@@ -176,6 +176,25 @@ def test_lm_scores_beat_the_base_and_do_not_need_the_broadcast(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_query_keeps_pairs_seen_once(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i * 3 + j}" for j in range(12))) for i in range(30)] + [(i, "x y z x y") for i in range(30, 36)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {k: t.split() for k, t in rows}
+    train = [ws for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 10]
+    one = Counter(w for ws in train for w in [*ws, None])
+    two = Counter(p for ws in train for p in zip([None, *ws], [*ws, None], strict=True))
+    n, v = sum(one.values()), len(one)
+
+    def p(a, b):
+        weight = 0.5 * one[a] / (one[a] + 50)
+        level = 2 ** int(math.log2(two[a, b])) if two[a, b] else 0
+        return weight * min(level / max(one[a], 1), 1) + (1 - weight) * (one[b] + 0.1) / (n + 0.1 * (v + 1))
+
+    got = {r.doc_id: r.score for r in queries.QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect()}
+    want = {k: sum(math.log10(p(a, b)) for a, b in zip([None, *ws], [*ws, None], strict=True)) for k, ws in tokens.items()}
+    assert min(two.values()) == 1 and np.mean([math.isclose(got[k], want[k], rel_tol=1e-9) for k in want]) > 0.9
+
+
 def test_filter_never_loses_a_count():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
