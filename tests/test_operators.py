@@ -219,6 +219,24 @@ def test_compressed_prefix_is_exact(spark):
         assert math.isclose(chosen[n - 1][1], len(data) / len(zlib.compress(data, 6)), rel_tol=1e-9)
 
 
+def test_compression_greedy_takes_shares_of_all_that_is_left(spark):
+    import zlib
+
+    rng = np.random.default_rng(4)
+    raw = {i: " ".join(f"w{rng.integers(5 + 3 * (i % 40))}" for _ in range(10 + i % 23)) for i in range(450)}
+    ratio = lambda ids: (lambda data: len(data) / len(zlib.compress(data, 6)))("".join(raw[i] for i in ids).encode())
+    want, left = [], set(raw)
+    while len(want) < 30:
+        first = sorted(left, key=lambda i: (ratio([i]), i))[: max(1, round(0.1 * len(left)))]
+        block = sorted(first, key=lambda i: (ratio([*want, i]), i))[: max(1, round(0.5 * len(first)))]
+        while block and len(want) < 30:
+            want.append(min(block, key=lambda i: (ratio([*want, i]), i)))
+            block.remove(want[-1])
+            left.remove(want[-1])
+    got = L.compression_greedy(spark.createDataFrame(sorted(raw.items()), "i long, t string"), 30, "i", "t")
+    assert [i for i, _ in got] == want and math.isclose(got[-1][1], ratio(want), rel_tol=1e-12)
+
+
 def test_ledger_statistics(spark):
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "m string, p double")
     assert {r.m: round(r.adjusted, 6) for r in D.holm(p, "m").collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
