@@ -125,12 +125,13 @@ l AS (SELECT doc_id, lang, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DO
 """
 
 
-def losses(spark, d) -> DataFrame:
-    """doc_id, lang, loss, k of a fifth of the documents, by a count-based unigram model of the rest: it stands in for a neural model."""
-    t = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, "held").otherwise("train").alias("part"), F.explode(T.tokens(F.col("text"))).alias("w"))
-    c = t.where("part = 'train'").groupBy("w").agg(F.count("*").alias("c"))
+def losses(spark, d, every: bool = False) -> DataFrame:
+    """doc_id, lang, loss, k of a fifth of the documents, or of all, by a count-based unigram model of the other four fifths: it stands in for a neural model. Without words, a document has no row, or with `every` 0 and 0."""
+    words = (F.explode_outer if every else F.explode)(T.tokens(F.col("text")))
+    t = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, "held").otherwise("train").alias("part"), words.alias("w"))
+    c = t.where("part = 'train' AND w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c"))
     z = c.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    held = t.where("part = 'held'").groupBy("doc_id", "lang", "w").agg(F.count("*").alias("tf"))
+    held = (t if every else t.where("part = 'held'")).groupBy("doc_id", "lang", "w").agg(F.count("w").alias("tf"))
     p = (F.coalesce("c", F.lit(0)) + 0.1) / (F.col("n") + 0.1 * (F.col("v") + 1))
     return held.join(c, "w", "left").crossJoin(F.broadcast(z)).groupBy("doc_id", "lang").agg((-F.sum(F.col("tf") * F.log(p))).alias("loss"), F.sum("tf").alias("k"))
 
@@ -151,3 +152,12 @@ def text_controller(spark, d):
 @query("per_sample_loss", f"WITH {PPL} SELECT doc_id, round(CASE WHEN k < 2 THEN 0 ELSE loss / k END, 5) AS loss FROM l")
 def per_sample_loss(spark, d):
     return losses(spark, d).select("doc_id", F.round(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))
+
+
+EVERY = "a AS (SELECT doc_id, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS loss, count(*) AS k FROM t LEFT JOIN c ON t.w = c.w, z GROUP BY 1)"
+
+
+@query("per_sample_loss_all", f"WITH {PPL}, {EVERY} SELECT d.doc_id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE loss / k END, 5) AS loss FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id")
+def per_sample_loss_all(spark, d):
+    """A loss for every document, those that the model has learned from too; per_sample_loss, as its SQL, gives only the held-out fifth."""
+    return losses(spark, d, every=True).select("doc_id", F.round(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))
