@@ -46,14 +46,14 @@ def controller_portfolio(spark, d):
 @query("dmf_published")
 def dmf_published(spark, d):
     pool, gain = arm(spark, d)
-    chosen, _ = L.dynamic_fusion(pool, ["agreement", "novelty"], pool.count() // 5, gain, "vec_id", rounds=3)
+    chosen, _ = L.dynamic_fusion(pool, ["agreement", "novelty"], pool.count() // 5, gain, "vec_id", rounds=6)
     return chosen
 
 
 @query("dmf_proxy")
 def dmf_proxy(spark, d):
     pool, gain = arm(spark, d)
-    chosen, _ = L.dynamic_fusion(pool, ["agreement", "novelty"], pool.count() // 5, gain, "vec_id", rounds=3, additive=False)
+    chosen, _ = L.dynamic_fusion(pool, ["agreement", "novelty"], pool.count() // 5, gain, "vec_id", rounds=6, additive=False)
     return chosen
 
 
@@ -70,7 +70,7 @@ def regmix_mixture(spark, d):
     names = [str(r[0]) for r in pool.select("label").distinct().orderBy("label").collect()]
     p = materialize(pool.withColumn("domain", F.col("label").cast("string")), "regmix")
     k = p.count() // 3
-    best = L.mixture_by_regression(names, lambda w: gain(S.interleave(p, "domain", w, k, "vec_id")), probes=6)
+    best = L.mixture_by_regression(names, lambda w: gain(S.interleave(p, "domain", w, k, "vec_id")), probes=max(12, len(names) + 1))
     return spark.createDataFrame(sorted(best.items()), "domain string, share double")
 
 

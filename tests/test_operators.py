@@ -230,6 +230,20 @@ def test_every_document_has_a_loss(spark, tmp_path):
     assert set(held) == {0, 5, 10, 15} and all(got[i] == held[i] for i in held)
 
 
+def test_learned_queries_run_the_rounds_and_probes_of_the_reference(spark, monkeypatch):
+    from millrace.plans import learned_queries as Q
+
+    seen = {}
+    pool = spark.createDataFrame([(i, i % 15, 0.5, 0.5) for i in range(30)], "vec_id long, label int, agreement double, novelty double")
+    monkeypatch.setattr(Q, "arm", lambda *_: (pool, lambda ids: 0.0))
+    fusion, mixture = L.dynamic_fusion, L.mixture_by_regression
+    monkeypatch.setattr(L, "dynamic_fusion", lambda *a, **b: seen.setdefault(f"rounds{len(seen)}", (out := fusion(*a, **b))[1]) and out)
+    monkeypatch.setattr(L, "mixture_by_regression", lambda names, gain, **b: mixture(names, lambda w: seen.setdefault("probes", []).append(w) or 0.0, **b))
+    Q.dmf_published(spark, ""), Q.dmf_proxy(spark, ""), Q.regmix_mixture(spark, "")
+    assert len(seen["rounds0"]) == len(seen["rounds1"]) == 6
+    assert len(seen["probes"]) == 16, "at least 12, and more than labels"
+
+
 def test_compression_greedy_takes_shares_of_all_that_is_left(spark):
     import zlib
 
