@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -98,7 +100,7 @@ class SideTable:
         return cls(path)
 
     def rows(self, slot: int, chunk: int):
-        """The rows of one chunk, as an Arrow table without the slot."""
+        """bucket and data of one chunk's rows, as an Arrow table."""
         import pyarrow as pa
         import pyarrow.dataset as ds
         from pyarrow import fs

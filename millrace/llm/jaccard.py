@@ -22,19 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, small_batches, stored_bytes, table
 from .components import connected_components
-from .shared import chunk_of, on_files, shared_among, slot_of, write_shared
+from .shared import chunk_of, mix, on_files, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Members of a group.
 GROUP = 128
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
 class Shingler:
     """Distinct shingles of texts, hashed to 64 bits and sorted; remembers words up to a bound."""
 

@@ -17,15 +17,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import crc_bucket, materialize, small_batches, stored_bytes, table
-from .shared import chunk_of, on_files
+from .common import SideTable, crc_bucket, small_batches, stored_bytes, table
+from .shared import chunk_of, dealing, grouped, mix, on_files, parts_in, slot_of
 
 U = np.uint64
 #: Hash of the end of a text, which is a token that no word equals.
 END_HASH = 0x656E64206F662074
-#: Documents of a chunk.
-CHUNK_ROWS = 1024
+#: Stored bytes of a table for each byte that a filter of its pairs is expected to take.
+FILTER_SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,6 @@ class LanguageModelOptions:
     trust: float = 50.0
     add: float = 0.1
     broadcast_bytes: int = 64 << 20
-    bucket_bytes: int = 4 << 20
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
 
 
 def pair_hash(before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -53,32 +47,43 @@ def pair_hash(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """64-bit hashes of a text's words, with the end of the text; remembers words up to a bound."""
+    """64-bit hashes of texts' words, each text with its end; remembers words up to a bound."""
 
     def __init__(self, most: int = 400_000) -> None:
         self.known: dict[bytes, int] = {}
         self.most = most
 
-    def hashes(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").lower().split()
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter([*map(known.__getitem__, words), END_HASH], U, len(words) + 1)
-
-
-def dealt(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Keys and counts by bucket: (bucket, keys, counts)."""
-    own = (keys % U(buckets)).astype(np.int64)
-    order = np.argsort(own, kind="stable")
-    ends = np.searchsorted(own[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1]:
-            at = order[ends[b] : ends[b + 1]]
-            yield b, keys[at], counts[at]
+    def many(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the texts in a row, and how many each text has."""
+        own = [(t or b"").lower().split() for t in texts]
+        flat = [w for ws in own for w in ws]
+        if len(self.known) > self.most:
+            self.known.clear()
+        try:
+            hashes = np.fromiter(map(self.known.__getitem__, flat), U, len(flat))
+        except KeyError:
+            for w in set(flat).difference(self.known):
+                self.known[w] = xxhash.xxh64_intdigest(w)
+            hashes = np.fromiter(map(self.known.__getitem__, flat), U, len(flat))
+        sizes = np.array([len(ws) + 1 for ws in own], np.int64)
+        out = np.full(int(sizes.sum()), END_HASH, U)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        out[inside] = hashes
+        return out, sizes
+
+
+def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pair that ends at each token; the first of a text follows an end."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = END_HASH
+    return pair_hash(before, tokens)
+
+
+def code_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and fingerprint of a pair in 64 bits: all that the filter sees of it."""
+    return (pairs % U(buckets)) << U(32) | pairs >> U(32)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +104,10 @@ class Filter:
         self.probes, self.least = probes, least_count
 
     @staticmethod
-    def places(fingerprints: np.ndarray, level: int | np.ndarray, i: int, size: np.ndarray | int) -> np.ndarray:
-        one = mix(fingerprints.astype(U) + U(0x9E3779B97F4A7C15) * np.asarray(level, U))
-        return (one + U(i) * (mix(one) | U(1))) % np.asarray(size, U)
+    def walk(fingerprints: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a level begin, and their step; both are still to be taken modulo a shard's size."""
+        start = mix(fingerprints.astype(U) + U(0x9E3779B97F4A7C15 * level % (1 << 64)))
+        return start, mix(start) | U(1)
 
     @classmethod
     def shard(cls, fingerprints: np.ndarray, counts: np.ndarray, options: LanguageModelOptions) -> bytes:
@@ -112,27 +118,31 @@ class Filter:
         size = -(-n * options.bits // 64) * 64
         if not n:
             return b""
-        bits = np.zeros(size // 8, np.uint8)
+        bits = np.zeros(size, bool)
         for level in range(1, int(levels.max()) + 1):
-            own = fingerprints[levels >= level]
-            for i in range(options.probes):
-                at = cls.places(own, level, i, size)
-                np.bitwise_or.at(bits, (at >> U(3)).astype(np.int64), (U(1) << (at & U(7))).astype(np.uint8))
-        return bits.tobytes()
+            start, step = cls.walk(fingerprints[levels >= level], level)
+            for _ in range(options.probes):
+                bits[(start % U(size)).astype(np.int64)] = True
+                start += step
+        return np.packbits(bits, bitorder="little").tobytes()
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each pair: probes go on until one level is missing."""
-        out = np.zeros(len(hashes), np.int64)
         shard = (hashes % U(len(self.sizes))).astype(np.int64)
-        return self._levels(hashes >> U(32), self.sizes[shard], self.first[shard], out)
+        return self.probed(hashes >> U(32), self.sizes[shard], self.first[shard])
 
-    def _levels(self, prints: np.ndarray, size: np.ndarray, first: np.ndarray, out: np.ndarray) -> np.ndarray:
+    def probed(self, prints: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(prints), np.int64)
         alive, level = np.arange(len(prints)), 1
         while len(alive):
-            for i in range(self.probes):
-                at = self.places(prints[alive], level, i, size[alive]) + first[alive]
-                hit = (self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1
-                alive = alive[hit.astype(bool)]
+            start, step = self.walk(prints[alive], level)
+            own, base = size[alive], first[alive]
+            for _ in range(self.probes):
+                at = start % own + base
+                hit = ((self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
+                start += step
+                if not hit.all():
+                    alive, start, step, own, base = (x[hit] for x in (alive, start, step, own, base))
             out[alive] = level
             level += 1
         return out
@@ -154,159 +164,167 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null text is empty
     and has the end token alone; a null id counts as empty text for the split (held out). Repeated rows
     are learned from and scored each for itself. Without training rows, train_tokens is 0 and all
-    tokens are unknown. Other columns of docs don't take part.
+    tokens are unknown. A very long text is a part of a chunk by itself. Other columns of docs don't
+    take part.
     """
     spark = docs.sparkSession
-    small_batches(spark, CHUNK_ROWS)
-    kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(spark, 1024)
+    kind = docs.schema[id_col].dataType
     docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_bucket(F.col(id_col), 10) == 0).alias("held_out"))
-    rows = docs.select(*named, chunk_of(CHUNK_ROWS).alias("chunk"))
-    buckets = min(max(-(-stored_bytes(docs) // options.bucket_bytes), 32), 1 << 14)
+    deal = dealing(docs)
+    rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", deal.slots)).select("chunk", "slot", "doc_id", "held_out", "text")
+    shared, serve = None, stored_bytes(docs) // FILTER_SHARE > options.broadcast_bytes
+    while True:
+        side = SideTable.write(counted(rows, deal.buckets, deal.tasks, serve, options), "lm", deal.slots)
+        model = spark.read.schema("chunk long, bucket long, data binary, tokens long, distinct long, slot long").parquet(side.path).where("slot < 0")
+        n, v, size = (int(x or 0) for x in model.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.octet_length("data"))).first())
+        if serve:
+            break
+        if size <= options.broadcast_bytes:
+            found = {r["chunk"]: r["data"] for r in model.where("data is not null").select("chunk", "data").collect()}
+            shared = spark.sparkContext.broadcast([found.get(b, b"") for b in range(deal.buckets)])
+            break
+        serve = True  # larger than expected: count anew, and let the shards answer
+    floor, buckets = n + options.add * (v + 1), deal.buckets
+    usual = usual_level(options)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact counts of a part's words from the answers, levels of its pairs from the filter or the answers."""
+        words = Words()
+        filter_ = Filter(shared.value, options.probes, options.least_count) if shared is not None else None
+        now, known = None, None
+        for chunk, slot, (ids, held, texts) in parts_in(batches):
+            if (chunk, slot) != now:
+                now, known = (chunk, slot), Answers(side.rows(slot, chunk), buckets)
+            tokens, sizes = words.many(texts)
+            first = np.cumsum(sizes) - sizes
+            every, place = np.unique(tokens, return_inverse=True)
+            count = known.count(every)[place]
+            context = np.empty_like(count)
+            context[1:] = count[:-1]
+            context[first] = known.count(np.array([END_HASH], U))[0]
+            if filter_ is not None:
+                every, place = np.unique(pairs_of(tokens, sizes), return_inverse=True)
+                levels = filter_.levels(every)[place]
+            else:
+                every, place = np.unique(code_of(pairs_of(tokens, sizes), buckets), return_inverse=True)
+                levels = known.level(every, usual)[place]
+            base = (count + options.add) / floor
+            weight = options.weight * context / (context + options.trust)
+            seen = np.minimum(count_of(levels, options.least_count) / np.maximum(context, 1), 1.0)
+            p = weight * seen + (1 - weight) * base
+            columns = [pa.array(ids, arrow_kind), pa.array(held), pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(np.log10(base), first)), pa.array(np.add.reduceat(np.log10(p), first))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    arrow_kind = to_arrow_type(kind)
+    return rows.mapInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def usual_level(options: LanguageModelOptions) -> int:
+    """The level that a shard doesn't send back: what most pairs have."""
+    return 1 if options.least_count == 1 else 0
+
+
+def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: LanguageModelOptions) -> DataFrame:
+    """slot, chunk, bucket, data, tokens, distinct: what the corpus knows of each chunk's words, and the filter.
+
+    A chunk's words come back with their training counts. Slots below 0 hold, by bucket in the place of
+    the chunk, the shards of the filter and the sums of words. With serve, shards stay where they are
+    made: pairs of rows that aren't learned from are sent too, and each chunk gets the levels of its
+    pairs other than the usual one.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per chunk: its words with their training counts, and the training counts of pairs, by bucket."""
+        """Distinct words and pairs of a chunk with their training counts, by bucket; pairs' buckets come after words'."""
         words = Words()
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            held = batch.column("held_out").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for c in dict.fromkeys(chunk.tolist()):
-                mine = np.flatnonzero(chunk == c)
-                hashed = [words.hashes(texts[i]) for i in mine]
-                single, pairs = np.concatenate(hashed), []
-                trained = np.concatenate([np.full(len(h), not held[i]) for i, h in zip(mine, hashed, strict=True)])
-                for i, h in zip(mine, hashed, strict=True):
-                    if not held[i]:
-                        pairs.append(pair_hash(np.concatenate([np.array([END_HASH], U), h[:-1]]), h))
-                keys, counts = summed(single, trained.astype(np.int64))
-                out = [(b, c, k.tobytes(), n.astype(np.uint32).tobytes()) for b, k, n in dealt(keys, counts, buckets)]
-                if pairs:
-                    keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
-                    out += [(buckets + b, 0, (k >> U(32)).astype(np.uint32).tobytes(), n.astype(np.uint32).tobytes()) for b, k, n in dealt(keys, counts, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "counts"])
+        for chunk, slot, (_, held, texts) in parts_in(batches):
+            tokens, sizes = words.many(texts)
+            trained = np.repeat(~np.array(held, bool), sizes)
+            keys, counts = summed(tokens, trained)
+            own = (keys % U(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cut = np.searchsorted(own[order], np.arange(buckets + 1))
+            out = [(int(b), chunk, slot, keys[order[cut[b] : cut[b + 1]]].tobytes(), counts[order[cut[b] : cut[b + 1]]].astype(np.uint32).tobytes()) for b in np.flatnonzero(cut[1:] > cut[:-1])]
+            code = code_of(pairs_of(tokens, sizes), buckets)
+            learned, times = np.unique(code[trained], return_counts=True)
+            if serve:
+                asked = np.unique(code[~trained])
+                learned, times = np.concatenate([learned, asked]), np.concatenate([times, np.zeros(len(asked), np.int64)])
+                order = np.argsort(learned, kind="stable")
+                learned, times = learned[order], times[order]
+            cut = np.searchsorted(learned, np.arange(buckets + 1, dtype=U) << U(32))
+            prints, times = learned.astype(np.uint32), times.astype(np.uint32)
+            out += [(buckets + int(b), chunk, slot, prints[cut[b] : cut[b + 1]].tobytes(), times[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(cut[1:] > cut[:-1])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "slot", "keys", "counts"])
 
     def total(group: pa.Table) -> pa.Table:
-        """Per bucket: words' counts for each chunk that asked, or a shard of the filter."""
+        """A bucket's sums, back to the chunks that asked."""
         bucket = group.column("bucket")[0].as_py()
-        kind = np.uint32 if bucket >= buckets else U
-        keys = [np.frombuffer(k, kind) for k in group.column("keys").to_pylist()]
-        counts = [np.frombuffer(n, np.uint32) for n in group.column("counts").to_pylist()]
-        every, sums = summed(np.concatenate(keys), np.concatenate(counts))
-        if bucket >= buckets:
-            out = [("shard", bucket - buckets, None, None, Filter.shard(every, sums, options), 0, 0)]
+        of_pairs = bucket >= buckets
+        keys = [np.frombuffer(k, np.uint32 if of_pairs else U) for k in group.column("keys").to_pylist()]
+        every, sums = summed(np.concatenate(keys), np.concatenate([np.frombuffer(n, np.uint32) for n in group.column("counts").to_pylist()]))
+        own = bucket - buckets if of_pairs else bucket
+        home = -1 - own % slots
+        out: list[tuple] = []
+        if of_pairs:
+            shard = Filter.shard(every, sums, options)
+            out.append((home, own, bucket, shard, 0, 0))
+            answer = Filter([shard], options.probes, options.least_count).levels(every.astype(U) << U(32)) if serve else sums
         else:
-            asked: dict[int, list[np.ndarray]] = {}
-            for c, k in zip(group.column("chunk").to_pylist(), keys, strict=True):
-                asked.setdefault(c, []).append(k)
-            out = [("stat", bucket, None, None, None, int(sums.sum()), int((sums > 0).sum()))]
-            for c, k in asked.items():
-                k = np.unique(np.concatenate(k))
-                out.append(("words", bucket, c, k.tobytes(), sums[np.searchsorted(every, k)].astype(np.int64).tobytes(), 0, 0))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "bucket", "chunk", "keys", "data", "tokens", "distinct"])
-
-    gathered = rows.mapInArrow(gather, "bucket long, chunk long, keys binary, counts binary")
-    model = materialize(gathered.groupBy("bucket").applyInArrow(total, "kind string, bucket long, chunk long, keys binary, data binary, tokens long, distinct long"), "lm")
-    n, v = (int(x or 0) for x in model.where("kind = 'stat'").agg(F.sum("tokens"), F.sum("distinct")).first())
-    shards = model.where("kind = 'shard'").select("bucket", "data")
-    size = int(shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0])
-    replies = model.where("kind = 'words'").select("kind", "chunk", "keys", F.col("data").alias("counts"))
-    shared = None
-    if size <= options.broadcast_bytes:
-        found = dict(shards.collect())
-        shared = spark.sparkContext.broadcast([found.get(b, b"") for b in range(buckets)])
-    else:
-        replies = replies.unionByName(served(rows, shards, buckets, options))
-    floor = n + options.add * (v + 1)
-    words_known = {}
-
-    def score(docs_of: pa.Table, replies_of: pa.Table) -> pa.Table:
-        """One chunk: exact counts of its words from the replies, levels of its pairs from the filter."""
-        if shared is not None and "filter" not in words_known:
-            words_known["filter"] = Filter(shared.value, options.probes, options.least_count)
-        words = words_known.setdefault("words", Words())
-        schema = pa.schema([("doc_id", docs_of.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        if not docs_of.num_rows:
-            return schema.empty_table()
-        hashed = [words.hashes(t) for t in docs_of.column("text").cast(pa.binary()).to_pylist()]
-        flat = np.concatenate(hashed)
-        sizes = np.array([len(h) for h in hashed])
-        first = np.cumsum(sizes) - sizes
-        before = np.concatenate([flat[:1], flat[:-1]])
-        before[first] = END_HASH
-        kinds = replies_of.column("kind").to_pylist()
-        have, counts, served_of = [np.zeros(0, U)], [np.zeros(0, np.int64)], []
-        for kind, keys, data in zip(kinds, replies_of.column("keys").to_pylist(), replies_of.column("counts").to_pylist(), strict=True):
-            if kind == "words":
-                have.append(np.frombuffer(keys, U))
-                counts.append(np.frombuffer(data, np.int64))
+            out.append((home, own, bucket, None, int(sums.sum()), int((sums > 0).sum())))
+            answer = sums
+        if serve or not of_pairs:
+            for slot, chunk, k in zip(group.column("slot").to_pylist(), group.column("chunk").to_pylist(), keys, strict=True):
+                said = answer[np.searchsorted(every, k)]
+                if of_pairs:
+                    new = said != usual
+                    data = k[new].tobytes() + said[new].astype(np.uint8).tobytes()
+                else:
+                    data = k.tobytes() + said.astype(np.int64).tobytes()
+                out.append((slot, chunk, bucket, data, 0, 0))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slot", "chunk", "bucket", "data", "tokens", "distinct"])
+
+    usual, slots = usual_level(options), buckets
+    sent = rows.mapInArrow(gather, "bucket long, chunk long, slot long, keys binary, counts binary")
+    return grouped(sent, tasks).applyInArrow(total, "slot long, chunk long, bucket long, data binary, tokens long, distinct long")
+
+
+class Answers:
+    """What came back to a chunk: its words' training counts, and levels of its pairs."""
+
+    def __init__(self, said: pa.Table, buckets: int) -> None:
+        keys, counts, codes, levels = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint8)]
+        for bucket, data in zip(said.column("bucket").to_pylist(), said.column("data").to_pylist(), strict=True):
+            if bucket < buckets:
+                keys.append(np.frombuffer(data, U, len(data) // 16))
+                counts.append(np.frombuffer(data, np.int64, offset=len(data) // 2))
             else:
-                served_of.append((int(np.frombuffer(keys, U)[0]), np.frombuffer(data, np.uint8)))
-        have, counts = np.concatenate(have), np.concatenate(counts)
-        order = np.argsort(have)
-        have, counts = have[order], counts[order]
-
-        def look(keys: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
-            return np.where(have[at] == keys, counts[at], 0) if len(have) else np.zeros(len(keys), np.int64)
-
-        count = look(flat)
-        context = np.concatenate([count[:1], count[:-1]])
-        context[first] = look(np.array([END_HASH], U))[0]
-        pairs = pair_hash(before, flat)
-        levels = words_known["filter"].levels(pairs) if shared is not None else levels_served(pairs, served_of, buckets)
-        base = (count + options.add) / floor
-        weight = options.weight * context / (context + options.trust)
-        seen = np.minimum(count_of(levels, options.least_count) / np.maximum(context, 1), 1.0)
-        p = weight * seen + (1 - weight) * base
-        return pa.Table.from_arrays([docs_of.column("doc_id").combine_chunks(), docs_of.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(np.log10(base), first)), pa.array(np.add.reduceat(np.log10(p), first))], schema=schema)
-
-    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def levels_served(pairs: np.ndarray, replies: list[tuple[int, np.ndarray]], buckets: int) -> np.ndarray:
-    """Levels of a chunk's pairs from its replies: each bucket's, in the order of the distinct fingerprints that the chunk has in it."""
-    codes, at = np.unique((pairs % U(buckets)) << U(32) | pairs >> U(32), return_inverse=True)
-    levels = np.concatenate([np.zeros(0, np.uint8), *(data for _, data in sorted(replies, key=lambda r: r[0]))])
-    if len(levels) != len(codes):
-        raise ValueError(f"{len(levels)} levels for {len(codes)} pairs")
-    return levels[at].astype(np.int64)
-
-
-def served(rows: DataFrame, shards: DataFrame, buckets: int, options: LanguageModelOptions) -> DataFrame:
-    """Levels of the chunks' pairs, probed where each shard of the filter lies: kind, chunk, keys (the bucket), counts.
-
-    A pair is asked for by its 32-bit fingerprint, which with its bucket is all that the filter sees, and
-    answered by one byte: a chunk knows which fingerprints it has in a bucket, so they needn't come back.
-    """
+                n = len(data) // 5
+                codes.append(np.frombuffer(data, np.uint32, n).astype(U) | U(bucket - buckets) << U(32))
+                levels.append(np.frombuffer(data, np.uint8, n, 4 * n))
+        self.keys, self.counts = self.sorted(keys, counts)
+        self.codes, self.levels = self.sorted(codes, levels)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for c in dict.fromkeys(chunk.tolist()):
-                hashed = [words.hashes(texts[i]) for i in np.flatnonzero(chunk == c)]
-                keys = np.unique(np.concatenate([pair_hash(np.concatenate([np.array([END_HASH], U), h[:-1]]), h) for h in hashed]))
-                out = [(b, c, (k >> U(32)).astype(np.uint32).tobytes()) for b, k, _ in dealt(keys, keys, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys"])
-
-    def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        own = Filter([shard.column("data")[0].as_py() if shard.num_rows else b""], options.probes, options.least_count)
-        wanted: dict[int, list[np.ndarray]] = {}
-        for c, keys in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            wanted.setdefault(c, []).append(np.frombuffer(keys, np.uint32))
-        name = np.array(asked.column("bucket")[:1].to_pylist(), U).tobytes()
-        out = []
-        for c, prints in wanted.items():
-            levels = own.levels(np.unique(np.concatenate(prints)).astype(U) << U(32))
-            out.append(("pairs", c, name, levels.astype(np.uint8).tobytes()))
-        names = ["kind", "chunk", "keys", "counts"]
-        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names=names)
-
-    asked = rows.mapInArrow(ask, "bucket long, chunk long, keys binary")
-    return asked.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(answer, "kind string, chunk long, keys binary, counts binary")
+    @staticmethod
+    def sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, other = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(every)
+        return every[order], other[order]
+
+    @staticmethod
+    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: int) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), other, np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], other).astype(np.int64)
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        return self.find(self.keys, self.counts, words, 0)
+
+    def level(self, codes: np.ndarray, usual: int) -> np.ndarray:
+        return self.find(self.codes, self.levels, codes, usual)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

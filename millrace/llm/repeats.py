@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SideTable, small_batches, stored_bytes, table
-from .shared import chunk_of, on_files, shared_among, slot_of, write_shared
+from .shared import chunk_of, mix, on_files, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Bytes of a string that counts, and of an anchor.
@@ -28,12 +28,6 @@ LENGTH, ANCHOR = 50, 20
 LAST = np.iinfo(np.int64).max
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
 def anchor_hashes(data: bytes, size: int) -> np.ndarray:
     """A hash of the `size` bytes from each place; as many as fit."""
     n = len(data) - size + 1

@@ -9,7 +9,9 @@ scale: the same for whoever asks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,71 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SideTable, materialize
+from .common import SideTable, materialize, stored_bytes
 
 U = np.uint64
+#: Stored bytes of a chunk and of a bucket's share of the table, at least; and of what a chunk sends to a bucket.
+CHUNK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 4 << 20, 128
+#: Bytes of text that a worker holds of a chunk at once (one longer text goes alone).
+PART_BYTES = 16 << 20
+#: Tasks of one exchange between chunks and buckets, at most: what a task holds at once is one bucket.
+TASKS = 1 << 14
 #: (chunk, slot, keys, owner of each key), for each chunk in some batches.
 Gather = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values (the finalizer of splitmix64)."""
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+@dataclass(frozen=True)
+class Dealing:
+    """How a stored table meets by keys: rows of a chunk, buckets of keys, slots of answers, tasks."""
+
+    rows: int
+    buckets: int
+    slots: int
+    tasks: int
+
+
+def dealing(docs: DataFrame) -> Dealing:
+    """Chunks and buckets of a stored table, bounded by bytes.
+
+    Every chunk sends something to every bucket, so both grow with the square root of the table once
+    what they send would fall under MESSAGE_BYTES: 4 MB each up to 125 GB, some 110 MB at 100 TB.
+    Workers hold PART_BYTES of a chunk and the packed keys of a bucket.
+    """
+    size = max(stored_bytes(docs), 1)
+    least = math.isqrt(size * MESSAGE_BYTES)
+    buckets = max(-(-size // max(BUCKET_BYTES, least)), 32)
+    a_row = max(size // max(docs.count(), 1), 1)
+    return Dealing(min(max(max(CHUNK_BYTES, least) // a_row, 64), 1 << 20), buckets, buckets, min(buckets, TASKS))
+
+
+def parts_in(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[tuple[int, int, list[list]]]:
+    """(chunk, slot, columns but those two) of batches in which a chunk's rows lie together; the column text as bytes. A chunk comes in parts of `most` bytes of text."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        names = [n for n in batch.schema.names if n not in ("chunk", "slot")]
+        chunks, slots = batch.column("chunk").to_pylist(), batch.column("slot").to_pylist()
+        columns = [(batch.column(n).cast(pa.binary()) if n == "text" else batch.column(n)).to_pylist() for n in names]
+        texts = columns[names.index("text")]
+        for row, at in enumerate(zip(chunks, slots, strict=True)):
+            more = len(texts[row] or b"")
+            if at != now or size + more > most:
+                if held and held[0]:
+                    yield *now, held
+                now, held, size = at, [[] for _ in names], 0
+            for store, values in zip(held, columns, strict=True):
+                store.append(values[row])
+            size += more
+    if held and held[0]:
+        yield *now, held
+
+
 def chunk_of(rows: int) -> Column:
     """A number for each run of so many rows of one file: the same whenever the file is read."""
     return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
@@ -53,6 +113,11 @@ def several(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start][some], np.minimum(8 * np.log2(total[some]), 255).astype(np.uint8)
 
 
+def grouped(sent: DataFrame, tasks: int):
+    """Rows by bucket, over so many tasks whatever the session's number of shuffle partitions."""
+    return sent.repartition(tasks, "bucket").groupBy("bucket")
+
+
 def write_shared(rows: DataFrame, gather: Gather, buckets: int, slots: int, name: str) -> SideTable:
     """For each chunk, its keys that two owners have, in two chunks or in one."""
 
@@ -84,7 +149,7 @@ def write_shared(rows: DataFrame, gather: Gather, buckets: int, slots: int, name
         return pa.Table.from_arrays([group.column("slot"), group.column("chunk"), group.column("bucket"), pa.array(mine, pa.binary())], names=["slot", "chunk", "bucket", "data"])
 
     sent = rows.mapInArrow(send, "bucket long, chunk long, slot long, keys binary, flags binary")
-    return SideTable.write(sent.groupBy("bucket").applyInArrow(answer, "slot long, chunk long, bucket long, data binary"), name, slots)
+    return SideTable.write(grouped(sent, min(buckets, TASKS)).applyInArrow(answer, "slot long, chunk long, bucket long, data binary"), name, slots)
 
 
 def shared_among(side: SideTable, slot: int, chunk: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
