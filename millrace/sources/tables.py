@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in spark.checkpoint.dir, or in a temporary folder where that is unset; removed at the end of the program."""
+    """A path of its own in spark.checkpoint.dir, or in a temporary folder where that is unset and all runs in one process; removed at the end of the program."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not _made:
