@@ -20,13 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SideTable, crc_bucket, small_batches, stored_bytes, table
-from .shared import chunk_of, dealing, grouped, mix, on_files, parts_in, slot_of
+from .shared import chunk_of, dealing, grouped, mix, on_files, packed, parts_in, slot_of, unpacked
 
 U = np.uint64
 #: Hash of the end of a text, which is a token that no word equals.
 END_HASH = 0x656E64206F662074
-#: Stored bytes of a table for each byte that a filter of its pairs is expected to take.
-FILTER_SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -81,9 +79,9 @@ def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return pair_hash(before, tokens)
 
 
-def code_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and fingerprint of a pair in 64 bits: all that the filter sees of it."""
-    return (pairs % U(buckets)) << U(32) | pairs >> U(32)
+def code_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and fingerprint of a hash in 64 bits: all that the filter sees of a pair."""
+    return (hashes % U(buckets)) << U(32) | hashes >> U(32)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +171,7 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
     docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_bucket(F.col(id_col), 10) == 0).alias("held_out"))
     deal = dealing(docs)
     rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", deal.slots)).select("chunk", "slot", "doc_id", "held_out", "text")
-    shared, serve = None, stored_bytes(docs) // FILTER_SHARE > options.broadcast_bytes
+    shared, serve = None, stored_bytes(docs) > options.broadcast_bytes  # a filter may take as many bytes as its table
     while True:
         side = SideTable.write(counted(rows, deal.buckets, deal.tasks, serve, options), "lm", deal.slots)
         model = spark.read.schema("chunk long, bucket long, data binary, tokens long, distinct long, slot long").parquet(side.path).where("slot < 0")
@@ -244,7 +242,7 @@ def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: Lan
             own = (keys % U(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             cut = np.searchsorted(own[order], np.arange(buckets + 1))
-            out = [(int(b), chunk, slot, keys[order[cut[b] : cut[b + 1]]].tobytes(), counts[order[cut[b] : cut[b + 1]]].astype(np.uint32).tobytes()) for b in np.flatnonzero(cut[1:] > cut[:-1])]
+            out = [(int(b), chunk, slot, packed(keys[order[cut[b] : cut[b + 1]]], counts[order[cut[b] : cut[b + 1]]].astype(np.uint32))) for b in np.flatnonzero(cut[1:] > cut[:-1])]
             code = code_of(pairs_of(tokens, sizes), buckets)
             learned, times = np.unique(code[trained], return_counts=True)
             if serve:
@@ -254,40 +252,42 @@ def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: Lan
                 learned, times = learned[order], times[order]
             cut = np.searchsorted(learned, np.arange(buckets + 1, dtype=U) << U(32))
             prints, times = learned.astype(np.uint32), times.astype(np.uint32)
-            out += [(buckets + int(b), chunk, slot, prints[cut[b] : cut[b + 1]].tobytes(), times[cut[b] : cut[b + 1]].tobytes()) for b in np.flatnonzero(cut[1:] > cut[:-1])]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "slot", "keys", "counts"])
+            out += [(buckets + int(b), chunk, slot, packed(prints[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]])) for b in np.flatnonzero(cut[1:] > cut[:-1])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "slot", "counts"])
 
     def total(group: pa.Table) -> pa.Table:
         """A bucket's sums, back to the chunks that asked."""
         bucket = group.column("bucket")[0].as_py()
         of_pairs = bucket >= buckets
-        keys = [np.frombuffer(k, np.uint32 if of_pairs else U) for k in group.column("keys").to_pylist()]
-        every, sums = summed(np.concatenate(keys), np.concatenate([np.frombuffer(n, np.uint32) for n in group.column("counts").to_pylist()]))
+        sent = [unpacked(k, np.uint32 if of_pairs else U, np.uint32) for k in group.column("counts").to_pylist()]
+        every, sums = summed(np.concatenate([k for k, _ in sent]), np.concatenate([n for _, n in sent]))
         own = bucket - buckets if of_pairs else bucket
         home = -1 - own % slots
+        asked = list(zip(group.column("slot").to_pylist(), group.column("chunk").to_pylist(), (k for k, _ in sent), strict=True))
         out: list[tuple] = []
         if of_pairs:
             shard = Filter.shard(every, sums, options)
             out.append((home, own, bucket, shard, 0, 0))
-            answer = Filter([shard], options.probes, options.least_count).levels(every.astype(U) << U(32)) if serve else sums
+            levels = Filter([shard], options.probes, options.least_count).levels(every.astype(U) << U(32)) if serve else sums
+            for slot, chunk, k in asked if serve else ():
+                said = levels[np.searchsorted(every, k)]
+                out.append((slot, chunk, bucket, packed(k[said != usual], said[said != usual].astype(np.uint8)), 0, 0))
         else:
             out.append((home, own, bucket, None, int(sums.sum()), int((sums > 0).sum())))
-            answer = sums
-        if serve or not of_pairs:
-            for slot, chunk, k in zip(group.column("slot").to_pylist(), group.column("chunk").to_pylist(), keys, strict=True):
-                said = answer[np.searchsorted(every, k)]
-                if of_pairs:
-                    new = said != usual
-                    data = k[new].tobytes() + said[new].astype(np.uint8).tobytes()
-                else:
-                    data = k.tobytes() + said.astype(np.int64).tobytes()
-                out.append((slot, chunk, bucket, data, 0, 0))
+            same = every[1:] >> U(32) == every[:-1] >> U(32)  # words that half a hash doesn't tell apart
+            alone = ~(np.append(same, False) | np.append(False, same))
+            for slot, chunk, k in asked:
+                at = np.searchsorted(every, k)
+                one, more = at[alone[at]], at[~alone[at]]
+                out.append((slot, chunk, bucket, packed((every[one] >> U(32)).astype(np.uint32), sums[one]), 0, 0))
+                if len(more):
+                    out.append((slot, chunk, bucket + 2 * buckets, packed(every[more], sums[more]), 0, 0))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slot", "chunk", "bucket", "data", "tokens", "distinct"])
 
     usual, slots = usual_level(options), buckets
-    sent = rows.mapInArrow(gather, "bucket long, chunk long, slot long, keys binary, counts binary")
+    sent = rows.mapInArrow(gather, "bucket long, chunk long, slot long, counts binary")
     return grouped(sent, tasks).applyInArrow(total, "slot long, chunk long, bucket long, data binary, tokens long, distinct long")
 
 
@@ -295,36 +295,36 @@ class Answers:
     """What came back to a chunk: its words' training counts, and levels of its pairs."""
 
     def __init__(self, said: pa.Table, buckets: int) -> None:
-        keys, counts, codes, levels = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.uint8)]
+        words, whole, pairs = ([(np.zeros(0, U), np.zeros(0, kind))] for kind in (np.int64, np.int64, np.uint8))
         for bucket, data in zip(said.column("bucket").to_pylist(), said.column("data").to_pylist(), strict=True):
-            if bucket < buckets:
-                keys.append(np.frombuffer(data, U, len(data) // 16))
-                counts.append(np.frombuffer(data, np.int64, offset=len(data) // 2))
+            if bucket >= 2 * buckets:
+                whole.append(unpacked(data, U, np.int64))
             else:
-                n = len(data) // 5
-                codes.append(np.frombuffer(data, np.uint32, n).astype(U) | U(bucket - buckets) << U(32))
-                levels.append(np.frombuffer(data, np.uint8, n, 4 * n))
-        self.keys, self.counts = self.sorted(keys, counts)
-        self.codes, self.levels = self.sorted(codes, levels)
+                keys, values = unpacked(data, np.uint32, np.int64 if bucket < buckets else np.uint8)
+                (words if bucket < buckets else pairs).append((keys.astype(U) | U(bucket % buckets) << U(32), values))
+        self.buckets = buckets
+        self.words, self.whole, self.pairs = map(self.sorted, (words, whole, pairs))
 
     @staticmethod
-    def sorted(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        every, other = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(every)
-        return every[order], other[order]
+    def sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        return keys[order], values[order]
 
     @staticmethod
-    def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: int) -> np.ndarray:
+    def find(known: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, other: int) -> np.ndarray:
+        keys, values = known
         if not len(keys):
             return np.full(len(wanted), other, np.int64)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], other).astype(np.int64)
 
     def count(self, words: np.ndarray) -> np.ndarray:
-        return self.find(self.keys, self.counts, words, 0)
+        found = self.find(self.words, code_of(words, self.buckets), 0)
+        return np.maximum(found, self.find(self.whole, words, 0)) if len(self.whole[0]) else found
 
     def level(self, codes: np.ndarray, usual: int) -> np.ndarray:
-        return self.find(self.codes, self.levels, codes, usual)
+        return self.find(self.pairs, codes, usual)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Keys in rising order, with a value each, in few bytes: gaps between keys, and values, byte by byte of their width."""
+    gaps = np.diff(keys, prepend=keys.dtype.type(0))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(keys), x.itemsize).T.tobytes() for x in (gaps, values)]
+    return len(keys).to_bytes(4, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, keys: type, values: type) -> tuple[np.ndarray, np.ndarray]:
+    n, a, b = int.from_bytes(data[:4], "little"), np.dtype(keys).itemsize, np.dtype(values).itemsize
+    flat = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * (a + b), codec="zstd", asbytes=True), np.uint8)
+    gaps, said = (np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel() for x, kind in ((flat[: n * a], keys), (flat[n * a :], values)))
+    return np.cumsum(gaps, dtype=keys), said
+
+
 @dataclass(frozen=True)
 class Dealing:
     """How a stored table meets by keys: rows of a chunk, buckets of keys, slots of answers, tasks."""
@@ -136,19 +150,19 @@ def write_shared(rows: DataFrame, gather: Gather, buckets: int, slots: int, name
             key, flag, bucket = (key[order] >> U(32)).astype(np.uint32), flag[order].astype(np.uint8), bucket[order]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             used = np.flatnonzero(cut[1:] > cut[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), chunk)), pa.array(np.full(len(used), slot)), pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()), pa.array([flag[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary())], names=["bucket", "chunk", "slot", "keys", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), chunk)), pa.array(np.full(len(used), slot)), pa.array([packed(key[cut[b] : cut[b + 1]], flag[cut[b] : cut[b + 1]]) for b in used], pa.binary())], names=["bucket", "chunk", "slot", "keys"])
 
     def answer(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint32) for k in group.column("keys").to_pylist()]
-        both, level = several(np.concatenate(keys), np.concatenate([np.frombuffer(f, np.uint8) for f in group.column("flags").to_pylist()]))
+        sent = [unpacked(k, np.uint32, np.uint8) for k in group.column("keys").to_pylist()]
+        both, level = several(np.concatenate([k for k, _ in sent]), np.concatenate([f for _, f in sent]))
         mine = []
-        for k in keys:
+        for k, _ in sent:
             at = np.minimum(np.searchsorted(both, k), max(len(both) - 1, 0))
             found = both[at] == k if len(both) else np.zeros(len(k), bool)
-            mine.append(k[found].tobytes() + level[at[found]].tobytes())
+            mine.append(packed(k[found], level[at[found]]))
         return pa.Table.from_arrays([group.column("slot"), group.column("chunk"), group.column("bucket"), pa.array(mine, pa.binary())], names=["slot", "chunk", "bucket", "data"])
 
-    sent = rows.mapInArrow(send, "bucket long, chunk long, slot long, keys binary, flags binary")
+    sent = rows.mapInArrow(send, "bucket long, chunk long, slot long, keys binary")
     return SideTable.write(grouped(sent, min(buckets, TASKS)).applyInArrow(answer, "slot long, chunk long, bucket long, data binary"), name, slots)
 
 
@@ -157,9 +171,9 @@ def shared_among(side: SideTable, slot: int, chunk: int, keys: np.ndarray, bucke
     said = side.rows(slot, chunk)
     have, level = [np.zeros(0, U)], [np.zeros(0, np.uint8)]
     for b, d in zip(said.column("bucket").to_pylist(), said.column("data").to_pylist(), strict=True):
-        n = len(d) // 5
-        have.append(np.frombuffer(d, np.uint32, n).astype(U) | U(b) << U(32))
-        level.append(np.frombuffer(d, np.uint8, n, 4 * n))
+        keys_of, level_of = unpacked(d, np.uint32, np.uint8)
+        have.append(keys_of.astype(U) | U(b) << U(32))
+        level.append(level_of)
     have, level = np.concatenate(have), np.concatenate(level)
     if not len(have):
         return np.zeros(0, np.int64), level

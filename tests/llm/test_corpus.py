@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import embeddings, jaccard, langid, lines, lm, media, mixing, packing, queries, repeats, warc
+from millrace.llm import embeddings, jaccard, langid, lines, lm, media, mixing, packing, queries, repeats, shared, warc
 from millrace.llm.components import connected_components
 
 from ..conftest import SMALL
@@ -549,3 +549,21 @@ def test_repeats_of_odd_documents(spark, odd):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(short)
     long = {r.doc_id: r for r in repeats.dedup_substrings(odd.where("doc_id in (3, 4)")).collect()}
     assert long[3].spans == [] and long[4].kept == b""
+
+
+# ---- shared
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_packed_keys_come_back(kind):
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        keys = np.sort(rng.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True))
+        values = rng.integers(0, 200, n).astype(np.int64)
+        a, b = shared.unpacked(shared.packed(keys, values), kind, np.int64)
+        assert (a == keys).all() and (b == values).all() and a.dtype == kind
+
+
+def test_parts_are_bounded_by_bytes():
+    rows = pa.record_batch({"chunk": [1, 1, 1, 2], "slot": [0, 0, 0, 0], "doc_id": [1, 2, 3, 4], "text": ["aaaa", None, "bbbb", "c" * 50]})
+    assert [(c, s, x) for c, s, x in shared.parts_in(iter([rows, rows.slice(0, 0)]), 5)] == [(1, 0, [[1, 2], [b"aaaa", None]]), (1, 0, [[3], [b"bbbb"]]), (2, 0, [[4], [b"c" * 50]])]
