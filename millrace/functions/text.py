@@ -6,7 +6,7 @@ import ast
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -34,6 +34,12 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text)).cast("long")
 
 
+def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the text's words, lower-cased words and tokens, each extracted once for all that is made of them."""
+    t = F.col(text)
+    return df.withColumn("words_", words(t)).withColumn("lower_", words(F.lower(plain(t)))).withColumn("tokens_", tokens(t))
+
+
 def squeezed(text: Column, most: int = 2000) -> Column:
     """White space runs as one space, ends trimmed, cut after so many characters."""
     return F.substring(F.trim(F.regexp_replace(plain(text), r"\s+", " ")), 1, most)
@@ -64,7 +70,11 @@ def completeness(text: Column) -> Column:
 
 
 def non_degeneracy(text: Column) -> Column:
-    w = words(F.lower(plain(text)))
+    return non_degeneracy_of(words(F.lower(plain(text))))
+
+
+def non_degeneracy_of(w: Column) -> Column:
+    """From the lower-cased words."""
     n = F.size(w)
     pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     score = F.lit(0.5) * F.size(F.array_distinct(w)) / n + F.lit(0.5) * F.size(F.array_distinct(pairs)) / F.greatest(n - 1, F.lit(1))
@@ -72,7 +82,11 @@ def non_degeneracy(text: Column) -> Column:
 
 
 def structure_general(text: Column) -> Column:
-    w = words(text)
+    return structure_of(words(text), text)
+
+
+def structure_of(w: Column, text: Column) -> Column:
+    """From the words, and the text for its punctuation."""
     n = F.size(w)
     average = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / F.greatest(n, F.lit(1))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.when((average >= 2.5) & (average <= 9.0), F.lit(1.0)).otherwise(F.lit(0.4)) * F.when(plain(text).rlike(PUNCTUATION), F.lit(1.0)).otherwise(F.lit(0.6)))
@@ -113,12 +127,20 @@ def authenticity(text: Column, domain: Column | None = None, weights: tuple[floa
     form = structure_general(text)
     if domain is not None:
         form = F.when(domain == "code", structure_code(text)).when(domain == "math", structure_math(text)).otherwise(form)
-    return F.lit(weights[0]) * completeness(text) + F.lit(weights[1]) * non_degeneracy(text) + F.lit(weights[2]) * form
+    return authenticity_of(completeness(text), non_degeneracy(text), form, weights)
+
+
+def authenticity_of(complete: Column, varied: Column, form: Column, weights: tuple[float, float, float] = (0.35, 0.30, 0.35)) -> Column:
+    return F.lit(weights[0]) * complete + F.lit(weights[1]) * varied + F.lit(weights[2]) * form
 
 
 def lexical_richness(text: Column) -> Column:
     """Distinct over all tokens: what stands in for a model's loss where there is no model."""
-    t = tokens(text)
+    return richness_of(tokens(text))
+
+
+def richness_of(t: Column) -> Column:
+    """From the parts between white space."""
     return F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1)).cast("double")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import materialize
 
+#: Rows that one task may rank by itself.
+FEW_ROWS = 1 << 15
+
 
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
     """df dealt into ranges of the order, each with a number `range_`: written out once, so that the ranges are the same for whatever reads them."""
@@ -42,8 +45,11 @@ def _placed(df: DataFrame, value: str | None, order: tuple[Column, ...], out: st
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k rows with their rank rk."""
-    return global_rank(df, *order).where(F.col("rk") <= k)
+    """The first k rows with their rank rk. Up to FEW_ROWS come from each task's own first k; beyond that all rows are dealt into ranges."""
+    if k > FEW_ROWS:
+        return global_rank(df, *order).where(F.col("rk") <= k)
+    few = df.orderBy(*order).limit(max(k, 0))
+    return few.withColumn("rk", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def with_bounds(df: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.functions.randomness import gumbel, gumbel_sql, stable_seed, uniform, uniform_sql
 from millrace.operators import order as O
 from millrace.operators import selection as S
-from millrace.sources.tables import table
+from millrace.sources.tables import materialize, spread, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -41,10 +41,18 @@ m AS (SELECT *, CASE WHEN max(ra) OVER () - min(ra) OVER () < 1e-12 THEN 0.5::DO
 """
 
 
+def text_parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """doc_id, the columns and the parts of a general text's authenticity, each text's words extracted once."""
+    d = T.with_parts(spread(table(spark, sf_dir, "documents").select("doc_id", *columns, "text")))
+    t = F.col("text")
+    return d.select("doc_id", *columns, T.completeness(t).alias("complete"), T.non_degeneracy_of(F.col("lower_")).alias("varied"), T.structure_of(F.col("words_"), t).alias("form"), F.size("tokens_").cast("long").alias("tokens"), T.richness_of(F.col("tokens_")).alias("rich"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, tokens and the two signals, rounded."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "source", T.token_count(F.col("text")).alias("tokens"), F.round(T.authenticity(F.col("text")), 6).alias("auth"), F.round(T.lexical_richness(F.col("text")), 6).alias("rich"))
+    """doc_id, lang, source, tokens and the two signals, rounded: written out, so that bounds, budgets and ranks don't read texts again."""
+    made = text_parts(spark, sf_dir, "lang", "source")
+    auth = T.authenticity_of(F.col("complete"), F.col("varied"), F.col("form"))
+    return materialize(made.select("doc_id", "lang", "source", "tokens", F.round(auth, 6).alias("auth"), F.round("rich", 6).alias("rich")), "signals")
 
 
 def with_scaled(df: DataFrame) -> DataFrame:
@@ -53,8 +61,9 @@ def with_scaled(df: DataFrame) -> DataFrame:
 
 @query("auth_general", f"WITH {BASE} SELECT doc_id, round(completeness, 6) AS completeness, round(non_degeneracy, 6) AS non_degeneracy, round(structure, 6) AS structure, ra AS authenticity FROM s")
 def auth_general(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.round(T.completeness(t), 6).alias("completeness"), F.round(T.non_degeneracy(t), 6).alias("non_degeneracy"), F.round(T.structure_general(t), 6).alias("structure"), F.round(T.authenticity(t), 6).alias("authenticity"))
+    parts = ("complete", "completeness"), ("varied", "non_degeneracy"), ("form", "structure")
+    auth = T.authenticity_of(*(F.col(c) for c, _ in parts))
+    return text_parts(spark, d).select("doc_id", *[F.round(c, 6).alias(name) for c, name in parts], F.round(auth, 6).alias("authenticity"))
 
 
 @query("structure_math", r"SELECT doc_id, round(least(1::DOUBLE, len(regexp_extract_all(coalesce(text, ''), '[0-9]|[+\-*/=^%<>]|\\[a-zA-Z]+|sqrt|theorem|prove|equation|solve|integral|derivative')) / 8::DOUBLE), 6) AS structure FROM documents")
@@ -361,12 +370,13 @@ def dsir_ngram_counts(spark, d):
 
 def dsir_scores(spark, d) -> DataFrame:
     """doc_id, summed (log ratio over all runs) and mean (over their number): how much likelier a document's runs are under the benchmark than under the pool."""
-    pool, target = ngram_counts(table(spark, d, "documents"), "doc_id"), ngram_counts(table(spark, d, "benchmark"), "item_id")
+    pool, target = materialize(ngram_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id"), "ngrams"), ngram_counts(table(spark, d, "benchmark"), "item_id")
     h = spark.range(4096).select(F.col("id").cast("int").alias("h"))
     p = h.join(pool.groupBy("h").agg(F.sum("cnt").alias("p")), "h", "left").join(target.groupBy("h").agg(F.sum("cnt").alias("t")), "h", "left").select("h", (F.coalesce("p", F.lit(0)) + 1.0).alias("p"), (F.coalesce("t", F.lit(0)) + 1.0).alias("t"))
     w = Window.partitionBy()
     ratio = p.select("h", F.round(F.log(F.col("t") / F.sum("t").over(w)) - F.log(F.col("p") / F.sum("p").over(w)), 9).alias("lr"))  # 4096 rows, always
-    return pool.join(F.broadcast(ratio), "h").groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("lr")).alias("summed"), (F.sum(F.col("cnt") * F.col("lr")) / (F.sum("cnt") + F.lit(1e-9))).alias("mean"))
+    total = F.sum(F.col("cnt") * F.col("lr"))
+    return materialize(pool.join(F.broadcast(ratio), "h").groupBy("doc_id").agg(total.alias("summed"), (total / (F.sum("cnt") + F.lit(1e-9))).alias("mean")), "dsir")
 
 
 DSIR = "WITH " + CRC + ", " + NGRAMS.replace("{table}", "documents") + ", " + NGRAMS.replace("{table}", "benchmark").replace("doc_id", "item_id").replace("k AS", "bk AS").replace("FROM k)", "FROM bk)").replace("g AS (SELECT item_id", "bg AS (SELECT item_id").replace("FROM (SELECT DISTINCT g FROM g)", "FROM (SELECT DISTINCT g FROM bg)").replace("v AS (", "bv AS (") + r"""
