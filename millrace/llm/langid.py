@@ -23,10 +23,9 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    """sample_rows bounds, by expectation, the labelled rows the classifier is fitted on, and max_languages its classes (the most frequent ones)."""
+    """sample_rows bounds, by expectation, the labelled rows the classifier is fitted on. A class needs a row among them, so it bounds the classes too: where there are more labels than that, the most frequent are learned."""
 
     sample_rows: int = 3000
-    max_languages: int = 256
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     epochs: int = 3
@@ -110,11 +109,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(texts: list[str], labels: list[str], options: LanguageOptions) -> LanguageModel:
-    """Per-coordinate FTRL-proximal over the examples in the given order, several times."""
+Found = tuple[np.ndarray, np.ndarray]  # hashed n-grams and their counts
+
+
+def fit(found: list[Found | None], labels: list[str], options: LanguageOptions) -> LanguageModel:
+    """Per-coordinate FTRL-proximal over the examples' features in the given order, several times; None is a text without a letter."""
     languages = sorted(set(labels))
     place = {x: i for i, x in enumerate(languages)}
-    rows = [(f, place[y]) for t, y in zip(texts, labels, strict=True) if (f := features_of(t, options.orders, options.bits)) is not None]
+    rows = [(f, place[y]) for f, y in zip(found, labels, strict=True) if f is not None]
     size, k = 1 << options.bits, len(languages)
     held = int(len(rows) * options.calibration_share) if len(rows) >= 20 else 0
     check, rows = rows[:held], rows[held:]
@@ -151,25 +153,41 @@ def fit(texts: list[str], labels: list[str], options: LanguageOptions) -> Langua
 def train(docs: DataFrame, options: LanguageOptions = LanguageOptions(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a sample of docs' rows with a text and a label: about sample_rows in all, spread evenly over labels, chosen by a hash of the id.
 
-    The counts of labels cover all rows. The sampled texts come to the driver in one column of
-    features' input; their number is bounded by sample_rows whatever the table's size.
+    The counts of labels cover all rows. Features are made where the sampled texts lie and come to the
+    driver: at most 2^bits numbers for each of the rows that sample_rows bounds, however long the texts.
+    Rows that share an id are drawn together; should that exceed twice the sample, the first by a hash
+    of id and text are taken, so reruns agree. Null texts and labels aren't learned from.
     """
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).where("t is not null and y is not null")
-    counts = sorted(((r["n"], r["y"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "y").limit(options.max_languages).collect()), reverse=True)
+    counts = sorted(((r["n"], r["y"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "y").limit(options.sample_rows).collect()), reverse=True)
     if not counts:
         return LanguageModel([], np.ones(1 << options.bits), np.zeros(((1 << options.bits) + 1, 0)), 1.0, options.orders, options.bits)
     share = options.sample_rows / len(counts)
     draw = F.pmod(F.xxhash64(F.coalesce("i", F.lit("")), F.lit("sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
     rate = F.create_map(*[x for n, y in counts for x in (F.lit(y), F.lit(min(1.0, share / n)))])
     picked = known.where(F.element_at(rate, F.col("y")).isNotNull() & (draw < F.element_at(rate, F.col("y"))))
-    rows = sorted((r["h"], r["t"], r["y"]) for r in picked.select(F.xxhash64("i", F.lit("order")).alias("h"), "t", "y").limit(2 * options.sample_rows + 64).collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows], options)
+    drawn = picked.select(F.xxhash64("i", F.lit("order")).alias("h"), F.xxhash64("t").alias("g"), "t", "y").orderBy("h", "g", "y").limit(2 * options.sample_rows + 64)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features_of(t, options.orders, options.bits) for t in decoded(batch.column("t"))]
+            columns = [pa.array([None if f is None else f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "g", "y")), *columns], names=["h", "g", "y", "grams", "counts"])
+
+    rows = sorted(drawn.mapInArrow(features, "h long, g long, y string, grams array<int>, counts array<int>").collect(), key=lambda r: (r["h"], r["g"], r["y"]))
+    return fit([None if r["grams"] is None else (np.array(r["grams"], np.int64), np.array(r["counts"], np.int64)) for r in rows], [r["y"] for r in rows], options)
+
+
+def decoded(texts: pa.Array) -> list[str | None]:
+    """Texts as str; bytes that aren't UTF-8 become replacement characters, which are no letters."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its calibrated probability to every row, over whole texts.
 
-    A null text or one without a letter gets `und` and 0. The model, of a size fixed by its bits and
+    A null text or one without a letter gets `und` and 0, and so do all where nothing was learned; bytes
+    that aren't UTF-8 count as no letters. Repeated rows are treated alike. The model, of a size fixed by its bits and
     languages, is broadcast; there is no shuffle. The two new columns replace columns of their names.
     """
     spark = docs.sparkSession
@@ -180,7 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            said = [own.predict(t.as_py()) for t in batch.column(text_col)]
+            said = [own.predict(t) for t in decoded(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*kept, lang_out, score_out])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])

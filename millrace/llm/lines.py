@@ -43,7 +43,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, of (a hash of the text), spans: the chunks of each document that repeat an earlier one, byte for byte.
 
     Hashes of all chunks are counted first; only texts of chunks whose hash repeats move, to be grouped
-    by their bytes. The earliest by (doc_id, of, first) stays. Groups are reduced before each shuffle,
+    by their bytes. The earliest by (doc_id, of, first) stays, a null doc_id coming last. Groups are reduced before each shuffle,
     and the joins are broadcasts of checked size or ones that Spark may split, so a chunk that a third
     of all documents share meets in no task of its own.
     """
@@ -51,8 +51,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = chunks(rows).withColumn("sign", F.xxhash64("chunk"))
     signs = materialize(cut.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1").select("sign"), "line-signs")
     some = materialize(cut.join(broadcast_if_small(signs), "sign", "left_semi"), "line-chunks")
-    groups = materialize(some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "of", "first")).alias("earliest")).where("n > 1").drop("n"), "line-groups")
-    later = some.join(groups, ["sign", "chunk"]).where(F.struct("doc_id", "of", "first") != F.col("earliest"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of", "first")
+    groups = materialize(some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1").drop("n"), "line-groups")
+    later = some.join(groups, ["sign", "chunk"]).where(~place.eqNullSafe(F.col("earliest")))
     return materialize(later.groupBy("doc_id", "of").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "line-spans")
 
 
@@ -62,7 +63,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All rows stay: a text whose lines all go becomes empty; a null text stays null, with 0 lines. Lines
     are parted by \\n, and an empty text is one empty line. Chunks of one line are never removed. Rows
     that repeat an id and text are treated alike; rows that only share an id are kept apart by their
-    text. Other columns of docs pass through, whatever their names.
+    text; a null id counts as larger than any other. Other columns of docs pass through, whatever
+    their names.
     """
     names = docs.columns
     spans = broadcast_if_small(repeated_spans(docs, id_col, text_col))

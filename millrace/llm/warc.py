@@ -102,7 +102,7 @@ class Record:
 
     def __init__(self, opened: Opened) -> None:
         self.opened, self.offset, self.inflate, self.member = opened, opened.at, None, 0
-        self.plain, self.taken = b"", 0
+        self.plain, self.taken = bytearray(), 0
         opened.fill(2)
         if opened.buffer[:2] == b"\x1f\x8b":
             opened.fill(MEMBER.size)
@@ -115,19 +115,19 @@ class Record:
         self.length = int(self.headers.get("content-length", 0))
         self.head = len(head) + 4
 
-    def more(self) -> bool:
-        """Inflate, or read, some more of the record."""
+    def more(self, most: int = 1 << 14) -> bool:
+        """Inflate, or read, some more of the record: the pieces grow in place, so a payload of any length is inflated in linear time."""
         if self.inflate is None:
             have = len(self.plain)
             if not self.opened.fill(have + 1):
                 return False
-            self.plain = self.opened.buffer
+            self.plain = bytearray(self.opened.buffer)
             return len(self.plain) > have
         if self.inflate.eof:
             return False
         self.opened.fill(1)
         data = self.opened.buffer
-        made = self.inflate.decompress(data, 1 << 14)
+        made = self.inflate.decompress(data, most)
         if not data and not made and not self.inflate.eof:
             raise ValueError("an archive ends within a record")
         self.plain += made
@@ -141,17 +141,17 @@ class Record:
         while (at := self.plain.find(mark)) < 0:
             if not self.more():
                 raise ValueError("a record without an end of its headers")
-        return self.plain[:at]
+        return bytes(self.plain[:at])
 
     def block(self, n: int) -> bytes:
         """The first n bytes of the block, or fewer at its end."""
         end = self.head + min(n, self.length)
         if self.inflate is None:
             self.opened.fill(end)
-            self.plain = self.opened.buffer
-        while len(self.plain) < end and self.more():
+            return self.opened.buffer[self.head : end]
+        while len(self.plain) < end and self.more(1 << 18):
             pass
-        return self.plain[self.head : end]
+        return bytes(memoryview(self.plain)[self.head : end])
 
     def http_head(self) -> bytes:
         n = 1 << 12
@@ -170,8 +170,8 @@ class Record:
             opened.skip(self.member - self.taken)
         else:
             while not self.inflate.eof:
-                self.plain = b""
-                self.more()
+                self.plain = bytearray()
+                self.more(1 << 18)
 
 
 def records(source, size: int) -> Iterator[Record]:

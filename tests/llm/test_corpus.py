@@ -106,6 +106,14 @@ def test_warc_payloads_are_skipped_unread():
     assert len([r for r in warc.records(io.BytesIO(foreign), len(foreign))]) == 2
 
 
+def test_warc_long_payloads_come_back(spark, tmp_path):
+    rows = [(1, "u", "long " * 3_000_000, None), (2, "u", "long " * 3_000_000, None), (3, "u", "short", None)]
+    path = archived(spark, tmp_path, rows)
+    got = {r.record_type: (r.payload_length, r.payload_digest) for r in warc.read_warc(spark, path).where("payload_length > 5").select("record_type", "payload_length", "payload_digest").collect()}
+    want = (15_000_000, hashlib.sha1(b"long " * 3_000_000).hexdigest())
+    assert got == {"response": want, "revisit": want}
+
+
 # ---- line dedup
 
 
@@ -137,6 +145,12 @@ def brute_lines(rows):
     return {k: "\n".join(ls) for k, ls in out.items()}
 
 
+def test_lines_of_a_null_id_are_the_later_ones(spark):
+    text = "\n".join(f"line {i} of both" for i in range(30))
+    got = {r.doc_id: r.gone for r in lines.dedup_lines(spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string"), removed_out="gone").collect()}
+    assert got[7] == 0 and got[None] > 15
+
+
 def test_boundaries_do_not_shift(spark):
     body = [f"line {i} of the text" for i in range(40)]
     rows = [(1, "\n".join(body)), (2, "\n".join(["new", "lines", *body, "end"])), (3, "\n".join(reversed(body))), (4, "\n".join(body * 2))]
@@ -259,6 +273,68 @@ def test_languages_of_odd_documents(spark, odd, none):
     assert kept.columns == odd.columns and not {1, 2, 8} & {r.doc_id for r in kept.collect()}
 
 
+def plain_ftrl(found, labels, o):
+    """FTRL-proximal with elastic net over TF-IDF features, number by number."""
+    langs = sorted(set(labels))
+    held = int(len(found) * o.calibration_share)
+    rows = list(zip(found, labels, strict=True))[held:]
+    df = Counter(i for (index, _), _ in rows for i in index.tolist())
+    z, n = Counter(), Counter()
+
+    def vector(f):
+        x = {i: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[i])) + 1) for i, c in zip(f[0].tolist(), f[1].tolist(), strict=True)}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {i: v / size for i, v in x.items()} | {-1: 1.0}
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= o.l1 else -(z[i, k] - math.copysign(o.l1, z[i, k])) / ((o.beta + math.sqrt(n[i, k])) / o.alpha + o.l2)
+
+    def chances(x, t=1.0):
+        s = [sum(v * weight(i, k) for i, v in x.items()) / t for k in langs]
+        e = [math.exp(v - max(s)) for v in s]
+        return {k: v / sum(e) for k, v in zip(langs, e, strict=True)}
+
+    for _ in range(o.epochs):
+        for f, y in rows:
+            x = vector(f)
+            p = chances(x)
+            w = {(i, k): weight(i, k) for i in x for k in langs}
+            for (i, k), wi in w.items():
+                g = x[i] * (p[k] - (k == y))
+                z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / o.alpha * wi
+                n[i, k] += g * g
+    check = [(vector(f), y) for f, y in zip(found[:held], labels[:held], strict=True)]
+    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+    best = min(grid, key=lambda t: sum(-math.log(max(chances(x, t)[y], 1e-300)) for x, y in check))
+    return lambda f: chances(vector(f), best)
+
+
+def test_language_model_against_a_plain_restatement(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null").orderBy("doc_id").limit(40).collect()
+    o = langid.LanguageOptions(bits=12)
+    found = [langid.features_of(r.text[:300], o.orders, o.bits) for r in docs]
+    labels = [r.lang for r in docs]
+    model, plain = langid.fit(found, labels, o), plain_ftrl(found, labels, o)
+    for r, f in list(zip(docs, found, strict=True))[:12]:
+        want = plain(f)
+        said, score = model.predict(r.text[:300])
+        assert said == max(want, key=want.get) and math.isclose(score, want[said], rel_tol=1e-6)
+
+
+def test_languages_of_bytes_that_are_no_text(spark):
+    df = spark.createDataFrame([(i, "der und die das ist" if i % 2 else "the and of that is", "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+    odd = df.limit(1).select(F.lit(99).cast("long").alias("doc_id"), F.expr("cast(x'ff6465722064617380' as string)").alias("text"), F.lit("de").alias("lang"))
+    both = df.union(odd)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(both, langid.train(both)).collect()}
+    assert got[99] in ("de", "en") and got[0] == "en" and got[1] == "de" and len(got) == 61
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 3} {chr(0x4E00 + i % 300)}", f"l{i % 300}") for i in range(900)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.LanguageOptions(bits=10, epochs=1))
+    assert len(model.languages) == 300
+
+
 # ---- Jaccard
 
 
