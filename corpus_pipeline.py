@@ -19,8 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line chunks that repeat earlier ones, and with n_chars counted anew; those of which nothing is left go."""
-    cut = lines.dedup_lines(docs, removed_out="removed_lines_")
-    left = cut.where((F.col("removed_lines_") == 0) | (F.length(F.trim("text")) > 0)).drop("removed_lines_")
+    removed = "removed_lines"
+    while removed in docs.columns:
+        removed += "_"
+    cut = lines.dedup_lines(docs, removed_out=removed)
+    left = cut.where((F.col(removed) == 0) | (F.length(F.trim("text")) > 0)).drop(removed)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
