@@ -18,6 +18,8 @@ from .common import small_batches, table
 PAD, UNIT = 255, 576
 #: Frames of one tensor, and mel bands of a frame.
 FRAMES, BANDS = 64, 24
+#: Frames that are worked on at once.
+BLOCK = 4096
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 FEATURES = "n_frames int, mel_mean array<float>, segments array<struct<start_s: double, end_s: double>>, tensors array<struct<start_s: double, end_s: double, values: binary>>"
@@ -62,21 +64,35 @@ def _taps(up: int, down: int, half: int = 8) -> np.ndarray:
     return h.reshape(-1, up).T[:, ::-1].copy()
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Polyphase resampling: each output sample takes the one phase of the filter that meets input samples."""
-    if not len(x) or up == down:
-        return np.asarray(x, np.float64)
+def resampled_length(n: int, up: int, down: int) -> int:
+    return -(-n * up // down)
+
+
+def resample(x: np.ndarray, up: int, down: int, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Polyphase resampling: each output sample takes the one phase of the filter that meets input samples.
+
+    Gives output samples from `first` up to `end`, and looks only at the input that these meet; input
+    before the start and after the end counts as 0.
+    """
+    end = resampled_length(len(x), up, down) if end is None else end
+    if end <= first:
+        return np.zeros(0)
+    if up == down:
+        return np.asarray(x[first:end], np.float64)
     h = _taps(up, down)
-    n, width, lead = -(-len(x) * up // down), h.shape[1], 8 * max(up, down)
-    at = np.arange(n) * down + lead
+    width, lead = h.shape[1], 8 * max(up, down)
+    at = np.arange(first, end) * down + lead
     phase, newest = at % up, at // up
-    padded_x = np.concatenate([np.zeros(width - 1), x, np.zeros(int(newest[-1]) + 1 - len(x) if newest[-1] >= len(x) else 0)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded_x, width)
-    out = np.empty(n)
+    low, high = int(newest[0]) - width + 1, int(newest[-1]) + 1
+    part = np.zeros(high - low)
+    inside = x[max(low, 0) : min(high, len(x))]
+    part[max(-low, 0) : max(-low, 0) + len(inside)] = inside
+    windows = np.lib.stride_tricks.sliding_window_view(part, width)
+    out = np.empty(end - first)
     for p in range(up):
         rows = np.flatnonzero(phase == p)
         if len(rows):
-            step = newest[rows]
+            step = newest[rows] - newest[0]
             out[rows] = windows[step[0] : step[-1] + 1 : max(1, int(step[1] - step[0]) if len(step) > 1 else 1)][: len(rows)] @ h[p]
     return out
 
@@ -115,12 +131,27 @@ def loud_spans(energy: np.ndarray, rise: float, fall: float) -> list[tuple[int,
     return spans
 
 
-def features_of(media: bytes, up: int = 1, down: int = 2, hop: int = 128) -> dict:
+def blockwise_mel(raw: np.ndarray, rate: int, up: int, down: int, size: int = 256, hop: int = 128) -> np.ndarray:
+    """log_mel of 8-bit samples resampled by up/down, so many frames at a time that the work space stays small however long the clip."""
+    total = resampled_length(len(raw), up, down)
+    frames = max(1, -(-max(0, total - size) // hop) + 1)
+    parts = []
+    for f in range(0, frames, BLOCK):
+        few = min(BLOCK, frames - f)
+        first, end = f * hop, min((f + few - 1) * hop + size, total)
+        low = max(0, first * down // up - 32 * max(up, down))
+        low -= low % down  # a place where the phases begin anew
+        part = (raw[low : end * down // up + 32 * max(up, down)].astype(np.float64) - 128) / 128
+        x = resample(part, up, down, first - low * up // down, end - low * up // down)
+        parts.append(log_mel(np.pad(x, (0, (few - 1) * hop + size - len(x))), rate * up // down, size, hop))
+    return np.concatenate(parts)
+
+
+def features_of(media: bytes, up: int = 3, down: int = 4, hop: int = 128) -> dict:
     """Everything of one clip, from its stored bytes; the same bytes give the same result."""
     raw, rate = wav_samples(media)
-    x = resample((raw.astype(np.float64) - 128) / 128, up, down)
+    mel = blockwise_mel(raw, rate, up, down, hop=hop)
     rate = rate * up // down
-    mel = log_mel(x, rate, hop=hop)
     energy = np.round(mel.mean(axis=1), 6)
     middle = float(np.median(energy))
     second = hop / rate
@@ -151,36 +182,64 @@ def audio_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Read the stored clips back and compute features, one row per row of df.
 
     Adds samples (the clip's bytes as read), n_frames, mel_mean, segments (time spans of loud parts,
-    by hysteresis) and tensors: blocks of 64 frames by 24 bands, float32, the last one filled with
-    -10, each with its time span. The clip must be an 8-bit mono WAV; a null clip gives nulls. No
-    shuffle; each row stands alone, so a lost executor only repeats its own rows.
+    by hysteresis), tensors: blocks of 64 frames by 24 bands, float32, the last one filled with
+    -10, each with its time span; and tensor_ipc: the same blocks as stored, an Arrow stream whose
+    column mel is of the fixed-shape tensor type, beside start_s and end_s. These replace columns of
+    their names in df. The clip must be an 8-bit mono WAV; a null clip gives nulls. No shuffle; each
+    row stands alone, so a lost executor only repeats its own rows. A clip is worked on in blocks of
+    frames: beyond its bytes and its features, little is held.
     """
     small_batches(df.sparkSession)
-    columns = df.columns
-    schema = pa.schema([("samples", pa.binary()), ("n_frames", pa.int32()), ("mel_mean", pa.list_(pa.float32())), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("values", pa.binary())])))])
+    schema = pa.schema([("samples", pa.binary()), ("n_frames", pa.int32()), ("mel_mean", pa.list_(pa.float32())), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("values", pa.binary())]))), ("tensor_ipc", pa.binary())])
+    columns = [c for c in df.columns if c not in schema.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for clip in batch.column(media_col):
+            for clip in batch.column("clip_"):
                 media = clip.as_py()
-                rows.append(None if media is None else {"samples": wav_samples(media)[0].tobytes(), **features_of(media)})
-            made = pa.Table.from_pylist([r or {} for r in rows], schema=schema).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(made.column(c).combine_chunks() if made.num_rows else pa.array([], schema.field(c).type) for c in schema.names)], names=[*columns, *schema.names])
+                if media is None:
+                    rows.append({})
+                    continue
+                made = features_of(media)
+                rows.append({"samples": wav_samples(media)[0].tobytes(), **made, "tensor_ipc": tensor_stream(made["tensors"])})
+            made = pa.Table.from_pylist(rows, schema=schema).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(made.column(c).combine_chunks() if made.num_rows else pa.array([], schema.field(c).type) for c in schema.names)], names=[*columns, *schema.names])
 
     from pyspark.sql import types as T
 
-    out = T.StructType([*df.schema.fields, T.StructField("samples", T.BinaryType()), *T.StructType.fromDDL(FEATURES).fields])
-    return df.mapInArrow(run, out)
+    out = T.StructType([*(df.schema[c] for c in columns), T.StructField("samples", T.BinaryType()), *T.StructType.fromDDL(FEATURES).fields, T.StructField("tensor_ipc", T.BinaryType())])
+    return df.select(*columns, F.col(media_col).alias("clip_")).mapInArrow(run, out)
+
+
+def tensor_columns(tensors: list[dict]) -> dict[str, pa.Array]:
+    """start_s, end_s and mel, the last of the fixed-shape tensor type."""
+    data = np.frombuffer(b"".join(t["values"] for t in tensors), "<f4")
+    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS), dim_names=("frame", "band"))
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(data, pa.float32()), FRAMES * BANDS)
+    return {"start_s": pa.array([t["start_s"] for t in tensors], pa.float64()), "end_s": pa.array([t["end_s"] for t in tensors], pa.float64()), "mel": pa.ExtensionArray.from_storage(kind, storage)}
+
+
+def tensor_stream(tensors: list[dict]) -> bytes:
+    """The tensors of one clip as an Arrow IPC stream."""
+    made = pa.table(tensor_columns(tensors))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, made.schema) as writer:
+        writer.write_table(made)
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_in(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Values (tensors, frames, bands) and time spans (tensors, 2) of a stored stream."""
+    made = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    mel = made.column("mel").combine_chunks()
+    return mel.to_numpy_ndarray(), np.column_stack([made.column(c).to_numpy() for c in ("start_s", "end_s")])
 
 
 def tensor_table(rows: list[dict]) -> pa.Table:
     """Collected rows of audio_features (doc_id, tensors) as an Arrow table with a fixed-shape tensor column."""
-    flat = [(r["doc_id"], t["start_s"], t["end_s"], np.frombuffer(t["values"], "<f4")) for r in rows for t in r["tensors"]]
-    data = np.stack([x[3] for x in flat]) if flat else np.zeros((0, FRAMES * BANDS), np.float32)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(data.reshape(-1)), FRAMES * BANDS)
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS), dim_names=("frame", "band"))
-    return pa.table({"doc_id": pa.array([x[0] for x in flat], pa.int64()), "start_s": pa.array([x[1] for x in flat], pa.float64()), "end_s": pa.array([x[2] for x in flat], pa.float64()), "mel": pa.ExtensionArray.from_storage(kind, storage)})
+    flat = [(r["doc_id"], t) for r in rows for t in r["tensors"]]
+    return pa.table({"doc_id": pa.array([k for k, _ in flat], pa.int64()), **tensor_columns([t for _, t in flat])})
 
 
 def write_tensors(df: DataFrame, path: str) -> DataFrame:
@@ -206,5 +265,5 @@ def write_tensors(df: DataFrame, path: str) -> DataFrame:
 def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), padded(F.col("text")).alias("payload"))
     made = audio_features(encode_audio(docs, "payload").drop("payload"))
-    feature = F.concat_ws(";", F.concat_ws(",", F.transform("mel_mean", lambda v: F.format_string("%.3f", v))), F.concat_ws(",", F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start_s"], s["end_s"]))), F.sha2(F.aggregate("tensors", F.lit(b""), lambda a, t: F.concat(a, t["values"])), 256))
+    feature = F.concat_ws(";", F.concat_ws(",", F.transform("mel_mean", lambda v: F.format_string("%.3f", v))), F.concat_ws(",", F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start_s"], s["end_s"]))), F.sha2("tensor_ipc", 256))
     return made.select("doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

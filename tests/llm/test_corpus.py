@@ -554,6 +554,50 @@ def test_resampling_keeps_a_tone():
         assert len(y) == -(-4000 * up // down) and np.abs(y - want)[100:-100].max() < 0.02
 
 
+def test_long_clips_in_blocks(monkeypatch):
+    raw = np.random.default_rng(0).integers(0, 256, 40_000).astype(np.uint8)
+    for up, down in ((3, 4), (1, 2), (2, 1), (1, 1)):
+        whole = media.log_mel(media.resample((raw.astype(float) - 128) / 128, up, down), 16000 * up // down)
+        monkeypatch.setattr(media, "BLOCK", 7)
+        assert np.allclose(media.blockwise_mel(raw, 16000, up, down), whole, atol=1e-6)
+
+
+def test_features_against_plain_sums():
+    raw = bytes(np.random.default_rng(1).integers(0, 256, 576 * 30).astype(np.uint8))
+    clip = media.wav_header(len(raw), 16000) + raw
+    got = media.features_of(clip)
+    x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    half = 8 * 4  # a windowed sinc over 8 periods of the lower rate each way
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / 4) * np.kaiser(len(t), 5.0) * 3 / 4
+    thick = np.zeros(3 * len(x))
+    thick[::3] = x
+    y = np.convolve(thick, taps)[half::4][: -(-len(x) * 3 // 4)]
+    frames = got["n_frames"]
+    assert frames == -(-(len(y) - 256) // 128) + 1
+    y = np.pad(y, (0, (frames - 1) * 128 + 256 - len(y)))
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edge = [700 * (10 ** (mel(6000) * i / 25 / 2595) - 1) for i in range(26)]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    values = np.frombuffer(b"".join(t["values"] for t in got["tensors"]), "<f4").reshape(-1, 24)
+    for f in (0, 5, frames - 1):
+        power = np.abs(np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256) @ (y[f * 128 : f * 128 + 256] * window)) ** 2
+        for b in (0, 7, 23):
+            hz = np.arange(129) * 12000 / 256
+            bank = np.clip(np.minimum((hz - edge[b]) / (edge[b + 1] - edge[b]), (edge[b + 2] - hz) / (edge[b + 2] - edge[b + 1])), 0, None)
+            assert math.isclose(values[f, b], math.log10(max(power @ bank, 1e-10)), abs_tol=2e-3)
+    assert (values[frames:] == -10).all()
+    stored, spans = media.tensors_in(media.tensor_stream(got["tensors"]))
+    assert (stored.reshape(-1, 24) == values).all() and [tuple(s) for s in spans] == [(t["start_s"], t["end_s"]) for t in got["tensors"]]
+
+
+def test_media_columns_of_clashing_names(spark, odd):
+    docs = odd.select("doc_id", F.col("text").alias("samples"), F.col("lang").alias("tensors"), media.padded(F.col("text")).alias("media")).where("doc_id < 3")
+    got = media.audio_features(media.encode_audio(docs, "media"))
+    assert got.columns == ["doc_id", "media", "samples", "n_frames", "mel_mean", "segments", "tensors", "tensor_ipc"]
+    assert all(len(r.samples) == 576 for r in got.collect())
+
+
 def test_mel_and_spans():
     t = np.arange(8000) / 8000
     low, high = (media.log_mel(np.sin(2 * np.pi * f * t), 8000).mean(0).argmax() for f in (300, 3000))
