@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import broadcast_if_small, materialize, small_batches, table
 from .components import connected_components
 
 
@@ -77,8 +77,8 @@ def buckets(x: np.ndarray, options: HashOptions) -> np.ndarray:
     return out
 
 
-def _entries(vectors: DataFrame, options: HashOptions) -> DataFrame:
-    """A row for each bucket that a vector visits: id, n, label, dims, tab, bucket, own, codes, vector."""
+def _hashed(vectors: DataFrame, options: HashOptions) -> DataFrame:
+    """A row per vector: id, of (a hash of the vector), n, label, dims, codes, vector, and visits: the buckets it goes to (tab, bucket, own)."""
     single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +88,15 @@ def _entries(vectors: DataFrame, options: HashOptions) -> DataFrame:
                 part = batch.take(pa.array(np.flatnonzero(dims == size)))
                 x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), size)
                 codes = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), options)
-                visits = np.ones(codes.shape, bool)
-                visits[:, :, 1:] = codes[:, :, 1:] != codes[:, :, :1]
-                row, tab, place = np.nonzero(visits)
+                seen = np.ones(codes.shape, bool)
+                seen[:, :, 1:] = codes[:, :, 1:] != codes[:, :, :1]
+                row, tab, place = np.nonzero(seen)
+                visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(tab.astype(np.int32)), pa.array(codes[row, tab, place]), pa.array(place == 0)], names=["tab", "bucket", "own"]))
                 said, raw = codes.astype("<i8").reshape(len(part), -1), x.astype("<f4" if single else "<f8")
-                take = lambda c: part.column(c).take(pa.array(row))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([take("id"), take("n"), take("label"), pa.array(np.full(len(row), size, np.int32)), pa.array(tab.astype(np.int32)), pa.array(codes[row, tab, place]), pa.array(place == 0), pa.array([said[i].tobytes() for i in row], pa.binary()), pa.array([raw[i].tobytes() for i in row], pa.binary())], names=["id", "n", "label", "dims", "tab", "bucket", "own", "codes", "vector"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "of", "n", "label")), pa.array(np.full(len(part), size, np.int32)), pa.array([c.tobytes() for c in said], pa.binary()), pa.array([v.tobytes() for v in raw], pa.binary()), visits], names=["id", "of", "n", "label", "dims", "codes", "vector", "visits"])
 
     label = vectors.schema["label"].dataType.simpleString()
-    return vectors.select("id", "n", "label", "embedding").mapInArrow(run, f"id long, n long, label {label}, dims int, tab int, bucket long, own boolean, codes binary, vector binary")
+    return vectors.select("id", F.xxhash64("embedding").alias("of"), "n", "label", "embedding").mapInArrow(run, f"id long, of long, n long, label {label}, dims int, codes binary, vector binary, visits array<struct<tab: int, bucket: long, own: boolean>>")
 
 
 def _linked(ids, sizes, own, side, codes, x, tab: int, bucket: int, crossing: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,16 +128,22 @@ def _linked(ids, sizes, own, side, codes, x, tab: int, bucket: int, crossing: bo
 
 
 def links(vectors: DataFrame, options: HashOptions = HashOptions()) -> DataFrame:
-    """id, n_links, root from vectors (id, n, label, embedding): n stands for that many equal vectors. A row per id and place with links; root is the smallest id linked there, directly or not."""
+    """id, n_links, root from vectors (id, n, label, embedding): n stands for that many equal vectors. A row per id and place with links; root is the smallest id linked there, directly or not.
+
+    Buckets that one vector alone visits, or that none has for its own, are dropped before any vector moves.
+    """
     small_batches(vectors.sparkSession, 2000)
-    entries = materialize(_entries(vectors, options), "hashed")
+    hashed = materialize(_hashed(vectors, options), "hashed")
     key = ["label", "dims", "tab", "bucket"]
-    hot = materialize(entries.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > options.block).select(*key, F.ceil(F.col("rows") / options.block).cast("int").alias("blocks")), "hot-buckets")
-    placed = entries.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id", "tab"), F.col("blocks")).cast("int"))
+    entries = hashed.select("id", "of", "label", "dims", F.explode("visits").alias("v")).select("id", "of", "label", "dims", "v.*")
+    shared = entries.groupBy(*key).agg(F.count("*").alias("rows"), F.max("own").alias("any_own")).where("rows > 1 and any_own")
+    met = materialize(shared.select(*key, F.ceil(F.col("rows") / options.block).cast("int").alias("blocks")), "buckets")
+    placed = entries.join(broadcast_if_small(met), key).withColumn("block", F.pmod(F.xxhash64("id", "of", "tab"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("side", F.col("block") != F.col("lo"))
     group = [*key, "lo", "hi"]
-    dealt = paired.repartition(*group).sortWithinPartitions(*group).select("id", "n", "label", "dims", "tab", "bucket", "lo", "hi", "own", "side", "codes", "vector")
+    held = paired.join(hashed.select("id", "of", "n", "codes", "vector"), ["id", "of"])
+    dealt = held.repartition(*group).sortWithinPartitions(*group).select("id", "n", "label", "dims", "tab", "bucket", "lo", "hi", "own", "side", "codes", "vector")
     single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +191,9 @@ def near_duplicates(frame: DataFrame, options: HashOptions = HashOptions()) -> D
     `least` or more. Null or zero vectors, ones with null or non-finite components, and vectors of other
     lengths link with nothing, nor do rows with a null vec_id (their component is null; they are kept).
     Equal vectors of one label are one class: they are found by grouping, compared once, and counted as
-    often as they occur. Rows that share a vec_id are one node. An empty table gives an empty result.
+    often as they occur. Rows that share a vec_id are one node: equal vectors of it don't link with each
+    other, and n_links counts the links of all its rows (links between different vectors of it count
+    too). An empty table gives an empty result.
     """
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -194,12 +202,22 @@ def near_duplicates(frame: DataFrame, options: HashOptions = HashOptions()) -> D
     classes = materialize(marked.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
     found = materialize(links(classes, options), "links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    own = marked.where("valid").groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id")
+    twice = materialize(marked.where("valid").join(own, "vec_id", "left_semi").groupBy("label", "embedding", "vec_id").agg(F.count("*").alias("m")), "repeated-ids")
+    repeated = not twice.isEmpty()
+    if repeated:
+        edges = edges.union(twice.join(classes, ["label", "embedding"]).select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
+    components = connected_components(edges)
     known = classes.join(counts, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("label").alias("of_label"), F.col("embedding").alias("of"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("linked"), F.coalesce("component", "id").alias("component"))
+    known = known.select(F.col("label").alias("of_label"), F.col("embedding").alias("of"), "n", F.coalesce("n_links", F.lit(0)).alias("outside"), F.coalesce("component", "id").alias("component"))
     joined = marked.join(known, F.col("valid") & (F.col("label") == F.col("of_label")) & (F.col("embedding") == F.col("of")), "left")
+    linked = F.coalesce(F.col("outside") + F.col("n") - 1, F.lit(0))
+    if repeated:
+        every = twice.join(known, (F.col("label") == F.col("of_label")) & (F.col("embedding") == F.col("of"))).groupBy(F.col("vec_id").alias("of_id")).agg(F.sum(F.col("m") * (F.col("outside") + F.col("n") - F.col("m"))).alias("total"))
+        joined, linked = joined.join(every, F.col("valid") & (F.col("vec_id") == F.col("of_id")), "left"), F.coalesce("total", linked)
     component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    return joined.select("vec_id", linked.cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

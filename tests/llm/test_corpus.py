@@ -496,6 +496,30 @@ def test_embeddings_against_all_pairs(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in (9000, 9001, 9002, 9003, 9004, 9005, 9008, None))
 
 
+def test_embeddings_of_repeated_ids_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(9, [1.0, 0.0, 0.1], 1), (9, [1.0, 0.0, 0.1], 1), (5, [1.0, 0.0, 0.1], 1), (9, [0.0, 1.0, 0.0], 1), (7, [0.0, 2.0, 0.0], 1), (3, [1.0, 0.01, 0.1], 1), (4, [1.0, 0.0, 0.1], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "e"))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    got = Counter(tuple(r) for r in embeddings.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == Counter(base.execute(embeddings.OP8_SQL).fetchall())
+
+
+@pytest.mark.parametrize("dims", [64, 384])
+def test_recall_of_the_hashing_at_the_threshold(dims):
+    rng = np.random.default_rng(dims)
+    a = rng.normal(size=(600, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.normal(size=a.shape)
+    r -= (r * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    p, q = embeddings.buckets(a, embeddings.HashOptions()), embeddings.buckets(b, embeddings.HashOptions())
+    assert ((p[:, :, :1] == q).any((1, 2)) | (q[:, :, :1] == p).any((1, 2))).mean() > 0.95
+
+
 def test_embeddings_of_none(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
