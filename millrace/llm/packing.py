@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences by bin completion.
 
 Lengths are whole numbers up to the capacity, so however large the corpus, its lengths are a table of
-at most `capacity` counts. That table is packed on the driver by branch-and-bound; rows then find
-their place by their rank among the rows of their length.
+at most `capacity` counts. That table is packed on the driver by branch-and-bound, which says whether
+fewer sequences are impossible; rows then find their place by their rank among the rows of their
+length.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import itertools
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, table
 
 CAPACITY, END = 4096, 1
-#: Nodes that the search for one filling, and the search over whole packings, may open beyond the first solution.
-FILL_NODES, TREE_NODES = 400, 60
+#: Nodes that a dive may open for one filling; nodes of fillings that the exact search may open in all; bins it takes on at once.
+FILL_NODES, SEARCH_NODES, SEARCH_BINS = 400, 200_000, 64
 
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -187,113 +189,238 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return done + [x for group in open_.values() for x in group]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, nodes: int = FILL_NODES) -> list[Filling]:
-    """Undominated fillings of a room, least waste first.
+def dominated(taken: dict[int, int], counts: dict[int, int], lengths: list[int], room: int) -> bool:
+    """Whether some items of a filling could make way for a longer one, or for none, that is left out and still fits.
 
-    One is dominated if an item left out still fits, or fits in place of a shorter one: then that one
-    serves as well. The search goes longest first, stops at a filling without waste, and opens so many
-    nodes at most.
+    If so, swapping them with it makes the other bin no fuller, so a packing with the swapped filling
+    is as good. Sums of items under a length are bits of a number: one shift finds any in a range.
     """
-    found: list[tuple[int, Filling]] = []
-    best, opened = room + 1, 0
+    sums, rising, k = 1, sorted(taken), 0
+    for y in lengths:
+        if counts[y] <= taken.get(y, 0):
+            continue
+        while k < len(rising) and rising[k] < y:
+            for _ in range(taken[rising[k]]):
+                sums |= sums << rising[k]
+            k += 1
+        if y <= room:
+            return True
+        low = y - room  # 1 or more
+        if (sums >> low) & ((1 << (room + 1)) - 1):
+            return True
+    return False
 
-    def dive(room: int, upto: int, taken: list[int]) -> None:
-        nonlocal best, opened
-        opened += 1
-        if best == 0 or opened > nodes and found:
-            return
-        if counts.get(room, 0) > taken.count(room) and room:
-            taken = [*taken, room]
-            room = 0
-        at = min(upto, bisect.bisect_right(lengths, room)) - 1
-        deeper = False
-        while at >= 0 and room:
-            length = lengths[at]
-            if counts[length] > taken.count(length):
-                deeper = True
-                dive(room - length, at + 1, [*taken, length])
-                if best == 0 or opened > nodes:
-                    return
-            at -= 1
-        if not deeper:
-            for x in set(taken):
-                y = bisect.bisect_right(lengths, x + room) - 1
-                while room and y >= 0 and lengths[y] > x:
-                    if counts[lengths[y]] > taken.count(lengths[y]):
-                        return
-                    y -= 1
-            best = min(best, room)
-            found.append((room, tuple(sorted(((x, taken.count(x)) for x in set(taken)), reverse=True))))
-
-    dive(room, len(lengths), [])
-    if not found:
-        # the search ended among dominated fillings: take the longest that fits, again and again
-        taken: list[int] = []
-        left, at = room, bisect.bisect_right(lengths, room) - 1
-        while at >= 0:
-            while lengths[at] <= left and counts[lengths[at]] > taken.count(lengths[at]):
-                taken.append(lengths[at])
-                left -= lengths[at]
+
+class Spent(Exception):
+    """The nodes of a search are used up."""
+
+
+class Nodes:
+    """How many nodes a search may still open."""
+
+    def __init__(self, most: int) -> None:
+        self.left = most
+
+    def open(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise Spent
+
+
+def fillings(counts: dict[int, int], lengths: list[int], room: int, nodes: Nodes, most_waste: int | None = None, first_full: bool = False) -> list[Filling]:
+    """Undominated fillings of a room that waste no more than stated, least waste first; with first_full, those up to the first without waste. Raises Spent if there are too many."""
+    found: list[tuple[int, Filling]] = []
+    most_waste = room if most_waste is None else most_waste
+    below = list(itertools.accumulate((n * counts[n] for n in lengths), initial=0))
+
+    def dive(room: int, upto: int, taken: dict[int, int]) -> bool:
+        nodes.open()
+        at = min(upto, bisect.bisect_right(lengths, room))
+        if room - below[at] > most_waste:
+            return False
+        while at:
             at -= 1
-        found.append((left, tuple(sorted(((x, taken.count(x)) for x in set(taken)), reverse=True))))
+            n = lengths[at]
+            for times in range(min(counts[n], room // n), 0, -1):
+                taken[n] = times
+                if dive(room - n * times, at, taken):
+                    return True
+                del taken[n]
+        if room <= most_waste and not dominated(taken, counts, lengths, room):
+            found.append((room, tuple(sorted(taken.items(), reverse=True))))
+            return first_full and not room
+        return False
+
+    try:
+        dive(room, len(lengths), {})
+    except Spent:
+        if not (first_full and found):
+            raise
     found.sort(key=lambda x: (x[0], [(-n, -c) for n, c in x[1]]))
-    return [f for _, f in dict.fromkeys(found)]
+    return [f for _, f in found]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
-    """Pack the lengths into as few bins as the search finds: fillings with the times each is used.
+def greedy_filling(counts: dict[int, int], lengths: list[int], room: int) -> Filling:
+    """The longest that fits, again and again."""
+    taken: dict[int, int] = {}
+    for n in reversed(lengths[: bisect.bisect_right(lengths, room)]):
+        if times := min(counts[n], room // n):
+            taken[n] = times
+            room -= n * times
+    return tuple(sorted(taken.items(), reverse=True))
+
+
+def with_longest(filling: Filling, longest: int) -> dict[int, int]:
+    whole = dict(filling)
+    whole[longest] = whole.get(longest, 0) + 1
+    return whole
+
+
+def wasted(whole: dict[int, int], capacity: int) -> int:
+    return capacity - sum(n * c for n, c in whole.items())
+
+
+def take(left: dict[int, int], lengths: list[int], whole: dict[int, int], times: int) -> None:
+    for n, c in whole.items():
+        left[n] -= c * times
+        if not left[n]:
+            del left[n]
+            lengths.pop(bisect.bisect_left(lengths, n))
+
+
+def dive_bins(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """A packing by first choices: around the longest item left, the best filling that a few nodes find, as often as the counts allow."""
+    left, lengths, made = dict(counts), sorted(counts), []
+    while lengths:
+        longest = lengths[-1]
+        left[longest] -= 1
+        try:
+            rest = fillings(left, lengths, capacity - longest, Nodes(FILL_NODES), first_full=True)[0]
+        except Spent:
+            rest = greedy_filling(left, lengths, capacity - longest)
+        left[longest] += 1
+        whole = with_longest(rest, longest)
+        times = min(left[n] // c for n, c in whole.items())
+        made.append((tuple(sorted(whole.items(), reverse=True)), times))
+        take(left, lengths, whole, times)
+    return made
+
 
-    Depth first: the longest item left opens a bin, its undominated fillings are the branches, least
-    waste first, and a filling is used as often as the counts allow. A branch is left where the waste
-    so far makes the incumbent unbeatable; best-fit decreasing gives the first incumbent. The search
-    ends at the lower bound or after TREE_NODES leaves.
+def complete_bins(counts: dict[int, int], capacity: int, fewest: int, nodes: Nodes) -> tuple[list[Filling] | None, bool]:
+    """A packing of fewer than `fewest` bins, the fewest there is if the second value says so; None if none was found.
+
+    Depth first: the longest item left opens a bin, and its undominated fillings are the branches, least
+    waste first. With fewest - 1 bins there is only so much waste; a branch that wastes more is left,
+    and so is one whose bins and least number of bins for what is left don't beat the incumbent.
+    """
+    total, bound = sum(n * c for n, c in counts.items()), least_bins(counts, capacity)
+    left, best = dict(counts), None
+    path: list[dict[int, int]] = []
+    waste = 0
+
+    def branches() -> Iterator[dict[int, int]]:
+        longest = max(left)
+        left[longest] -= 1
+        try:
+            found = fillings(left, sorted(left), capacity - longest, nodes, (fewest - 1) * capacity - total - waste)
+        finally:
+            left[longest] += 1
+        return iter([with_longest(f, longest) for f in found])
+
+    if bound >= fewest:
+        return None, True
+    try:
+        stack = [branches()]
+        while stack:
+            whole = next(stack[-1], None)
+            if whole is not None and waste + wasted(whole, capacity) <= (fewest - 1) * capacity - total:
+                waste += wasted(whole, capacity)
+                path.append(whole)
+                for n, c in whole.items():
+                    left[n] -= c
+                    if not left[n]:
+                        del left[n]
+                if left and len(path) + least_bins(left, capacity) < fewest:
+                    stack.append(branches())
+                    continue
+                if not left:  # the waste allowed makes these fewer bins
+                    best, fewest = [tuple(sorted(w.items(), reverse=True)) for w in path], len(path)
+                    if fewest == bound:
+                        return best, True
+            elif whole is None:
+                stack.pop()
+                if not path:
+                    break
+            else:
+                continue
+            whole = path.pop()
+            waste -= wasted(whole, capacity)
+            for n, c in whole.items():
+                left[n] = left.get(n, 0) + c
+        return best, True
+    except Spent:
+        return best, False
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Fillings with the times each is used; the bound that no packing can beat; whether these bins are proved to be the fewest."""
+
+    bins: list[tuple[Filling, int]]
+    bound: int
+    proved: bool
+
+    @property
+    def number(self) -> int:
+        return sum(times for _, times in self.bins)
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = SEARCH_NODES) -> Packing:
+    """Pack the lengths into the fewest bins: best fit and a dive are the incumbents, then bins are completed by branch-and-bound.
+
+    Up to SEARCH_BINS bins are searched whole: unless the nodes run out, the result is the optimum. Of
+    more bins, those without waste stay, and as many of the most wasteful others are searched anew; the
+    result is then proved only where it meets the bound. The nodes bound the search, never what is
+    packed.
     """
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
-        return []
+        return Packing([], 0, True)
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("lengths must be from 1 to the capacity")
     bound = least_bins(counts, capacity)
+
+    def number(made: list[tuple[Filling, int]]) -> int:
+        return sum(m for _, m in made)
+
     best = best_fit(counts, capacity)
-    fewest = sum(m for _, m in best)
-    total = sum(n * c for n, c in counts.items())
-    leaves = 0
-
-    def run(left: dict[int, int], made: list[tuple[Filling, int]], bins: int, waste: int, choices: list[int]) -> None:
-        """Follow first choices to a leaf; `choices` says which branch to take in the first steps."""
-        nonlocal best, fewest, leaves
-        lengths, step = sorted(left), 0
-        while lengths:
-            longest = lengths[-1]
-            left[longest] -= 1
-            options = fillings(left, lengths, capacity - longest)
-            left[longest] += 1
-            rest = options[choices[step] if step < len(choices) and choices[step] < len(options) else 0]
-            whole = dict(rest)
-            whole[longest] = whole.get(longest, 0) + 1
-            times = min(left[n] // c for n, c in whole.items())
-            for n, c in whole.items():
-                left[n] -= c * times
-                if not left[n]:
-                    del left[n]
-                    lengths.pop(bisect.bisect_left(lengths, n))
-            made.append((tuple(sorted(whole.items(), reverse=True)), times))
-            bins += times
-            waste += times * (capacity - sum(n * c for n, c in whole.items()))
-            if -(-(total + waste) // capacity) >= fewest:
-                break
-            step += 1
-        leaves += 1
-        if not lengths and bins < fewest:
-            best, fewest = made, bins
-
-    branches: list[list[int]] = [[]]
-    while branches and fewest > bound and leaves < TREE_NODES:
-        choices = branches.pop(0)
-        run(dict(counts), [], 0, 0, choices)
-        if len(choices) < 4:
-            branches += [[*choices, *([0] * extra), 1] for extra in range(2)]
-    return best
+    if number(best) > bound:
+        best = min(best, dive_bins(counts, capacity), key=number)
+    if number(best) == bound:
+        return Packing(best, bound, True)
+    nodes = Nodes(most_nodes)
+    whole = number(best) <= SEARCH_BINS
+    best.sort(key=lambda b: wasted(dict(b[0]), capacity))
+    kept, again = ([], list(best)) if whole else (list(best), [])
+    while not whole and kept and number(again) < SEARCH_BINS:
+        filling, times = kept.pop()
+        some = min(times, SEARCH_BINS - number(again))
+        again.append((filling, some))
+        if some < times:
+            kept.append((filling, times - some))
+    part: dict[int, int] = {}
+    for filling, times in again:
+        for n, c in filling:
+            part[n] = part.get(n, 0) + c * times
+    found, proved = complete_bins(part, capacity, number(again), nodes)
+    if found is not None:
+        best = kept + [(f, 1) for f in found]
+    return Packing(best, bound, number(best) == bound or whole and proved)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
+    """The fillings of `search` with the times each is used."""
+    return search(counts, capacity).bins
 
 
 def slots(packing: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
@@ -311,7 +438,7 @@ def slots(packing: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to materialized pieces (doc_id, piece, length, ids_crc32, ...).
+    """Add sequence_id and offset to materialized pieces (doc_id, piece, length, ids_crc32, ...), and `proved`: whether fewer sequences are impossible.
 
     Ranks come from windows over (length, salt); lengths that many rows share get so many salts that
     no window holds more than about a thousandth of the rows (64 to a million), so neither a hot
@@ -322,14 +449,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(hist.values())
     each = min(max(total // 1024, 64), 1_000_000)
-    salts = F.create_map(*[x for n, c in sorted(hist.items()) for x in (F.lit(n), F.lit(-(-c // each)))]) if hist else F.create_map(F.lit(0), F.lit(1))
+    salts = spark.createDataFrame([(n, -(-c // each)) for n, c in sorted(hist.items())], "of_length long, salts long")  # at most `capacity` rows
     order = ["doc_id", "piece", "ids_crc32"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.element_at(salts, F.col("length"))))
+    salted = pieces.join(F.broadcast(salts), F.col("length") == F.col("of_length")).withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts"))).drop("of_length", "salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order))
     ranked = salted.withColumn("own", own).join(parts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
-    shared = spark.sparkContext.broadcast(slots(bin_completion(hist, capacity)))
+    packing = search(hist, capacity)
+    shared = spark.sparkContext.broadcast(slots(packing.bins))
     columns = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +476,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*columns, "rank").mapInArrow(run, schema)
+    return ranked.select(*columns, "rank").mapInArrow(run, schema).withColumn("proved", F.lit(packing.proved))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, **columns: str) -> DataFrame:
@@ -369,4 +497,4 @@ def default_tokenizer() -> str:
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "proved")

@@ -457,6 +457,48 @@ def test_bin_completion_finds_what_best_fit_misses():
     assert sum(m for _, m in packing.bin_completion(counts, 10)) == 4 and packing.bin_completion({}, 10) == []
 
 
+def fewest_bins(items, capacity):
+    """Exact: for each set of items, the fewest bins and the least used of the last, item by item."""
+    best = [(0, capacity)] * (1 << len(items))
+    best[0] = (0, capacity)
+    for mask in range(1, 1 << len(items)):
+        tries = []
+        for i, n in enumerate(items):
+            if mask >> i & 1:
+                bins, used = best[mask ^ 1 << i]
+                tries.append((bins, used + n) if used + n <= capacity else (bins + 1, n))
+        best[mask] = min(tries)
+    return best[-1][0]
+
+
+def test_packing_is_the_optimum():
+    rng = np.random.default_rng(11)
+    cases = [(50, [9, 10, 10, 11, 12, 14, 19, 19, 21, 22, 26, 27])]
+    for i in range(2000):
+        items = int(rng.integers(6, 11)) if i % 50 else int(rng.integers(11, 15))
+        capacity = int(rng.integers(20, 120))
+        cases.append((capacity, rng.integers(1, max(2, int(capacity * rng.choice([0.4, 0.6, 1.0]))) + 1, items).tolist()))
+    for capacity, items in cases:
+        found = packing.search(Counter(items), capacity)
+        assert found.proved and found.number == fewest_bins(items, capacity), (capacity, items)
+        used = Counter()
+        for filling, times in found.bins:
+            assert sum(n * c for n, c in filling) <= capacity
+            for n, c in filling:
+                used[n] += c * times
+        assert used == Counter(items)
+
+
+def test_packing_of_many_bins_and_few_nodes():
+    rng = np.random.default_rng(4)
+    counts = {int(n): int(c) for n, c in zip(rng.choice(np.arange(900, 4097), 300, replace=False), rng.integers(1, 1000, 300), strict=True)}
+    found = packing.search(counts)
+    assert found.bound <= found.number <= sum(m for _, m in packing.best_fit(counts, 4096))
+    assert found.proved == (found.number == found.bound)
+    few = packing.search({40: 1, 33: 5, 21: 7, 17: 9, 13: 4, 12: 11}, 100, most_nodes=3)
+    assert few.proved == (few.number == few.bound) and sum(sum(c for _, c in f) * m for f, m in few.bins) == 37
+
+
 def test_packing_query_fills_its_sequences(spark):
     rows = packing.op7_query(spark, "/root/testdata/sf0.01").collect()
     assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
