@@ -6,12 +6,12 @@ one anchor make a segment. Segments with one anchor meet in one bucket, whose en
 scanned with a stack for intervals of a common prefix; those whose left extensions differ are the
 maximal repeats, and each comes with all its occurrences. Texts stay where they are read: only anchors
 and repeated segments move, and what a chunk of documents needs to know comes back to it as a file in
-the shared folder.
+the shared folder. Segments are told apart by a hash only where their bytes have been compared: should
+two with one hash differ, all is hashed anew.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SideTable, small_batches, stored_bytes, table
-from .shared import chunk_of, mix, on_files, shared_among, slot_of, write_shared
+from .common import SideTable, small_batches, table
+from .shared import Dealing, chunk_of, dealing, grouped, mix, on_files, parts_in, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Bytes of a string that counts, and of an anchor.
@@ -87,33 +87,36 @@ class Chunk:
         return np.where(inside, self.bytes[np.minimum(at, max(len(self.bytes) - 1, 0))], 0).astype(np.uint8), n
 
 
-def row_hash(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+def row_hash(rows: np.ndarray, n: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each row of a byte matrix (a multiple of 8 wide), with its length."""
     words = np.ascontiguousarray(rows).view("<u8")
-    h = n.astype(U)
+    h = mix(n.astype(U) + U(seed))
     for j in range(words.shape[1]):
         h = mix(h * U(0x9E3779B97F4A7C15) + words[:, j])
     return h
 
 
-def chunks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[int], list[bytes]]]:
-    """(chunk, slot, ids as they are, ids for comparison, texts) of batches in which a chunk's rows lie together."""
-    now, held = None, ([], [], [])
-    for batch in batches:
-        for chunk, slot, i, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "slot", "doc_id")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if (chunk, slot) != now:
-                if now is not None:
-                    yield *now, *held
-                now, held = (chunk, slot), ([], [], [])
-            held[0].append(i)
-            held[1].append(LAST if i is None else i)
-            held[2].append(text or b"")
-    if now is not None:
-        yield *now, *held
+def documents_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[int], list[bytes]]]:
+    """(chunk, slot, ids as they are, ids for comparison, texts) of a part of a chunk."""
+    for chunk, slot, (ids, texts) in parts_in(batches):
+        yield chunk, slot, ids, [LAST if i is None else i for i in ids], [t or b"" for t in texts]
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(5, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def widened(data: bytes) -> bytes:
+    return pa.decompress(data[5:], decompressed_size=int.from_bytes(data[:5], "little"), codec="zstd", asbytes=True)
 
 
 def suffix_intervals(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats of `least` bytes or more in the rows of a byte matrix, with all occurrences: (row, start, length, least doc) of each.
+    """(row, start, length, least doc) of `suffix_groups`."""
+    return suffix_groups(rows, n, doc, least)[:4]
+
+
+def suffix_groups(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats of `least` bytes or more in the rows of a byte matrix, with all occurrences: (row, start, length, least doc, number of the repeat) of each.
 
     Suffixes with at least that many bytes are sorted, and the common prefixes of neighbours found. A
     stack goes over them; as an interval of a common prefix closes, its occurrences' left bytes are
@@ -156,154 +159,236 @@ def suffix_intervals(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, least: in
             raise AssertionError("an interval is left open")
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     lead, end, depth, low = (np.array(x, np.int64) for x in zip(*out, strict=True))
     size = end - lead
     which = np.repeat(lead, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return row[which], start[which], np.repeat(depth, size), np.repeat(low, size)
+    return row[which], start[which], np.repeat(depth, size), np.repeat(low, size), np.repeat(np.arange(len(lead)), size)
+
 
+#: What a chunk learns of a segment: its hash, the least document of a repeat in it, where that begins and ends, and which repeat it is.
+STRETCH = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "u1"), ("end", "u1")])
+MEMBER = np.dtype([*STRETCH.descr, ("group", "<i8")])
 
-def removable(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, least doc) of stretches of distinct segments whose windows occur in that document first.
 
-    doc is the least document of each segment. A group (an anchor) with one segment alone needs no
-    suffix array: the whole segment occurs in its documents.
+def repeats_in(rows: np.ndarray, n: np.ndarray, doc: np.ndarray, many: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, least doc, group) of the maximal repeats in distinct segments; doc is each one's least document, many whether it has several.
+
+    A segment of several documents is a repeat of its own, a leaf of the suffix tree with both ends open,
+    unless it lies in others of its anchor: then it is an interval. Where an anchor has one segment,
+    that leaf is its whole interval tree, so no array is built.
     """
-    _, place, count = np.unique(group, return_inverse=True, return_counts=True)
-    alone = np.flatnonzero(count[place] == 1)
+    _, place, count = np.unique(anchor, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(count[place] > 1)
-    parts = [(alone, np.zeros(len(alone), np.int64), n[alone], doc[alone])]
-    # a mixed segment occurs as a whole in its own documents, and in part in others'
-    parts.append((mixed, np.zeros(len(mixed), np.int64), n[mixed], doc[mixed]))
-    if len(mixed):
-        order = mixed[np.argsort(group[mixed], kind="stable")]
-        step = 8192
-        cuts = [0]
-        while cuts[-1] < len(order):  # anchors stay together
-            end = min(cuts[-1] + step, len(order))
-            while end < len(order) and group[order[end]] == group[order[end - 1]]:
-                end += 1
-            cuts.append(end)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
-            r, s, length, low = suffix_intervals(rows[own], n[own], doc[own])
-            useful = low < doc[own][r]
-            # documents of the segment other than its least may also come after `low`, which the segment's own entry covers
-            parts.append((own[r][useful], s[useful], (s + length)[useful], low[useful]))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, spans, kept of every row: maximal runs of removed bytes (start, end), and the other bytes in a row.
+    order = mixed[np.argsort(anchor[mixed], kind="stable")]
+    leaf = many.copy()
+    parts, groups, begin = [], 0, 0
+    while begin < len(order):  # anchors stay together
+        end = min(begin + 8192, len(order))
+        while end < len(order) and anchor[order[end]] == anchor[order[end - 1]]:
+            end += 1
+        own = order[begin:end]
+        r, s, length, low, group = suffix_groups(rows[own], n[own], doc[own])
+        leaf[own[r[(s == 0) & (length == n[own][r])]]] = False
+        parts.append((own[r], s, s + length, low, groups + group))
+        groups += int(group[-1]) + 1 if len(group) else 0
+        begin = end
+    leaves = np.flatnonzero(leaf)
+    parts.append((leaves, np.zeros(len(leaves), np.int64), n[leaves], doc[leaves], groups + np.arange(len(leaves))))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
+
+
+class Learned:
+    """Repeated segments of a stored table, and what each chunk learned of its own, as files in the shared folder."""
+
+    def __init__(self, rows: DataFrame, deal: Dealing, members: bool) -> None:
+        """With members, chunks learn of every repeat that their segments are in; else, of those that an earlier document has."""
+        self.deal, self.kind = deal, MEMBER if members else STRETCH
+        self.known = write_shared(rows, anchors_of, deal.buckets, deal.slots, "anchors")
+        self.seed = 0
+        while True:
+            sent = rows.mapInArrow(self.send(), "bucket long, chunk long, slot long, anchors binary, docs binary, lengths binary, data binary")
+            self.side = SideTable.write(grouped(sent, deal.tasks).applyInArrow(self.answer(), "slot long, chunk long, bucket long, data binary"), "stretches", deal.slots)
+            if rows.sparkSession.read.schema("slot long").parquet(self.side.path).where("slot < 0").isEmpty():
+                break
+            self.seed += 1
+
+    def candidates(self, c: Chunk, chunk: int, slot: int) -> np.ndarray:
+        """The chunk's segments whose anchors several documents have."""
+        return shared_among(self.known, slot, chunk, c.anchor, self.deal.buckets)[0]
+
+    def send(self):
+        deal, seed, candidates = self.deal, self.seed, self.candidates
+
+        def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Distinct repeated segments of a part of a chunk with their least document, by bucket; a second document too, where there is one."""
+            for chunk, slot, _, ids, texts in documents_in(batches):
+                c = Chunk(ids, texts)
+                some = candidates(c, chunk, slot)
+                if not len(some):
+                    continue
+                data, n = c.where(some)
+                key, doc, anchor = row_hash(data, n, seed), np.array(ids, np.int64)[c.row[some]], c.anchor[some]
+                order = np.lexsort((doc, key, anchor % U(deal.buckets)))
+                new = starts_of(order, anchor, key, data, n)
+                # of equal segments the least document, and the last if it is another: enough to tell whether there are several
+                first = order[new | (np.append(new[1:], True) & (doc[order] != first_of_run(doc[order], new)))]
+                bucket = (anchor[first] % U(deal.buckets)).astype(np.int64)
+                cut = np.searchsorted(bucket, np.arange(deal.buckets + 1))
+                out = []
+                for b in np.flatnonzero(cut[1:] > cut[:-1]):
+                    own = first[cut[b] : cut[b + 1]]
+                    inside = np.arange(data.shape[1]) < n[own][:, None]
+                    out.append((b, chunk, slot, anchor[own].tobytes(), squeezed(doc[own].astype(np.int64).tobytes()), n[own].astype(np.uint8).tobytes(), squeezed(data[own][inside].tobytes())))
+                kinds = (pa.int64(),) * 3 + (pa.binary(),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "slot", "anchors", "docs", "lengths", "data"])
+
+        return segments
+
+    def answer(self):
+        seed, kind = self.seed, self.kind
+
+        def stretches(group: pa.Table) -> pa.Table:
+            """For each chunk that sent them, the repeats that its segments are in."""
+            anchor = [np.frombuffer(x, U) for x in group.column("anchors").to_pylist()]
+            doc = np.concatenate([np.frombuffer(widened(x), np.int64) for x in group.column("docs").to_pylist()])
+            n = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("lengths").to_pylist()]).astype(np.int64)
+            flat = np.frombuffer(b"".join(map(widened, group.column("data").to_pylist())), np.uint8)
+            wide = 2 * LENGTH - ANCHOR
+            data = np.zeros((len(n), wide), np.uint8)
+            data[np.arange(wide) < n[:, None]] = flat
+            sizes = [len(a) for a in anchor]
+            anchor = np.concatenate(anchor)
+            key = row_hash(data, n, seed)
+            order = np.lexsort((doc, key, anchor))
+            new = starts_of(order, anchor, key, data, n)
+            names = ["slot", "chunk", "bucket", "data"]
+            if (new & np.append(False, key[order][1:] == key[order][:-1]) & np.append(False, anchor[order][1:] == anchor[order][:-1])).any():
+                return pa.Table.from_pydict({"slot": [-1], "chunk": [0], "bucket": [0], "data": [b""]})  # two segments met in 64 bits
+            which = np.empty(len(n), np.int64)
+            which[order] = np.cumsum(new) - 1
+            first = order[new]
+            many = np.add.reduceat((doc[order] != doc[first][which[order]]).astype(np.int64), np.flatnonzero(new)) > 0
+            row, start, end, low, number = repeats_in(data[first], n[first], doc[first], many, anchor[first])
+            by = np.lexsort((low, row))
+            row, start, end, low, number = row[by], start[by], end[by], low[by], number[by]
+            cut = np.searchsorted(row, np.arange(len(first) + 1))
+            latest = np.full(len(first), np.iinfo(np.int64).min)
+            np.maximum.at(latest, which, doc)
+            begin, out = 0, []
+            for slot, chunk, bucket, size_ in zip(*(group.column(c).to_pylist() for c in ("slot", "chunk", "bucket")), sizes, strict=True):
+                mine = np.unique(which[begin : begin + size_])
+                begin += size_
+                count = cut[mine + 1] - cut[mine]
+                at = np.repeat(cut[mine], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                own = np.repeat(mine, count)
+                if kind is STRETCH:  # only what some document of the segment comes after
+                    late = low[at] < latest[own]
+                    at, own = at[late], own[late]
+                made = np.empty(len(at), kind)
+                made["key"], made["doc"], made["start"], made["end"] = key[first][own], low[at], start[at], end[at]
+                if kind is MEMBER:
+                    made["group"] = number[at] + (bucket << 40)
+                out.append((slot, chunk, bucket, squeezed(made.tobytes())))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        return stretches
+
+    def members(self, c: Chunk, chunk: int, slot: int) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's segments in repeats, and what is known of each: one entry for each segment and repeat."""
+        some = self.candidates(c, chunk, slot)
+        if not len(some):
+            return some, np.empty(0, self.kind)
+        raw = b"".join(map(widened, self.side.rows(slot, chunk).column("data").to_pylist()))
+        have = np.unique(np.frombuffer(raw, self.kind))
+        keys = np.ascontiguousarray(have["key"])
+        data, n = c.where(some)
+        key = row_hash(data, n, self.seed)
+        lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+        count = hi - lo
+        which = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(some, count), have[which]
+
+
+def first_of_run(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each place, the value where its run begins."""
+    return values[new][np.cumsum(new) - 1]
+
+
+def starts_of(order: np.ndarray, anchor: np.ndarray, key: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where, in this order, another segment begins: another anchor, hash, or, byte by byte, content."""
+    a, k, d, m = anchor[order], key[order], data[order], n[order]
+    return np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (d[1:] != d[:-1]).any(axis=1)])
+
+
+def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The anchors of each chunk, and whose they are."""
+    for chunk, slot, _, ids, texts in documents_in(batches):
+        c = Chunk(ids, texts)
+        yield chunk, slot, c.anchor, np.array(ids, np.int64)[c.row]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dealing]:
+    small_batches(docs.sparkSession, 1024)
+    docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    deal = dealing(docs)
+    rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", deal.slots))
+    return rows.select("chunk", "slot", "doc_id", "text"), deal
 
-    A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are
-    judged on the input. A null text is empty; texts under 50 bytes keep all. A null doc_id counts as
-    larger than any other; rows with one id never remove from each other, so repeated rows are treated
-    alike. doc_id must be a whole number. Other columns of docs don't take part.
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of 50 bytes or more with all their occurrences: repeat (a number), doc_id, start, length, first_doc.
+
+    Repeats are maximal within segments, the up to 80 bytes whose windows name one anchor; a longer copy
+    is a chain of repeats that overlap. Every occurrence is given, in the smallest document, first_doc,
+    too; but in a text that repeats itself within 20 bytes, runs of one anchor are cut, and occurrences
+    that lie across a cut come in two parts. A repeat has occurrences in two documents, or two in one whose segment others share.
+    Null and short texts have none; a null doc_id counts as the largest (first_doc is null where no
+    other has it). Rows with one id are one document.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1024)
     kind = docs.schema[id_col].dataType.simpleString()
-    docs, named = on_files(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = stored_bytes(docs)
-    chunk_rows = 1024 << min(5, max(0, math.ceil(math.log2(max(size, 1) / (64 << 30)) / 2)))
-    buckets = min(max(-(-size // bucket_bytes), 32), 4 * chunk_rows)
-    slots = buckets
-    rows = docs.select(*named, chunk_of(chunk_rows).alias("chunk")).withColumn("slot", slot_of("chunk", slots))
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """The anchors of each chunk, and whose they are."""
-        for chunk, slot, _, ids, texts in chunks_in(batches):
+    rows, deal = _rows(docs, id_col, text_col)
+    learned = Learned(rows, deal, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, slot, shown, ids, texts in documents_in(batches):
             c = Chunk(ids, texts)
-            yield chunk, slot, c.anchor, np.array(ids, np.int64)[c.row]
+            segment, known = learned.members(c, chunk, slot)
+            row, start = c.row[segment], c.first[segment] + known["start"]
+            length = known["end"].astype(np.int64) - known["start"]
+            first = pa.array(known["doc"], mask=known["doc"] == LAST).cast(arrow_id)
+            found = np.unique(np.stack([known["group"], row, start, length, np.arange(len(row))])[:4], axis=1, return_index=True)[1] if len(row) else np.zeros(0, np.int64)
+            made = [pa.array(known["group"][found]), pa.array(shown, arrow_id).take(pa.array(row[found])), pa.array(start[found].astype(np.int64)), pa.array(length[found]), first.take(pa.array(found))]
+            yield pa.RecordBatch.from_arrays(made, names=["repeat", "doc_id", "start", "length", "first_doc"])
 
-    known = write_shared(rows, anchors, buckets, slots, "anchors")
+    arrow_id = pa.int32() if kind == "int" else pa.int64()
+    return rows.mapInArrow(run, f"repeat long, doc_id {kind}, start long, length long, first_doc {kind}")
 
-    def candidates(c: Chunk, chunk: int, slot: int, side: SideTable) -> np.ndarray:
-        """The chunk's segments whose anchors several documents have."""
-        return shared_among(side, slot, chunk, c.anchor, buckets)[0]
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct repeated segments of each chunk with their least document, by bucket."""
-        for chunk, slot, _, ids, texts in chunks_in(batches):
-            c = Chunk(ids, texts)
-            some = candidates(c, chunk, slot, known)
-            if not len(some):
-                continue
-            data, n = c.where(some)
-            key, doc, anchor = row_hash(data, n), np.array(ids, np.int64)[c.row[some]], c.anchor[some]
-            order = np.lexsort((doc, key, anchor % U(buckets)))
-            first = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])])]
-            bucket = (anchor[first] % U(buckets)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(cut[1:] > cut[:-1]):
-                own = first[cut[b] : cut[b + 1]]
-                inside = np.arange(data.shape[1]) < n[own][:, None]
-                out.append((b, chunk, slot, anchor[own].tobytes(), doc[own].astype(np.int64).tobytes(), n[own].astype(np.uint8).tobytes(), data[own][inside].tobytes()))
-            kinds = (pa.int64(),) * 3 + (pa.binary(),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "chunk", "slot", "anchors", "docs", "lengths", "data"])
-
-    def stretches(group: pa.Table) -> pa.Table:
-        """For each chunk that sent them, which stretches of its segments are in which document first."""
-        anchor = [np.frombuffer(x, U) for x in group.column("anchors").to_pylist()]
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("docs").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("lengths").to_pylist()]).astype(np.int64)
-        flat = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint8)
-        wide = 2 * LENGTH - ANCHOR
-        data = np.zeros((len(n), wide), np.uint8)
-        data[np.arange(wide) < n[:, None]] = flat
-        sizes = [len(a) for a in anchor]
-        anchor = np.concatenate(anchor)
-        key = row_hash(data, n)
-        order = np.lexsort((doc, key, anchor))
-        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])])
-        kind = np.empty(len(n), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        first = order[new]
-        row, start, end, low = removable(data[first], n[first], doc[first], anchor[first])
-        by = np.lexsort((low, row))
-        row, start, end, low = row[by], start[by], end[by], low[by]
-        cut = np.searchsorted(row, np.arange(len(first) + 1))
-        slots_, chunks_, out = group.column("slot").to_pylist(), group.column("chunk").to_pylist(), []
-        begin = 0
-        for slot, chunk, size_ in zip(slots_, chunks_, sizes, strict=True):
-            mine = np.arange(begin, begin + size_)
-            begin += size_
-            k = kind[mine]
-            count = cut[k + 1] - cut[k]
-            which = np.repeat(cut[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            made = np.empty(len(which), [("key", "<u8"), ("doc", "<i8"), ("start", "u1"), ("end", "u1")])
-            made["key"], made["doc"], made["start"], made["end"] = np.repeat(key[mine], count), low[which], start[which], end[which]
-            out.append((slot, chunk, 0, made.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slot", "chunk", "bucket", "data"])
-
-    sent = rows.mapInArrow(segments, "bucket long, chunk long, slot long, anchors binary, docs binary, lengths binary, data binary")
-    answers = SideTable.write(sent.groupBy("bucket").applyInArrow(stretches, "slot long, chunk long, bucket long, data binary"), "stretches", slots)
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, spans, kept of every row: maximal runs of removed bytes (start, end), and the other bytes in a row.
+
+    A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are
+    judged on the input. A null text is empty; texts under 50 bytes keep all; a very long text is worked
+    on by itself. A null doc_id counts as larger than any other; rows with one id never remove from each
+    other, so repeated rows are treated alike. doc_id must be a whole number. Other columns of docs
+    don't take part.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows, deal = _rows(docs, id_col, text_col)
+    learned = Learned(rows, deal, False)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, slot, shown, ids, texts in chunks_in(batches):
+        for chunk, slot, shown, ids, texts in documents_in(batches):
             c = Chunk(ids, texts)
-            some = candidates(c, chunk, slot, known)
             gone = np.zeros(len(c.bytes) + 1, np.int32)
-            if len(some):
-                said = answers.rows(slot, chunk)
-                raw = b"".join(said.column("data").to_pylist())
-                have = np.frombuffer(raw, [("key", "<u8"), ("doc", "<i8"), ("start", "u1"), ("end", "u1")])
-                have = have[np.argsort(have["key"], kind="stable")]
-                keys = np.ascontiguousarray(have["key"])
-                data, n = c.where(some)
-                key = row_hash(data, n)
-                lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                count = hi - lo
-                which = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                seg = np.repeat(some, count)
-                late = have["doc"][which] < np.array(ids, np.int64)[c.row[seg]]
-                which, seg = which[late], seg[late]
-                at = c.base[c.row[seg]] + c.first[seg]
-                np.add.at(gone, at + have["start"][which], 1)
-                np.add.at(gone, at + have["end"][which], -1)
+            segment, known = learned.members(c, chunk, slot)
+            late = known["doc"] < np.array(ids, np.int64)[c.row[segment]]
+            segment, known = segment[late], known[late]
+            at = c.base[c.row[segment]] + c.first[segment]
+            np.add.at(gone, at + known["start"], 1)
+            np.add.at(gone, at + known["end"], -1)
             removed = np.cumsum(gone[:-1]) > 0
             spans, kept = [], []
             for i, text in enumerate(texts):
@@ -312,9 +397,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
                 kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if len(edge) else text)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(shown, schema_id), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(shown, arrow_id), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    schema_id = pa.int32() if kind == "int" else pa.int64()
+    arrow_id = pa.int32() if kind == "int" else pa.int64()
     return rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 

@@ -728,6 +728,51 @@ def test_maximal_repeats_with_all_occurrences():
     assert (b"bca", 3) not in found and (b"bc", 3) not in found
 
 
+def repeat_rows(spark):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh "), 600))
+    rows = [(i, "".join(rng.choice(list("xyzw "), int(rng.integers(10, 90)))) + base[s : s + int(rng.integers(40, 160))]) for i, s in enumerate(rng.integers(0, 500, 60))]
+    return [*rows, (60, base), (61, base), (61, base), (None, base[:100]), (62, None), (63, "")]
+
+
+def test_repeat_groups_against_all_strings(spark):
+    rows = repeat_rows(spark)
+    got = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {}
+    for k, t in rows:
+        texts.setdefault(k, []).append((t or "").encode())
+    where = {}
+    for k, ts in texts.items():
+        for b in ts[:1]:
+            for s in range(len(b) - 49):
+                where.setdefault(b[s : s + 50], set()).add((k, s))
+    groups = {}
+    for r in got:
+        content = texts[r.doc_id][0][r.start : r.start + r.length]
+        assert len(content) == r.length >= 50
+        groups.setdefault(r.repeat, set()).add((content, r.doc_id, r.start, r.first_doc))
+    covered = set()
+    for found in groups.values():
+        assert len({c for c, *_ in found}) == 1
+        (content,) = {c for c, *_ in found}
+        every = {(k, s) for k, ts in texts.items() for s in range(len(ts[0]) - len(content) + 1) if ts[0][s : s + len(content)] == content}
+        assert {(k, s) for _, k, s, _ in found} == every, "all occurrences"
+        ids = [k for k, _ in every if k is not None]
+        assert {f for *_, f in found} == {min(ids)}
+        for k, s in every:
+            covered |= {(k, i) for i in range(s, s + len(content) - 49)}
+    wanted = {p for at in where.values() if len({k for k, _ in at}) > 1 for p in at}
+    assert wanted <= covered
+
+
+def test_segments_that_meet_in_one_hash_are_hashed_anew(spark, monkeypatch):
+    rows = repeat_rows(spark)
+    real = repeats.row_hash
+    monkeypatch.setattr(repeats, "row_hash", lambda data, n, seed=0: real(data, n, seed) if seed else (real(data, n) & np.uint64(3)))
+    got = repeats.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows)
+
+
 def test_repeats_of_odd_documents(spark, odd):
     rows = [(r[0], r[1]) for r in ODD]
     short = [(k, t) for k, t in rows if t != LONG]
