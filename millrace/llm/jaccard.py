@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, stored_bytes, table
+from .common import broadcast_if_small, materialize, small_batches, table
 from .components import connected_components
-from .shared import chunk_of, mix, on_files, shared_among, slot_of, write_shared
+from .shared import chunk_of, dealing, mix, on_files, packed, parts_in, shared_among, slot_of, unpacked, write_shared
 
 U = np.uint64
 #: Members of a group.
@@ -105,18 +105,9 @@ def class_key(shingles: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list, list]]:
-    """(chunk, slot, ids, hashes, texts) of batches in which a chunk's rows lie together."""
-    now, held = None, ([], [], [])
-    for batch in batches:
-        for chunk, slot, i, of, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "slot", "doc_id", "of")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if (chunk, slot) != now:
-                if now is not None:
-                    yield *now, *held
-                now, held = (chunk, slot), ([], [], [])
-            for store, x in zip(held, (i, of, text), strict=True):
-                store.append(x)
-    if now is not None:
-        yield *now, *held
+    """(chunk, slot, ids, hashes, texts) of a part of a chunk."""
+    for chunk, slot, (ids, of, texts) in parts_in(batches):
+        yield chunk, slot, ids, of, texts
 
 
 def classify(rows: DataFrame, words: int, least: int, seed: int, buckets: int) -> DataFrame:
@@ -159,8 +150,9 @@ def classify(rows: DataFrame, words: int, least: int, seed: int, buckets: int) -
 
 def repeated_signs(known: DataFrame) -> DataFrame:
     """sign, cls: distinct within a chunk of the classified rows, for signatures that two classes have, or few more. Those of one class alone never become rows."""
-    slots = buckets = min(max(-(-stored_bytes(known) // (4 << 20)), 32), 1 << 14)
-    rows = known.where("size(signs) > 0").select("cls", "signs", chunk_of(4096).alias("chunk")).withColumn("slot", slot_of("chunk", slots))
+    deal = dealing(known)
+    buckets = slots = deal.buckets
+    rows = known.where("size(signs) > 0").select("cls", "signs", chunk_of(max(deal.rows, 4096)).alias("chunk")).withColumn("slot", slot_of("chunk", slots))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -240,17 +232,80 @@ class Group:
         return self.classes[100 * both >= least * (len(own) + self.lengths - both)]
 
 
-def open_groups(queries: DataFrame, members: DataFrame, words: int, least: int) -> DataFrame:
-    """Links (a, b) between queries (fam, block, salt, cls, star, text) and the members (same columns) of the groups they may qualify for.
+def shingle_prints(texts: DataFrame, words: int) -> DataFrame:
+    """cls, prints from (cls, text): the upper halves of the shingles' hashes, in rising order and packed. Two shingles with one half count as two that overlap, so a bound made of them never falls short."""
 
-    A query overlaps with what it links to in `least` percent of its own shingles, and so with the
-    group's union; groups where it doesn't are not opened. A group that many queries ask is dealt over
-    salts. All links are found; of those, each place gives out the ones that join stars which were
-    apart there, which keeps the components and not a row for each pair.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for batch in batches:
+            sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
+            prints = [(s >> U(32)).astype(np.uint32) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([packed(p, np.zeros(len(p), np.uint8)) for p in prints], pa.binary())], names=["cls", "prints"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, prints binary")
+
+
+def token_unions(groups: DataFrame, prints: DataFrame) -> DataFrame:
+    """The token-group matrix: fam, block, tokens (the union of the members' prints, packed), from groups (cls, fam, block) of at most about GROUP members."""
+
+    def run(group: pa.Table) -> pa.Table:
+        every = np.unique(np.concatenate([unpacked(p, np.uint32, np.uint8)[0] for p in group.column("prints").to_pylist()]))
+        return pa.Table.from_arrays([group.column("fam")[:1], group.column("block")[:1], pa.array([packed(every, np.zeros(len(every), np.uint8))], pa.binary())], names=["fam", "block", "tokens"])
+
+    held = groups.join(prints, "cls").select("fam", "block", "prints")
+    return held.groupBy("fam", "block").applyInArrow(run, "fam long, block int, tokens binary")
+
+
+def salted(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked (query, star, fam, block) with a salt, and each group's number of salts, so that a group which very many ask is dealt over tasks."""
+    salts = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("salts")), "salts")
+    return asked.join(broadcast_if_small(salts), ["fam", "block"]).withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int")).drop("salts"), salts
+
+
+def over_salts(rows: DataFrame, salts: DataFrame) -> DataFrame:
+    return rows.join(broadcast_if_small(salts), ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+KEY = ["fam", "block", "salt"]
+
+
+def qualifying(asked: DataFrame, prints: DataFrame, unions: DataFrame, least: int) -> DataFrame:
+    """Of asked (query, star, fam, block), the rows whose query overlaps with the group's union in `least` percent of its own shingles: without, no member can link. No text moves."""
+    queries, salts = salted(asked)
+    queries = queries.join(prints.withColumnRenamed("cls", "query"), "query").select(*KEY, F.lit(1).alias("ord"), "query", "star", "prints")
+    rows = over_salts(unions, salts).select(*KEY, F.lit(0).alias("ord"), F.lit(0).cast("long").alias("query"), F.lit(0).cast("long").alias("star"), F.col("tokens").alias("prints")).union(queries)
+    dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = np.zeros(0, np.uint32)
+        for batch in batches:
+            keep = []
+            for i, (order, data) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("prints").to_pylist(), strict=True)):
+                own = unpacked(data, np.uint32, np.uint8)[0]
+                if not order:
+                    union = own
+                    continue
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                if 100 * int((union[at] == own).sum()) >= least * len(own):
+                    keep.append(i)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(c) for c in ("query", "star", "fam", "block")], names=["query", "star", "fam", "block"])
+
+    return dealt.mapInArrow(run, "query long, star long, fam long, block int")
+
+
+def open_groups(asked: DataFrame, groups: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
+    """Links (a, b) between the queries of asked (query, star, fam, block), which qualify, and members (cls, star, fam, block) of their groups.
+
+    A group that many queries ask is dealt over salts. All links are found; of those, each place gives
+    out the ones that join stars which were apart there, which keeps the components and not a row for
+    each pair.
     """
-    key = ["fam", "block", "salt"]
-    rows = members.withColumn("ord", F.lit(0)).unionByName(queries.withColumn("ord", F.lit(1)))
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "ord").select(*key, "ord", "cls", "star", "text")
+    queries, salts = salted(asked)
+    queries = queries.select(*KEY, F.lit(1).alias("ord"), F.col("query").alias("cls"), "star")
+    members = over_salts(groups, salts).select(*KEY, F.lit(0).alias("ord"), "cls", "star")
+    rows = members.union(queries).join(texts, "cls")
+    dealt = rows.repartition(*KEY).sortWithinPartitions(*KEY, "ord").select(*KEY, "ord", "cls", "star", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, now = Shingler(words), None
@@ -266,7 +321,7 @@ def open_groups(queries: DataFrame, members: DataFrame, words: int, least: int)
 
         for batch in batches:
             a, b = [], []
-            keys, order, cls = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True)), batch.column("ord").to_pylist(), batch.column("cls").to_pylist()
+            keys, order, cls = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)), batch.column("ord").to_pylist(), batch.column("cls").to_pylist()
             star = batch.column("star").to_pylist()
             sets = shingle.many(batch.column("text").cast(pa.binary()).to_pylist())
             for i, own in enumerate(sets):
@@ -291,6 +346,36 @@ def open_groups(queries: DataFrame, members: DataFrame, words: int, least: int)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def joined_groups(asking: DataFrame, groups: DataFrame, texts: DataFrame, links: DataFrame, found: DataFrame, words: int, least: int) -> DataFrame:
+    """Components (node, component) with the links through groups: asking (query, fam, blocks), groups (cls, fam, block), links and the components they make so far.
+
+    In the first round a query asks one group of a family, in the next three more, then twelve; who asks
+    which first is dealt by hash. Groups all of whose members are in the query's component by then
+    aren't asked. The rounds go on until every query has asked every group but those, so no link that
+    joins components is lost.
+    """
+    prints = materialize(shingle_prints(texts.join(groups.select("cls").union(asking.select(F.col("query").alias("cls"))).distinct(), "cls"), words), "prints")
+    unions = materialize(token_unions(groups, prints), "unions")
+    most = asking.agg(F.max("blocks")).first()[0]
+    first, end = 0, 1
+    while first < most:
+        star = found.select(F.col("node").alias("cls"), "component")
+        held = materialize(groups.join(star, "cls", "left").select("cls", "fam", "block", F.coalesce("component", "cls").alias("star")), "held")
+        sides = held.groupBy("fam", "block").agg(F.min("star").alias("one"), F.max("star").alias("two"))
+        turns = asking.where(F.col("blocks") > first).withColumn("turn", F.explode(F.sequence(F.lit(first), F.least(F.lit(end), F.col("blocks")) - 1)))
+        turns = turns.select("query", "fam", F.pmod(F.xxhash64("query", "fam") + F.col("turn"), F.col("blocks")).cast("int").alias("block"))
+        own = turns.join(star.withColumnRenamed("cls", "query"), "query", "left").withColumn("star", F.coalesce("component", "query"))
+        asked = own.join(sides, ["fam", "block"]).where("one <> two or one <> star").select("query", "star", "fam", "block")
+        now = materialize(qualifying(materialize(asked, "asked"), prints, unions, least), "qualifying")
+        if not now.isEmpty():
+            opened = materialize(open_groups(now, held, texts, words, least), "opened")
+            if not opened.isEmpty():
+                links = materialize(links.union(opened), "links")
+                found = materialize(connected_components(links), "components")
+        first, end = end, 4 * end
+    return found
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, of, n_shingles, component_id of every row: the smallest doc_id reachable by links of Jaccard >= least / 100.
 
@@ -304,8 +389,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     small_batches(spark, 1000)
     named = [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")]
     docs, named = on_files(docs, *named)
-    buckets = min(max(-(-stored_bytes(docs) // (4 << 20)), 32), 1 << 14)
-    rows = docs.select(*named, chunk_of(1024).alias("chunk")).withColumn("slot", slot_of("chunk", buckets))
+    deal = dealing(docs)
+    buckets = deal.buckets
+    rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", buckets)).select("chunk", "slot", "doc_id", "of", "text")
     seed = 0
     while True:
         known = materialize(classify(rows, words, least, seed, buckets), "classes")
@@ -334,16 +420,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     rest = materialize(placed.join(broadcast_if_small(torn), "sign").join(family, "cls", "left").select("sign", "cls", "star", F.coalesce("hub", "cls").alias("fam")), "rest")
     held = rest.select("cls", "fam", "star").distinct()
     blocks = materialize(held.groupBy("fam").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "blocks")
-    grouped = materialize(held.join(blocks, "fam").select("cls", "fam", "star", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "groups")
+    placed_in = held.join(broadcast_if_small(blocks), "fam")
+    groups = materialize(placed_in.select("cls", "fam", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "groups")
     lowest = materialize(rest.groupBy("sign", "fam").agg(F.min("star").alias("low")), "lowest")
-    asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "star", "fam").distinct()
-    asked = materialize(asking.join(grouped.select("fam", "block").distinct(), "fam"), "asked")
-    per_group = materialize(asked.groupBy("fam", "block").agg(F.ceil(F.count("*") / (2 * GROUP)).cast("int").alias("salts")), "salts")
-    queries = asked.join(per_group, ["fam", "block"]).select("fam", "block", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int").alias("salt"), F.col("query").alias("cls"), "star").join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
-    holders = grouped.join(per_group, ["fam", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts, "cls").select("fam", "block", "salt", "cls", "star", "text")
+    asking = rest.select("sign", F.col("cls").alias("query"), "star").join(lowest, "sign").where("low < star").select("query", "fam").distinct()
+    asking = materialize(asking.join(broadcast_if_small(blocks), "fam"), "asking")
     found = inside
-    if not asked.isEmpty():
-        found = materialize(connected_components(stars.union(materialize(open_groups(queries, holders, words, least), "opened"))), "components")
+    if not asking.isEmpty():
+        found = joined_groups(asking, groups, texts, stars, inside, words, least)
     named = materialize(known.where("cls is not null").select("doc_id", "of", "n_shingles", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "of", "n_shingles", F.coalesce("component", "cls").alias("label")), "named")
     first = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "firsts")
     full = named.join(first, "label").select("doc_id", "of", "n_shingles", "component_id")

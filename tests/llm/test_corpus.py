@@ -386,6 +386,42 @@ def test_jaccard_opens_groups(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 90)
 
 
+def test_groups_open_only_if_their_union_allows_a_link(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(words[a : a + int(n)])) for i, (a, n) in enumerate(zip(rng.integers(0, 40, 40), rng.integers(8, 20, 40), strict=True))]
+    df = spark.createDataFrame(texts, "cls long, text string")
+    groups = spark.createDataFrame([(i, 0, i % 5) for i in range(20)], "cls long, fam long, block int")
+    asked = spark.createDataFrame([(q, q, 0, b) for q in range(20, 40) for b in range(5)], "query long, star long, fam long, block int")
+    prints = jaccard.shingle_prints(df, 3).cache()
+    unions = jaccard.token_unions(groups, prints)
+    got = {(r.query, r.block) for r in jaccard.qualifying(asked, prints, unions, 90).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in texts}
+    union = {b: set().union(*(sets[i] for i in range(20) if i % 5 == b)) for b in range(5)}
+    want = {(q, b) for q in range(20, 40) for b in range(5) if 100 * len(sets[q] & union[b]) >= 90 * len(sets[q])}
+    assert got == want and 0 < len(want) < 100
+    opened = jaccard.open_groups(spark.createDataFrame([(q, q, 0, b) for q, b in want], asked.schema), groups.withColumn("star", F.col("cls")), df, 3, 90)
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+    assert all(linked(r.a, r.b) for r in opened.collect())
+    assert {(q, b) for q in range(20, 40) for b in range(5) if any(linked(q, m) for m in range(20) if m % 5 == b)} <= want
+
+
+def test_a_family_of_near_copies_is_not_compared_with_all_of_itself(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(160):  # about a tenth of the words differ from any one hub; pairs often link
+        w = [f"c{j}" for j in range(200)]
+        for j in rng.integers(0, 200, 2):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    asked, real = [], jaccard.qualifying
+    monkeypatch.setattr(jaccard, "qualifying", lambda a, *rest: (asked.append(a.count()), real(a, *rest))[1])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 97)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 97)
+    assert sum(asked) < 160 * 40 / 2
+
+
 def test_jaccard_of_odd_documents(spark, odd, none):
     got = jaccard.jaccard_components(odd)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components([(r[0], r[1]) for r in ODD], 3, 90)
