@@ -301,7 +301,9 @@ class Learned:
         if not len(some):
             return some, np.empty(0, self.kind)
         raw = b"".join(map(widened, self.side.rows(slot, chunk).column("data").to_pylist()))
-        have = np.unique(np.frombuffer(raw, self.kind))
+        have = np.frombuffer(raw, self.kind)
+        order = np.argsort(np.ascontiguousarray(have["key"]))
+        have = have[order]
         keys = np.ascontiguousarray(have["key"])
         data, n = c.where(some)
         key = row_hash(data, n, self.seed)
