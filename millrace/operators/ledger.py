@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions.randomness import uniform
 
@@ -98,12 +101,78 @@ def sign_test(deltas: DataFrame, *by: str) -> DataFrame:
 
 
 def sign_flip_test(deltas: DataFrame, *by: str, most: int = 12) -> DataFrame:
-    """Exact one-sided test of the mean: the share of all sign vectors whose mean is at least as large; for up to `most` values."""
-    g = deltas.groupBy(*by).agg(F.array_sort(F.collect_list("delta")).alias("d")).where(F.size("d") <= most)
+    """Exact one-sided test of the mean: the share of all sign vectors whose mean is at least as large.
+
+    Up to `most` values, all vectors are rows. Beyond, up to FLIPS, the sums of either half of the
+    values are sorted and matched; of more values, p is null.
+    """
+    g = deltas.groupBy(*by).agg(F.array_sort(F.collect_list("delta")).alias("d"))
+    few = g.where(F.size("d") <= most)
     signed = F.aggregate(F.transform("d", lambda x, i: F.when((F.floor(F.col("mask") / F.pow(F.lit(2.0), i)) % 2) == 1, x).otherwise(-x)), F.lit(0.0), lambda a, x: a + x)
     real = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    flat = g.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("d")).cast("int") - 1)))
-    return flat.groupBy(*by).agg(F.avg(F.when(signed >= real - 1e-9, F.lit(1.0)).otherwise(F.lit(0.0))).alias("p"))
+    flat = few.withColumn("mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), F.size("d")).cast("int") - 1)))
+    small = flat.groupBy(*by).agg(F.avg(F.when(signed >= real - 1e-9, F.lit(1.0)).otherwise(F.lit(0.0))).alias("p"))
+    return small.unionByName(g.where(F.size("d") > most).select(*by, flip_share("d").alias("p")))
+
+
+#: Values of a group whose sign vectors are counted.
+FLIPS = 40
+
+
+@F.pandas_udf(DoubleType())
+def flip_share(values: pd.Series) -> pd.Series:
+    """Of all ways to sign the values, the share whose sum is no smaller than the real one."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in x:
+            out = np.concatenate([out - v, out + v])
+        return out
+
+    def share(x: np.ndarray) -> float | None:
+        x = np.array(x, float)
+        if len(x) > FLIPS:
+            return None
+        half = len(x) // 2
+        a, b = sums(x[:half]), np.sort(sums(x[half:]))
+        return float((len(b) - np.searchsorted(b, x.sum() - 1e-9 - a)).sum() / 2.0 ** len(x))
+
+    return values.map(share)
+
+
+def nested_bootstrap(r: DataFrame, reps: int, seed: int, outer: str, inner: str) -> DataFrame:
+    """Per method, the mean and the 2.5 and 97.5 % points over draws of outer clusters with replacement and, within each drawn one, of inner ones: the mean of a repetition is that of its outer clusters' means.
+
+    Draws are by hash of method, repetition and place. Only sums of the inner clusters meet them.
+    """
+    cells = r.groupBy("method", F.col(outer).alias("o"), F.col(inner).alias("i")).agg(F.avg("value").alias("m"))
+    views = cells.groupBy("method", "o").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("cells"))
+    names = views.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("o", "cells"))).alias("views"))
+    many = names.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+
+    def draw(n: Column, *place: Column) -> Column:
+        key = F.concat_ws("|", F.col("method"), F.col("rep").cast("string"), *[p.cast("string") for p in place])
+        return F.floor(uniform(key, seed, "bootstrap") * n).cast("int")
+
+    def view_mean(i: Column) -> Column:
+        cells_of = F.get(F.col("views"), draw(F.size("views"), i))["cells"]
+        picked = F.transform(F.sequence(F.lit(1), F.size(cells_of)), lambda j: F.get(cells_of, draw(F.size(cells_of), i, j))["m"])
+        return F.aggregate(picked, F.lit(0.0), lambda a, x: a + x) / F.size(picked)
+
+    drawn = F.transform(F.sequence(F.lit(1), F.size("views")), view_mean)
+    mean = F.aggregate(drawn, F.lit(0.0), lambda a, x: a + x) / F.size("views")
+    return many.withColumn("m", mean).groupBy("method").agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+
+
+def top_tier_rate(r: DataFrame, reps: int, seed: int, near: float = 0.0) -> DataFrame:
+    """Per method, the share of repetitions in which it is the best, or within `near` of it, by the mean over cells (view, seed) drawn with replacement: the same cells for all methods of a repetition. A method without a value in a cell isn't counted there."""
+    cells = r.select("view", "seed").distinct().agg(F.array_sort(F.collect_list(F.struct("view", "seed"))).alias("cells"))
+    reps_ = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    at = lambda j: F.floor(uniform(F.concat_ws("|", F.col("rep").cast("string"), j.cast("string")), seed, "cells") * F.size("cells")).cast("int")
+    picked = reps_.select("rep", F.explode(F.transform(F.sequence(F.lit(1), F.size("cells")), lambda j: F.get("cells", at(j)))).alias("c")).groupBy("rep", "c.view", "c.seed").agg(F.count("*").alias("times"))
+    means = picked.join(r, ["view", "seed"]).groupBy("rep", "method").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("m"))
+    best = F.max("m").over(Window.partitionBy("rep"))
+    return means.withColumn("first", (F.col("m") >= best - near - 1e-12).cast("double")).groupBy("method").agg((F.sum("first") / reps).alias("rate"))
 
 
 def bootstrap(r: DataFrame, reps: int, seed: int, cluster: str) -> DataFrame:

@@ -33,12 +33,21 @@ def arm(spark, d):
     return scored, L.centroid_gain(scored, val, "vec_id", "label")
 
 
+def halved_arm(spark, d):
+    """The pool of `arm`, and gains on two halves of its validation rows."""
+    pool, _ = arm(spark, d)
+    val = table(spark, d, "embeddings").where(uniform(F.col("vec_id"), 3, "arm") < 0.25)
+    first = uniform(F.col("vec_id"), 4, "halves") < 0.5
+    return pool, *(L.centroid_gain(pool, val.where(part), "vec_id", "label") for part in (first, ~first))
+
+
 @query("controller_portfolio")
 def controller_portfolio(spark, d):
-    pool, gain = arm(spark, d)
+    """The leaderboard: candidates are built by the gain on one half of the validation rows, V1, and judged by that on the other, V2."""
+    pool, cheap, gain = halved_arm(spark, d)
     k = pool.count() // 5
     extra = {"random": lambda p, k: S.random_k(p, k, "vec_id"), "agreement": lambda p, k: S.by_score(p, "agreement", k, "vec_id"), "novelty": lambda p, k: S.by_score(p, "novelty", k, "vec_id")}
-    choice = C.control(pool, ["agreement", "novelty"], k, gain, "vec_id", extra=extra)
+    choice = C.control(pool, ["agreement", "novelty"], k, gain, "vec_id", "embedding", extra, cheap, lambdas=[0.0], search=True)
     rows = [(n, float(round(g, 6)), n == choice.chosen.name, n == choice.best_reference.name) for n, g in choice.leaderboard]
     return spark.createDataFrame(rows, "candidate string, gain double, chosen boolean, best_reference boolean")
 

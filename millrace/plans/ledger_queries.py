@@ -140,6 +140,42 @@ def sign_flip_test(spark, d):
     return L.sign_flip_test(deltas(spark, d), "method").select("method", F.round("p", 6).alias("p"))
 
 
+NESTED = f"""WITH {R},
+c AS (SELECT method, view AS o, seed AS i, avg(value) AS m FROM r GROUP BY 1, 2, 3),
+v AS (SELECT method, o, list(m ORDER BY i) AS cells FROM c GROUP BY 1, 2),
+n AS (SELECT method, list(cells ORDER BY o) AS views FROM v GROUP BY 1),
+m AS (SELECT method, views, unnest(range(0, 200)) AS rep FROM n),
+p AS (SELECT method, rep, views, unnest(range(1, len(views) + 1)) AS i FROM m),
+q AS (SELECT method, rep, i, views[(floor({uniform_sql('method || chr(124) || rep || chr(124) || i', 6, 'bootstrap')} * len(views)) + 1)::INT] AS cells FROM p),
+s AS (SELECT method, rep, i, cells, unnest(range(1, len(cells) + 1)) AS j FROM q),
+t AS (SELECT method, rep, i, avg(cells[(floor({uniform_sql('method || chr(124) || rep || chr(124) || i || chr(124) || j', 6, 'bootstrap')} * len(cells)) + 1)::INT]) AS m FROM s GROUP BY 1, 2, 3),
+b AS (SELECT method, rep, avg(m) AS m FROM t GROUP BY 1, 2)
+SELECT method, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM b GROUP BY 1"""
+
+
+@query("nested_bootstrap_ci", NESTED)
+def nested_bootstrap_ci(spark, d):
+    """Views are drawn, and seeds within each drawn view."""
+    return L.nested_bootstrap(results(spark, d), 200, 6, "view", "seed").select("method", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
+
+
+TOP_TIER = f"""WITH {R},
+l AS (SELECT list(struct_pack(view := view, seed := seed) ORDER BY view, seed) AS cells FROM (SELECT DISTINCT view, seed FROM r)),
+m AS (SELECT cells, unnest(range(0, 200)) AS rep FROM l),
+p AS (SELECT rep, cells, unnest(range(1, len(cells) + 1)) AS j FROM m),
+q AS (SELECT rep, cells[(floor({uniform_sql('rep || chr(124) || j', 7, 'cells')} * len(cells)) + 1)::INT] AS c FROM p),
+k AS (SELECT rep, c.view AS view, c.seed AS seed, count(*) AS times FROM q GROUP BY 1, 2, 3),
+w AS (SELECT rep, method, sum(value * times) / sum(times) AS m FROM k JOIN r ON k.view = r.view AND k.seed = r.seed GROUP BY 1, 2),
+x AS (SELECT method, m >= max(m) OVER (PARTITION BY rep) - 5 AS first FROM w)
+SELECT method, round(sum(first::INT) / 200::DOUBLE, 6) AS rate FROM x GROUP BY 1"""
+
+
+@query("top_tier_rate", TOP_TIER)
+def top_tier_rate(spark, d):
+    """How often each method is the best, or within five of it, over draws of cells."""
+    return L.top_tier_rate(results(spark, d), 200, 7, 5.0).select("method", F.round("rate", 6).alias("rate"))
+
+
 @query("bootstrap_ci", f"WITH {R}, p AS (SELECT method, view AS k, sum(value) AS s, count(*) AS c FROM r GROUP BY 1, 2), l AS (SELECT method, list(struct_pack(k := k, s := s, c := c) ORDER BY k) AS ks FROM p GROUP BY 1), m AS (SELECT method, ks, unnest(range(0, 200)) AS rep FROM l), i AS (SELECT method, rep, ks, unnest(range(1, len(ks) + 1)) AS i FROM m), x AS (SELECT method, rep, ks[(floor({uniform_sql('method || chr(124) || rep || chr(124) || i', 5, 'bootstrap')} * len(ks)) + 1)::INT] AS e FROM i), b AS (SELECT method, rep, sum(e.s) / sum(e.c) AS m FROM x GROUP BY 1, 2) SELECT method, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM b GROUP BY 1")
 def bootstrap_ci(spark, d):
     return L.bootstrap(results(spark, d), 200, 5, "view").select("method", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])

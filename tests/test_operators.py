@@ -14,6 +14,7 @@ from millrace.operators import ledger as D
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
 from millrace.operators import selection as S
+from millrace.operators import steps
 from millrace.plans import controller as C
 from millrace.plans import select as P
 from millrace.sources import files
@@ -91,6 +92,40 @@ def test_console_moves_towards_rewards():
     assert after[0] > before and min(after) >= 0.05 - 1e-6
 
 
+def test_console_follows_its_equations_for_each_group():
+    c = L.Console(["a", "b", "c"], [0.1, 0.0, -0.1], rate=0.7, smoothing=0.4, region=0.25, floor=0.1)
+    theta, average = np.array([0.1, 0.0, -0.1]), np.zeros(3)
+    for r in ([1.0, 0.2, 0.4], [0.0, 0.9, 0.3], [0.5, 0.5, 0.5]):
+        average = 0.6 * average + 0.4 * np.array(r)
+        step = average - average.mean()
+        theta = theta + np.clip(0.7 * step / average.std(), -0.25, 0.25)
+        w = np.exp(theta) / np.exp(theta).sum()
+        w = np.maximum(w, 0.1)
+        theta = np.log(w / w.sum() + 1e-9)
+        got = c.update(dict(zip("abc", r, strict=True)), "code")
+        assert np.allclose(got, np.exp(theta) / np.exp(theta).sum())
+    assert c.theta == [0.1, 0.0, -0.1] and np.allclose(c.weights(), c.weights("math")) and c.weights("code") != c.weights()
+
+
+def test_steps_are_bounded():
+    g = np.array([1.0, 4.0, 2.0])
+    assert np.allclose(steps.advantage(g), [1 - 3, 4 - 1.5, 2 - 2.5]) and steps.advantage(np.array([2.0])).tolist() == [2.0]
+    assert np.allclose(steps.shortened(np.array([3.0, 8.0]), np.array([1.0, 2.0]), 2.5), [1.5, 4.0])
+    assert np.allclose(steps.lifted(np.array([0.0, 1.0]), 0.25), [0.2, 0.8])
+
+
+def test_sign_flips_of_many_values(spark):
+    rng = np.random.default_rng(0)
+    groups = {"few": rng.normal(0.3, 1, 9), "many": rng.normal(0.3, 1, 15), "endless": np.ones(50)}
+    rows = [(g, float(x)) for g, values in groups.items() for x in values]
+    got = {r.g: r.p for r in D.sign_flip_test(spark.createDataFrame(rows, "g string, delta double"), "g").collect()}
+    for g in ("few", "many"):
+        x = groups[g]
+        signs = 1 - 2 * ((np.arange(2 ** len(x))[:, None] >> np.arange(len(x))) & 1)
+        assert math.isclose(got[g], float((signs @ x >= x.sum() - 1e-9).mean()), abs_tol=1e-12)
+    assert got["endless"] is None
+
+
 def test_k_center_covers_better_than_random(blobs):
     x = {r.id: np.array(r.embedding) for r in blobs.collect()}
     radius = lambda ids: max(min(np.linalg.norm(v - x[i]) for i in ids) for v in x.values())
@@ -194,6 +229,41 @@ def test_controller_takes_the_best_and_switches_by_margin(spark, blobs):
     assert C.decide([cand("x", 1.02, False), cand("ref", 1.0, True)]).chosen.name == "x"
 
 
+def test_controller_takes_learned_and_elected_candidates(spark, blobs):
+    rows = [(i, list(map(float, r.embedding)), (i * 7 % 60) / 60.0, (i * 11 % 60) / 60.0) for i, r in enumerate(blobs.limit(60).collect())]
+    pool = spark.createDataFrame(rows, "id long, embedding array<double>, a double, b double")
+    worth = {i: 0.8 * a + 0.2 * b for i, _, a, b in rows}
+    seen = {}
+
+    def gain(ids):
+        taken = tuple(sorted(r.id for r in ids.collect()))
+        seen[taken] = float(np.mean([worth[i] for i in taken]))
+        return seen[taken]
+
+    choice = C.control(pool, ["a", "b"], 20, gain, "id", "embedding", {"random": lambda p, k: S.random_k(p, k, "id")}, gain, lambdas=[0.0], search=True)
+    names = [n for n, _ in choice.leaderboard]
+    for part in ("fuse w=", "fuse learned", "fuse policy", "vote_ensemble(top3)", "vote_ensemble_diverse", "vote_ensemble_complementary", "random"):
+        assert any(part in n for n in names), part
+    found = dict(choice.leaderboard)
+    grid = max(g for n, g in found.items() if n.startswith("fuse w="))
+    learned = next(g for n, g in found.items() if n.startswith("fuse learned"))
+    assert learned >= grid - 1e-12 and choice.chosen.gain == max(found.values())
+    best = float(np.mean(sorted(worth.values())[-20:]))
+    assert max(found.values()) <= best + 1e-12
+
+
+def test_votes_and_their_overlap(spark):
+    pool = spark.createDataFrame([(i, i / 10.0) for i in range(8)], "id long, a double")
+    cand = lambda n, g, ids: C.Candidate(n, spark.createDataFrame([(i,) for i in ids], "id long"), False, g)
+    apart = [cand("x", 0.9, [0, 1, 2]), cand("y", 0.8, [2, 3, 4]), cand("z", 0.7, [2, 5, 6]), cand("w", 0.1, [7])]
+    assert math.isclose(C.overlap(apart[:3], "id"), 1 / 7)
+    got = {c.name: sorted(r.id for r in c.ids.collect()) for c in C.voted(apart, pool, "a", 3, "id", 0.0)}
+    assert got == {"vote_ensemble(top3)": [0, 1, 2], "vote_ensemble_complementary": [0, 1, 2]}
+    near = [cand("x", 0.9, [0, 1, 2]), cand("y", 0.8, [1, 2, 3]), cand("z", 0.7, [1, 2, 3])]
+    got = {c.name: sorted(r.id for r in c.ids.collect()) for c in C.voted(near, pool, "a", 3, "id", 0.0)}
+    assert got == {"vote_ensemble(top3)": [1, 2, 3], "vote_ensemble_complementary": [0, 1, 2]}
+
+
 def test_policy_search_and_ascent_find_a_better_point():
     score = lambda w: -sum((a - b) ** 2 for a, b in zip(w, (0.7, 0.2, 0.1), strict=True))
     assert score(C.climb((1 / 3, 1 / 3, 1 / 3), score)) > score((1 / 3, 1 / 3, 1 / 3))
