@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, small_batches, table
 from .components import connected_components
-from .shared import chunk_of, dealing, mix, on_files, packed, parts_in, shared_among, slot_of, unpacked, write_shared
+from .shared import Dealing, chunk_of, dealing, mix, on_files, packed, parts_in, shared_among, slot_of, unpacked, write_shared
 
 U = np.uint64
 #: Members of a group.
@@ -104,22 +104,22 @@ def class_key(shingles: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.array(h >> 64, U).view(np.int64)), int(np.array(h & (1 << 64) - 1, U).view(np.int64))
 
 
-def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list, list]]:
+def texts_in(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, list, list, list]]:
     """(chunk, slot, ids, hashes, texts) of a part of a chunk."""
-    for chunk, slot, (ids, of, texts) in parts_in(batches):
+    for chunk, slot, (ids, of, texts) in parts_in(batches, most):
         yield chunk, slot, ids, of, texts
 
 
-def classify(rows: DataFrame, words: int, least: int, seed: int, buckets: int) -> DataFrame:
+def classify(rows: DataFrame, words: int, least: int, seed: int, deal: Dealing) -> DataFrame:
     """doc_id, of, n_shingles, cls, check, signs: cls is the class of the shingle set, null for an empty one; signs are its signatures.
 
     A first pass finds the shingles that two classes have, and how common each is.
     """
-    sizes = size_classes(least)
+    sizes, buckets = size_classes(least), deal.buckets
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         shingle = Shingler(words)
-        for chunk, slot, _, _, texts in texts_in(batches):
+        for chunk, slot, _, _, texts in texts_in(batches, deal.part):
             sets = shingle.many(texts)
             keys = np.array([class_key(s, seed)[0] if len(s) else 0 for s in sets], np.int64)
             yield chunk, slot, np.concatenate(sets), np.repeat(keys, [len(s) for s in sets])
@@ -128,7 +128,7 @@ def classify(rows: DataFrame, words: int, least: int, seed: int, buckets: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for chunk, slot, ids, of, texts in texts_in(batches):
+        for chunk, slot, ids, of, texts in texts_in(batches, deal.part):
             sets = shingle.many(texts)
             keys = [class_key(s, seed) if len(s) else (None, None) for s in sets]
             full = np.array([len(s) for s in sets])
@@ -390,11 +390,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, least: int = 90, id_col:
     named = [F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")]
     docs, named = on_files(docs, *named)
     deal = dealing(docs)
-    buckets = deal.buckets
-    rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", buckets)).select("chunk", "slot", "doc_id", "of", "text")
+    rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", deal.slots)).select("chunk", "slot", "doc_id", "of", "text")
     seed = 0
     while True:
-        known = materialize(classify(rows, words, least, seed, buckets), "classes")
+        known = materialize(classify(rows, words, least, seed, deal), "classes")
         reps = known.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "of")).alias("rep"), F.min("check").alias("x"), F.max("check").alias("y"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m"))
         if reps.where("x <> y or n <> m").isEmpty():
             break

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SideTable, crc_bucket, small_batches, stored_bytes, table
-from .shared import chunk_of, dealing, grouped, mix, on_files, packed, parts_in, slot_of, unpacked
+from .shared import Dealing, chunk_of, dealing, grouped, mix, on_files, packed, parts_in, slot_of, unpacked
 
 U = np.uint64
 #: Hash of the end of a text, which is a token that no word equals.
@@ -173,7 +173,7 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
     rows = docs.select(*named, chunk_of(deal.rows).alias("chunk")).withColumn("slot", slot_of("chunk", deal.slots)).select("chunk", "slot", "doc_id", "held_out", "text")
     shared, serve = None, stored_bytes(docs) > options.broadcast_bytes  # a filter may take as many bytes as its table
     while True:
-        side = SideTable.write(counted(rows, deal.buckets, deal.tasks, serve, options), "lm", deal.slots)
+        side = SideTable.write(counted(rows, deal, serve, options), "lm", deal.slots)
         model = spark.read.schema("chunk long, bucket long, data binary, tokens long, distinct long, slot long").parquet(side.path).where("slot < 0")
         n, v, size = (int(x or 0) for x in model.agg(F.sum("tokens"), F.sum("distinct"), F.sum(F.octet_length("data"))).first())
         if serve:
@@ -191,7 +191,7 @@ def score_texts(docs: DataFrame, options: LanguageModelOptions = LanguageModelOp
         words = Words()
         filter_ = Filter(shared.value, options.probes, options.least_count) if shared is not None else None
         now, known = None, None
-        for chunk, slot, (ids, held, texts) in parts_in(batches):
+        for chunk, slot, (ids, held, texts) in parts_in(batches, deal.part):
             if (chunk, slot) != now:
                 now, known = (chunk, slot), Answers(side.rows(slot, chunk), buckets)
             tokens, sizes = words.many(texts)
@@ -223,7 +223,7 @@ def usual_level(options: LanguageModelOptions) -> int:
     return 1 if options.least_count == 1 else 0
 
 
-def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: LanguageModelOptions) -> DataFrame:
+def counted(rows: DataFrame, deal: Dealing, serve: bool, options: LanguageModelOptions) -> DataFrame:
     """slot, chunk, bucket, data, tokens, distinct: what the corpus knows of each chunk's words, and the filter.
 
     A chunk's words come back with their training counts. Slots below 0 hold, by bucket in the place of
@@ -235,7 +235,7 @@ def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: Lan
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct words and pairs of a chunk with their training counts, by bucket; pairs' buckets come after words'."""
         words = Words()
-        for chunk, slot, (_, held, texts) in parts_in(batches):
+        for chunk, slot, (_, held, texts) in parts_in(batches, deal.part):
             tokens, sizes = words.many(texts)
             trained = np.repeat(~np.array(held, bool), sizes)
             keys, counts = summed(tokens, trained)
@@ -286,9 +286,9 @@ def counted(rows: DataFrame, buckets: int, tasks: int, serve: bool, options: Lan
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slot", "chunk", "bucket", "data", "tokens", "distinct"])
 
-    usual, slots = usual_level(options), buckets
+    usual, buckets, slots = usual_level(options), deal.buckets, deal.slots
     sent = rows.mapInArrow(gather, "bucket long, chunk long, slot long, counts binary")
-    return grouped(sent, tasks).applyInArrow(total, "slot long, chunk long, bucket long, data binary, tokens long, distinct long")
+    return grouped(sent, deal.tasks).applyInArrow(total, "slot long, chunk long, bucket long, data binary, tokens long, distinct long")
 
 
 class Answers:

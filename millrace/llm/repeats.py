@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SideTable, small_batches, table
-from .shared import Dealing, chunk_of, dealing, grouped, mix, on_files, parts_in, shared_among, slot_of, write_shared
+from .shared import Dealing, Gather, chunk_of, dealing, grouped, mix, on_files, parts_in, shared_among, slot_of, write_shared
 
 U = np.uint64
 #: Bytes of a string that counts, and of an anchor.
@@ -96,9 +96,9 @@ def row_hash(rows: np.ndarray, n: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def documents_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, list[int], list[bytes]]]:
+def documents_in(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, list, list[int], list[bytes]]]:
     """(chunk, slot, ids as they are, ids for comparison, texts) of a part of a chunk."""
-    for chunk, slot, (ids, texts) in parts_in(batches):
+    for chunk, slot, (ids, texts) in parts_in(batches, most):
         yield chunk, slot, ids, [LAST if i is None else i for i in ids], [t or b"" for t in texts]
 
 
@@ -204,7 +204,7 @@ class Learned:
     def __init__(self, rows: DataFrame, deal: Dealing, members: bool) -> None:
         """With members, chunks learn of every repeat that their segments are in; else, of those that an earlier document has."""
         self.deal, self.kind = deal, MEMBER if members else STRETCH
-        self.known = write_shared(rows, anchors_of, deal.buckets, deal.slots, "anchors")
+        self.known = write_shared(rows, anchors_of(deal.part), deal.buckets, deal.slots, "anchors")
         self.seed = 0
         while True:
             sent = rows.mapInArrow(self.send(), "bucket long, chunk long, slot long, anchors binary, docs binary, lengths binary, data binary")
@@ -222,7 +222,7 @@ class Learned:
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Distinct repeated segments of a part of a chunk with their least document, by bucket; a second document too, where there is one."""
-            for chunk, slot, _, ids, texts in documents_in(batches):
+            for chunk, slot, _, ids, texts in documents_in(batches, deal.part):
                 c = Chunk(ids, texts)
                 some = candidates(c, chunk, slot)
                 if not len(some):
@@ -324,11 +324,15 @@ def starts_of(order: np.ndarray, anchor: np.ndarray, key: np.ndarray, data: np.n
     return np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (d[1:] != d[:-1]).any(axis=1)])
 
 
-def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The anchors of each chunk, and whose they are."""
-    for chunk, slot, _, ids, texts in documents_in(batches):
-        c = Chunk(ids, texts)
-        yield chunk, slot, c.anchor, np.array(ids, np.int64)[c.row]
+def anchors_of(most: int) -> Gather:
+    """The anchors of each part of a chunk, and whose they are."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for chunk, slot, _, ids, texts in documents_in(batches, most):
+            c = Chunk(ids, texts)
+            yield chunk, slot, c.anchor, np.array(ids, np.int64)[c.row]
+
+    return gather
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dealing]:
@@ -354,7 +358,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     learned = Learned(rows, deal, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, slot, shown, ids, texts in documents_in(batches):
+        for chunk, slot, shown, ids, texts in documents_in(batches, deal.part):
             c = Chunk(ids, texts)
             segment, known = learned.members(c, chunk, slot)
             row, start = c.row[segment], c.first[segment] + known["start"]
@@ -382,7 +386,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     learned = Learned(rows, deal, False)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, slot, shown, ids, texts in documents_in(batches):
+        for chunk, slot, shown, ids, texts in documents_in(batches, deal.part):
             c = Chunk(ids, texts)
             gone = np.zeros(len(c.bytes) + 1, np.int32)
             segment, known = learned.members(c, chunk, slot)

@@ -23,9 +23,9 @@ from .common import SideTable, materialize, stored_bytes
 
 U = np.uint64
 #: Stored bytes of a chunk and of a bucket's share of the table, at least; and of what a chunk sends to a bucket.
-CHUNK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 4 << 20, 4 << 20, 128
-#: Bytes of text that a worker holds of a chunk at once (one longer text goes alone).
-PART_BYTES = 16 << 20
+CHUNK_BYTES, BUCKET_BYTES, MESSAGE_BYTES = 2 << 20, 4 << 20, 128
+#: Bytes of text that a worker holds of a chunk at once, where chunks are of the least size (one longer text goes alone).
+PART_BYTES = 8 << 20
 #: Tasks of one exchange between chunks and buckets, at most: what a task holds at once is one bucket.
 TASKS = 1 << 14
 #: (chunk, slot, keys, owner of each key), for each chunk in some batches.
@@ -55,9 +55,10 @@ def unpacked(data: bytes, keys: type, values: type) -> tuple[np.ndarray, np.ndar
 
 @dataclass(frozen=True)
 class Dealing:
-    """How a stored table meets by keys: rows of a chunk, buckets of keys, slots of answers, tasks."""
+    """How a stored table meets by keys: rows of a chunk, bytes of text of a chunk that a worker holds at once, buckets of keys, slots of answers, tasks."""
 
     rows: int
+    part: int
     buckets: int
     slots: int
     tasks: int
@@ -67,17 +68,18 @@ def dealing(docs: DataFrame) -> Dealing:
     """Chunks and buckets of a stored table, bounded by bytes.
 
     Every chunk sends something to every bucket, so both grow with the square root of the table once
-    what they send would fall under MESSAGE_BYTES: 4 MB each up to 125 GB, some 110 MB at 100 TB.
-    Workers hold PART_BYTES of a chunk and the packed keys of a bucket.
+    what they send would fall under MESSAGE_BYTES: 2 and 4 MB up to some 30 and 125 GB, 110 MB each at
+    100 TB. Workers hold a part of a chunk, or the packed keys of a bucket.
     """
     size = max(stored_bytes(docs), 1)
     least = math.isqrt(size * MESSAGE_BYTES)
     buckets = max(-(-size // max(BUCKET_BYTES, least)), 32)
     a_row = max(size // max(docs.count(), 1), 1)
-    return Dealing(min(max(max(CHUNK_BYTES, least) // a_row, 64), 1 << 20), buckets, buckets, min(buckets, TASKS))
+    rows = min(max(max(CHUNK_BYTES, least) // a_row, 64), 1 << 20)
+    return Dealing(rows, max(PART_BYTES, least), buckets, buckets, min(buckets, TASKS))
 
 
-def parts_in(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[tuple[int, int, list[list]]]:
+def parts_in(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, list[list]]]:
     """(chunk, slot, columns but those two) of batches in which a chunk's rows lie together; the column text as bytes. A chunk comes in parts of `most` bytes of text."""
     now, held, size = None, [], 0
     for batch in batches:
