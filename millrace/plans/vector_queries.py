@@ -140,7 +140,18 @@ def ccs(spark, d):
     return S.ccs(s, "err", s.count() // 5, "vec_id").select("vec_id", "stratum", "rk")
 
 
-@query("ccs_equal_width")
+@query("ccs_equal_width", f"""
+WITH RECURSIVE {PROBE},
+o AS (SELECT vec_id, err, row_number() OVER (ORDER BY err, vec_id) AS ease, count(*) OVER () AS n FROM f),
+kept AS (SELECT * FROM o WHERE ease <= floor(n * 0.9::DOUBLE)::BIGINT),
+b AS (SELECT vec_id, n // 5 AS k, least(floor((err - min(err) OVER ()) * 50 / (max(err) OVER () - min(err) OVER () + 1e-12::DOUBLE)), 49)::INT AS stratum FROM kept),
+sizes AS (SELECT stratum, count(*) AS size, max(k) AS k FROM b GROUP BY 1),
+q AS (SELECT *, row_number() OVER (ORDER BY size, stratum) AS i, count(*) OVER () AS many FROM sizes),
+a AS (SELECT 0::BIGINT AS i, (SELECT max(k) FROM q) AS rest, 0::BIGINT AS give, -1 AS stratum
+  UNION ALL SELECT q.i, a.rest - least(q.size, a.rest // (q.many - q.i + 1)), least(q.size, a.rest // (q.many - q.i + 1)), q.stratum FROM a JOIN q ON q.i = a.i + 1),
+t AS (SELECT vec_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {uniform_sql('vec_id', 0, 'ccs')}, vec_id) AS turn FROM b)
+SELECT t.vec_id, t.stratum, t.turn FROM t JOIN a ON a.stratum = t.stratum WHERE t.turn <= a.give
+""")
 def ccs_equal_width(spark, d):
     s = probe(spark, d).select("vec_id", "err")
     return S.ccs_equal_width(s, "err", s.count() // 5, "vec_id").select("vec_id", "stratum", "turn")
@@ -262,7 +273,13 @@ def dedup_only(spark, d):
     return G.greedy_diverse(rows(spark, d).withColumn("importance", F.lit(0.0)), "importance", 8, "vec_id", lam=1.0).select("vec_id", "rk")
 
 
-@query("hybrid_margin_center")
+@query("hybrid_margin_center", f"""
+WITH RECURSIVE {PROBE},
+r AS (SELECT vec_id, row_number() OVER (ORDER BY margin, vec_id) AS rk FROM f),
+g AS (SELECT 8 AS rk, (SELECT list(vec_id ORDER BY rk) FROM r WHERE rk <= 8) AS ids
+  UNION ALL SELECT rk + 1, list_append(ids, (SELECT vec_id FROM (SELECT a.vec_id, min(round(list_distance(a.v, b.v), 6)) AS m FROM e a JOIN e b ON list_contains(g.ids, b.vec_id) WHERE NOT list_contains(g.ids, a.vec_id) GROUP BY a.vec_id ORDER BY m DESC, a.vec_id LIMIT 1))) FROM g WHERE rk < 16)
+SELECT unnest(ids) AS vec_id, generate_subscripts(ids, 1) AS rk FROM g WHERE rk = 16
+""")
 def hybrid_margin_center(spark, d):
     """Half the smallest margins, then rows farthest from all chosen."""
     s = probe(spark, d)
@@ -272,7 +289,22 @@ def hybrid_margin_center(spark, d):
     return first.select("vec_id", "rk").unionByName(far.select("vec_id", (F.col("rk") + 8).alias("rk")))
 
 
-@query("near_dup_scan")
+@query("near_dup_scan", """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+w AS (SELECT vec_id, label, v, greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12) AS size FROM e),
+n AS (SELECT vec_id, label, list_transform(v, lambda y: y / size) AS x FROM w),
+u AS (SELECT vec_id, label, generate_subscripts(x, 1) AS i, unnest(x) AS y FROM n),
+c AS (SELECT label, i, avg(y) AS m FROM u GROUP BY 1, 2),
+l AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-12) AS size FROM c GROUP BY 1),
+s AS (SELECT u.vec_id, u.label, round(sum(u.y * c.m) / any_value(l.size), 6) AS sim FROM u JOIN c ON c.label = u.label AND c.i = u.i JOIN l ON l.label = u.label GROUP BY 1, 2),
+o AS (SELECT s.vec_id, s.label, n.x, row_number() OVER (ORDER BY s.label, s.sim, s.vec_id) AS turn FROM s JOIN n ON n.vec_id = s.vec_id),
+near AS (SELECT b.turn, list(a.turn) AS earlier FROM o a JOIN o b ON a.label = b.label AND a.turn < b.turn WHERE round(list_dot_product(a.x, b.x), 6) > 0.95::DOUBLE GROUP BY 1),
+asked AS (SELECT *, row_number() OVER (ORDER BY turn) AS step FROM near),
+g AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS gone
+  UNION ALL SELECT k.step, CASE WHEN len(list_filter(k.earlier, lambda y: NOT list_contains(g.gone, y))) > 0 THEN list_append(g.gone, k.turn) ELSE g.gone END FROM g JOIN asked k ON k.step = g.step + 1),
+lost AS (SELECT unnest(gone) AS turn FROM (SELECT gone FROM g ORDER BY step DESC LIMIT 1))
+SELECT o.vec_id, lost.turn IS NULL AS kept FROM o LEFT JOIN lost ON lost.turn = o.turn
+""")
 def near_dup_scan(spark, d):
     """Within each label, from the least like its mean on, rows more alike than 0.95 to a kept one go."""
     return G.kept_after_duplicates(rows(spark, d), "label", "vec_id").select("vec_id", "kept")
