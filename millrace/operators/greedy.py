@@ -1,11 +1,12 @@
-"""Greedy selections, one best row per round.
+"""Greedy selections, in passes over the features.
 
-Each round is one pass over the features: a task returns its best row, the driver the best of those, one
-small row per task. What the passes need of the rows chosen so far is at most k vectors.
+In a pass a task returns its best rows, at least one and at most SENT over the number of tasks, and the
+driver chooses among those. What the passes need of the rows chosen so far is at most k vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,39 +15,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+#: Rows that all tasks of a pass return together, beside one of each.
+SENT = 4096
 
 
-def rounds(df: DataFrame, k: int, score: Score, id_col: str, vector: str, extra: str | None = None, digits: int = 6, seeds: list[int] | None = None) -> list[tuple[int, float]]:
-    """Ids with their score, in order. score(x, extra, chosen, round) rates the rows; the largest, rounded, wins, ties by id. `seeds` are ids chosen beforehand and not returned."""
+def rounds(df: DataFrame, k: int, score: Score, id_col: str, vector: str, extra: str | None = None, digits: int = 6, seeds: list[int] | None = None, falling: bool = False) -> list[tuple[int, float]]:
+    """Ids with their score, in order. score(x, extra, chosen, round) rates the rows; the largest, rounded, wins, ties by id. `seeds` are ids chosen beforehand and not returned.
+
+    With `falling`, no row's score ever rises as more are chosen, once one is. Tasks then return several
+    rows, and the driver goes on choosing among them for as long as the best, rated anew, beats the last
+    row that each task returned: a row left out can't beat that one. The choice is the same as by single
+    rows, in fewer passes.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(extra).cast("double") if extra else F.lit(0.0)).alias("e")).persist()
     try:
         chosen: list[tuple[int, float]] = []
         vectors = [r["v"] for r in rows.where(F.col("id").isin(seeds)).orderBy("id").collect()] if seeds else []
         taken = set(seeds or [])
-        for t in range(min(k, rows.count() - len(taken))):
-            have, done = np.array(vectors, np.float64), np.array(sorted(taken), np.int64)
+        n, tasks = rows.select(F.spark_partition_id().alias("part")).agg(F.count("*"), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
+        most, many = min(k, n - len(taken)), max(1, SENT // tasks)
+        while len(chosen) < most:
+            have, done, t = np.array(vectors, np.float64), np.array(sorted(taken), np.int64), len(chosen)
+            each = min(many, most - t) + 1 if len(vectors) and falling else 1
 
             def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                top = None
+                ids, s, x, e = np.zeros(0, np.int64), np.zeros(0), None, np.zeros(0)
                 for batch in batches:
-                    ids = batch.column("id").to_numpy()
-                    x = np.array(batch.column("v").to_pylist(), np.float64)
-                    free = ~np.isin(ids, done)  # noqa: B023
+                    free = ~np.isin(batch.column("id").to_numpy(), done)  # noqa: B023
                     if not free.any():
                         continue
-                    ids, x, e = ids[free], x[free], batch.column("e").to_numpy()[free]
-                    s = np.round(score(x, e, have, t), digits)  # noqa: B023
-                    i = np.lexsort((ids, -s))[0]
-                    if top is None or (-s[i], ids[i]) < (-top[1], top[0]):
-                        top = (int(ids[i]), float(s[i]), x[i])
-                if top:
-                    yield pa.RecordBatch.from_pydict({"id": [top[0]], "s": [top[1]], "v": [top[2].tolist()]})
-
-            found = rows.mapInArrow(best, "id long, s double, v array<double>").collect()
-            top = min(found, key=lambda r: (-r["s"], r["id"]))
-            chosen.append((top["id"], top["s"]))
-            vectors.append(top["v"])
-            taken.add(top["id"])
+                    own = np.array(batch.column("v").to_pylist(), np.float64)[free]
+                    with_ = batch.column("e").to_numpy()[free]
+                    ids = np.append(ids, batch.column("id").to_numpy()[free])
+                    s = np.append(s, np.round(score(own, with_, have, t), digits))  # noqa: B023
+                    x, e = own if x is None else np.vstack([x, own]), np.append(e, with_)
+                    first = np.lexsort((ids, -s))[:each]  # noqa: B023
+                    ids, s, x, e = ids[first], s[first], x[first], e[first]
+                if len(ids):
+                    last = np.arange(len(ids)) == each - 1  # noqa: B023
+                    yield pa.RecordBatch.from_pydict({"id": ids, "s": s, "v": x.tolist(), "e": e, "last": last})
+
+            found = sorted(rows.mapInArrow(best, "id long, s double, v array<double>, e double, last boolean").collect(), key=lambda r: (-r["s"], r["id"]))
+            if not found:  # repeated ids: fewer to choose than rows
+                break
+            bound = min(((-r["s"], r["id"]) for r in found if r["last"]), default=(math.inf, 0))
+            ids, x, e = np.array([r["id"] for r in found]), np.array([r["v"] for r in found]), np.array([r["e"] for r in found])
+            s, free = np.array([r["s"] for r in found]), np.ones(len(found), bool)
+            while len(chosen) < most and free.any():
+                at = np.flatnonzero(free)
+                i = at[np.lexsort((ids[at], -s[at]))[0]]
+                if len(chosen) > t and (-s[i], ids[i]) > bound:
+                    break
+                chosen.append((int(ids[i]), float(s[i])))
+                vectors.append(x[i].tolist())
+                taken.add(int(ids[i]))
+                free &= ids != ids[i]
+                if each == 1:
+                    break
+                s = np.minimum(s, np.round(score(x, e, np.array(vectors[-1:], np.float64), len(chosen)), digits))
         return chosen
     finally:
         rows.unpersist()
@@ -64,7 +90,7 @@ def k_center(df: DataFrame, k: int, id_col: str, vector: str = "embedding", seed
             return np.zeros(len(x))
         return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (have**2).sum(1)[None] - 2 * x @ have.T, 0)).min(1)
 
-    return as_frame(df, rounds(df, k, score, id_col, vector, seeds=seeds), id_col)
+    return as_frame(df, rounds(df, k, score, id_col, vector, seeds=seeds, falling=True), id_col)
 
 
 def herding(df: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
@@ -90,7 +116,7 @@ def greedy_diverse(df: DataFrame, importance: str, k: int, id_col: str, vector:
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         return imp + lam * (1 - np.maximum((unit(x) @ unit(have).T).max(1), 0))
 
-    return as_frame(df, rounds(df, k, score, id_col, vector, extra=importance), id_col)
+    return as_frame(df, rounds(df, k, score, id_col, vector, extra=importance, falling=True), id_col)
 
 
 def kept_after_duplicates(df: DataFrame, cluster: str, id_col: str, vector: str = "embedding", eps: float = 0.05) -> DataFrame:

@@ -355,3 +355,26 @@ def test_array_fingerprint_sees_type_shape_and_bytes():
     a = np.arange(6.0)
     prints = {S.array_fingerprint(x) for x in (a, a.reshape(2, 3), a.astype(np.float32), a + 1)}
     assert len(prints) == 4 and S.array_fingerprint(a) == S.array_fingerprint(a.copy())
+
+
+def test_batched_greedy_rounds_choose_as_single_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((300, 4)), 1)  # rounded: many ties
+    rows = [(i, [float(y) for y in v], float(i % 7)) for i, v in enumerate(x)] + [(3, [0.0] * 4, 1.0)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, imp double").repartition(5)
+    cosine = lambda a, b: float(a @ b) / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12)
+    diverse, want = [], [0]
+    own = {i: np.array(v) for i, v, _ in rows[:300]}
+    while len(want) < 40:
+        want.append(max((i for i in own if i not in want and i != 3), key=lambda i: (round(min(float(np.linalg.norm(own[i] - own[j])) for j in want), 6), -i)))
+    plain = df.where("id <> 3")
+    for sent in (1, 4096):
+        monkeypatch.setattr(G, "SENT", sent)
+        assert [r.id for r in G.k_center(plain, 40, "id").orderBy("rk").collect()] == want
+        diverse.append([r.id for r in G.greedy_diverse(plain, "imp", 30, "id").orderBy("rk").collect()])
+    chosen: list[int] = []
+    while len(chosen) < 30:
+        chosen.append(max((i for i in own if i not in chosen and i != 3), key=lambda i: (round((i % 7) / 6 + 0.5 * (1 - max([cosine(own[i], own[j]) for j in chosen] + [0.0])), 6), -i)))
+    assert diverse == [chosen, chosen]
+    everything = [r.id for r in G.k_center(df, 400, "id").collect()]
+    assert sorted(everything) == sorted(own)
