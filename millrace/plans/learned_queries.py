@@ -1,4 +1,4 @@
-"""Queries of rules that learn from gains; none has SQL, tests hold them against small restatements."""
+"""Queries of rules that learn from gains. None has SQL; tests hold some of their operators against small restatements, and of the others see only that they run."""
 
 from __future__ import annotations
 
