@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, langid, lines, lm, media, mixing, packing, repeats, resampling, toxicity, warc
+from . import clustering, embeddings, jaccard, langid, lines, lm, media, mixing, packing, repeats, resampling, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embeddings.op8_query,
     "op9_media_columns": media.op9_query,
     "op10_suffix_dedup": repeats.op10_query,
+    "op11_centroid_clustering": clustering.op11_query,
     "op12_toxicity": toxicity.op12_query,
     "op13_importance_resampling": resampling.op13_query,
 }
@@ -26,5 +27,6 @@ SQL = {
     "op6_jaccard_join": jaccard.OP6_SQL,
     "op8_embedding_near_dedup": embeddings.OP8_SQL,
     "op10_suffix_dedup": repeats.OP10_SQL,
+    "op11_centroid_clustering": clustering.OP11_SQL,
     "op13_importance_resampling": resampling.OP13_SQL,
 }
