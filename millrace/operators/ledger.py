@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import comb
 
 import numpy as np
@@ -14,6 +15,39 @@ from millrace.functions.randomness import uniform
 
 # fixed value: the two-sided 95 % point of Student's t with two degrees of freedom
 T95_2 = 4.302652729911275
+#: Decimal places of a ledger's values. Sums are taken over whole units of the last place, so they don't depend on the order of rows.
+PLACES = 3
+
+
+def units(value: str, places: int = PLACES) -> Column:
+    """The value in units of its last place, as a whole number."""
+    return F.round(F.col(value) * float(10**places)).cast("decimal(18,0)")
+
+
+def mean_of(total: Column, n: Column, digits: int, places: int = PLACES) -> Column:
+    """The mean of n values whose units add up to total, rounded half up to so many digits: exact, and so the same in whatever order rows were added. Null where n is 0."""
+    number = lambda k: F.lit(Decimal(k))
+    over = F.abs(total) * number(2 * 10**digits) + n.cast("decimal(18,0)") * number(10**places)
+    whole = F.call_function("div", over, n.cast("decimal(18,0)") * number(2 * 10**places))
+    return F.when(n > 0, F.signum(total.cast("double")) * whole.cast("double") / float(10**digits))
+
+
+def exact_mean(value: str, digits: int, places: int = PLACES) -> Column:
+    """Aggregate: the mean, as mean_of gives it."""
+    return mean_of(F.sum(units(value, places)), F.count(value), digits, places)
+
+
+def mean_sql(value: str, digits: int, places: int = PLACES) -> str:
+    """exact_mean for DuckDB."""
+    total, n = f"sum(round({value} * {10**places})::BIGINT)", f"count({value})"
+    return f"(sign({total}) * ((2 * {10**digits} * abs({total}) + {n} * {10**places}) // (2 * {n} * {10**places})))::DOUBLE / {10**digits}"
+
+
+def moments_sql(value: str, places: int = PLACES) -> tuple[str, str, str]:
+    """Mean, sample and population deviation as cells() has them, for DuckDB."""
+    u, n = f"round({value} * {10**places})::BIGINT::HUGEINT", f"count({value})"
+    apart = f"({n} * sum({u} * {u}) - sum({u}) * sum({u}))::DOUBLE"
+    return f"(sum({u})::DOUBLE / {n} / {10**places})", f"CASE WHEN {n} > 1 THEN sqrt({apart} / ({n}::DOUBLE * ({n} - 1))) / {10**places} END", f"(sqrt({apart}) / {n} / {10**places})"
 
 
 def paired_deltas(r: DataFrame, reference: str) -> DataFrame:
@@ -22,9 +56,14 @@ def paired_deltas(r: DataFrame, reference: str) -> DataFrame:
     return r.where(F.col("method") != reference).join(ref, ["view", "seed"]).withColumn("delta", F.col("value") - F.col("base"))
 
 
-def cells(r: DataFrame, *by: str, value: str = "value") -> DataFrame:
-    """Mean, sample and population deviation, and number of values of each cell."""
-    return r.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.stddev_pop(value).alias("sd_pop"), F.count("*").alias("n"))
+def cells(r: DataFrame, *by: str, value: str = "value", places: int = PLACES, digits: int = 4) -> DataFrame:
+    """Mean, the same rounded half up (`rounded`), sample and population deviation, and number of values of each cell. All of them come from exact sums of the values' units and their squares."""
+    u = units(value, places)
+    sums = r.groupBy(*by).agg(F.sum(u).alias("s_"), F.sum((u * u).cast("decimal(38,0)")).alias("q_"), F.count(value).alias("n"))
+    n, unit = F.col("n").cast("double"), float(10**places)
+    apart = (F.col("n").cast("decimal(18,0)") * F.col("q_") - F.col("s_") * F.col("s_")).cast("double")
+    sd = F.when(F.col("n") > 1, F.sqrt(apart / (n * (n - 1))) / unit)
+    return sums.select(*by, (F.col("s_").cast("double") / n / unit).alias("mean"), mean_of(F.col("s_"), F.col("n"), digits, places).alias("rounded"), sd.alias("sd"), (F.sqrt(apart) / n / unit).alias("sd_pop"), "n")
 
 
 def confidence(deltas: DataFrame, *by: str) -> DataFrame:
@@ -37,7 +76,7 @@ def confidence(deltas: DataFrame, *by: str) -> DataFrame:
 def verdicts(r: DataFrame, ours: str, lower_is_better: bool = False) -> DataFrame:
     """Per view: ours against the best of the others: STRICT_FIRST, TIED_FIRST or BEATEN, how many beat it, and the gap in percent."""
     sign = -1.0 if lower_is_better else 1.0
-    m = r.groupBy("view", "method").agg(F.round(F.avg("value"), 6).alias("v"))
+    m = r.groupBy("view", "method").agg(exact_mean("value", 6).alias("v"))
     mine = m.where(F.col("method") == ours).select("view", F.col("v").alias("own"))
     other = m.where(F.col("method") != ours).join(mine, "view")
     per = other.groupBy("view").agg(F.first("own").alias("own"), F.max_by("v", F.col("v") * sign).alias("best"), F.count(F.when(F.col("v") * sign > F.col("own") * sign, 1)).alias("beaten_by"), F.count(F.when(F.col("v") == F.col("own"), 1)).alias("tied"))
@@ -77,11 +116,11 @@ def descriptive_ranks(r: DataFrame) -> DataFrame:
     return x.withColumn("pct", pct).groupBy("method").agg(F.avg(F.when(F.col("place") == 1, F.lit(1.0)).otherwise(F.lit(0.0))).alias("best"), F.avg(F.when(F.col("place") <= 2, F.lit(1.0)).otherwise(F.lit(0.0))).alias("top2"), F.expr("percentile(pct, 0.5)").alias("median_percentile"))
 
 
-def leave_one_out(r: DataFrame, cluster: str) -> DataFrame:
-    """Per method, the mean without each cluster: from sums, so no row is repeated for each cluster."""
-    per = r.groupBy("method", cluster).agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+def leave_one_out(r: DataFrame, cluster: str, digits: int = 6) -> DataFrame:
+    """Per method, the mean without each cluster, rounded half up: from sums, so no row is repeated for each cluster. Null where nothing is left."""
+    per = r.groupBy("method", cluster).agg(F.sum(units("value")).alias("s"), F.count("value").alias("c"))
     w = Window.partitionBy("method")
-    return per.select("method", F.col(cluster).alias("dropped"), ((F.sum("s").over(w) - F.col("s")) / (F.sum("c").over(w) - F.col("c"))).alias("mean"))
+    return per.select("method", F.col(cluster).alias("dropped"), mean_of((F.sum("s").over(w) - F.col("s")), F.sum("c").over(w) - F.col("c"), digits).alias("mean"))
 
 
 def holm(p: DataFrame, id_col: str) -> DataFrame:

@@ -42,46 +42,52 @@ def paired_deltas(spark, d):
     return deltas(spark, d).select("method", "view", "seed", "delta")
 
 
-@query("paired_gain_ci", f"WITH {DELTAS} SELECT method, view, round(avg(delta), 4) AS mean, round(avg(delta) - 4.302652729911275::DOUBLE * stddev_samp(delta) / sqrt(3), 3) AS low, round(avg(delta) + 4.302652729911275::DOUBLE * stddev_samp(delta) / sqrt(3), 3) AS high FROM d GROUP BY 1, 2 HAVING count(*) = 3")
+GAIN, GAIN_SD, _ = L.moments_sql("delta")
+
+
+@query("paired_gain_ci", f"WITH {DELTAS} SELECT method, view, {L.mean_sql('delta', 4)} AS mean, round({GAIN} - 4.302652729911275::DOUBLE * {GAIN_SD} / sqrt(3), 3) AS low, round({GAIN} + 4.302652729911275::DOUBLE * {GAIN_SD} / sqrt(3), 3) AS high FROM d GROUP BY 1, 2 HAVING count(*) = 3")
 def paired_gain_ci(spark, d):
-    return L.confidence(deltas(spark, d), "method", "view").select("method", "view", F.round("mean", 4).alias("mean"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+    return L.confidence(deltas(spark, d), "method", "view").select("method", "view", F.col("rounded").alias("mean"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
+MEAN, SD, SD_POP = L.moments_sql("value")
 
 
-@query("cell_means", f"WITH {R} SELECT method, view, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(stddev_pop(value), 4) AS sd_pop, count(*) AS n FROM r GROUP BY 1, 2")
+@query("cell_means", f"WITH {R} SELECT method, view, {L.mean_sql('value', 4)} AS mean, round({SD}, 4) AS sd, round({SD_POP}, 4) AS sd_pop, count(*) AS n FROM r GROUP BY 1, 2")
 def cell_means(spark, d):
-    return L.cells(results(spark, d), "method", "view").select("method", "view", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "sd_pop")], "n")
+    return L.cells(results(spark, d), "method", "view").select("method", "view", F.col("rounded").alias("mean"), *[F.round(c, 4).alias(c) for c in ("sd", "sd_pop")], "n")
 
 
-@query("best_method", f"WITH {R}, m AS (SELECT method, view, round(avg(value), 4) AS mean FROM r GROUP BY 1, 2) SELECT view, arg_min(method, (mean, method)) AS lowest, arg_max(method, (mean, method)) AS highest FROM m GROUP BY view")
+@query("best_method", f"WITH {R}, m AS (SELECT method, view, {L.mean_sql('value', 4)} AS mean FROM r GROUP BY 1, 2) SELECT view, arg_min(method, (mean, method)) AS lowest, arg_max(method, (mean, method)) AS highest FROM m GROUP BY view")
 def best_method(spark, d):
-    m = results(spark, d).groupBy("method", "view").agg(F.round(F.avg("value"), 4).alias("mean"))
+    m = results(spark, d).groupBy("method", "view").agg(L.exact_mean("value", 4).alias("mean"))
     s = F.struct("mean", "method")
     return m.groupBy("view").agg(F.min_by("method", s).alias("lowest"), F.max_by("method", s).alias("highest"))
 
 
-@query("first_tied_beaten", f"WITH {R}, m AS (SELECT view, method, round(avg(value), 6) AS v FROM r GROUP BY 1, 2), o AS (SELECT m.view, m.v, x.v AS own FROM m JOIN m x ON m.view = x.view AND x.method = 'src0' WHERE m.method <> 'src0') SELECT view, CASE WHEN count(*) FILTER (v > own) > 0 THEN 'BEATEN' WHEN count(*) FILTER (v = own) > 0 THEN 'TIED_FIRST' ELSE 'STRICT_FIRST' END AS verdict, count(*) FILTER (v > own) AS beaten_by, round((any_value(own) - max(v)) / abs(max(v)) * 100, 4) AS gap FROM o GROUP BY view")
+@query("first_tied_beaten", f"WITH {R}, m AS (SELECT view, method, {L.mean_sql('value', 6)} AS v FROM r GROUP BY 1, 2), o AS (SELECT m.view, m.v, x.v AS own FROM m JOIN m x ON m.view = x.view AND x.method = 'src0' WHERE m.method <> 'src0') SELECT view, CASE WHEN count(*) FILTER (v > own) > 0 THEN 'BEATEN' WHEN count(*) FILTER (v = own) > 0 THEN 'TIED_FIRST' ELSE 'STRICT_FIRST' END AS verdict, count(*) FILTER (v > own) AS beaten_by, round((any_value(own) - max(v)) / abs(max(v)) * 100, 4) AS gap FROM o GROUP BY view")
 def first_tied_beaten(spark, d):
     return L.verdicts(results(spark, d), "src0")
 
 
-@query("verdict_vs_best", f"WITH {R}, m AS (SELECT view, method, round(avg(value), 4) AS v, coalesce(stddev_pop(value), 0) AS sd FROM r GROUP BY 1, 2), b AS (SELECT view, arg_max(method, (v, method)) AS best, arg_max(v, (v, method)) AS bv, arg_max(sd, (v, method)) AS bsd FROM m WHERE method <> 'src0' GROUP BY view) SELECT b.view, b.best, round((m.v - bv) / abs(bv) * 100, 3) AS gap, CASE WHEN m.v > bv THEN 'WIN' ELSE 'lose' END AS verdict, abs(m.v - bv) > (m.sd + bsd) / 2 AS sig FROM b JOIN m ON m.view = b.view AND m.method = 'src0'")
+@query("verdict_vs_best", f"WITH {R}, m AS (SELECT view, method, {L.mean_sql('value', 4)} AS v, {SD_POP} AS sd FROM r GROUP BY 1, 2), b AS (SELECT view, arg_max(method, (v, method)) AS best, arg_max(v, (v, method)) AS bv, arg_max(sd, (v, method)) AS bsd FROM m WHERE method <> 'src0' GROUP BY view) SELECT b.view, b.best, round((m.v - bv) / abs(bv) * 100, 3) AS gap, CASE WHEN m.v > bv THEN 'WIN' ELSE 'lose' END AS verdict, abs(m.v - bv) > (m.sd + bsd) / 2 AS sig FROM b JOIN m ON m.view = b.view AND m.method = 'src0'")
 def verdict_vs_best(spark, d):
-    m = results(spark, d).groupBy("view", "method").agg(F.round(F.avg("value"), 4).alias("v"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("sd"))
+    m = L.cells(results(spark, d), "view", "method").select("view", "method", F.col("rounded").alias("v"), F.col("sd_pop").alias("sd"))
     s = F.struct("v", "method")
     b = m.where("method <> 'src0'").groupBy("view").agg(F.max_by("method", s).alias("best"), F.max_by("v", s).alias("bv"), F.max_by("sd", s).alias("bsd"))
     j = b.join(m.where("method = 'src0'"), "view")
     return j.select("view", "best", F.round((F.col("v") - F.col("bv")) / F.abs("bv") * 100, 3).alias("gap"), F.when(F.col("v") > F.col("bv"), "WIN").otherwise("lose").alias("verdict"), (F.abs(F.col("v") - F.col("bv")) > (F.col("sd") + F.col("bsd")) / 2).alias("sig"))
 
 
-@query("leaderboard", f"WITH {R}, m AS (SELECT method, round(avg(value), 4) AS gain FROM r GROUP BY 1) SELECT method, gain, rank() OVER (ORDER BY gain DESC) AS place FROM m")
+@query("leaderboard", f"WITH {R}, m AS (SELECT method, {L.mean_sql('value', 4)} AS gain FROM r GROUP BY 1) SELECT method, gain, rank() OVER (ORDER BY gain DESC) AS place FROM m")
 def leaderboard(spark, d):
-    m = results(spark, d).groupBy("method").agg(F.round(F.avg("value"), 4).alias("gain"))
+    m = results(spark, d).groupBy("method").agg(L.exact_mean("value", 4).alias("gain"))
     return m.withColumn("place", F.rank().over(Window.orderBy(F.col("gain").desc())).cast("long"))
 
 
-@query("report_pivot", f"WITH {R}, m AS (SELECT method, view, round(avg(value), 3) AS v FROM r GROUP BY 1, 2) SELECT method, max(v) FILTER (view = 'de') AS de, max(v) FILTER (view = 'en') AS en, max(v) FILTER (view = 'es') AS es, max(v) FILTER (view = 'fr') AS fr FROM m GROUP BY method")
+@query("report_pivot", f"WITH {R}, m AS (SELECT method, view, {L.mean_sql('value', 3)} AS v FROM r GROUP BY 1, 2) SELECT method, max(v) FILTER (view = 'de') AS de, max(v) FILTER (view = 'en') AS en, max(v) FILTER (view = 'es') AS es, max(v) FILTER (view = 'fr') AS fr FROM m GROUP BY method")
 def report_pivot(spark, d):
-    return results(spark, d).groupBy("method").pivot("view", ["de", "en", "es", "fr"]).agg(F.round(F.avg("value"), 3))
+    return results(spark, d).groupBy("method").pivot("view", ["de", "en", "es", "fr"]).agg(L.exact_mean("value", 3))
 
 
 @query("value_conflicts", "WITH c AS (SELECT source AS method, doc_id % 2 AS seed, count(DISTINCT lang) AS \"values\", count(*) AS n FROM documents GROUP BY 1, 2) SELECT * FROM c WHERE \"values\" > 1")
@@ -116,9 +122,9 @@ def descriptive_ranks(spark, d):
     return L.descriptive_ranks(results(spark, d)).select("method", *[F.round(c, 6).alias(c) for c in ("best", "top2", "median_percentile")])
 
 
-@query("leave_one_out", f"WITH {R}, k AS (SELECT DISTINCT view FROM r) SELECT r.method, k.view AS dropped, round(avg(r.value), 4) AS mean FROM r, k WHERE r.view <> k.view AND EXISTS (SELECT 1 FROM r x WHERE x.method = r.method AND x.view = k.view) GROUP BY 1, 2")
+@query("leave_one_out", f"WITH {R}, k AS (SELECT DISTINCT view FROM r) SELECT r.method, k.view AS dropped, {L.mean_sql('r.value', 4)} AS mean FROM r, k WHERE r.view <> k.view AND EXISTS (SELECT 1 FROM r x WHERE x.method = r.method AND x.view = k.view) GROUP BY 1, 2")
 def leave_one_out(spark, d):
-    return L.leave_one_out(results(spark, d), "view").where("mean is not null").select("method", "dropped", F.round("mean", 4).alias("mean"))
+    return L.leave_one_out(results(spark, d), "view", 4).where("mean is not null").select("method", "dropped", "mean")
 
 
 SIGNS = DELTAS + ", c AS (SELECT method, count(*) FILTER (delta > 0) AS up, count(*) FILTER (delta <> 0) AS n FROM d GROUP BY 1), t AS (SELECT c.*, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1))) FROM range(0, 61) q(i) WHERE i >= up AND i <= n) / pow(2, n) AS p FROM c)"
@@ -217,9 +223,9 @@ def relative_change(spark, d):
     return deltas(spark, d).select("method", "view", "seed", F.round(c, 6).alias("change"), F.round(F.when(F.col("view") == "de", -c).otherwise(c), 6).alias("directed"))
 
 
-@query("overhead_ratio", f"WITH {R}, m AS (SELECT method, avg(value) AS t FROM r GROUP BY 1) SELECT round(max(t) FILTER (method = 'src0') / median(t) FILTER (method <> 'src0'), 5) AS ratio FROM m")
+@query("overhead_ratio", f"WITH {R}, m AS (SELECT method, {MEAN} AS t FROM r GROUP BY 1) SELECT round(max(t) FILTER (method = 'src0') / median(t) FILTER (method <> 'src0'), 5) AS ratio FROM m")
 def overhead_ratio(spark, d):
-    m = results(spark, d).groupBy("method").agg(F.avg("value").alias("t"))
+    m = L.cells(results(spark, d), "method").select("method", F.col("mean").alias("t"))
     return m.agg(F.round(F.max(F.when(F.col("method") == "src0", F.col("t"))) / F.percentile(F.when(F.col("method") != "src0", F.col("t")), F.lit(0.5)), 5).alias("ratio"))
 
 
@@ -232,9 +238,9 @@ def partial_coverage(spark, d):
     return L.rank_utility(x).select("method", "view", "seed", F.round("utility", 6).alias("utility"))
 
 
-@query("claim_match", f"WITH {R}, m AS (SELECT method, avg(value) AS v FROM r GROUP BY 1), c AS (SELECT method, v, round(v::DECIMAL(18, 6), 1) AS claim FROM m) SELECT method, round(v::DECIMAL(18, 6), 1) = claim AS matches, abs(v - claim::DOUBLE) <= 0.05001::DOUBLE AS within, rank() OVER (ORDER BY claim DESC) AS place FROM c")
+@query("claim_match", f"WITH {R}, m AS (SELECT method, {MEAN} AS v FROM r GROUP BY 1), c AS (SELECT method, v, round(v::DECIMAL(18, 6), 1) AS claim FROM m) SELECT method, round(v::DECIMAL(18, 6), 1) = claim AS matches, abs(v - claim::DOUBLE) <= 0.05001::DOUBLE AS within, rank() OVER (ORDER BY claim DESC) AS place FROM c")
 def claim_match(spark, d):
-    m = results(spark, d).groupBy("method").agg(F.avg("value").alias("v"))
+    m = L.cells(results(spark, d), "method").select("method", F.col("mean").alias("v"))
     rounded = F.round(F.col("v").cast("decimal(18,6)"), 1)
     c = m.withColumn("claim", rounded)
     return c.select("method", (rounded == F.col("claim")).alias("matches"), (F.abs(F.col("v") - F.col("claim").cast("double")) <= 0.05001).alias("within"), F.rank().over(Window.orderBy(F.col("claim").desc())).cast("long").alias("place"))
