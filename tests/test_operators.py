@@ -155,6 +155,56 @@ def test_neighbours_against_numpy(blobs, monkeypatch):
         assert [o for _, o in sorted(got[i])] == [ids[j] for j in sorted(range(len(ids)), key=lambda j: (-row[j], ids[j]))[:5]]
 
 
+def plain_neighbours(rows, k, cosine):
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    if cosine:
+        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    s = -np.round(m @ m.T, 6) if cosine else np.round(np.linalg.norm(m[:, None] - m[None], axis=2), 6)
+    out = {}
+    for a, i in enumerate(ids):
+        order = [b for b in np.lexsort((ids, s[a])) if ids[b] != i][:k]
+        out[i] = [(int(ids[b]), float(-s[a, b] if cosine else s[a, b]) + 0.0) for b in order]
+    return out
+
+
+@pytest.mark.parametrize("measure", ["cosine", "euclid"])
+@pytest.mark.parametrize("block, cell", [(1 << 16, 512), (60, 25)])
+def test_neighbours_of_copies_and_clusters_over_blocks(spark, monkeypatch, measure, block, cell):
+    for name, value in (("BLOCK", block), ("CELL_ROWS", cell), ("MANY", 3), ("SALTS", 4)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 4, (12, 5))
+    x = (middles[rng.integers(0, 12, 500)] + rng.normal(0, 0.1, (500, 5))).round(4)
+    x[:120] = x[0]  # a hot vector
+    x[120:140] = 0
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(500), x, strict=True)]
+    odd = [(9001, None), (9002, [1.0, None, 0.0, 0.0, 0.0]), (9003, [float("nan")] + [0.0] * 4)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    got: dict = {}
+    for r in N.neighbours(df, 4, "vec_id", measure=measure).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append((r["other"], r["value"]))
+    assert got == plain_neighbours(rows, 4, measure == "cosine")
+
+
+def test_far_blocks_are_not_asked(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 50)
+    monkeypatch.setattr(N, "CELL_ROWS", 10)
+    asked = []
+    made = N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: asked.append((name, out := made(df, name))) or out)
+    rng = np.random.default_rng(9)
+    x = np.repeat(np.eye(10) * 50, 50, axis=0) + rng.normal(0, 0.01, (500, 10))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert N.neighbours(df, 3, "vec_id", measure="euclid").count() == 1500
+    moved = dict(asked)["other-blocks"].count()
+    assert moved < 4 * 500  # of a dozen blocks, three or so are asked
+
+
+def test_neighbours_of_none(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert N.neighbours(none, 3, "vec_id").count() == 0 and N.neighbours(none, 3, "vec_id", measure="euclid").count() == 0
+
+
 def test_duplicates_go(spark, blobs):
     twins = blobs.unionByName(blobs.where("id % 4 = 0").withColumn("id", F.col("id") + 1000))
     kept = [r.id for r in G.kept_after_duplicates(twins, "label", "id", eps=1e-4).where("kept").collect()]
