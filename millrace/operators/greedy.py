@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import kept_after_duplicates  # noqa: F401
+
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 #: Rows that all tasks of a pass return together, beside one of each.
 SENT = 4096
@@ -119,27 +121,6 @@ def greedy_diverse(df: DataFrame, importance: str, k: int, id_col: str, vector:
     return as_frame(df, rounds(df, k, score, id_col, vector, extra=importance, falling=True), id_col)
 
 
-def kept_after_duplicates(df: DataFrame, cluster: str, id_col: str, vector: str = "embedding", eps: float = 0.05) -> DataFrame:
-    """id, kept: within each cluster, from the least like its centroid on, a row more alike than 1 - eps to a kept one is a duplicate. Clusters are bounded by how many there are."""
-
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        x = np.array(t.column("v").to_pylist(), np.float64)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        centre = x.mean(0)
-        sims = np.round(x @ (centre / max(np.linalg.norm(centre), 1e-12)), 6)
-        kept = np.zeros(len(ids), bool)
-        have = np.zeros((0, x.shape[1]))
-        for i in np.lexsort((ids, sims)):
-            if not len(have) or np.round((have @ x[i]).max(), 6) <= 1 - eps:
-                kept[i] = True
-                have = np.vstack([have, x[i]])
-        return pa.table({"id": ids, "kept": kept, "sim": sims})
-
-    rows = df.select(F.col(cluster).alias("c"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy("c").applyInArrow(run, "id long, kept boolean, sim double").withColumnRenamed("id", id_col)
-
-
 def expected_gradient_norm(df: DataFrame, id_col: str, label: str, vector: str = "embedding", heads: int = 5, steps: int = 8, rate: float = 0.5, seed: int = 0) -> DataFrame:
     """id, score: the mean last-layer gradient norm, bias included, over linear heads after a few steps of full-batch descent.
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -52,3 +53,13 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where it has fewer parts than those: a table that large reads stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Largest table, in bytes once decoded, that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, per_byte: int = 8) -> DataFrame:
+    """Hint a broadcast for a materialized table whose files, times the room for decoding, stay under BROADCAST_BYTES."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size * per_byte <= BROADCAST_BYTES else df

@@ -428,3 +428,40 @@ def test_batched_greedy_rounds_choose_as_single_ones(spark, monkeypatch):
     assert diverse == [chosen, chosen]
     everything = [r.id for r in G.k_center(df, 400, "id").collect()]
     assert sorted(everything) == sorted(own)
+
+
+def plain_scan(rows, eps):
+    """Row by row."""
+    kept = {}
+    for c in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == c]
+        x = np.array([r[2] for r in own], np.float64)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        m = x.mean(0)
+        sim = np.round(x @ (m / max(np.linalg.norm(m), 1e-12)), 6)
+        have = []
+        for i in np.lexsort(([r[0] for r in own], sim)):
+            kept[own[i][0]] = not have or np.round((x[have] @ x[i]).max(), 6) <= 1 - eps
+            if kept[own[i][0]]:
+                have.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("eps, block", [(0.02, 4096), (0.2, 64), (0.5, 40), (0.0, 64)])
+def test_scan_in_rounds_is_the_scan_row_by_row(spark, monkeypatch, eps, block):
+    from millrace.operators import scan
+
+    monkeypatch.setattr(scan, "BLOCK", block)
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (40, 4))[rng.integers(0, 40, 400)] + rng.normal(0, 0.08, (400, 4))
+    x[:130] = x[0]  # a third of all are copies
+    x[130:140] = 0
+    x[140:200] = x[140] + np.outer(np.linspace(0, 3, 60), [1, 0, 0, 0])  # a chain
+    rows = [(int(i), None if i % 5 == 0 else int(j < 200), v.round(5).tolist()) for j, (i, v) in enumerate(zip(rng.permutation(400), x, strict=True))]
+    df = spark.createDataFrame([*rows, (999, 1, None)], "id long, label int, embedding array<double>").repartition(3)
+    got = {r["id"]: r["kept"] for r in G.kept_after_duplicates(df, "label", "id", eps=eps).collect()}
+    assert got.pop(999) is True and got == plain_scan(rows, eps)
+
+
+def test_scan_of_none(spark):
+    assert G.kept_after_duplicates(spark.createDataFrame([], "id long, label int, embedding array<float>"), "label", "id").count() == 0
