@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialize, small_batches, table
 
 #: Payloads are padded with this byte to a positive multiple of this size.
 PAD, UNIT = 255, 576
@@ -147,22 +147,29 @@ def blockwise_mel(raw: np.ndarray, rate: int, up: int, down: int, size: int = 25
     return np.concatenate(parts)
 
 
-def features_of(media: bytes, up: int = 3, down: int = 4, hop: int = 128) -> dict:
-    """Everything of one clip, from its stored bytes; the same bytes give the same result."""
+def clip_features(media: bytes, up: int = 3, down: int = 4, hop: int = 128) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float]], np.ndarray, np.ndarray]:
+    """Of one clip, from its stored bytes: the mel bands of its frames, their mean, the time spans of its loud parts, the blocks of frames as float32 (blocks, frames, bands), and their time spans. The same bytes give the same result."""
     raw, rate = wav_samples(media)
     mel = blockwise_mel(raw, rate, up, down, hop=hop)
-    rate = rate * up // down
     energy = np.round(mel.mean(axis=1), 6)
     middle = float(np.median(energy))
-    second = hop / rate
+    second = hop / (rate * up // down)
     count = -(-len(mel) // FRAMES)
-    full = np.full((count * FRAMES, BANDS), -10, np.float32)
+    full = np.full((count * FRAMES, BANDS), -10, "<f4")
     full[: len(mel)] = np.round(mel, 3)
+    loud = [(a * second, b * second) for a, b in loud_spans(energy, middle + 0.05, middle - 0.05)]
+    edge = np.minimum(np.arange(count + 1) * FRAMES, len(mel)) * second
+    return mel, np.round(mel.mean(axis=0), 3).astype(np.float32), loud, full.reshape(count, FRAMES, BANDS), np.column_stack([edge[:-1], edge[1:]])
+
+
+def features_of(media: bytes, up: int = 3, down: int = 4, hop: int = 128) -> dict:
+    """clip_features as a row of audio_features."""
+    mel, mean, loud, blocks, spans = clip_features(media, up, down, hop)
     return {
         "n_frames": len(mel),
-        "mel_mean": np.round(mel.mean(axis=0), 3).astype(np.float32),
-        "segments": [{"start_s": a * second, "end_s": b * second} for a, b in loud_spans(energy, middle + 0.05, middle - 0.05)],
-        "tensors": [{"start_s": i * FRAMES * second, "end_s": min((i + 1) * FRAMES, len(mel)) * second, "values": full[i * FRAMES : (i + 1) * FRAMES].astype("<f4").tobytes()} for i in range(count)],
+        "mel_mean": mean,
+        "segments": [{"start_s": a, "end_s": b} for a, b in loud],
+        "tensors": [{"start_s": a, "end_s": b, "values": block.tobytes()} for block, (a, b) in zip(blocks, spans.tolist(), strict=True)],
     }
 
 
@@ -178,57 +185,81 @@ def encode_audio(df: DataFrame, payload_col: str, out: str = "media", rate: int
     return df.withColumn(out, F.concat(F.lit(fixed[:4]), little(n + 36), F.lit(fixed[8:40]), little(n), data))
 
 
-def audio_features(df: DataFrame, media_col: str = "media") -> DataFrame:
+def audio_features(df: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
     """Read the stored clips back and compute features, one row per row of df.
 
     Adds samples (the clip's bytes as read), n_frames, mel_mean, segments (time spans of loud parts,
     by hysteresis), tensors: blocks of 64 frames by 24 bands, float32, the last one filled with
     -10, each with its time span; and tensor_ipc: the same blocks as stored, an Arrow stream whose
-    column mel is of the fixed-shape tensor type, beside start_s and end_s. These replace columns of
+    column mel is of the fixed-shape tensor type, beside start_s and end_s. Without `tensors` the
+    blocks come as tensor_ipc alone. These replace columns of
     their names in df. The clip must be an 8-bit mono WAV; a null clip gives nulls. No shuffle; each
     row stands alone, so a lost executor only repeats its own rows. A clip is worked on in blocks of
     frames: beyond its bytes and its features, little is held.
     """
     small_batches(df.sparkSession)
-    schema = pa.schema([("samples", pa.binary()), ("n_frames", pa.int32()), ("mel_mean", pa.list_(pa.float32())), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))), ("tensors", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("values", pa.binary())]))), ("tensor_ipc", pa.binary())])
-    columns = [c for c in df.columns if c not in schema.names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for clip in batch.column("clip_"):
-                media = clip.as_py()
-                if media is None:
-                    rows.append({})
-                    continue
-                made = features_of(media)
-                rows.append({"samples": wav_samples(media)[0].tobytes(), **made, "tensor_ipc": tensor_stream(made["tensors"])})
-            made = pa.Table.from_pylist(rows, schema=schema).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(made.column(c).combine_chunks() if made.num_rows else pa.array([], schema.field(c).type) for c in schema.names)], names=[*columns, *schema.names])
-
     from pyspark.sql import types as T
 
-    out = T.StructType([*(df.schema[c] for c in columns), T.StructField("samples", T.BinaryType()), *T.StructType.fromDDL(FEATURES).fields, T.StructField("tensor_ipc", T.BinaryType())])
-    return df.select(*columns, F.col(media_col).alias("clip_")).mapInArrow(run, out)
+    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+    added = {f.name: f for f in [T.StructField("samples", T.BinaryType()), *T.StructType.fromDDL(FEATURES).fields, T.StructField("tensor_ipc", T.BinaryType())]}
+    columns = [c for c in df.columns if c not in added]
+    names = [c for c in added if tensors or c != "tensors"]
+    given = [f"given{i}" for i in range(len(columns))]  # names that can't clash, whatever df's are
+
+    def listed(parts: list, of: pa.Array) -> pa.Array:
+        """One list for each part, null for None, over their elements in a row."""
+        offsets = np.concatenate([[0], np.cumsum([0 if p is None else len(p) for p in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), of, mask=pa.array([p is None for p in parts], pa.bool_()))
 
+    def spans_of(parts: list) -> list[pa.Array]:
+        flat = np.array([x for p in parts if p is not None for x in p], np.float64).reshape(-1, 2)
+        return [pa.array(flat[:, 0]), pa.array(flat[:, 1])]
 
-def tensor_columns(tensors: list[dict]) -> dict[str, pa.Array]:
-    """start_s, end_s and mel, the last of the fixed-shape tensor type."""
-    data = np.frombuffer(b"".join(t["values"] for t in tensors), "<f4")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clips = batch.column("clip").to_pylist()
+            made = [None if c is None else clip_features(c) for c in clips]
+            of = lambda f: [None if m is None else f(m) for m in made]
+            means, loud, blocks, spans = of(lambda m: m[1]), of(lambda m: m[2]), of(lambda m: m[3]), of(lambda m: m[4])
+            out = {
+                "samples": pa.array([None if c is None else wav_samples(c)[0].tobytes() for c in clips], pa.binary()),
+                "n_frames": pa.array(of(lambda m: len(m[0])), pa.int32()),
+                "mel_mean": listed(means, pa.array(np.concatenate([np.zeros(0, np.float32), *(m for m in means if m is not None)]), pa.float32())),
+                "segments": listed(loud, pa.StructArray.from_arrays(spans_of(loud), fields=list(span))),
+                "tensor_ipc": pa.array([None if b is None else tensor_stream(b, s) for b, s in zip(blocks, spans, strict=True)], pa.binary()),
+            }
+            if tensors:
+                values = pa.array([b.tobytes() for m in blocks if m is not None for b in m], pa.binary())
+                out["tensors"] = listed(spans, pa.StructArray.from_arrays([*spans_of(spans), values], fields=[*span, pa.field("values", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), *(out[n] for n in names)], names=[*given, *names])
+
+    schema = T.StructType([*(T.StructField(g, df.schema[c].dataType) for g, c in zip(given, columns, strict=True)), *(added[n] for n in names)])
+    plain = df.select(*[F.col(f"`{c}`").alias(g) for g, c in zip(given, columns, strict=True)], F.col(f"`{media_col}`").alias("clip"))
+    return plain.mapInArrow(run, schema).toDF(*columns, *names)
+
+
+def tensor_columns(blocks: np.ndarray, spans: np.ndarray) -> dict[str, pa.Array]:
+    """start_s, end_s and mel, the last of the fixed-shape tensor type, of blocks (n, frames, bands) and their spans (n, 2)."""
     kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS), dim_names=("frame", "band"))
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(data, pa.float32()), FRAMES * BANDS)
-    return {"start_s": pa.array([t["start_s"] for t in tensors], pa.float64()), "end_s": pa.array([t["end_s"] for t in tensors], pa.float64()), "mel": pa.ExtensionArray.from_storage(kind, storage)}
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(blocks.ravel(), pa.float32()), FRAMES * BANDS)
+    return {"start_s": pa.array(spans[:, 0]), "end_s": pa.array(spans[:, 1]), "mel": pa.ExtensionArray.from_storage(kind, storage)}
 
 
-def tensor_stream(tensors: list[dict]) -> bytes:
-    """The tensors of one clip as an Arrow IPC stream."""
-    made = pa.table(tensor_columns(tensors))
+def tensor_stream(blocks: np.ndarray | list[dict], spans: np.ndarray | None = None) -> bytes:
+    """The tensors of one clip as an Arrow IPC stream; also from the rows of the column tensors."""
+    made = pa.table(tensor_columns(*(unpacked(blocks) if spans is None else (blocks, spans))))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, made.schema) as writer:
         writer.write_table(made)
     return sink.getvalue().to_pybytes()
 
 
+def unpacked(tensors: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and spans of rows of the column tensors."""
+    blocks = np.frombuffer(b"".join(t["values"] for t in tensors), "<f4").reshape(-1, FRAMES, BANDS)
+    return blocks, np.array([(t["start_s"], t["end_s"]) for t in tensors], np.float64).reshape(-1, 2)
+
+
 def tensors_in(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Values (tensors, frames, bands) and time spans (tensors, 2) of a stored stream."""
     made = pa.ipc.open_stream(stream).read_all().combine_chunks()
@@ -239,7 +270,7 @@ def tensors_in(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
 def tensor_table(rows: list[dict]) -> pa.Table:
     """Collected rows of audio_features (doc_id, tensors) as an Arrow table with a fixed-shape tensor column."""
     flat = [(r["doc_id"], t) for r in rows for t in r["tensors"]]
-    return pa.table({"doc_id": pa.array([k for k, _ in flat], pa.int64()), **tensor_columns([t for _, t in flat])})
+    return pa.table({"doc_id": pa.array([k for k, _ in flat], pa.int64()), **tensor_columns(*unpacked([t for _, t in flat]))})
 
 
 def write_tensors(df: DataFrame, path: str) -> DataFrame:
@@ -263,7 +294,9 @@ def write_tensors(df: DataFrame, path: str) -> DataFrame:
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
+    """All documents' bytes as clips, written as a table and read back, with their features and tensors."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), padded(F.col("text")).alias("payload"))
-    made = audio_features(encode_audio(docs, "payload").drop("payload"))
+    stored = materialize(encode_audio(docs, "payload").drop("payload"), "media")
+    made = audio_features(stored, tensors=False)
     feature = F.concat_ws(";", F.concat_ws(",", F.transform("mel_mean", lambda v: F.format_string("%.3f", v))), F.concat_ws(",", F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start_s"], s["end_s"]))), F.sha2("tensor_ipc", 256))
-    return made.select("doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return made.select("doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "tensor_ipc")

@@ -698,6 +698,24 @@ def test_media_columns_of_clashing_names(spark, odd):
     got = media.audio_features(media.encode_audio(docs, "media"))
     assert got.columns == ["doc_id", "media", "samples", "n_frames", "mel_mean", "segments", "tensors", "tensor_ipc"]
     assert all(len(r.samples) == 576 for r in got.collect())
+    plain = media.encode_audio(odd.select("doc_id", F.lit("x").alias("clip"), F.lit(1).alias("clip_"), F.lit(2).alias("a.b"), media.padded(F.col("text")).alias("payload")), "payload")
+    short = media.audio_features(plain.drop("payload"), tensors=False)
+    assert short.columns == ["doc_id", "clip", "clip_", "a.b", "media", "samples", "n_frames", "mel_mean", "segments", "tensor_ipc"]
+    assert {r.clip_ for r in short.collect()} == {1}
+
+
+def test_null_clips_give_nulls(spark):
+    clip = media.wav_header(576, 16000) + b"a" * 576
+    got = media.audio_features(spark.createDataFrame([(1, None), (2, clip), (3, None)], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [r.n_frames is None for r in got] == [True, False, True] and [r.tensors is None for r in got] == [True, False, True] and got[0].tensor_ipc is None and got[2].mel_mean is None
+    values, spans = media.tensors_in(got[1].tensor_ipc)
+    assert values.tobytes() == b"".join(t["values"] for t in got[1].tensors) and len(spans) == len(got[1].tensors)
+
+
+def test_media_query_gives_its_tensors(spark):
+    for r in media.op9_query(spark, SMALL).limit(20).collect():
+        values, spans = media.tensors_in(r.tensor_ipc)
+        assert values.shape[1:] == (media.FRAMES, media.BANDS) and len(values) == len(spans) and r.feature.endswith(hashlib.sha256(r.tensor_ipc).hexdigest())
 
 
 def test_mel_and_spans():
