@@ -1,4 +1,11 @@
-"""Line dedup over content-defined chunks of lines, with DataFrame functions only."""
+"""Line dedup over content-defined chunks of lines, with DataFrame functions only.
+
+A chunk is two lines. Where chunks begin is chosen by the rolling hash of the two: everywhere but where
+it is higher than at the places beside it. Of any two places in a row one is chosen, by the lines there
+alone, so a run of three lines or more that repeats anywhere holds the same chunks, and they overlap or
+touch. Chunks that repeat are compared by their bytes, and each match takes in the line before and the
+line after where those are the same too: that reaches the ends of the run.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, table
 
-#: Lines that the rolling hash looks at, its base, and the mean number of lines between boundaries.
-WINDOW, BASE, MEAN = 2, 31, 3
+#: Lines of a chunk, and the base of the rolling hash.
+WINDOW, BASE = 2, 31
 
 
 def line_hash(line: Column) -> Column:
@@ -16,34 +23,37 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def chunk_ends(hashes: Column, window: int = WINDOW, base: int = BASE, mean: int = MEAN) -> Column:
-    """After which lines (from 1) a chunk ends: where the rolling hash over the last lines is 0 modulo `mean`, and at the end.
+def chunk_starts(hashes: Column) -> Column:
+    """Before which lines (from 0) a chunk begins: all places of two lines but those whose rolling hash is above that of the place before and no less than that of the place after. At the ends of a text a missing neighbour counts as higher before and as lower after; a text of two lines is one chunk.
 
-    The hash of a place sees only the lines of its window, so lines put in or taken out elsewhere move
-    no boundary.
+    The hash of a place sees only its own lines, so lines put in or taken out elsewhere move no chunk.
     """
 
-    def ends(i: Column) -> Column:
-        rolled = sum((F.coalesce(F.get(hashes, i - 1 - j), F.lit(0)) * base**j for j in range(window)), F.lit(0))
-        return (i == F.size(hashes)) | (rolled % mean == 0)
+    def rolled(i: Column) -> Column:
+        return F.get(hashes, i) + F.get(hashes, i + 1) * BASE
 
-    return F.filter(F.sequence(F.lit(1), F.size(hashes)), ends)
+    n = F.size(hashes) - 1
+    chosen = lambda i: (n == 1) | ((i > 0) & (rolled(i) <= rolled(i - 1))) | ((i + 1 < n) & (rolled(i) < rolled(i + 1)))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: F.coalesce(chosen(i), F.lit(False)))
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """Chunks of two lines or more, from (doc_id, of, text): doc_id, of, first (lines before it), last, chunk."""
+    """Chunks from (doc_id, of, text): doc_id, of, first (lines before it), chunk, before and after (the lines beside it, or null)."""
     lines = rows.where("text is not null").withColumn("lines", F.split("text", "\n", -1)).drop("text")
-    cut = lines.withColumn("hashes", F.transform("lines", line_hash)).withColumn("ends", chunk_ends(F.col("hashes")))
-    spans = F.transform("ends", lambda e, i: F.struct(F.coalesce(F.get(F.col("ends"), i - 1), F.lit(0)).alias("first"), e.alias("last")))
-    one = cut.select("doc_id", "of", "lines", F.explode(F.filter(spans, lambda s: s["last"] - s["first"] > 1)).alias("s"))
-    return one.select("doc_id", "of", "s.first", "s.last", F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first")), "\n").alias("chunk"))
+    cut = lines.withColumn("hashes", F.transform("lines", line_hash)).withColumn("starts", chunk_starts(F.col("hashes")))
+    one = cut.select("doc_id", "of", "lines", F.explode("starts").alias("first"))
+    line = lambda i: F.get("lines", F.col("first") + i)
+    return one.select("doc_id", "of", "first", F.concat(line(0), F.lit("\n"), line(1)).alias("chunk"), line(-1).alias("before"), line(2).alias("after"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, of (a hash of the text), spans: the chunks of each document that repeat an earlier one, byte for byte.
+    """doc_id, of (a hash of the text), spans: the lines of each document that repeat an earlier place, byte for byte.
 
     Hashes of all chunks are counted first; only texts of chunks whose hash repeats move, to be grouped
-    by their bytes. The earliest by (doc_id, of, first) stays, a null doc_id coming last. Groups are reduced before each shuffle,
+    by their bytes. The earliest by (doc_id, of, first) stays, a null doc_id coming last; every other one
+    goes, with the line beside it on either side that is the same there. In its own document nothing of
+    the earliest chunk goes. Groups are reduced before each shuffle,
     and the joins are broadcasts of checked size or ones that Spark may split, so a chunk that a third
     of all documents share meets in no task of its own.
     """
@@ -51,17 +61,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = chunks(rows).withColumn("sign", F.xxhash64("chunk"))
     signs = materialize(cut.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1").select("sign"), "line-signs")
     some = materialize(cut.join(broadcast_if_small(signs), "sign", "left_semi"), "line-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of", "first")
-    groups = materialize(some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("earliest")).where("n > 1").drop("n"), "line-groups")
-    later = some.join(groups, ["sign", "chunk"]).where(~place.eqNullSafe(F.col("earliest")))
-    return materialize(later.groupBy("doc_id", "of").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")), "line-spans")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "of", "first", "before", "after")
+    groups = materialize(some.groupBy("sign", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("e")).where("n > 1").drop("n"), "line-groups")
+    here = F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("of") == F.col("e.of"))
+    later = some.join(groups, ["sign", "chunk"]).where(~here | (F.col("first") >= F.col("e.first") + WINDOW))
+    back = F.when((F.col("before") == F.col("e.before")) & (~here | (F.col("first") > F.col("e.first") + WINDOW)), 1).otherwise(0)
+    on = F.when(F.col("after") == F.col("e.after"), 1).otherwise(0)
+    span = F.struct((F.col("first") - back).alias("first"), (F.col("first") + WINDOW + on).alias("last"))
+    return materialize(later.groupBy("doc_id", "of").agg(F.array_sort(F.collect_set(span)).alias("spans")), "line-spans")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_out: str | None = None, removed_out: str | None = None) -> DataFrame:
-    """docs with the repeated multi-line chunks taken out of the text, and counts of lines and removed lines where names are given.
+    """docs with the repeated runs of lines taken out of the text, and counts of lines and removed lines where names are given.
 
     All rows stay: a text whose lines all go becomes empty; a null text stays null, with 0 lines. Lines
-    are parted by \\n, and an empty text is one empty line. Chunks of one line are never removed. Rows
+    are parted by \\n, and an empty text is one empty line. A line that repeats by itself is never removed. Rows
     that repeat an id and text are treated alike; rows that only share an id are kept apart by their
     text; a null id counts as larger than any other. Other columns of docs pass through, whatever
     their names.
@@ -72,9 +86,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k_id, k_text = (F.col(f"k{names.index(c)}") for c in (id_col, text_col))
     joined = mine.join(spans, k_id.eqNullSafe(F.col("doc_id")) & (F.col("now") == F.col("of")), "left")
     lines = F.split(k_text, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i < s["last"])))
+    gone = lambda i: F.exists("spans", lambda s: (i >= s["first"]) & (i < s["last"]))
+    kept = F.filter(lines, lambda _, i: ~gone(i))
     text = F.when(F.col("spans").isNull(), k_text).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, s: a + s["last"] - s["first"]), F.lit(0)).cast("long")
+    removed = F.when(F.col("spans").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     total = F.when(k_text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = [text.alias(c) if c == text_col else F.col(f"k{i}").alias(c) for i, c in enumerate(names)]
     return joined.select(*out, *([total.alias(lines_out)] if lines_out else []), *([removed.alias(removed_out)] if removed_out else []))
@@ -88,14 +103,14 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 h AS (SELECT doc_id, ls, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 7))::BIGINT) AS hs FROM d WHERE text IS NOT NULL),
-e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (hs[i] + coalesce(CASE WHEN i > 1 THEN hs[i - 1] END, 0) * 31) % 3 = 0) AS ends FROM h),
-p AS (SELECT doc_id, ls, ends, unnest(range(1, len(ends) + 1)) AS k FROM e),
-c AS (SELECT doc_id, CASE WHEN k > 1 THEN ends[k - 1] ELSE 0 END AS first, ends[k] AS last, ls FROM p),
-t AS (SELECT doc_id, first, last, array_to_string(ls[first + 1 : last], chr(10)) AS chunk FROM c WHERE last - first > 1),
-r AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) AS n FROM t) WHERE n > 1),
-s AS (SELECT doc_id, list(struct_pack(first := first, last := last)) AS spans, sum(last - first)::BIGINT AS n_removed FROM r GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE
-        coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: len(list_filter(s.spans, lambda x: i > x.first AND i <= x.last)) = 0), lambda i: ls[i]), chr(10)), '') END AS text,
+r AS (SELECT doc_id, ls, len(ls) - 1 AS n, list_transform(range(1, len(ls)), lambda i: hs[i] + 31 * hs[i + 1]) AS rs FROM h),
+p AS (SELECT doc_id, ls, unnest(list_filter(range(1, n + 1), lambda i: n = 1 OR (i > 1 AND rs[i] <= rs[i - 1]) OR (i < n AND rs[i] < rs[i + 1]))) AS i FROM r),
+t AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] AS chunk, CASE WHEN i > 1 THEN ls[i - 1] END AS before, CASE WHEN i + 2 <= len(ls) THEN ls[i + 2] END AS after FROM p),
+e AS (SELECT *, first_value(doc_id) OVER w AS e_doc, first_value(i) OVER w AS e_i, first_value(before) OVER w AS e_before, first_value(after) OVER w AS e_after FROM t WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, i)),
+g AS (SELECT doc_id, i - CASE WHEN before = e_before AND (doc_id <> e_doc OR i > e_i + 2) THEN 1 ELSE 0 END AS lo, i + 1 + CASE WHEN after = e_after THEN 1 ELSE 0 END AS hi FROM e WHERE doc_id <> e_doc OR i >= e_i + 2),
+x AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS line FROM g),
+s AS (SELECT doc_id, list(line) AS gone, count(*) AS n_removed FROM x GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(s.gone, i)), lambda i: ls[i]), chr(10)), '') END AS text,
     coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(s.n_removed, 0) AS n_removed
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """

@@ -127,22 +127,43 @@ def test_lines_of_odd_documents(spark, odd, none):
 
 
 def brute_lines(rows):
-    """Text without the chunks of two lines or more that an earlier document, or place, has."""
-    cut = []
+    """Text without the lines of content-defined chunks that an earlier place has, and the same lines beside them."""
+    first, found = {}, []
     for k, t in sorted(rows):
-        ls, start = t.split("\n"), 0
+        ls = t.split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
-        for i in range(len(ls)):
-            if i + 1 == len(ls) or (h[i] + 31 * (h[i - 1] if i else 0)) % 3 == 0:
-                cut.append((k, start, ls[start : i + 1]))
-                start = i + 1
-    seen, out = set(), {k: [] for k, _ in rows}
-    for k, _, ls in cut:
-        if len(ls) < 2 or tuple(ls) not in seen:
-            out[k] += ls
-        if len(ls) > 1:
-            seen.add(tuple(ls))
-    return {k: "\n".join(ls) for k, ls in out.items()}
+        r = [a + 31 * b for a, b in zip(h, h[1:])]
+        for i in range(len(r)):
+            if len(r) == 1 or (i and r[i] <= r[i - 1]) or (i + 1 < len(r) and r[i] < r[i + 1]):
+                source = first.setdefault((ls[i], ls[i + 1]), (k, i))
+                found.append((k, i, *source))
+    texts, gone = {k: t.split("\n") for k, t in rows}, {k: set() for k, _ in rows}
+    for k, i, of, j in found:
+        if k != of or i >= j + 2:
+            a, b = texts[k], texts[of]
+            gone[k] |= {i, i + 1}
+            if i and j and a[i - 1] == b[j - 1] and (k != of or i > j + 2):
+                gone[k].add(i - 1)
+            if i + 2 < len(a) and j + 2 < len(b) and a[i + 2] == b[j + 2]:
+                gone[k].add(i + 2)
+    return {k: "\n".join(x for i, x in enumerate(ls) if i not in gone[k]) for k, ls in texts.items()}
+
+
+@pytest.mark.parametrize("length", [3, 4, 6, 10])
+def test_repeated_runs_of_lines_go_whole(spark, length):
+    """Runs in other surroundings: every line of a run of three or more goes, and nothing else."""
+    rng = np.random.default_rng(length)
+    runs = [[f"shared {length} {j} {i} {rng.integers(10**6)}" for i in range(length)] for j in range(60)]
+    own = lambda k, n: [f"own {k} {i} {rng.integers(10**6)}" for i in range(n)]
+    rows = [(j, "\n".join(own(j, 3) + run + own(j, 2))) for j, run in enumerate(runs)] + [(100 + j, "\n".join(own(100 + j, j % 4) + run + own(200 + j, j % 3))) for j, run in enumerate(runs)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), removed_out="gone").collect()}
+    assert all(got[j].gone == 0 for j in range(60)) and all(got[100 + j].gone == length for j in range(60))
+    assert not any("shared" in got[100 + j].text for j in range(60))
+
+
+def test_lines_that_repeat_themselves_leave_the_first_chunk(spark):
+    got = lines.dedup_lines(spark.createDataFrame([(1, "\n".join(["same"] * 10)), (2, "x\ny"), (3, "x\ny"), (4, "x")], "doc_id long, text string"), removed_out="gone").orderBy("doc_id").collect()
+    assert [(r.text, r.gone) for r in got] == [("same\nsame\nsame", 7), ("x\ny", 0), ("", 2), ("x", 0)]
 
 
 def test_lines_of_a_null_id_are_the_later_ones(spark):
