@@ -465,3 +465,34 @@ def test_scan_in_rounds_is_the_scan_row_by_row(spark, monkeypatch, eps, block):
 
 def test_scan_of_none(spark):
     assert G.kept_after_duplicates(spark.createDataFrame([], "id long, label int, embedding array<float>"), "label", "id").count() == 0
+
+
+@pytest.mark.parametrize("bins, few", [(4096, 4096), (8, 3)])
+def test_order_statistics_are_exact(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(O, "BINS", bins)
+    monkeypatch.setattr(O, "FEW_VALUES", few)
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(0, 1, 600), np.round(rng.random(600), 1)
+    a[:5] = [1e308, -1e308, 1e-300, 0.0, -0.0]
+    rows = [(i, float(x), None if i % 7 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "i long, a double, b double").repartition(5)
+    asked = [("a", 0.0), ("a", 0.25), ("a", 0.501), ("a", 1.0), ("b", 0.25), ("b", 0.333), ("b", 0.99)]
+    want = df.agg(*[F.percentile(c, F.lit(q)).alias(f"q{i}") for i, (c, q) in enumerate(asked)]).first()
+    assert O.quantiles(df, asked) == list(want)
+    assert O.quantiles(df.where("false"), [("a", 0.5)]) == [None]
+    far = [2**62 + int(x) for x in rng.permutation(500)] + [-(2**62)]
+    ids = spark.createDataFrame([(x,) for x in far], "i long")
+    assert [t.low for t in O.placed_values(ids, [O.Target(F.col("i"), p) for p in (0, 1, 250, 500, 501)])] == [sorted(far)[p] for p in (0, 1, 250, 500)] + [None]
+
+
+def test_many_top_k_in_a_few_passes(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), float(x), float(y)) for i, x, y in zip(rng.permutation(400), np.round(rng.random(400), 1), rng.random(400), strict=True)]
+    df = spark.createDataFrame([*rows, (1000, None, 0.5)], "id long, a double, b double").repartition(4)
+    scores = [F.col("a"), F.col("b"), F.col("a") + F.col("b"), F.lit(1.0), F.col("b")]
+    among = [F.lit(True), F.lit(True), F.col("b") > 0.3, F.lit(True), F.col("id") < 20]
+    for k in (0, 1, 37, 399, 5000):
+        marks = O.top_k_marks(df, scores, k, "id", among)
+        for s, c, m in zip(scores, among, marks, strict=True):
+            want = {r["id"] for r in S.by_score(df.where(c).withColumn("s", s).where("s is not null"), "s", k, "id").collect()}
+            assert {r["id"] for r in df.where(m).collect()} == want
