@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.randomness import gumbel, uniform
+from millrace.sources.tables import materialize
 
 from .order import global_rank, minmax, quantile_gate, running_sum, top_k
 
@@ -190,6 +192,43 @@ def interleave(df: DataFrame, domain: str, shares: dict[str, float], k: int, id_
     return top_k(turned, k, F.round("due", 6).asc(), F.col(domain).asc(), F.col(id_col).asc())
 
 
+def due_prefixes(sizes: dict[str, int], shares: dict[str, float], k: int) -> dict[str, int]:
+    """How many rows of each domain, first to last, `interleave` takes: its order runs through turn / share, rounded, and then the domain, so what it takes of a domain is a beginning of it. Found by halving the due time, without a row."""
+    share = {n: Decimal(max(float(shares[n]), 1e-12)) for n in sizes if shares.get(n) is not None}
+    due = lambda n, turn: int(Decimal(repr(turn / float(share[n]))).quantize(Decimal("1e-6"), ROUND_HALF_UP).scaleb(6))
+
+    def upto(n: str, time: int) -> int:
+        lo, hi = 0, sizes[n]
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if due(n, mid) <= time else (lo, mid - 1)
+        return lo
+
+    if k >= sum(sizes[n] for n in share):
+        return {n: sizes[n] for n in share}
+    lo, hi = -1, max((due(n, sizes[n]) for n in share if sizes[n]), default=0)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if sum(upto(n, mid) for n in share) >= k else (mid, hi)
+    out = {n: upto(n, hi - 1) for n in share}
+    for n in sorted(share, key=lambda n: n.encode()):
+        more = min(upto(n, hi) - out[n], k - sum(out.values()))
+        out[n] += max(more, 0)
+    return out
+
+
+def interleaves(df: DataFrame, domain: str, mixtures: list[dict[str, float]], k: int, id_col: str) -> tuple[DataFrame, list[Column]]:
+    """For many mixtures what `interleave` takes for each: the rows ranked once within their domains, and a condition for each mixture. Domains are few enough to name in a mixture."""
+    turned = materialize(global_rank(df, F.col(id_col).asc(), out="turn_", by=domain), "turned")
+    sizes = {r[0]: r["n"] for r in turned.where(F.col(domain).isNotNull()).groupBy(domain).agg(F.count("*").alias("n")).collect()}
+    marks = []
+    for m in mixtures:
+        upto = due_prefixes(sizes, m, k)
+        held = F.create_map(*[x for n, t in upto.items() for x in (F.lit(n), F.lit(t))]) if upto else F.create_map(F.lit(""), F.lit(0))
+        marks.append(F.coalesce(F.col("turn_") <= F.element_at(held, F.col(domain)), F.lit(False)))
+    return turned, marks
+
+
 def votes(selections: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:
     """Weight of the votes for each id, from rows (method, id)."""
     w = F.create_map(*[x for n, v in weights.items() for x in (F.lit(n), F.lit(float(v)))])

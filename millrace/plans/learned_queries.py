@@ -79,7 +79,8 @@ def regmix_mixture(spark, d):
     names = [str(r[0]) for r in pool.select("label").distinct().orderBy("label").collect()]
     p = materialize(pool.withColumn("domain", F.col("label").cast("string")), "regmix")
     k = p.count() // 3
-    best = L.mixture_by_regression(names, lambda w: gain(S.interleave(p, "domain", w, k, "vec_id")), probes=max(12, len(names) + 1))
+    probed = L.Together(lambda mixtures: L.rated_marks(gain, *S.interleaves(p, "domain", mixtures, k, "vec_id"), "vec_id"))
+    best = L.mixture_by_regression(names, probed, probes=max(12, len(names) + 1))
     return spark.createDataFrame(sorted(best.items()), "domain string, share double")
 
 

@@ -496,3 +496,53 @@ def test_many_top_k_in_a_few_passes(spark):
         for s, c, m in zip(scores, among, marks, strict=True):
             want = {r["id"] for r in S.by_score(df.where(c).withColumn("s", s).where("s is not null"), "s", k, "id").collect()}
             assert {r["id"] for r in df.where(m).collect()} == want
+
+
+def plain_gain(pool, val, ids):
+    """Accuracy of the nearest mean, label by label."""
+    by = {}
+    for i, y, v in pool:
+        if i in ids:
+            by.setdefault(y, []).append(v)
+    means = {y: np.mean(v, 0) for y, v in by.items()}
+    said = [min(means, key=lambda y: (round(float(((np.array(v) - means[y]) ** 2).sum()), 9), y)) if means else None for _, _, v in val]
+    return float(np.mean([a == y for a, (_, y, _) in zip(said, val, strict=True)])) if means else 0.0
+
+
+def test_gains_of_many_selections_in_one_scan(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, "abc"[i % 3], (rng.normal(0, 1, 4) + (i % 3)).round(3).tolist()) for i in range(200)]
+    pool, val = rows[:140], rows[140:]
+    frame = lambda r: spark.createDataFrame(r, "id long, label string, embedding array<double>").repartition(3)
+    gain = L.centroid_gain(frame(pool), frame(val), "id", "label")
+    sets = [set(rng.choice(140, n, replace=False).tolist()) for n in (5, 30, 90)] + [set(), {3}]
+    frames = [spark.createDataFrame([(i,) for i in s], "id long") for s in sets]
+    want = [plain_gain(pool, val, s) for s in sets]
+    assert np.allclose(gain.many(frames), want) and np.isclose(gain(frames[1]), want[1])
+    marks = [F.col("id").isin(list(s)) if s else F.lit(False) for s in sets]
+    assert np.allclose(gain.marked(frame(pool), marks), want)
+
+
+def test_interleaving_many_mixtures_is_each_of_them(spark):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(int(i), "abcd"[rng.integers(0, 4)]) for i in rng.permutation(300)], "id long, dom string")
+    mixtures = [{"a": 0.5, "b": 0.25, "c": 0.25, "d": 0.0}, {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}, {"a": 0.25, "b": 0.25, "c": 0.25, "d": 0.25}]
+    for k in (1, 50, 299, 400):
+        rows, marks = S.interleaves(df, "dom", mixtures, k, "id")
+        for m, mark in zip(mixtures, marks, strict=True):
+            assert {r["id"] for r in rows.where(mark).collect()} == {r["id"] for r in S.interleave(df, "dom", m, k, "id").collect()}
+
+
+def test_jobs_of_the_controller_do_not_grow_with_the_grid(spark, blobs):
+    pool = blobs.withColumn("a", F.col("embedding")[0].cast("double")).withColumn("b", F.col("embedding")[1].cast("double"))
+    gain = L.centroid_gain(pool, blobs, "id", "label")
+    few, many = [(1.0, 0.0), (0.0, 1.0)], [(float(w), 1 - float(w)) for w in np.linspace(0, 1, 12)]
+    jobs, choices = [], []
+    for n, grid in enumerate((few, many)):
+        spark.sparkContext.setJobGroup(f"control{n}", "")
+        choices.append(C.control(pool, ["a", "b"], 20, gain, "id", weights=grid, cheap=gain))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"control{n}")))
+        spark.sparkContext.setJobGroup("other", "")
+    assert len(choices[0].leaderboard) == len(choices[1].leaderboard) + 0 and jobs[1] <= jobs[0] + 6
+    plain = C.control(pool, ["a", "b"], 20, lambda ids: gain(ids), "id", weights=many, cheap=lambda ids: gain(ids))
+    assert [(n, round(g, 9)) for n, g in plain.leaderboard] == [(n, round(g, 9)) for n, g in choices[1].leaderboard] and plain.chosen.name == choices[1].chosen.name
