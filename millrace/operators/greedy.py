@@ -95,16 +95,92 @@ def k_center(df: DataFrame, k: int, id_col: str, vector: str = "embedding", seed
     return as_frame(df, rounds(df, k, score, id_col, vector, seeds=seeds, falling=True), id_col)
 
 
+#: Bytes of vectors that the driver foresees herding's choices among, and choices that a pass checks at once.
+POOL_BYTES, FORESEEN = 32 << 20, 64
+
+
 def herding(df: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
-    """Rows that keep the mean of the chosen nearest to the mean of all."""
+    """Rows that keep the mean of the chosen nearest to the mean of all.
+
+    The driver foresees the next choices among a bounded pool of rows and a pass checks all of them: for
+    each, given those before it, tasks say which row is really best. Choices count up to the first that
+    was foreseen wrongly, for which the pass has told the right one. The order is that of one row a
+    pass; where the pool holds all rows, there is one pass.
+    """
     n = len(df.select(vector).first()[0])
     target = np.array(df.agg(*[F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(n)]).first(), np.float64)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).persist()
+    try:
+        return as_frame(df, _herded(rows, min(k, rows.count()), target), id_col)
+    finally:
+        rows.unpersist()
 
-    def score(x: np.ndarray, e: np.ndarray, have: np.ndarray, t: int) -> np.ndarray:
-        running = have.sum(0) if len(have) else np.zeros(x.shape[1])
-        return -np.linalg.norm((running + x) / (t + 1) - target, axis=1)
 
-    return as_frame(df, rounds(df, k, score, id_col, vector), id_col)
+def _far(x: np.ndarray, running: np.ndarray, t: int, target: np.ndarray) -> np.ndarray:
+    """Rounded distance of the mean of all to that of t chosen rows, with this sum, and each row."""
+    return np.round(np.linalg.norm((running + x) / (t + 1) - target, axis=1), 6)
+
+
+def _herded(rows: DataFrame, k: int, target: np.ndarray) -> list[tuple[int, float]]:
+    room = max(1, POOL_BYTES // (8 * len(target)))
+    ids, pool = np.zeros(0, np.int64), np.zeros((0, len(target)))
+    tasks = rows.select(F.spark_partition_id().alias("part")).agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    chosen: list[tuple[int, float]] = []
+    running, whole = np.zeros(len(target)), False
+    while len(chosen) < k:
+        t, taken = len(chosen), np.array([i for i, _ in chosen], np.int64)
+        # what would come next if the pool were all there is
+        free = ~np.isin(ids, taken)
+        at_ids, at, ahead, sums = ids[free], pool[free], [], [running]
+        while len(ahead) < min(FORESEEN if not whole else k, k - t) and len(at_ids):
+            far = _far(at, sums[-1], t + len(ahead), target)
+            best = np.lexsort((at_ids, far))[0]
+            ahead.append((int(at_ids[best]), float(far[best])))
+            sums.append(sums[-1] + at[best])
+            at_ids, at = np.delete(at_ids, best), np.delete(at, best, axis=0)
+        if whole:
+            return chosen + [(i, -far) for i, far in ahead]
+        asked = sums if len(sums) <= min(FORESEEN, k - t) else sums[:-1]
+        foreseen = np.array([i for i, _ in ahead], np.int64)
+        each = max(1, (room if not t else SENT) // (tasks * len(asked)))
+
+        def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list = [None] * len(asked)  # noqa: B023
+            for batch in batches:
+                own = batch.column("id").to_numpy()
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                left = ~np.isin(own, taken)  # noqa: B023
+                for j, running_ in enumerate(asked):  # noqa: B023
+                    ok = np.flatnonzero(left & ~np.isin(own, foreseen[:j]))  # noqa: B023
+                    far = _far(x[ok], running_, t + j, target)  # noqa: B023
+                    if held[j] is not None:
+                        i_, far_, x_ = held[j]
+                        i_, far_, x_ = np.append(i_, own[ok]), np.append(far_, far), np.vstack([x_, x[ok]])
+                    else:
+                        i_, far_, x_ = own[ok], far, x[ok]
+                    first = np.lexsort((i_, far_))[:each]  # noqa: B023
+                    held[j] = i_[first], far_[first], x_[first]
+            for j, h in enumerate(held):
+                if h is not None and len(h[0]):
+                    yield pa.RecordBatch.from_pydict({"j": pa.array([j] * len(h[0]), pa.int32()), "id": h[0], "far": h[1], "v": pa.array(list(h[2]), pa.list_(pa.float64()))})
+
+        found = rows.mapInArrow(best_of, "j int, id long, far double, v array<double>").collect()
+        if not found:
+            break
+        for j in range(len(asked)):
+            right = min((r for r in found if r["j"] == j), key=lambda r: (r["far"], r["id"]), default=None)
+            if right is None:
+                break
+            chosen.append((right["id"], -right["far"]))
+            running = running + np.array(right["v"])
+            if j >= len(foreseen) or right["id"] != foreseen[j]:
+                break
+        new = {r["id"]: r["v"] for r in found}
+        keep = ~np.isin(ids, list(new))
+        ids = np.concatenate([np.array(list(new), np.int64), ids[keep]])[:room]
+        pool = np.concatenate([np.array(list(new.values()), np.float64).reshape(-1, len(target)), pool[keep]])[:room]
+        whole = not t and len(found) < each  # fewer rows than a task alone may send
+    return chosen
 
 
 def greedy_diverse(df: DataFrame, importance: str, k: int, id_col: str, vector: str = "embedding", lam: float = 0.5) -> DataFrame:

@@ -546,3 +546,32 @@ def test_jobs_of_the_controller_do_not_grow_with_the_grid(spark, blobs):
     assert len(choices[0].leaderboard) == len(choices[1].leaderboard) + 0 and jobs[1] <= jobs[0] + 6
     plain = C.control(pool, ["a", "b"], 20, lambda ids: gain(ids), "id", weights=many, cheap=lambda ids: gain(ids))
     assert [(n, round(g, 9)) for n, g in plain.leaderboard] == [(n, round(g, 9)) for n, g in choices[1].leaderboard] and plain.chosen.name == choices[1].chosen.name
+
+
+def plain_herding(rows, k):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    target, running, out = x.mean(0), np.zeros(x.shape[1]), []
+    free = np.ones(len(ids), bool)
+    for t in range(min(k, len(ids))):
+        far = np.round(np.linalg.norm((running + x) / (t + 1) - target, axis=1), 6)
+        far[~free] = np.inf
+        best = np.lexsort((ids, far))[0]
+        out.append(int(ids[best]))
+        free[best] = False
+        running = running + x[best]
+    return out
+
+
+@pytest.mark.parametrize("room", [32 << 20, 200 * 6 * 8])
+def test_herding_foresees_and_checks(spark, monkeypatch, room):
+    monkeypatch.setattr(G, "POOL_BYTES", room)
+    rng = np.random.default_rng(15)
+    rows = [(int(i), v.round(4).tolist()) for i, v in zip(rng.permutation(1500), rng.normal(0, 1, (1500, 6)) + rng.integers(0, 4, (1500, 1)), strict=True)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    k = 1200 if room > 1 << 20 else 40
+    spark.sparkContext.setJobGroup(f"herding{room}", "")
+    got = [r["id"] for r in G.herding(df, k, "id").orderBy("rk").collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"herding{room}"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == plain_herding(rows, k) and (room < 1 << 20 or jobs <= k / 20)
+    assert sorted(r["id"] for r in G.herding(df.where("id < 5"), 9, "id").collect()) == [0, 1, 2, 3, 4]
