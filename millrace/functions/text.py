@@ -155,20 +155,6 @@ def compression_ratio(text: pd.Series) -> pd.Series:
     return text.map(ratio)
 
 
-@F.pandas_udf(DoubleType())
-def set_redundancy(texts: pd.Series) -> float:
-    """1 - compressed / raw length of the texts joined by newlines; may be below 0 for tiny sets. Sorted, as the order matters."""
-    raw = "\n".join(sorted(t or "" for t in texts)).encode()
-    return 1.0 - len(zlib.compress(raw, 6)) / len(raw) if raw else 0.0
-
-
-@F.pandas_udf(DoubleType())
-def set_compression(texts: pd.Series) -> float:
-    """Raw over compressed length of the texts joined by newlines; 0 for empty."""
-    raw = "\n".join(sorted(t or "" for t in texts)).encode()
-    return len(raw) / len(zlib.compress(raw, 6)) if raw else 0.0
-
-
 def ngram_hashes(text: Column, n: int = 2, dim: int = 4096) -> Column:
     """crc32 modulo dim of the runs of 1 to n words, words being [A-Za-z0-9]+ in lower case."""
     w = F.regexp_extract_all(F.lower(plain(text)), F.lit("[A-Za-z0-9]+"), F.lit(0))

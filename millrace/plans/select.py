@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import selection as S
+from millrace.operators.sets import compressed_sets
 from millrace.sources import files
 
 #: Signals by name: a column expression over (text, domain). Add your own.
@@ -35,7 +36,7 @@ class Selected:
 
 
 def select(records: DataFrame, budget: S.Budget = S.Budget(), signals: tuple[str, ...] = ("redundancy", "influence"), weights: list[float] | None = None, rule: str = "topk", gate: bool = False) -> Selected:
-    """Score records (id, domain, text, ...), fuse the signals, resolve the budget, select, and describe pool and selection. An empty pool gives an empty selection."""
+    """Score records (id, domain, text, ...), fuse the signals, resolve the budget, select, and describe pool and selection, with how redundant what is selected is as a set. An empty pool gives an empty selection."""
     pool = files.records(records)
     scored = pool.select("*", T.token_count(F.col("text")).alias("tokens"), *[F.round(SIGNALS[s](F.col("text"), F.col("domain")), 6).alias(s) for s in signals])
     fused = S.fuse(scored, list(signals), weights or [0.0] * len(signals), gate=gate)
@@ -43,7 +44,10 @@ def select(records: DataFrame, budget: S.Budget = S.Budget(), signals: tuple[str
     rows = RULES[rule](fused, k)
     one = fused.agg(F.count("*").alias("n"), F.avg("importance").alias("mean")).first()
     two = rows.agg(F.count("*").alias("n"), F.avg("importance").alias("mean")).first()
-    return Selected(rows, k, {"n_pool": one["n"], "n_selected": two["n"], "keep_ratio": two["n"] / one["n"] if one["n"] else 0.0, "mean_pool": one["mean"], "mean_selected": two["mean"]})
+    parts = rows.select(F.lit("selected").alias("set"), "id", "text")
+    packed = compressed_sets(parts, "set", "id").first()
+    whole = {"redundancy": packed["redundancy"], "compression": packed["ratio"]} if packed else {"redundancy": 0.0, "compression": 0.0}
+    return Selected(rows, k, {"n_pool": one["n"], "n_selected": two["n"], "keep_ratio": two["n"] / one["n"] if one["n"] else 0.0, "mean_pool": one["mean"], "mean_selected": two["mean"], **whole})
 
 
 def run(spark: SparkSession, config: dict) -> Selected:

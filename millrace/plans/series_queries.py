@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.functions.randomness import uniform, uniform_sql
-from millrace.sources.tables import table
+from millrace.sources.tables import broadcast_if_small, materialize, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -127,13 +127,15 @@ l AS (SELECT doc_id, lang, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DO
 
 def losses(spark, d, every: bool = False) -> DataFrame:
     """doc_id, lang, loss, k of a fifth of the documents, or of all, by a count-based unigram model of the other four fifths: it stands in for a neural model. Without words, a document has no row, or with `every` 0 and 0."""
-    words = (F.explode_outer if every else F.explode)(T.tokens(F.col("text")))
+    # words as hashes of 64 bits: what moves is 16 bytes a word, and that once
+    words = (F.explode_outer if every else F.explode)(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w)))
     t = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, "held").otherwise("train").alias("part"), words.alias("w"))
-    c = t.where("part = 'train' AND w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c"))
-    z = c.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    held = (t if every else t.where("part = 'held'")).groupBy("doc_id", "lang", "w").agg(F.count("w").alias("tf"))
-    p = (F.coalesce("c", F.lit(0)) + 0.1) / (F.col("n") + 0.1 * (F.col("v") + 1))
-    return held.join(c, "w", "left").crossJoin(F.broadcast(z)).groupBy("doc_id", "lang").agg((-F.sum(F.col("tf") * F.log(p))).alias("loss"), F.sum("tf").alias("k"))
+    c = materialize(t.where("part = 'train' AND w IS NOT NULL").groupBy("w").agg(F.count("*").alias("c")), "word-counts")
+    n, v = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    p = (F.coalesce("c", F.lit(0)) + 0.1) / (F.lit(n) + 0.1 * (F.lit(v) + 1))
+    held = t if every else t.where("part = 'held'")
+    one = F.when(F.col("w").isNotNull(), 1).otherwise(0)
+    return held.join(broadcast_if_small(c), "w", "left").groupBy("doc_id", "lang").agg((-F.sum(one * F.log(p))).alias("loss"), F.sum(one).alias("k"))
 
 
 @query("heldout_perplexity", f"WITH {PPL} SELECT lang, round(exp(sum(loss) / sum(k)), 2) AS perplexity FROM l GROUP BY 1")
@@ -149,15 +151,16 @@ def text_controller(spark, d):
     return g.agg(F.min_by("method", F.struct("score", "method")).alias("chosen"), F.round(F.min("score"), 4).alias("score"))
 
 
-@query("per_sample_loss", f"WITH {PPL} SELECT doc_id, round(CASE WHEN k < 2 THEN 0 ELSE loss / k END, 5) AS loss FROM l")
-def per_sample_loss(spark, d):
-    return losses(spark, d).select("doc_id", F.round(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))
+EVERY = "a AS (SELECT doc_id, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS loss, count(*) AS k FROM t LEFT JOIN c ON t.w = c.w, z GROUP BY 1)"
 
 
-EVERY = "a AS (SELECT doc_id, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS loss, count(*) AS k FROM t LEFT JOIN c ON t.w = c.w, z GROUP BY 1)"
+@query("per_sample_loss", f"WITH {PPL}, {EVERY} SELECT d.doc_id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE loss / k END, 5) AS loss, d.doc_id % 5 = 0 AS held_out FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id")
+def per_sample_loss(spark, d):
+    """A loss for every document, and whether the model hasn't learned from it."""
+    return per_sample_loss_all(spark, d).withColumn("held_out", F.col("doc_id") % 5 == 0)
 
 
 @query("per_sample_loss_all", f"WITH {PPL}, {EVERY} SELECT d.doc_id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE loss / k END, 5) AS loss FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id")
 def per_sample_loss_all(spark, d):
-    """A loss for every document, those that the model has learned from too; per_sample_loss, as its SQL, gives only the held-out fifth."""
+    """A loss for every document, those that the model has learned from too."""
     return losses(spark, d, every=True).select("doc_id", F.round(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))

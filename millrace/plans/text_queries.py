@@ -9,6 +9,8 @@ from millrace.functions import text as T
 from millrace.functions.randomness import gumbel, gumbel_sql, stable_seed, uniform, uniform_sql
 from millrace.operators import order as O
 from millrace.operators import selection as S
+from millrace.operators.sets import compressed_sets
+from millrace.operators.sets import token_blocks as blocks_of
 from millrace.sources.tables import materialize, spread, table
 
 Q: dict = {}
@@ -189,12 +191,12 @@ def contract_check(spark, d):
     return c.select("lang", "n", ((F.col("n") >= 5) & (F.col("empty") == 0) & (F.col("ids") == F.col("n"))).alias("ok"))
 
 
-@query("text_hash_overlap", "SELECT DISTINCT d.doc_id FROM documents d WHERE sha256(coalesce(d.text, '')) IN (SELECT sha256(coalesce(text, '')) FROM benchmark) OR d.text IN (SELECT text FROM documents e WHERE e.doc_id < 10)")
+@query("text_hash_overlap", f"WITH x AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, {uniform_sql('doc_id', 0, 'heldout')} < 0.1 AS held FROM documents) SELECT DISTINCT doc_id FROM x WHERE NOT held AND (h IN (SELECT h FROM x WHERE held) OR h IN (SELECT sha256(coalesce(text, '')) FROM benchmark))")
 def text_hash_overlap(spark, d):
-    """Documents with the very text of a benchmark item, or of one of the first ten documents."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(T.plain(F.col("text")), 256).alias("h"))
-    held = table(spark, d, "benchmark").select(F.sha2(T.plain(F.col("text")), 256).alias("h")).union(docs.where("doc_id < 10").select("h"))
-    return docs.join(held, "h", "left_semi").select("doc_id")
+    """Documents to train on with the very text of a benchmark item, or of one of the tenth of the documents that a draw holds out."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(T.plain(F.col("text")), 256).alias("h"), (uniform(F.col("doc_id"), 0, "heldout") < 0.1).alias("held"))
+    held = table(spark, d, "benchmark").select(F.sha2(T.plain(F.col("text")), 256).alias("h")).union(docs.where("held").select("h"))
+    return docs.where("not held").join(held.distinct(), "h", "left_semi").select("doc_id").distinct()
 
 
 @query("complement", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {uniform_sql('doc_id', 0, 'random')}, doc_id) AS rk, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE rk > n // 5")
@@ -341,9 +343,17 @@ def compression_ratio(spark, d):
 
 @query("set_redundancy")
 def set_redundancy(spark, d):
-    """Redundancy of the documents of each source and day-sized slice of ids: what compresses together."""
-    g = table(spark, d, "documents").groupBy("source", F.floor(F.col("doc_id") / 100).alias("slice"))
-    return g.agg(T.set_redundancy(F.col("text")).alias("redundancy"), T.set_compression(F.col("text")).alias("ratio"))
+    """How redundant each of four selections is as a set, and how far it compresses."""
+    texts = four_selections(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return compressed_sets(texts, "method", "doc_id").select("method", "raw", "packed", F.round("redundancy", 6).alias("redundancy"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("token_blocks")
+def token_blocks(spark, d):
+    """All documents' token ids in blocks of 512."""
+    import public_tokenizers
+
+    return blocks_of(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256).select("block", F.size("ids").alias("n_ids"), "ids")
 
 
 # DuckDB has no crc32: a table of its 256 steps, from the polynomial

@@ -345,9 +345,9 @@ def test_every_document_has_a_loss(spark, tmp_path):
     rows = [(i, "en", f"some words {i % 3} and more") for i in range(20)] + [(20, "en", ""), (21, "en", None), (22, "en", "one")]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.loss for r in catalog.QUERIES["per_sample_loss_all"](spark, str(tmp_path)).collect()}
-    held = {r.doc_id: r.loss for r in catalog.QUERIES["per_sample_loss"](spark, str(tmp_path)).collect()}
+    both = {r.doc_id: (r.loss, r.held_out) for r in catalog.QUERIES["per_sample_loss"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(23)) and got[20] == got[21] == got[22] == 0 and got[1] > 0
-    assert set(held) == {0, 5, 10, 15} and all(got[i] == held[i] for i in held)
+    assert {i: loss for i, (loss, _) in both.items()} == got and {i for i, (_, held) in both.items() if held} == {0, 5, 10, 15, 20}
 
 
 def test_learned_queries_run_the_rounds_and_probes_of_the_reference(spark, monkeypatch):
