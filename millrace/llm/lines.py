@@ -42,9 +42,10 @@ def chunks(rows: DataFrame) -> DataFrame:
     """Chunks from (doc_id, of, text): doc_id, of, first (lines before it), chunk, before and after (the lines beside it, or null)."""
     lines = rows.where("text is not null").withColumn("lines", F.split("text", "\n", -1)).drop("text")
     cut = lines.withColumn("hashes", F.transform("lines", line_hash)).withColumn("starts", chunk_starts(F.col("hashes")))
-    one = cut.select("doc_id", "of", "lines", F.explode("starts").alias("first"))
-    line = lambda i: F.get("lines", F.col("first") + i)
-    return one.select("doc_id", "of", "first", F.concat(line(0), F.lit("\n"), line(1)).alias("chunk"), line(-1).alias("before"), line(2).alias("after"))
+    line = lambda i: F.get(F.col("lines"), i)
+    made = F.transform("starts", lambda i: F.struct(i.alias("first"), F.concat(line(i), F.lit("\n"), line(i + 1)).alias("chunk"), line(i - 1).alias("before"), line(i + 2).alias("after")))
+    # outer, or Spark asks beforehand whether there is a chunk, and hashes each line once for every other
+    return cut.select("doc_id", "of", F.explode_outer(made).alias("c")).where("c is not null").select("doc_id", "of", "c.*")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
