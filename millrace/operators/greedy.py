@@ -197,6 +197,38 @@ def greedy_diverse(df: DataFrame, importance: str, k: int, id_col: str, vector:
     return as_frame(df, rounds(df, k, score, id_col, vector, extra=importance, falling=True), id_col)
 
 
+def gradient_alignment(rows: DataFrame, id_col: str, error: str, vector: str) -> DataFrame:
+    """id, alignment: the cosine of a row's last-layer gradient, its error times its vector, with the mean gradient of all rows.
+
+    Tasks add up their rows' gradients, errors x dimensions numbers each, and the driver the tasks' sums.
+    A row's gradient is never built: its product with the mean is error * (mean * vector), its length the
+    product of theirs.
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            e, x = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) for c in ("e", "x"))
+            if len(b):
+                total, n = e.T @ x + (0 if total is None else total), n + len(b)
+        if n:
+            yield pa.RecordBatch.from_pydict({"g": pa.array([total.tobytes()], pa.binary()), "dims": pa.array([total.shape[1]], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    plain = rows.select(F.col(id_col).alias("id"), F.col(error).cast("array<double>").alias("e"), F.col(vector).cast("array<double>").alias("x"))
+    parts = plain.select("e", "x").mapInArrow(add_up, "g binary, dims int, n long").collect()
+    mean = sum(np.frombuffer(bytes(p["g"]), np.float64).reshape(-1, p["dims"]) for p in parts) / sum(p["n"] for p in parts) if parts else np.zeros((1, 1))
+    size = float(np.sqrt((mean**2).sum()))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, x = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) for c in ("e", "x"))
+            along = np.einsum("ne,ed,nd->n", e, mean, x, optimize=True) if len(b) else np.zeros(0)
+            own = np.sqrt((e**2).sum(1)) * np.sqrt((x**2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(along / (own * size + 1e-12))], names=["id", "alignment"])
+
+    return plain.mapInArrow(align, f"id {plain.schema['id'].dataType.simpleString()}, alignment double").withColumnRenamed("id", id_col)
+
+
 def expected_gradient_norm(df: DataFrame, id_col: str, label: str, vector: str = "embedding", heads: int = 5, steps: int = 8, rate: float = 0.5, seed: int = 0) -> DataFrame:
     """id, score: the mean last-layer gradient norm, bias included, over linear heads after a few steps of full-batch descent.
 

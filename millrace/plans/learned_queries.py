@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import vectors as V
 from millrace.functions.randomness import uniform
 from millrace.operators import greedy as G
 from millrace.operators import learned as L
@@ -110,9 +111,10 @@ def iterated_authenticity(spark, d):
     for _ in range(2):
         half = S.by_score(s, "auth", s.count() // 2, "vec_id").select("vec_id")
         means = e.join(half, "vec_id", "left_semi").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
-        long = e.select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-        far = long.join(F.broadcast(means.withColumnRenamed("label", "c")), "i").groupBy("vec_id", "label", "c").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))).alias("z"))
-        p = far.groupBy("vec_id").agg((F.sum(F.when(F.col("c") == F.col("label"), F.exp(-F.col("z"))).otherwise(F.lit(0.0))) / F.sum(F.exp(-F.col("z")))).alias("p"))
+        centres = [(r["label"], r["m"]) for r in means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("label", F.col("c.m").alias("m")).orderBy("label").collect()]
+        near = F.array(*[F.struct(F.lit(y).alias("c"), F.exp(-V.euclid(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, m)))).alias("w")) for y, m in centres])
+        own = lambda some: F.aggregate(some, F.lit(0.0), lambda a, s: a + s["w"])
+        p = e.withColumn("near", near).select("vec_id", (own(F.filter("near", lambda s: s["c"] == F.col("label"))) / own(F.col("near"))).alias("p"))
         s = materialize(s.select("vec_id", "agreement").join(p, "vec_id").select("vec_id", "agreement", F.round(0.5 * F.col("agreement") + 0.5 * F.col("p"), 5).alias("auth")), "iterated")
     return s.select("vec_id", F.col("auth").alias("authenticity"))
 

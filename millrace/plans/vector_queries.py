@@ -362,10 +362,7 @@ def gradient_alignment(spark, d):
     labels = [r["label"] for r in rows(spark, d).select("label").distinct().orderBy("label").collect()]
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
     r = s.select("vec_id", "v", F.transform("p", lambda x, i: x - F.when(i == place, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r"))
-    long = r.select("vec_id", F.posexplode("r").alias("c", "e"), "v").select("vec_id", "c", "e", F.posexplode("v").alias("i", "x")).withColumn("h", F.col("e") * F.col("x"))
-    mean = long.groupBy("c", "i").agg(F.avg("h").alias("g"))  # classes times dimensions
-    both = long.join(F.broadcast(mean), ["c", "i"])
-    return both.groupBy("vec_id").agg(F.round(F.sum(F.col("h") * F.col("g")) / (F.sqrt(F.sum(F.col("h") * F.col("h"))) * F.sqrt(F.sum(F.col("g") * F.col("g"))) + F.lit(1e-12)), 4).alias("alignment"))
+    return G.gradient_alignment(r, "vec_id", "r", "v").select("vec_id", F.round("alignment", 4).alias("alignment"))
 
 
 @query("grand_expected")
