@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small_batches, table
+from .common import broadcast_if_small, materialize, small_batches, table, thrifty
 from .components import connected_components
 from .shared import Dealing, chunk_of, dealing, mix, on_files, packed, parts_in, shared_among, slot_of, unpacked, write_shared
 
@@ -145,7 +145,7 @@ def classify(rows: DataFrame, words: int, least: int, seed: int, deal: Dealing)
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, of long, n_shingles long, cls long, check long, signs array<long>")
+    return rows.mapInArrow(thrifty(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, of long, n_shingles long, cls long, check long, signs array<long>")
 
 
 def repeated_signs(known: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def repeated_signs(known: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([sign[some].view(np.int64), owner[some]]), axis=1) if len(some) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["sign", "cls"])
 
-    return rows.mapInArrow(pick, "sign long, cls long").distinct()
+    return rows.mapInArrow(thrifty(pick), "sign long, cls long").distinct()
 
 
 def overlap_links(a: np.ndarray, b: np.ndarray, least: int) -> bool:
@@ -210,7 +210,7 @@ def verify_stars(pairs: DataFrame, texts: DataFrame, words: int, least: int) ->
             ok = [overlap_links(own[i], hubs.get(b[i], tb[i].as_py()), least) for i in range(len(a))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], names=["a", "b"])
 
-    return with_hub.select("cls", "hub", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_hub.select("cls", "hub", "text_a", "text_b").mapInArrow(thrifty(run), "a long, b long")
 
 
 class Group:
@@ -242,7 +242,7 @@ def shingle_prints(texts: DataFrame, words: int) -> DataFrame:
             prints = [(s >> U(32)).astype(np.uint32) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([packed(p, np.zeros(len(p), np.uint8)) for p in prints], pa.binary())], names=["cls", "prints"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls long, prints binary")
+    return texts.select("cls", "text").mapInArrow(thrifty(run), "cls long, prints binary")
 
 
 def token_unions(groups: DataFrame, prints: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def qualifying(asked: DataFrame, prints: DataFrame, unions: DataFrame, least: in
             some = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(c) for c in ("query", "star", "fam", "block")], names=["query", "star", "fam", "block"])
 
-    return dealt.mapInArrow(run, "query long, star long, fam long, block int")
+    return dealt.mapInArrow(thrifty(run), "query long, star long, fam long, block int")
 
 
 def open_groups(asked: DataFrame, groups: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
@@ -343,7 +343,7 @@ def open_groups(asked: DataFrame, groups: DataFrame, texts: DataFrame, words: in
                         b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(thrifty(run), "a long, b long")
 
 
 def joined_groups(asking: DataFrame, groups: DataFrame, texts: DataFrame, links: DataFrame, found: DataFrame, words: int, least: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, small_batches, table
+from .common import crc_bucket, small_batches, table, thrifty
 
 UNDETERMINED = "und"
 
@@ -174,7 +174,7 @@ def train(docs: DataFrame, options: LanguageOptions = LanguageOptions(), id_col:
             columns = [pa.array([None if f is None else f[i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "g", "y")), *columns], names=["h", "g", "y", "grams", "counts"])
 
-    rows = sorted(drawn.mapInArrow(features, "h long, g long, y string, grams array<int>, counts array<int>").collect(), key=lambda r: (r["h"], r["g"], r["y"]))
+    rows = sorted(drawn.mapInArrow(thrifty(features), "h long, g long, y string, grams array<int>, counts array<int>").collect(), key=lambda r: (r["h"], r["g"], r["y"]))
     return fit([None if r["grams"] is None else (np.array(r["grams"], np.int64), np.array(r["counts"], np.int64)) for r in rows], [r["y"] for r in rows], options)
 
 
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*kept, lang_out, score_out])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def reject_unknown(docs: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, small_batches, table, thrifty
 
 CAPACITY, END = 4096, 1
 #: Nodes that a dive may open for one filling; nodes of fillings that the exact search may open in all; bins it takes on at once.
@@ -133,7 +133,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
@@ -476,7 +476,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*columns, "rank").mapInArrow(run, schema).withColumn("proved", F.lit(packing.proved))
+    return ranked.select(*columns, "rank").mapInArrow(thrifty(run), schema).withColumn("proved", F.lit(packing.proved))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, **columns: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SideTable, materialize, stored_bytes
+from .common import SideTable, materialize, stored_bytes, thrifty
 
 U = np.uint64
 #: Stored bytes of a chunk and of a bucket's share of the table, at least; and of what a chunk sends to a bucket.
@@ -164,7 +164,7 @@ def write_shared(rows: DataFrame, gather: Gather, buckets: int, slots: int, name
             mine.append(packed(k[found], level[at[found]]))
         return pa.Table.from_arrays([group.column("slot"), group.column("chunk"), group.column("bucket"), pa.array(mine, pa.binary())], names=["slot", "chunk", "bucket", "data"])
 
-    sent = rows.mapInArrow(send, "bucket long, chunk long, slot long, keys binary")
+    sent = rows.mapInArrow(thrifty(send), "bucket long, chunk long, slot long, keys binary")
     return SideTable.write(grouped(sent, min(buckets, TASKS)).applyInArrow(answer, "slot long, chunk long, bucket long, data binary"), name, slots)
 
 
