@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -51,9 +52,22 @@ def _tokenizer(path: str):
     return made
 
 
-def token_ids(texts: list[str], path: str, end: int) -> list[np.ndarray]:
+#: Bytes of text that are encoded at once; a longer text goes alone.
+ENCODED_BYTES = 1 << 20
+
+
+def token_ids(texts: list[str], path: str, end: int) -> Iterator[np.ndarray]:
     """Ids of each text, special tokens in it taken as text, and the end."""
-    return [np.array([*e.ids, end], np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= ENCODED_BYTES):
+            size += len(texts[upto])
+            upto += 1
+        for e in _tokenizer(path).encode_batch_fast(texts[at:upto], add_special_tokens=False):
+            yield np.array([*e.ids, end], np.uint32)
+        at = upto
 
 
 def token_blocks(docs: DataFrame, path: str, end: int, size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
