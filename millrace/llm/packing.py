@@ -12,6 +12,7 @@ import bisect
 import functools
 import itertools
 import os
+import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ from .common import materialize, small_batches, table, thrifty
 CAPACITY, END = 4096, 1
 #: Nodes that a dive may open for one filling; nodes of fillings that the exact search may open in all; bins it takes on at once.
 FILL_NODES, SEARCH_NODES, SEARCH_BINS = 400, 200_000, 64
+#: Groups of bins that are searched in vain before the packing of more than SEARCH_BINS stands; distinct lengths add to them.
+TRIES = 12
 
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -375,13 +378,39 @@ class Packing:
         return sum(times for _, times in self.bins)
 
 
+def merged(bins: list[tuple[Filling, int]]) -> list[tuple[Filling, int]]:
+    """Equal fillings together, fullest first."""
+    times: dict[Filling, int] = {}
+    for filling, n in bins:
+        times[filling] = times.get(filling, 0) + n
+    return sorted(times.items(), key=lambda b: (-sum(n * c for n, c in b[0]), b[0]))
+
+
+def regrouped(bins: list[tuple[Filling, int]], capacity: int, rng: random.Random | None) -> tuple[list[tuple[Filling, int]], list[tuple[Filling, int]]]:
+    """SEARCH_BINS bins, and the others: the most wasteful, or with a generator half of them from those and half from anywhere, no filling more than a few times."""
+    order = sorted(range(len(bins)), key=lambda i: (-wasted(dict(bins[i][0]), capacity), i))
+    if rng is not None:
+        wasteful = order[: max(SEARCH_BINS, len(order) // 2)]
+        order = rng.sample(wasteful, min(SEARCH_BINS // 2, len(wasteful)))
+        others = [i for i in range(len(bins)) if i not in set(order)]
+        order += rng.sample(others, len(others))
+    group, rest, room = [], [], SEARCH_BINS
+    for i in order:
+        filling, times = bins[i]
+        some = min(times, room, SEARCH_BINS if rng is None else 4)
+        room -= some
+        group += [(filling, some)] * bool(some)
+        rest += [(filling, times - some)] * bool(times - some)
+    return group, rest
+
+
 def search(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = SEARCH_NODES) -> Packing:
     """Pack the lengths into the fewest bins: best fit and a dive are the incumbents, then bins are completed by branch-and-bound.
 
     Up to SEARCH_BINS bins are searched whole: unless the nodes run out, the result is the optimum. Of
-    more bins, those without waste stay, and as many of the most wasteful others are searched anew; the
-    result is then proved only where it meets the bound. The nodes bound the search, never what is
-    packed.
+    more bins, groups of so many are searched anew, the most wasteful first and then others with them,
+    again and again: tries that save nothing grow with the number of distinct lengths. The result is then
+    proved only where it meets the bound. Nodes and tries bound the search, never what is packed.
     """
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
@@ -398,23 +427,25 @@ def search(counts: dict[int, int], capacity: int = CAPACITY, most_nodes: int = S
         best = min(best, dive_bins(counts, capacity), key=number)
     if number(best) == bound:
         return Packing(best, bound, True)
-    nodes = Nodes(most_nodes)
-    whole = number(best) <= SEARCH_BINS
-    best.sort(key=lambda b: wasted(dict(b[0]), capacity))
-    kept, again = ([], list(best)) if whole else (list(best), [])
-    while not whole and kept and number(again) < SEARCH_BINS:
-        filling, times = kept.pop()
-        some = min(times, SEARCH_BINS - number(again))
-        again.append((filling, some))
-        if some < times:
-            kept.append((filling, times - some))
-    part: dict[int, int] = {}
-    for filling, times in again:
-        for n, c in filling:
-            part[n] = part.get(n, 0) + c * times
-    found, proved = complete_bins(part, capacity, number(again), nodes)
-    if found is not None:
-        best = kept + [(f, 1) for f in found]
+    whole, proved = number(best) <= SEARCH_BINS, False
+    if whole:
+        found, proved = complete_bins(counts, capacity, number(best), Nodes(most_nodes))
+        best = best if found is None else [(f, 1) for f in found]
+        return Packing(best, bound, number(best) == bound or proved)
+    # of more bins, groups of SEARCH_BINS are completed anew, as long as that saves bins or tries are left
+    rng, tries = random.Random(0), TRIES + len(counts) // 4
+    each, failed = max(1, most_nodes // 8), 0
+    while number(best) > bound and failed < tries:
+        group, rest = regrouped(best, capacity, rng if failed else None)
+        part: dict[int, int] = {}
+        for filling, times in group:
+            for n, c in filling:
+                part[n] = part.get(n, 0) + c * times
+        # no bin can go where the group's waste is less than one
+        hopeless = number(group) * capacity - sum(n * c for n, c in part.items()) < capacity or least_bins(part, capacity) >= number(group)
+        found = None if hopeless else complete_bins(part, capacity, number(group), Nodes(each))[0]
+        best = best if found is None else merged(rest + [(f, 1) for f in found])
+        failed = failed + 1 if found is None else 0
     return Packing(best, bound, number(best) == bound or whole and proved)
 
 
