@@ -50,6 +50,11 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
+def record_id(domain: Column, quality: Column, index: Column) -> Column:
+    """Two letters of the domain, one of the quality, and the index in five digits or more."""
+    return F.concat(F.substring(domain, 1, 2), F.substring(quality, 1, 1), F.format_string("%05d", index.cast("long")))
+
+
 def caption(sentences: Column) -> Column:
     return F.array_join(sentences, " ")
 

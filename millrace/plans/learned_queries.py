@@ -53,6 +53,16 @@ def controller_portfolio(spark, d):
     return spark.createDataFrame(rows, "candidate string, gain double, chosen boolean, best_reference boolean")
 
 
+@query("channel_ablation")
+def channel_ablation(spark, d):
+    """What the controller chooses with both channels and without each, by the gain on one half of the validation rows and judged on the other."""
+    pool, cheap, gain = halved_arm(spark, d)
+    k = pool.count() // 5
+    found = C.ablate(pool, ["agreement", "novelty"], k, gain, "vec_id", extra={"random": lambda p, k: S.random_k(p, k, "vec_id")}, cheap=cheap)
+    rows = [(name or "none", c.chosen.name, float(round(c.chosen.gain, 6)), float(round(c.best_reference.gain, 6)), c.switched) for name, c in found.items()]
+    return spark.createDataFrame(rows, "dropped string, chosen string, gain double, reference_gain double, switched boolean")
+
+
 @query("dmf_published")
 def dmf_published(spark, d):
     pool, gain = arm(spark, d)

@@ -439,6 +439,29 @@ def block_packing(spark, d):
     return r.select("doc_id", F.floor((F.col("running") - F.col("n")) / 512).cast("long").alias("first_block"), F.floor((F.col("running") - 1) / 512).cast("long").alias("last_block"), F.lit(every // 512).cast("long").alias("full_blocks"))
 
 
+@query("record_ids", "WITH x AS (SELECT d.doc_id, lang, CASE WHEN quality = 1 THEN 'high' ELSE 'low' END AS q FROM documents d JOIN labels l ON d.doc_id = l.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY lang, q ORDER BY doc_id) - 1 AS i FROM x) SELECT doc_id, substr(lang, 1, 2) || substr(q, 1, 1) || printf('%05d', i) AS id FROM r")
+def record_ids(spark, d):
+    """Ids of labelled documents from their domain, quality and place among those alike."""
+    x = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").withColumn("q", F.when(F.col("quality") == 1, "high").otherwise("low"))
+    r = O.global_rank(x.withColumn("key", F.concat_ws("|", "lang", "q")), F.col("doc_id").asc(), out="i", by="key")
+    return r.select("doc_id", T.record_id(F.col("lang"), F.col("q"), F.col("i") - 1).alias("id"))
+
+
+@query("dmf_base", f"WITH {BASE}, i AS (SELECT doc_id, round(0.5::DOUBLE * ma + 0.5::DOUBLE * mr, 6) AS importance FROM m) SELECT doc_id, importance, row_number() OVER (ORDER BY importance DESC, doc_id) AS rk FROM i")
+def dmf_base(spark, d):
+    """Plain dynamic fusion before any reward: even weights, and with no budget below the pool a rank for every document."""
+    fused = with_scaled(signals(spark, d)).withColumn("importance", F.round(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
+    return O.global_rank(fused, F.col("importance").desc(), F.col("doc_id").asc()).select("doc_id", "importance", "rk")
+
+
+@query("gated_fusion", f"WITH {BASE}, g AS (SELECT doc_id, quantile_cont(ra, 0.25) OVER () AS gate, ra, round(0.5::DOUBLE * ma + 0.5::DOUBLE * mr, 6) AS importance, count(*) OVER () AS n FROM m), i AS (SELECT doc_id, n, CASE WHEN ra < gate THEN -1e9::DOUBLE ELSE importance END AS importance FROM g), r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, doc_id) AS rk FROM i) SELECT doc_id, importance, rk FROM r WHERE rk <= n // 5")
+def gated_fusion(spark, d):
+    """The fused recipe behind a gate: what is less authentic than three quarters of the pool can't be chosen before all others are."""
+    s = signals(spark, d)
+    fused = with_scaled(s.withColumn("raw", F.col("auth"))).withColumn("importance", F.round(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
+    return S.by_score(O.sentinel_gate(fused, "importance", "raw", 0.25), "importance", s.count() // 5, "doc_id").select("doc_id", "importance", "rk")
+
+
 @query("domain_filter", "SELECT doc_id, source FROM documents WHERE lang = 'de'")
 def domain_filter(spark, d):
     return table(spark, d, "documents").where("lang = 'de'").select("doc_id", "source")

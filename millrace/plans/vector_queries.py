@@ -191,6 +191,28 @@ def label_noise(spark, d):
     return noised(spark, d).select("vec_id", "clean", "label", "bad")
 
 
+@query("image_noise", f"WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY {uniform_sql('vec_id', 7, 'image')}, vec_id) AS place, round_even(0.4::DOUBLE * count(*) OVER (), 0)::BIGINT AS low FROM embeddings), t AS (SELECT *, CASE WHEN place > low THEN 'high' WHEN place <= greatest(1, low // 3) THEN 'flip' WHEN place <= 2 * greatest(1, low // 3) THEN 'dup' ELSE 'hard' END AS tag FROM r) SELECT vec_id, tag, CASE WHEN tag = 'flip' THEN floor({uniform_sql('vec_id', 7, 'flip')} * 10)::INT ELSE label END AS label FROM t")
+def image_noise(spark, d):
+    """Two fifths of the rows are worse in one of three ways, a third each: another label, a repeat, or hard to tell."""
+    e = rows(spark, d).select("vec_id", "label")
+    low = round(0.4 * e.count())
+    per = max(1, low // 3)
+    r = O.global_rank(e, uniform(F.col("vec_id"), 7, "image").asc(), F.col("vec_id").asc(), out="place")
+    tag = F.when(F.col("place") > low, "high").when(F.col("place") <= per, "flip").when(F.col("place") <= 2 * per, "dup").otherwise("hard")
+    return r.withColumn("tag", tag).select("vec_id", "tag", F.when(F.col("tag") == "flip", F.floor(uniform(F.col("vec_id"), 7, "flip") * 10).cast("int")).otherwise(F.col("label")).alias("label"))
+
+
+@query("ovr_auc", f"WITH {PROBE}, k AS (SELECT c, label = c AS pos, round(p, 6) AS s FROM p), g AS (SELECT c, s, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM k GROUP BY 1, 2), w AS (SELECT c, p * (coalesce(sum(q) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2::DOUBLE) AS won, p, q FROM g), a AS (SELECT c, sum(won) / (sum(p) * sum(q)) AS auc FROM w GROUP BY c HAVING sum(p) > 0 AND sum(q) > 0) SELECT round(avg(auc), 5) AS auc FROM a")
+def ovr_auc(spark, d):
+    """One class against the rest, by the probe's probability of it, as a mean over the classes."""
+    names = [r["label"] for r in rows(spark, d).select("label").distinct().orderBy("label").collect()]
+    each = F.explode(F.transform("p", lambda p, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("c"), F.round(p, 6).alias("s"))))
+    k = probe(spark, d).select("label", each.alias("x")).groupBy("x.c", "x.s").agg(F.count(F.when(F.col("label") == F.col("x.c"), 1)).alias("p"), F.count(F.when(F.col("label") != F.col("x.c"), 1)).alias("q"))
+    w = O.running_sum(k, "q", F.col("s").asc(), by="c").withColumn("won", F.col("p") * (F.col("running") - F.col("q") / 2.0))
+    a = w.groupBy("c").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0 and q > 0")
+    return a.agg(F.round(F.avg(F.col("won") / (F.col("p") * F.col("q"))), 5).alias("auc"))
+
+
 def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """Area under the curve by the rank sum, ties by half, from counts of each distinct score."""
     per = df.groupBy(*by, score).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("q"))

@@ -79,8 +79,13 @@ def read_results(spark: SparkSession, path: str, metric: str | None = None, seed
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """A ledger in folders of arm, dataset and seed; Spark's commit makes it whole or absent."""
-    rows.write.mode("append").partitionBy("arm", "dataset", "seed").json(path)
+    """A ledger in folders of arm, dataset and seed. A run written again replaces its own folders, and no others, when all of it has been written; one that fails leaves what was there."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("arm", "dataset", "seed").json(path)
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str = "method string, metric string, value double, higher boolean") -> DataFrame:
+    """What write_results wrote."""
+    return spark.read.schema(f"{schema}, arm string, dataset string, seed int").json(path)
 
 
 def write_split(split: DataFrame, path: str, recipe: str) -> None:

@@ -575,3 +575,14 @@ def test_herding_foresees_and_checks(spark, monkeypatch, room):
     spark.sparkContext.setJobGroup("other", "")
     assert got == plain_herding(rows, k) and (room < 1 << 20 or jobs <= k / 20)
     assert sorted(r["id"] for r in G.herding(df.where("id < 5"), 9, "id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    path, kind = str(tmp_path / "ledger"), "arm string, dataset string, seed int, method string, metric string, value double, higher boolean"
+    rows = lambda seed, v: spark.createDataFrame([("a", "d", seed, m, "acc", v, True) for m in ("x", "y")], kind)
+    files.write_results(rows(0, 0.5), path)
+    files.write_results(rows(1, 0.6), path)
+    files.write_results(rows(0, 0.7), path)
+    with pytest.raises(Exception):
+        files.write_results(rows(0, 0.9).withColumn("value", F.when(F.col("method") == "y", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("value"))), path)
+    assert sorted((r["seed"], r["method"], r["value"]) for r in files.read_ledger(spark, path).collect()) == [(0, "x", 0.7), (0, "y", 0.7), (1, "x", 0.6), (1, "y", 0.6)]

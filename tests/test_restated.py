@@ -294,3 +294,16 @@ def test_token_blocks_hold_every_document(spark, texts):
     ids = [x for i in sorted(texts) for x in [*t.encode(texts[i], add_special_tokens=False).ids, 50256]]
     got = sorted((r["block"], r["ids"]) for r in collected(spark, "token_blocks"))
     assert got == [(b, ids[b * 512 : (b + 1) * 512]) for b in range(len(ids) // 512)]
+
+
+def test_channel_ablation(spark, vectors):
+    judge = Arm(vectors, lambda i: uniform(i, 4, "halves") >= 0.5)
+    k = len(judge.pool) // 5
+    rows = {r["dropped"]: r for r in collected(spark, "channel_ablation")}
+    assert set(rows) == {"none", "agreement", "novelty"}
+    chance = round(judge.gain(sorted(judge.pool, key=lambda i: (uniform(i, 0, "random"), i))[:k]), 6)
+    for r in rows.values():
+        assert r["reference_gain"] == chance and (r["switched"] or r["gain"] == chance) and r["gain"] >= chance
+    # without agreement there is no gate: the other channel alone, or chance
+    alone = round(judge.gain(top(scaled(judge.novelty), k)), 6)
+    assert rows["agreement"]["gain"] in (alone, chance) and "q=0.25" not in rows["agreement"]["chosen"]
