@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -93,9 +93,28 @@ def write_split(split: DataFrame, path: str, recipe: str) -> None:
     split.withColumn("recipe", F.lit(recipe)).write.mode("overwrite").parquet(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(path, block, at, value) of the lines of text files, read by splits, and (path, block, before) of the splits: a line's number from 0 in its file is before + its place in its block by at. Without `blank`, lines of white space don't count.
+
+    A file is as many tasks as it has splits; what is put in order at once is the splits of a file.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines if blank else lines.where(F.trim("value") != "")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    return lines, blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def _in_block() -> Column:
+    """Place of a line in its block, from 0."""
+    return F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+
+
 def read_numbers(spark: SparkSession, path: str, columns: int, turned: bool = False, skip: int = 0) -> DataFrame:
     """Numbers parted by white space: row, values. `turned` files hold a column per line; `skip` rows go from the front."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
+    every, blocks = numbered_lines(spark, path, blank=False)
+    lines = every.withColumn("in_block", _in_block()).join(blocks, ["path", "block"]).select((F.col("before") + F.col("in_block")).cast("int").alias("row"), F.col("value").alias("line"))
     values = F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("double"))
     if not turned:
         return lines.select("row", values.alias("values")).where((F.col("row") >= skip) & (F.size("values") == columns))
@@ -125,14 +144,16 @@ def shard_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, seed_pattern: str, row_pattern: str) -> DataFrame:
-    """(path, line, seed, method, value) of a log: a line with a seed sets it for the lines that follow in its file."""
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    seed = F.nullif(F.regexp_extract("text", seed_pattern, 1), F.lit("")).cast("int")
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    scoped = lines.withColumn("seed", F.last(seed, ignorenulls=True).over(w))
-    return scoped.where(F.col("text").rlike(row_pattern)).select("path", "line", "seed", F.regexp_extract("text", row_pattern, 1).alias("method"), F.regexp_extract("text", row_pattern, 2).cast("double").alias("value"))
+    """(path, line, seed, method, value) of a log: a line with a seed sets it for the lines that follow in its file, over splits of the file."""
+    lines, blocks = numbered_lines(spark, path)
+    lines = lines.withColumn("own", F.nullif(F.regexp_extract("value", seed_pattern, 1), F.lit("")).cast("int"))
+    said = lines.where("own is not null").groupBy("path", "block").agg(F.max_by("own", "at").alias("last"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(said, ["path", "block"], "left").withColumn("carried", F.last("last", ignorenulls=True).over(w))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    scoped = lines.withColumn("in_block", _in_block()).withColumn("own", F.last("own", ignorenulls=True).over(inside)).join(blocks, ["path", "block"])
+    rows = scoped.where(F.col("value").rlike(row_pattern))
+    return rows.select("path", (F.col("before") + F.col("in_block")).cast("int").alias("line"), F.coalesce("own", "carried").alias("seed"), F.regexp_extract("value", row_pattern, 1).alias("method"), F.regexp_extract("value", row_pattern, 2).cast("double").alias("value"))
 
 
 def read_runtimes(spark: SparkSession, path: str) -> DataFrame:

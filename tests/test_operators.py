@@ -586,3 +586,32 @@ def test_a_run_written_again_replaces_itself(spark, tmp_path):
     with pytest.raises(Exception):
         files.write_results(rows(0, 0.9).withColumn("value", F.when(F.col("method") == "y", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("value"))), path)
     assert sorted((r["seed"], r["method"], r["value"]) for r in files.read_ledger(spark, path).collect()) == [(0, "x", 0.7), (0, "y", 0.7), (1, "x", 0.6), (1, "y", 0.6)]
+
+
+def test_logs_and_numbers_over_many_splits(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    lines, want, seed = [], [], None
+    for i in range(3000):
+        kind = rng.integers(0, 40)
+        if kind == 0:
+            seed = int(rng.integers(0, 9))
+            lines.append(f"== seed {seed}")
+        elif kind < 20:
+            lines.append(f"m{i} {i / 4}")
+            want.append((i, seed, f"m{i}", i / 4))
+        else:
+            lines.append("" if kind < 24 else "noise " * int(rng.integers(1, 9)))
+    (tmp_path / "big.log").write_text("\n".join(lines))
+    numbers = [" ".join(f"{x}" for x in rng.integers(0, 99, 4)) for _ in range(500)]
+    (tmp_path / "big.dat").write_text("\n\n".join(numbers) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        log = files.read_log(spark, str(tmp_path / "big.log"), r"seed (\d+)", r"^(\w+) ([0-9.]+)$")
+        assert spark.read.text(str(tmp_path / "big.log")).rdd.getNumPartitions() >= 50
+        assert [(r["line"], r["seed"], r["method"], r["value"]) for r in log.orderBy("line").collect()] == want
+        got = files.read_numbers(spark, str(tmp_path / "big.dat"), 4, skip=3).orderBy("row").collect()
+        assert [r["values"] for r in got] == [[float(x) for x in n.split()] for n in numbers[3:]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
