@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, table, thrifty
 
 CAPACITY, END = 4096, 1
+#: Bytes of text whose words a worker holds at once.
+PART_BYTES = 1 << 20
 #: Nodes that a dive may open for one filling; nodes of fillings that the exact search may open in all; bins it takes on at once.
 FILL_NODES, SEARCH_NODES, SEARCH_BINS = 400, 200_000, 64
 #: Groups of bins that are searched in vain before the packing of more than SEARCH_BINS stands; distinct lengths add to them.
@@ -103,6 +105,19 @@ class WordTokenizer:
             begin = end
 
 
+def parted(texts: list[bytes], most: int = PART_BYTES) -> Iterator[list[bytes]]:
+    """The texts in order, in parts of so many bytes at most; a longer text goes alone."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 @functools.lru_cache(2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One per process, so that what a task has learned serves the next."""
@@ -124,7 +139,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows: list[tuple] = []
             where: list[int] = []
-            for i, ids in enumerate(tokenizer.encode(texts)):
+            for i, ids in enumerate(itertools.chain.from_iterable(map(tokenizer.encode, parted(texts)))):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     data = ids[start : start + capacity].tobytes()
