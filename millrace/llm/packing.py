@@ -38,7 +38,7 @@ Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 class WordTokenizer:
     """Token ids of whole texts, word by word: the vocabulary's rules never reach across white space, so words that recur are encoded once."""
 
-    def __init__(self, path: str, most_words: int = 700_000) -> None:
+    def __init__(self, path: str, most_words: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
