@@ -168,7 +168,8 @@ def neighbours(df: DataFrame, k: int, id_col: str, vector: str = "embedding", me
     """
     cosine, spark = measure == "cosine", df.sparkSession
     rows, distinct, pivots_of = _distinct(df, k, id_col, vector, cosine)
-    some = pivots_of.limit(max(1, min(PIVOTS, rows.count() // CELL_ROWS))).collect()
+    n, most_copies = rows.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("h").isNotNull(), F.col("copies"))), F.lit(0))).first()
+    some = pivots_of.limit(max(1, min(PIVOTS, n // CELL_ROWS))).collect()
     found = None
     if some:
         pivots = np.unique(np.array([r["v"] for r in some], np.float64), axis=0)
@@ -188,7 +189,9 @@ def neighbours(df: DataFrame, k: int, id_col: str, vector: str = "embedding", me
         own = flat.select("id", none(lowest).alias("found"))
     else:
         own = flat.select("id", F.array().cast(FOUND).alias("found"))
-    if found is not None:
+    if found is not None and most_copies < MANY:
+        own = own.unionByName(rows.where("h is not null").join(found, ["h", "g"]).select("id", "found"))
+    elif found is not None:
         # rows of a vector with many copies meet what was found for it by salt, so that no task gets them all
         found = materialize(found, "found")
         light, heavy = rows.where(f"h is not null and copies < {MANY}"), rows.where(f"h is not null and copies >= {MANY}")
@@ -238,9 +241,9 @@ def _found(distinct: DataFrame, pivots: np.ndarray, k: int, digits: int, cosine:
         copies = holds.join(F.broadcast(parts), "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         return dealt.unionByName(copies).groupBy("block", "part").applyInArrow(search, out)
 
-    first = materialize(meet(asks), "own-block")
     if block == 0:
-        return first.select("h", "g", "found")
+        return meet(asks).select("h", "g", "found")
+    first = materialize(meet(asks), "own-block")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
