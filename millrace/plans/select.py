@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.rounding import rounded
 from millrace.operators import selection as S
 from millrace.operators.sets import compressed_sets
 from millrace.sources import files
@@ -38,7 +39,7 @@ class Selected:
 def select(records: DataFrame, budget: S.Budget = S.Budget(), signals: tuple[str, ...] = ("redundancy", "influence"), weights: list[float] | None = None, rule: str = "topk", gate: bool = False) -> Selected:
     """Score records (id, domain, text, ...), fuse the signals, resolve the budget, select, and describe pool and selection, with how redundant what is selected is as a set. An empty pool gives an empty selection."""
     pool = files.records(records)
-    scored = pool.select("*", T.token_count(F.col("text")).alias("tokens"), *[F.round(SIGNALS[s](F.col("text"), F.col("domain")), 6).alias(s) for s in signals])
+    scored = pool.select("*", T.token_count(F.col("text")).alias("tokens"), *[rounded(SIGNALS[s](F.col("text"), F.col("domain")), 6).alias(s) for s in signals])
     fused = S.fuse(scored, list(signals), weights or [0.0] * len(signals), gate=gate)
     k = budget.of(pool.withColumn("tokens", T.token_count(F.col("text"))), "tokens")
     rows = RULES[rule](fused, k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.functions.randomness import uniform, uniform_sql
+from millrace.functions.rounding import rounded
 from millrace.sources.tables import broadcast_if_small, materialize, table
 
 Q: dict = {}
@@ -50,7 +51,7 @@ MEAN = "(list_sum({a}) / len({a}))"
 def ts_windows(spark, d):
     """Windows with the part of the series they fall in: pool, val and test, parted by gaps of a window's length."""
     part = F.when(F.col("start") + L + H <= 0.6 * F.col("n"), "pool").when(F.col("start") >= 0.8 * F.col("n"), "test").when(F.col("start") >= 0.6 * F.col("n") + L + H, "val").otherwise("gap")
-    return windows(spark, d).select("user_id", "start", F.round(F.get("x", F.lit(0)), 6).alias("first"), F.round(F.get("x", F.lit(L - 1)), 6).alias("last"), F.round(V.total(F.col("y")), 4).alias("ahead"), part.alias("part"))
+    return windows(spark, d).select("user_id", "start", rounded(F.get("x", F.lit(0)), 6).alias("first"), rounded(F.get("x", F.lit(L - 1)), 6).alias("last"), rounded(V.total(F.col("y")), 4).alias("ahead"), part.alias("part"))
 
 
 AUTO = "round(list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - m) * (x[i + 1] - m))) / (list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - m) * (x[i] - m))) + 1e-9), 5)"
@@ -58,14 +59,14 @@ AUTO = "round(list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - m) * (
 
 @query("ts_autocorr", f"WITH {W}, m AS (SELECT *, list_sum(x) / len(x) AS m FROM w) SELECT user_id, start, {AUTO} AS autocorrelation FROM m")
 def ts_autocorr(spark, d):
-    return windows(spark, d).select("user_id", "start", F.round(V.autocorrelation(F.col("x")), 5).alias("autocorrelation"))
+    return windows(spark, d).select("user_id", "start", rounded(V.autocorrelation(F.col("x")), 5).alias("autocorrelation"))
 
 
 @query("ts_authenticity", f"WITH {W}, m AS (SELECT *, list_sum(x) / len(x) AS m FROM w) SELECT user_id, start, round(abs({AUTO}), 5) AS steadiness, round(-abs(list_sum(y) / len(y) - m), 6) AS forecastability FROM m")
 def ts_authenticity(spark, d):
     """How far a window is from noise, by its autocorrelation, and how near what follows is to its mean."""
     mean = V.total(F.col("x")) / L
-    return windows(spark, d).select("user_id", "start", F.round(F.abs(F.round(V.autocorrelation(F.col("x")), 5)), 5).alias("steadiness"), F.round(-F.abs(V.total(F.col("y")) / H - mean), 6).alias("forecastability"))
+    return windows(spark, d).select("user_id", "start", rounded(F.abs(rounded(V.autocorrelation(F.col("x")), 5)), 5).alias("steadiness"), rounded(-F.abs(V.total(F.col("y")) / H - mean), 6).alias("forecastability"))
 
 
 @query("ts_znorm", f"WITH {S}, m AS (SELECT user_id, avg(value) AS mu, stddev_pop(value) AS sd FROM s WHERE t <= floor(0.7::DOUBLE * n) GROUP BY 1) SELECT s.user_id, s.t, round((value - mu) / (sd + 1e-8::DOUBLE), 4) AS z FROM s JOIN m ON s.user_id = m.user_id")
@@ -73,7 +74,7 @@ def ts_znorm(spark, d):
     """Values normalised by the mean and deviation of the first 70 % of each series."""
     s = series(spark, d)
     m = s.where(F.col("t") <= F.floor(0.7 * F.col("n"))).groupBy("user_id").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
-    return s.join(m, "user_id").select("user_id", "t", F.round((F.col("value") - F.col("mu")) / (F.col("sd") + 1e-8), 4).alias("z"))
+    return s.join(m, "user_id").select("user_id", "t", rounded((F.col("value") - F.col("mu")) / (F.col("sd") + 1e-8), 4).alias("z"))
 
 
 @query("mase_naive", f"WITH {W}, e AS (SELECT user_id, list_sum(list_transform(y, lambda v: abs(v - list_sum(x) / len(x)))) / {H} AS model, list_sum(list_transform(y, lambda v: abs(v - x[{L}]))) / {H} AS naive FROM w) SELECT user_id, round(avg(model) / (avg(naive) + 1e-9), 4) AS mase, count(*) AS n FROM e GROUP BY 1")
@@ -82,14 +83,14 @@ def mase_naive(spark, d):
     mean = V.total(F.col("x")) / L
     err = lambda f: V.total(F.transform("y", lambda v: F.abs(v - f))) / H
     e = windows(spark, d).withColumn("mean_", mean).select("user_id", err(F.col("mean_")).alias("model"), err(F.get("x", F.lit(L - 1))).alias("naive"))
-    return e.groupBy("user_id").agg(F.round(F.avg("model") / (F.avg("naive") + 1e-9), 4).alias("mase"), F.count("*").alias("n"))
+    return e.groupBy("user_id").agg(rounded(F.avg("model") / (F.avg("naive") + 1e-9), 4).alias("mase"), F.count("*").alias("n"))
 
 
 @query("worst_segment", f"WITH {W}, e AS (SELECT user_id, start, ntile(2) OVER (PARTITION BY user_id ORDER BY start) AS seg, list_sum(list_transform(y, lambda v: abs(v - list_sum(x) / len(x)))) / {H} AS err FROM w), g AS (SELECT user_id, seg, -avg(err) AS gain FROM e GROUP BY 1, 2) SELECT user_id, round(min(gain), 4) AS robust_gain FROM g GROUP BY 1")
 def worst_segment(spark, d):
     """The smaller of the gains on the two halves of each user's windows."""
     e = windows(spark, d).withColumn("mean_", V.total(F.col("x")) / L).select("user_id", F.ntile(2).over(Window.partitionBy("user_id").orderBy("start")).alias("seg"), (V.total(F.transform("y", lambda v: F.abs(v - F.col("mean_")))) / H).alias("err"))
-    return e.groupBy("user_id", "seg").agg((-F.avg("err")).alias("gain")).groupBy("user_id").agg(F.round(F.min("gain"), 4).alias("robust_gain"))
+    return e.groupBy("user_id", "seg").agg((-F.avg("err")).alias("gain")).groupBy("user_id").agg(rounded(F.min("gain"), 4).alias("robust_gain"))
 
 
 @query("ts_noise", f"WITH {W}, u AS (SELECT *, {uniform_sql('user_id || chr(58) || start', 0, 'ts')} AS u FROM w), k AS (SELECT *, CASE WHEN u >= 0.4 THEN 'clean' WHEN u < 0.1 THEN 'corrupt' WHEN u < 0.2 THEN 'flat' WHEN u < 0.3 THEN 'shuffle' ELSE 'dup' END AS noise FROM u) SELECT user_id, start, noise, round(list_sum(CASE noise WHEN 'flat' THEN list_transform(x, lambda v: list_sum(x) / len(x)) WHEN 'corrupt' THEN list_transform(x, lambda v: -v) ELSE x END), 4) AS total FROM k")
@@ -100,7 +101,7 @@ def ts_noise(spark, d):
     kind = F.when(F.col("u") >= 0.4, "clean").when(F.col("u") < 0.1, "corrupt").when(F.col("u") < 0.2, "flat").when(F.col("u") < 0.3, "shuffle").otherwise("dup")
     shuffled = F.transform(F.array_sort(F.transform("x", lambda v, i: F.struct(F.xxhash64(F.col("u"), i).alias("k"), v.alias("v")))), lambda s: s["v"])
     x = F.when(kind == "flat", F.transform("x", lambda v: F.col("mean_"))).when(kind == "corrupt", F.transform("x", lambda v: -v)).when(kind == "shuffle", shuffled).otherwise(F.col("x"))
-    return w.select("user_id", "start", kind.alias("noise"), F.round(V.total(x), 4).alias("total"))
+    return w.select("user_id", "start", kind.alias("noise"), rounded(V.total(x), 4).alias("total"))
 
 
 @query("series_text", f"WITH {S}, l AS (SELECT user_id, list(value ORDER BY t) AS v FROM s GROUP BY 1) SELECT user_id, len(v) AS n, array_to_string(list_transform(v[1:60], lambda x: printf('%.2f', x)), ' ') AS text FROM l WHERE len(v) >= 24")
@@ -140,15 +141,15 @@ def losses(spark, d, every: bool = False) -> DataFrame:
 
 @query("heldout_perplexity", f"WITH {PPL} SELECT lang, round(exp(sum(loss) / sum(k)), 2) AS perplexity FROM l GROUP BY 1")
 def heldout_perplexity(spark, d):
-    return losses(spark, d).groupBy("lang").agg(F.round(F.exp(F.sum("loss") / F.sum("k")), 2).alias("perplexity"))
+    return losses(spark, d).groupBy("lang").agg(rounded(F.exp(F.sum("loss") / F.sum("k")), 2).alias("perplexity"))
 
 
 @query("text_controller", f"WITH {PPL}, m AS (SELECT lang, doc_id % 3 AS method, ln(exp(sum(loss) / sum(k))) AS lp FROM l GROUP BY 1, 2), g AS (SELECT method, round(avg(lp), 6) AS score FROM m GROUP BY 1) SELECT arg_min(method, (score, method)) AS chosen, round(min(score), 4) AS score FROM g")
 def text_controller(spark, d):
     """The method whose mean log perplexity over the languages is least; methods here are thirds of the ids."""
     m = losses(spark, d).groupBy("lang", (F.col("doc_id") % 3).alias("method")).agg((F.sum("loss") / F.sum("k")).alias("lp"))
-    g = m.groupBy("method").agg(F.round(F.avg("lp"), 6).alias("score"))
-    return g.agg(F.min_by("method", F.struct("score", "method")).alias("chosen"), F.round(F.min("score"), 4).alias("score"))
+    g = m.groupBy("method").agg(rounded(F.avg("lp"), 6).alias("score"))
+    return g.agg(F.min_by("method", F.struct("score", "method")).alias("chosen"), rounded(F.min("score"), 4).alias("score"))
 
 
 EVERY = "a AS (SELECT doc_id, -sum(ln((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS loss, count(*) AS k FROM t LEFT JOIN c ON t.w = c.w, z GROUP BY 1)"
@@ -163,4 +164,4 @@ def per_sample_loss(spark, d):
 @query("per_sample_loss_all", f"WITH {PPL}, {EVERY} SELECT d.doc_id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE loss / k END, 5) AS loss FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id")
 def per_sample_loss_all(spark, d):
     """A loss for every document, those that the model has learned from too."""
-    return losses(spark, d, every=True).select("doc_id", F.round(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))
+    return losses(spark, d, every=True).select("doc_id", rounded(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(F.col("loss") / F.col("k")), 5).alias("loss"))

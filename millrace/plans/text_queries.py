@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.randomness import gumbel, gumbel_sql, stable_seed, uniform, uniform_sql
+from millrace.functions.rounding import rounded
 from millrace.operators import order as O
 from millrace.operators import selection as S
 from millrace.operators.sets import compressed_sets
@@ -54,7 +55,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, tokens and the two signals, rounded: written out, so that bounds, budgets and ranks don't read texts again."""
     made = text_parts(spark, sf_dir, "lang", "source")
     auth = T.authenticity_of(F.col("complete"), F.col("varied"), F.col("form"))
-    return materialize(made.select("doc_id", "lang", "source", "tokens", F.round(auth, 6).alias("auth"), F.round("rich", 6).alias("rich")), "signals")
+    return materialize(made.select("doc_id", "lang", "source", "tokens", rounded(auth, 6).alias("auth"), rounded("rich", 6).alias("rich")), "signals")
 
 
 def with_scaled(df: DataFrame) -> DataFrame:
@@ -65,12 +66,12 @@ def with_scaled(df: DataFrame) -> DataFrame:
 def auth_general(spark, d):
     parts = ("complete", "completeness"), ("varied", "non_degeneracy"), ("form", "structure")
     auth = T.authenticity_of(*(F.col(c) for c, _ in parts))
-    return text_parts(spark, d).select("doc_id", *[F.round(c, 6).alias(name) for c, name in parts], F.round(auth, 6).alias("authenticity"))
+    return text_parts(spark, d).select("doc_id", *[rounded(c, 6).alias(name) for c, name in parts], rounded(auth, 6).alias("authenticity"))
 
 
 @query("structure_math", r"SELECT doc_id, round(least(1::DOUBLE, len(regexp_extract_all(coalesce(text, ''), '[0-9]|[+\-*/=^%<>]|\\[a-zA-Z]+|sqrt|theorem|prove|equation|solve|integral|derivative')) / 8::DOUBLE), 6) AS structure FROM documents")
 def structure_math(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.structure_math(F.col("text")), 6).alias("structure"))
+    return table(spark, d, "documents").select("doc_id", rounded(T.structure_math(F.col("text")), 6).alias("structure"))
 
 
 @query("structure_code")
@@ -81,13 +82,13 @@ def structure_code(spark, d):
 @query("lexical_richness", f"WITH {BASE} SELECT doc_id, rr AS richness, round(mr, 6) AS scaled FROM m")
 def lexical_richness(spark, d):
     s = signals(spark, d).select("doc_id", F.col("rich").alias("richness"), F.col("rich").alias("scaled"))
-    return O.minmax(s, "scaled").select("doc_id", "richness", F.round("scaled", 6).alias("scaled"))
+    return O.minmax(s, "scaled").select("doc_id", "richness", rounded("scaled", 6).alias("scaled"))
 
 
 @query("select_fused_topk", f"WITH {BASE}, i AS (SELECT doc_id, round(0.5::DOUBLE * ma + 0.5::DOUBLE * mr, 6) AS importance FROM m), r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, doc_id) AS rk, count(*) OVER () AS n FROM i) SELECT doc_id, importance, rk FROM r WHERE rk <= greatest(1, least(n, round_even(0.5::DOUBLE * n, 0)))")
 def select_fused_topk(spark, d):
     """Two signals, blended evenly, and the better half of the pool."""
-    fused = S.fuse(signals(spark, d), ["auth", "rich"], [0.0, 0.0]).withColumn("importance", F.round("importance", 6))
+    fused = S.fuse(signals(spark, d), ["auth", "rich"], [0.0, 0.0]).withColumn("importance", rounded("importance", 6))
     return S.by_score(fused, "importance", S.Budget().of(fused), "doc_id").select("doc_id", "importance", "rk")
 
 
@@ -95,26 +96,26 @@ def select_fused_topk(spark, d):
 def conflict_gated_fusion(spark, d):
     """Weights of each language, and importance drawn to neutral where signals conflict."""
     fused = S.fuse(signals(spark, d), ["auth", "rich"], {"en": [1.0, 0.0], "de": [0.0, 1.0]}, "lang", gate=True)
-    return fused.select("doc_id", F.round("importance", 6).alias("importance"))
+    return fused.select("doc_id", rounded("importance", 6).alias("importance"))
 
 
 @query("curriculum_fusion", f"WITH {BASE} SELECT doc_id, round(0.5744425168116589::DOUBLE * ma + 0.4255574831883411::DOUBLE * mr, 5) AS importance FROM m")
 def curriculum_fusion(spark, d):
     """Softmax weights with a curriculum prior that leans to redundancy at 20 % of the way."""
     s = signals(spark, d).withColumnRenamed("auth", "redundancy").withColumnRenamed("rich", "influence")
-    return S.fuse(s, ["redundancy", "influence"], [0.0, 0.0], anneal=0.5, progress=0.2).select("doc_id", F.round("importance", 5).alias("importance"))
+    return S.fuse(s, ["redundancy", "influence"], [0.0, 0.0], anneal=0.5, progress=0.2).select("doc_id", rounded("importance", 5).alias("importance"))
 
 
 @query("rank01_authenticity", f"WITH {BASE} SELECT doc_id, round((row_number() OVER (ORDER BY ra, doc_id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE), 6) AS rank01 FROM s")
 def rank01_authenticity(spark, d):
-    return O.rank01(signals(spark, d).select("doc_id", "auth"), "auth", "doc_id", "r").select("doc_id", F.round("r", 6).alias("rank01"))
+    return O.rank01(signals(spark, d).select("doc_id", "auth"), "auth", "doc_id", "r").select("doc_id", rounded("r", 6).alias("rank01"))
 
 
 @query("rank_mean_and_least", f"WITH {BASE}, r AS (SELECT doc_id, (row_number() OVER (ORDER BY ra, doc_id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS x, (row_number() OVER (ORDER BY rr, doc_id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS y FROM s) SELECT doc_id, round((x + y) / 2, 6) AS mean_rank, round(least(x, y), 6) AS least_rank FROM r")
 def rank_mean_and_least(spark, d):
     s = O.rank01(signals(spark, d).select("doc_id", "auth", "rich"), "auth", "doc_id", "x")
     s = O.rank01(s, "rich", "doc_id", "y")
-    return s.select("doc_id", F.round((F.col("x") + F.col("y")) / 2, 6).alias("mean_rank"), F.round(F.least("x", "y"), 6).alias("least_rank"))
+    return s.select("doc_id", rounded((F.col("x") + F.col("y")) / 2, 6).alias("mean_rank"), rounded(F.least("x", "y"), 6).alias("least_rank"))
 
 
 @query("gated_topk", f"WITH {BASE}, g AS (SELECT *, quantile_cont(ra, 0.25) OVER () AS gate, count(*) OVER () AS n FROM s), r AS (SELECT doc_id, rr AS score, n, row_number() OVER (ORDER BY rr DESC, doc_id) AS rk FROM g WHERE ra >= gate) SELECT doc_id, score, rk FROM r WHERE rk <= n // 4")
@@ -182,7 +183,7 @@ def validation_halves(spark, d):
 @query("composition_by_domain", "SELECT d.lang, l.quality, count(*) AS n, round(avg(CASE WHEN l.quality = 1 THEN 1::DOUBLE WHEN l.quality = 0 THEN 0::DOUBLE END), 3) AS clean FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2")
 def composition_by_domain(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality").cast("double")), 3).alias("clean"))
+    return docs.join(labels, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("n"), rounded(F.avg(F.col("quality").cast("double")), 3).alias("clean"))
 
 
 @query("contract_check", "WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (text IS NULL OR text = '') AS empty, count(DISTINCT doc_id) AS ids FROM documents GROUP BY lang) SELECT lang, n, n >= 5 AND empty = 0 AND ids = n AS ok FROM c")
@@ -230,13 +231,13 @@ z AS (SELECT 'auth' AS method, doc_id FROM o WHERE r1 <= n // 5 UNION ALL SELECT
 
 @query("selection_overlap", FOUR + ", c AS (SELECT method, count(*) AS n FROM z GROUP BY 1) SELECT x.method AS a, y.method AS b, count(*) AS common, round(count(*) / least(any_value(p.n), any_value(q.n))::DOUBLE, 6) AS of_smaller, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*))::DOUBLE, 6) AS jaccard FROM z x JOIN z y ON x.doc_id = y.doc_id AND x.method < y.method JOIN c p ON p.method = x.method JOIN c q ON q.method = y.method GROUP BY 1, 2")
 def selection_overlap(spark, d):
-    return S.overlaps(four_selections(spark, d), "doc_id").select("a", "b", "common", F.round("of_smaller", 6).alias("of_smaller"), F.round("jaccard", 6).alias("jaccard"))
+    return S.overlaps(four_selections(spark, d), "doc_id").select("a", "b", "common", rounded("of_smaller", 6).alias("of_smaller"), rounded("jaccard", 6).alias("jaccard"))
 
 
 @query("vote_ensemble", FOUR + ", v AS (SELECT doc_id, round(sum(CASE method WHEN 'auth' THEN 0.5::DOUBLE WHEN 'rich' THEN 0.3::DOUBLE WHEN 'random' THEN 0.1::DOUBLE END), 6) AS votes FROM z WHERE method <> 'low' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY votes DESC, doc_id) AS rk FROM v) SELECT doc_id, votes, rk FROM r WHERE rk <= (SELECT count(*) // 5 FROM documents)")
 def vote_ensemble(spark, d):
     k = table(spark, d, "documents").count() // 5
-    v = S.votes(four_selections(spark, d), "doc_id", {"auth": 0.5, "rich": 0.3, "random": 0.1}).withColumn("votes", F.round("votes", 6))
+    v = S.votes(four_selections(spark, d), "doc_id", {"auth": 0.5, "rich": 0.3, "random": 0.1}).withColumn("votes", rounded("votes", 6))
     return S.by_score(v, "votes", k, "doc_id").select("doc_id", "votes", "rk")
 
 
@@ -244,7 +245,7 @@ def vote_ensemble(spark, d):
 def complementary_vote(spark, d):
     """Whether three selections overlap little enough for their vote to be used."""
     n = four_selections(spark, d).where("method <> 'low'").groupBy("doc_id").agg(F.count("*").alias("c"))
-    return n.agg((F.count(F.when(F.col("c") == 3, 1)) / F.count("*").cast("double")).alias("j")).select(F.round("j", 6).alias("jaccard"), (F.col("j") < 0.35).alias("use_vote"))
+    return n.agg((F.count(F.when(F.col("c") == 3, 1)) / F.count("*").cast("double")).alias("j")).select(rounded("j", 6).alias("jaccard"), (F.col("j") < 0.35).alias("use_vote"))
 
 
 @query("common_methods", FOUR + ", k AS (SELECT z.method, d.lang FROM z JOIN documents d ON z.doc_id = d.doc_id GROUP BY 1, 2) SELECT method, count(*) AS views FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT lang) FROM documents)")
@@ -258,7 +259,7 @@ def common_methods(spark, d):
 @query("quadmix_counts", f"WITH {BASE}, q AS (SELECT doc_id, lang, tokens, round((1 - (ra - min(ra) OVER ()) / (max(ra) OVER () - min(ra) OVER () + 1e-12)) / 2 + (1 - (rr - min(rr) OVER ()) / (max(rr) OVER () - min(rr) OVER () + 1e-12)) / 2, 9) AS merged FROM s), r AS (SELECT doc_id, sum(greatest(tokens, 1)::DOUBLE) OVER (PARTITION BY lang ORDER BY merged, doc_id ROWS UNBOUNDED PRECEDING) / sum(greatest(tokens, 1)::DOUBLE) OVER (PARTITION BY lang) AS qr FROM q) SELECT doc_id, round(qr, 6) AS quality_rank, round(CASE WHEN qr <= 0.05::DOUBLE THEN 1 / (1 + exp(greatest(-60::DOUBLE, least(60::DOUBLE, -100 * (0.05::DOUBLE - qr))))) + 0.001::DOUBLE ELSE 0.001::DOUBLE END, 6) AS expected FROM r")
 def quadmix_counts(spark, d):
     s = signals(spark, d).withColumn("tw", F.greatest("tokens", F.lit(1)))
-    return S.quadmix_counts(s, ["auth", "rich"], "lang", "doc_id", "tw").select("doc_id", F.round("quality_rank", 6).alias("quality_rank"), F.round("expected", 6).alias("expected"))
+    return S.quadmix_counts(s, ["auth", "rich"], "lang", "doc_id", "tw").select("doc_id", rounded("quality_rank", 6).alias("quality_rank"), rounded("expected", 6).alias("expected"))
 
 
 @query("quadmix_select", SQL["quadmix_counts"].replace("SELECT doc_id, round(qr, 6) AS quality_rank, round(", ", e AS (SELECT doc_id, round(").replace("END, 6) AS expected FROM r", f"END, 6) AS expected FROM r), g AS (SELECT doc_id, round(ln(expected + 1e-30::DOUBLE) + {gumbel_sql('doc_id', 0, 'quadmix')}, 6) AS key FROM e), k AS (SELECT doc_id, key, row_number() OVER (ORDER BY key DESC, doc_id) AS rk, count(*) OVER () AS n FROM g) SELECT doc_id, key, rk FROM k WHERE rk <= n // 10"))
@@ -345,7 +346,7 @@ def compression_ratio(spark, d):
 def set_redundancy(spark, d):
     """How redundant each of four selections is as a set, and how far it compresses."""
     texts = four_selections(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return compressed_sets(texts, "method", "doc_id").select("method", "raw", "packed", F.round("redundancy", 6).alias("redundancy"), F.round("ratio", 6).alias("ratio"))
+    return compressed_sets(texts, "method", "doc_id").select("method", "raw", "packed", rounded("redundancy", 6).alias("redundancy"), rounded("ratio", 6).alias("ratio"))
 
 
 @query("token_blocks")
@@ -384,7 +385,7 @@ def dsir_scores(spark, d) -> DataFrame:
     h = spark.range(4096).select(F.col("id").cast("int").alias("h"))
     p = h.join(pool.groupBy("h").agg(F.sum("cnt").alias("p")), "h", "left").join(target.groupBy("h").agg(F.sum("cnt").alias("t")), "h", "left").select("h", (F.coalesce("p", F.lit(0)) + 1.0).alias("p"), (F.coalesce("t", F.lit(0)) + 1.0).alias("t"))
     w = Window.partitionBy()
-    ratio = p.select("h", F.round(F.log(F.col("t") / F.sum("t").over(w)) - F.log(F.col("p") / F.sum("p").over(w)), 9).alias("lr"))  # 4096 rows, always
+    ratio = p.select("h", rounded(F.log(F.col("t") / F.sum("t").over(w)) - F.log(F.col("p") / F.sum("p").over(w)), 9).alias("lr"))  # 4096 rows, always
     total = F.sum(F.col("cnt") * F.col("lr"))
     return materialize(pool.join(F.broadcast(ratio), "h").groupBy("doc_id").agg(total.alias("summed"), (total / (F.sum("cnt") + F.lit(1e-9))).alias("mean")), "dsir")
 
@@ -403,12 +404,12 @@ def dsir_topk(spark, d):
     s = dsir_scores(spark, d)
     one = s.agg(F.avg("summed").alias("m"), F.count("*").alias("n"))
     n = s.count()
-    return S.by_score(s.crossJoin(F.broadcast(one)).withColumn("score", F.round(F.col("summed") - F.col("m"), 4)), "score", n // 5, "doc_id", digits=4).select("doc_id", "score", "rk")
+    return S.by_score(s.crossJoin(F.broadcast(one)).withColumn("score", rounded(F.col("summed") - F.col("m"), 4)), "score", n // 5, "doc_id", digits=4).select("doc_id", "score", "rk")
 
 
 @query("dsir_gumbel", DSIR + f", r AS (SELECT doc_id, round(round(mean, 6) + {gumbel_sql('doc_id', 0, 'dsir')}, 6) AS key, count(*) OVER () AS n FROM ds), kk AS (SELECT *, row_number() OVER (ORDER BY key DESC, doc_id) AS rk FROM r) SELECT doc_id, key, rk FROM kk WHERE rk <= n // 5")
 def dsir_gumbel(spark, d):
-    s = dsir_scores(spark, d).withColumn("mean", F.round("mean", 6))
+    s = dsir_scores(spark, d).withColumn("mean", rounded("mean", 6))
     return S.gumbel_top(s, F.col("mean"), s.count() // 5, "doc_id", 0, "dsir").select("doc_id", "key", "rk")
 
 
@@ -450,7 +451,7 @@ def record_ids(spark, d):
 @query("dmf_base", f"WITH {BASE}, i AS (SELECT doc_id, round(0.5::DOUBLE * ma + 0.5::DOUBLE * mr, 6) AS importance FROM m) SELECT doc_id, importance, row_number() OVER (ORDER BY importance DESC, doc_id) AS rk FROM i")
 def dmf_base(spark, d):
     """Plain dynamic fusion before any reward: even weights, and with no budget below the pool a rank for every document."""
-    fused = with_scaled(signals(spark, d)).withColumn("importance", F.round(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
+    fused = with_scaled(signals(spark, d)).withColumn("importance", rounded(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
     return O.global_rank(fused, F.col("importance").desc(), F.col("doc_id").asc()).select("doc_id", "importance", "rk")
 
 
@@ -458,7 +459,7 @@ def dmf_base(spark, d):
 def gated_fusion(spark, d):
     """The fused recipe behind a gate: what is less authentic than three quarters of the pool can't be chosen before all others are."""
     s = signals(spark, d)
-    fused = with_scaled(s.withColumn("raw", F.col("auth"))).withColumn("importance", F.round(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
+    fused = with_scaled(s.withColumn("raw", F.col("auth"))).withColumn("importance", rounded(S.blend(["auth", "rich"], [0.5, 0.5]), 6))
     return S.by_score(O.sentinel_gate(fused, "importance", "raw", 0.25), "importance", s.count() // 5, "doc_id").select("doc_id", "importance", "rk")
 
 
@@ -469,7 +470,7 @@ def domain_filter(spark, d):
 
 @query("diagnostics", f"WITH {BASE}, i AS (SELECT doc_id, round(0.5::DOUBLE * ma + 0.5::DOUBLE * mr, 6) AS importance FROM m), r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, doc_id) AS rk, count(*) OVER () AS n FROM i) SELECT count(*) AS n_pool, count(*) FILTER (rk <= round_even(0.5::DOUBLE * n, 0)) AS n_selected, round(avg(importance), 5) AS mean_pool, round(avg(importance) FILTER (rk <= round_even(0.5::DOUBLE * n, 0)), 5) AS mean_selected FROM r")
 def diagnostics(spark, d):
-    fused = S.fuse(signals(spark, d), ["auth", "rich"], [0.0, 0.0]).withColumn("importance", F.round("importance", 6))
+    fused = S.fuse(signals(spark, d), ["auth", "rich"], [0.0, 0.0]).withColumn("importance", rounded("importance", 6))
     k = S.Budget().of(fused)
     r = O.global_rank(fused, F.col("importance").desc(), F.col("doc_id").asc())
-    return r.agg(F.count("*").alias("n_pool"), F.count(F.when(F.col("rk") <= k, 1)).alias("n_selected"), F.round(F.avg("importance"), 5).alias("mean_pool"), F.round(F.avg(F.when(F.col("rk") <= k, F.col("importance"))), 5).alias("mean_selected"))
+    return r.agg(F.count("*").alias("n_pool"), F.count(F.when(F.col("rk") <= k, 1)).alias("n_selected"), rounded(F.avg("importance"), 5).alias("mean_pool"), rounded(F.avg(F.when(F.col("rk") <= k, F.col("importance"))), 5).alias("mean_selected"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
 from millrace.functions.randomness import gumbel_sql, uniform, uniform_sql
+from millrace.functions.rounding import rounded
 from millrace.operators import greedy as G
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
@@ -45,12 +46,12 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS plac
 
 @query("knn_agreement", f"WITH {NEAR} SELECT id AS vec_id, round(avg(CASE WHEN own = its THEN 1::DOUBLE ELSE 0::DOUBLE END), 5) AS agreement FROM n GROUP BY id")
 def knn_agreement(spark, d):
-    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), F.round("agreement", 5).alias("agreement"))
+    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), rounded("agreement", 5).alias("agreement"))
 
 
 @query("knn_inlier", f"WITH {NEAR} SELECT id AS vec_id, round(avg(sim), 6) AS inlier, round(1 - avg(sim), 6) AS novelty FROM n GROUP BY id")
 def knn_inlier(spark, d):
-    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), F.round("inlier", 6).alias("inlier"), F.round("novelty", 6).alias("novelty"))
+    return N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select(F.col("id").alias("vec_id"), rounded("inlier", 6).alias("inlier"), rounded("novelty", 6).alias("novelty"))
 
 
 @query("knn_join", f"WITH {NEAR} SELECT id, other, sim AS value, place FROM n WHERE place <= 3")
@@ -61,18 +62,18 @@ def knn_join(spark, d):
 @query("auth_label_full", f"WITH {NEAR}, q AS (SELECT id, round(avg(CASE WHEN own = its THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS a, round(avg(sim), 6) AS i FROM n GROUP BY id), r AS (SELECT id, (row_number() OVER (ORDER BY a, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ra, (row_number() OVER (ORDER BY i, id) - 1) / (count(*) OVER () - 1 + 1e-9::DOUBLE) AS ri FROM q) SELECT id AS vec_id, round(ra, 6) AS auth_label, round(least(ra, ri), 6) AS auth_full, round(least(ra, ri), 6) AS auth2 FROM r")
 def auth_label_full(spark, d):
     """Rank-normalised label agreement, and the least of it and the rank-normalised inlier score."""
-    s = N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select("id", F.round("agreement", 6).alias("a"), F.round("inlier", 6).alias("i"))
+    s = N.neighbour_signals(rows(spark, d), 15, "vec_id", "label").select("id", rounded("agreement", 6).alias("a"), rounded("inlier", 6).alias("i"))
     s = O.rank01(O.rank01(s, "a", "id", "ra"), "i", "id", "ri")
-    least = F.round(F.least("ra", "ri"), 6)
-    return s.select(F.col("id").alias("vec_id"), F.round("ra", 6).alias("auth_label"), least.alias("auth_full"), least.alias("auth2"))
+    least = rounded(F.least("ra", "ri"), 6)
+    return s.select(F.col("id").alias("vec_id"), rounded("ra", 6).alias("auth_label"), least.alias("auth_full"), least.alias("auth2"))
 
 
 @query("density_select", f"WITH {FAR}, s AS (SELECT id AS vec_id, round(avg(dist), 7) AS sparsity FROM n GROUP BY id), k AS (SELECT vec_id, round(ln(sparsity + 1e-12::DOUBLE) + {gumbel_sql('vec_id', 0, 'density')}, 5) AS key, count(*) OVER () AS n FROM s), r AS (SELECT *, row_number() OVER (ORDER BY key DESC, vec_id) AS rk FROM k) SELECT vec_id, key, rk FROM r WHERE rk <= n // 5")
 def density_select(spark, d):
-    s = N.density(rows(spark, d), "vec_id").select(F.col("id").alias("vec_id"), F.round("sparsity", 7).alias("sparsity"))
+    s = N.density(rows(spark, d), "vec_id").select(F.col("id").alias("vec_id"), rounded("sparsity", 7).alias("sparsity"))
     from millrace.functions.randomness import gumbel
 
-    keyed = s.withColumn("key", F.round(F.log(F.col("sparsity") + F.lit(1e-12)) + gumbel(F.col("vec_id"), 0, "density"), 5))
+    keyed = s.withColumn("key", rounded(F.log(F.col("sparsity") + F.lit(1e-12)) + gumbel(F.col("vec_id"), 0, "density"), 5))
     return O.top_k(keyed, s.count() // 5, F.col("key").desc(), F.col("vec_id").asc()).select("vec_id", "key", "rk")
 
 
@@ -97,11 +98,11 @@ def probe(spark: SparkSession, d: str) -> DataFrame:
     e = rows(spark, d).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     parts = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("label_"), F.col("c.m").alias("mean")))).alias("means"))
-    z = e.crossJoin(F.broadcast(means)).withColumn("z", F.transform("means", lambda m: -F.round(V.euclid(F.col("v"), m["mean"]), 9)))
+    z = e.crossJoin(F.broadcast(means)).withColumn("z", F.transform("means", lambda m: -rounded(V.euclid(F.col("v"), m["mean"]), 9)))
     p = z.withColumn("ex", F.transform("z", lambda x: F.exp(x - F.array_max("z")))).withColumn("sum_", V.total(F.col("ex"))).withColumn("p", F.transform("ex", lambda x: x / F.col("sum_")))
     at = F.array_position(F.transform("means", lambda m: m["label_"]), F.col("label")).cast("int") - 1
     top = F.array_position("p", F.array_max("p")).cast("int")
-    out = p.withColumn("at", at).select("vec_id", "label", "p", F.round(V.error_norm(F.col("p"), F.col("at")), 6).alias("err"), F.round(V.norm(F.col("v")), 6).alias("size"), F.round(V.margin(F.col("p")), 6).alias("margin"), V.log_likelihood(F.col("p"), F.col("at")).alias("ll"), F.element_at(F.transform("means", lambda m: m["label_"]), top).alias("pred"), "v")
+    out = p.withColumn("at", at).select("vec_id", "label", "p", rounded(V.error_norm(F.col("p"), F.col("at")), 6).alias("err"), rounded(V.norm(F.col("v")), 6).alias("size"), rounded(V.margin(F.col("p")), 6).alias("margin"), V.log_likelihood(F.col("p"), F.col("at")).alias("ll"), F.element_at(F.transform("means", lambda m: m["label_"]), top).alias("pred"), "v")
     return out
 
 
@@ -113,7 +114,7 @@ def el2n(spark, d):
 
 @query("grand", f"WITH {PROBE}, g AS (SELECT vec_id, round(err * size, 5) AS score FROM f), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rk, count(*) OVER () AS n FROM g) SELECT vec_id, score, rk FROM r WHERE rk <= n // 5")
 def grand(spark, d):
-    s = probe(spark, d).select("vec_id", F.round(F.col("err") * F.col("size"), 5).alias("score"))
+    s = probe(spark, d).select("vec_id", rounded(F.col("err") * F.col("size"), 5).alias("score"))
     return S.by_score(s, "score", s.count() // 5, "vec_id", digits=5).select("vec_id", "score", "rk")
 
 
@@ -125,13 +126,13 @@ def margin_select(spark, d):
 
 @query("log_likelihood", f"WITH {PROBE} SELECT vec_id, round(ln(own + 1e-9::DOUBLE), 4) AS ll, -round(ln(own + 1e-9::DOUBLE), 4) AS loss FROM f")
 def log_likelihood(spark, d):
-    return probe(spark, d).select("vec_id", F.round("ll", 4).alias("ll"), (-F.round("ll", 4)).alias("loss"))
+    return probe(spark, d).select("vec_id", rounded("ll", 4).alias("ll"), (-rounded("ll", 4)).alias("loss"))
 
 
 @query("loss_blend", f"WITH {PROBE}, b AS (SELECT vec_id, round(err * size, 5) AS g, -round(-ln(own + 1e-9::DOUBLE), 5) AS q FROM f) SELECT vec_id, round((g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) + (q - min(q) OVER ()) / (max(q) OVER () - min(q) OVER ()), 4) AS blend FROM b")
 def loss_blend(spark, d):
-    b = probe(spark, d).select("vec_id", F.round(F.col("err") * F.col("size"), 5).alias("g"), (-F.round(-F.col("ll"), 5)).alias("q"))
-    return O.minmax(b, "g", "q").select("vec_id", F.round(F.col("g") + F.col("q"), 4).alias("blend"))
+    b = probe(spark, d).select("vec_id", rounded(F.col("err") * F.col("size"), 5).alias("g"), (-rounded(-F.col("ll"), 5)).alias("q"))
+    return O.minmax(b, "g", "q").select("vec_id", rounded(F.col("g") + F.col("q"), 4).alias("blend"))
 
 
 @query("ccs", f"WITH {PROBE}, o AS (SELECT vec_id, err, row_number() OVER (ORDER BY err, vec_id) AS ease, count(*) OVER () AS n FROM f), k AS (SELECT *, floor(n * 0.9::DOUBLE)::BIGINT AS keep, n // 5 AS k FROM o), t AS (SELECT *, least(floor((ease - 1) * 50 / keep::DOUBLE), 49)::INT AS stratum FROM k WHERE ease <= keep), uu AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {uniform_sql('vec_id', 0, 'ccs')}, vec_id) AS turn FROM t), l AS (SELECT *, CASE WHEN turn > greatest(1, k // 50) THEN 1 ELSE 0 END AS late FROM uu), r AS (SELECT *, row_number() OVER (ORDER BY late, CASE WHEN late = 0 THEN stratum ELSE ease END, turn, vec_id) AS rk FROM l) SELECT vec_id, stratum, rk FROM r WHERE rk <= k")
@@ -165,7 +166,7 @@ def fidelity_curve(spark, d):
     s = O.global_rank(s, F.col("err").desc(), F.col("vec_id").asc(), out="hard")
     s = O.global_rank(s, uniform(F.col("vec_id"), 0, "random").asc(), F.col("vec_id").asc(), out="chance")
     k = spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.3)], "keep double")
-    return s.crossJoin(F.broadcast(k)).groupBy("keep").agg(*[F.round(F.avg(F.when(F.col(c) <= F.floor(F.lit(n) * F.col("keep")), F.col("ok"))), 5).alias(o) for c, o in (("hard", "hard_accuracy"), ("chance", "random_accuracy"))])
+    return s.crossJoin(F.broadcast(k)).groupBy("keep").agg(*[rounded(F.avg(F.when(F.col(c) <= F.floor(F.lit(n) * F.col("keep")), F.col("ok"))), 5).alias(o) for c, o in (("hard", "hard_accuracy"), ("chance", "random_accuracy"))])
 
 
 @query("accuracy_f1", f"WITH {PROBE}, cc AS (SELECT label AS l, pred AS q, count(*) AS n FROM f GROUP BY 1, 2), k AS (SELECT DISTINCT label AS l FROM embeddings), t AS (SELECT k.l, coalesce(sum(n) FILTER (cc.l = k.l AND q = k.l), 0) AS tp, coalesce(sum(n) FILTER (cc.l = k.l), 0) AS actual, coalesce(sum(n) FILTER (q = k.l), 0) AS said FROM k, cc GROUP BY k.l) SELECT round(sum(tp) / sum(actual)::DOUBLE, 6) AS accuracy, round(avg(CASE WHEN actual + said > 0 THEN 2 * tp / (actual + said)::DOUBLE ELSE 0 END), 6) AS macro_f1, round(avg(tp / actual::DOUBLE), 6) AS balanced FROM t")
@@ -174,7 +175,7 @@ def accuracy_f1(spark, d):
     actual = c.groupBy(F.col("label").alias("l")).agg(F.sum("n").alias("actual"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
     said = c.groupBy(F.col("pred").alias("l")).agg(F.sum("n").alias("said"))
     t = actual.join(said, "l", "left").fillna(0, ["said"])
-    return t.agg(F.round(F.sum("tp") / F.sum("actual"), 6).alias("accuracy"), F.round(F.avg(2 * F.col("tp") / (F.col("actual") + F.col("said"))), 6).alias("macro_f1"), F.round(F.avg(F.col("tp") / F.col("actual")), 6).alias("balanced"))
+    return t.agg(rounded(F.sum("tp") / F.sum("actual"), 6).alias("accuracy"), rounded(F.avg(2 * F.col("tp") / (F.col("actual") + F.col("said"))), 6).alias("macro_f1"), rounded(F.avg(F.col("tp") / F.col("actual")), 6).alias("balanced"))
 
 
 NOISED = f"SELECT vec_id, label AS clean, CASE WHEN {uniform_sql('vec_id', 0, 'noise')} < 0.2 THEN (label + 1) % 10 ELSE label END AS label, {uniform_sql('vec_id', 0, 'noise')} < 0.2 AS bad, embedding FROM embeddings"
@@ -206,11 +207,11 @@ def image_noise(spark, d):
 def ovr_auc(spark, d):
     """One class against the rest, by the probe's probability of it, as a mean over the classes."""
     names = [r["label"] for r in rows(spark, d).select("label").distinct().orderBy("label").collect()]
-    each = F.explode(F.transform("p", lambda p, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("c"), F.round(p, 6).alias("s"))))
+    each = F.explode(F.transform("p", lambda p, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("c"), rounded(p, 6).alias("s"))))
     k = probe(spark, d).select("label", each.alias("x")).groupBy("x.c", "x.s").agg(F.count(F.when(F.col("label") == F.col("x.c"), 1)).alias("p"), F.count(F.when(F.col("label") != F.col("x.c"), 1)).alias("q"))
     w = O.running_sum(k, "q", F.col("s").asc(), by="c").withColumn("won", F.col("p") * (F.col("running") - F.col("q") / 2.0))
     a = w.groupBy("c").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0 and q > 0")
-    return a.agg(F.round(F.avg(F.col("won") / (F.col("p") * F.col("q"))), 5).alias("auc"))
+    return a.agg(rounded(F.avg(F.col("won") / (F.col("p") * F.col("q"))), 5).alias("auc"))
 
 
 def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
@@ -225,8 +226,8 @@ def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
 def auroc_detectors(spark, d):
     n = noised(spark, d)
     g = N.neighbour_signals(n, 15, "vec_id", "label").join(n.select(F.col("vec_id").alias("id"), "bad"), "id")
-    long = g.select("bad", F.explode(F.array(F.struct(F.lit("agreement").alias("detector"), F.round(-F.col("agreement"), 6).alias("s")), F.struct(F.lit("inlier").alias("detector"), F.round(-F.col("inlier"), 6).alias("s")))).alias("x")).select("bad", "x.detector", "x.s")
-    return auroc(long, "s", "bad", "detector").select("detector", F.round("auroc", 5).alias("auroc"))
+    long = g.select("bad", F.explode(F.array(F.struct(F.lit("agreement").alias("detector"), rounded(-F.col("agreement"), 6).alias("s")), F.struct(F.lit("inlier").alias("detector"), rounded(-F.col("inlier"), 6).alias("s")))).alias("x")).select("bad", "x.detector", "x.s")
+    return auroc(long, "s", "bad", "detector").select("detector", rounded("auroc", 5).alias("auroc"))
 
 
 @query("far_threshold", f"WITH {PROBE}, k AS (SELECT vec_id, label = 0 AS normal, err AS s FROM f), cc AS (SELECT s, sum(count(*)) OVER (ORDER BY s DESC) / (SELECT count(*) FROM k WHERE normal)::DOUBLE AS far FROM k WHERE normal GROUP BY s), t AS (SELECT min(s) AS threshold FROM cc WHERE far <= 0.1::DOUBLE) SELECT threshold, round(avg(CASE WHEN s >= threshold THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (NOT normal), 6) AS fdr, round(avg(CASE WHEN s >= threshold THEN 1::DOUBLE ELSE 0::DOUBLE END) FILTER (normal), 6) AS far FROM k, t GROUP BY threshold")
@@ -238,7 +239,7 @@ def far_threshold(spark, d):
     one = normal.agg(F.count("*").alias("n"))
     t = per.crossJoin(F.broadcast(one)).where(F.col("running") / F.col("n") <= 0.1).agg(F.min("s").alias("threshold"))
     hit = F.when(F.col("s") >= F.col("threshold"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return k.crossJoin(F.broadcast(t)).groupBy("threshold").agg(F.round(F.avg(F.when(~F.col("normal"), hit)), 6).alias("fdr"), F.round(F.avg(F.when(F.col("normal"), hit)), 6).alias("far"))
+    return k.crossJoin(F.broadcast(t)).groupBy("threshold").agg(rounded(F.avg(F.when(~F.col("normal"), hit)), 6).alias("fdr"), rounded(F.avg(F.when(F.col("normal"), hit)), 6).alias("far"))
 
 
 @query("auprc", f"WITH {PROBE}, k AS (SELECT label <> 0 AS bad, err AS s FROM f), g AS (SELECT s, count(*) FILTER (bad) AS p, count(*) AS n FROM k GROUP BY s), r AS (SELECT s, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS said FROM g) SELECT round(sum(p * tp / said::DOUBLE) / sum(p), 5) AS auprc FROM r")
@@ -246,7 +247,7 @@ def auprc(spark, d):
     """Mean precision over the rows that are not of label 0, by falling score."""
     g = probe(spark, d).groupBy(F.col("err").alias("s")).agg(F.count(F.when(F.col("label") != 0, 1)).alias("p"), F.count("*").alias("n"))
     r = O.running_sum(O.running_sum(g, "p", F.col("s").desc(), out="tp"), "n", F.col("s").desc(), out="said")
-    return r.agg(F.round(F.sum(F.col("p") * F.col("tp") / F.col("said")) / F.sum("p"), 5).alias("auprc"))
+    return r.agg(rounded(F.sum(F.col("p") * F.col("tp") / F.col("said")) / F.sum("p"), 5).alias("auprc"))
 
 
 CENTER = """
@@ -281,7 +282,7 @@ g AS (SELECT 0 AS rk, []::BIGINT[] AS ids UNION ALL SELECT rk + 1, list_append(i
 SELECT ids[rk] AS vec_id, rk FROM g WHERE rk > 0
 """)
 def greedy_diverse(spark, d):
-    e = rows(spark, d).withColumn("importance", F.round(uniform(F.col("vec_id"), 0, "importance"), 6))
+    e = rows(spark, d).withColumn("importance", rounded(uniform(F.col("vec_id"), 0, "importance"), 6))
     return G.greedy_diverse(e, "importance", 12, "vec_id").select("vec_id", "rk")
 
 
@@ -365,7 +366,7 @@ def d4(spark, d):
 def coverage(spark, d):
     """The row nearest to the centre of each of 20 clusters."""
     e = clustered(spark, d, 20)
-    return e.groupBy("cluster").agg(F.min_by("vec_id", F.struct(F.round("centre_distance", 6), "vec_id")).alias("vec_id"))
+    return e.groupBy("cluster").agg(F.min_by("vec_id", F.struct(rounded("centre_distance", 6), "vec_id")).alias("vec_id"))
 
 
 @query("self_similarity_lam", "WITH u AS (SELECT vec_id, unnest(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))))) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM u GROUP BY i) SELECT round(sum(m * m), 6) AS self_similarity, round(greatest(0.15::DOUBLE, least(0.65::DOUBLE, 0.9::DOUBLE * (1 - sum(m * m)))), 6) AS lam FROM m")
@@ -374,7 +375,7 @@ def self_similarity_lam(spark, d):
     e = rows(spark, d).select(F.col("embedding").cast("array<double>").alias("v")).withColumn("n", V.norm(F.col("v")))
     u = e.select(F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
     one = u.agg(F.sum(F.col("m") * F.col("m")).alias("s"))
-    return one.select(F.round("s", 6).alias("self_similarity"), F.round(F.greatest(F.lit(0.15), F.least(F.lit(0.65), 0.9 * (1 - F.col("s")))), 6).alias("lam"))
+    return one.select(rounded("s", 6).alias("self_similarity"), rounded(F.greatest(F.lit(0.15), F.least(F.lit(0.65), 0.9 * (1 - F.col("s")))), 6).alias("lam"))
 
 
 @query("gradient_alignment", f"WITH {PROBE}, h AS (SELECT p.vec_id, p.label, p.c, p.p - CASE WHEN p.c = p.label THEN 1 ELSE 0 END AS r, u.i, u.x FROM p JOIN u ON u.vec_id = p.vec_id), g AS (SELECT c, i, avg(r * x) AS g FROM h GROUP BY 1, 2) SELECT h.vec_id, round(sum(h.r * h.x * g.g) / (sqrt(sum(h.r * h.x * h.r * h.x)) * sqrt(sum(g.g * g.g)) + 1e-12), 4) AS alignment FROM h JOIN g ON g.c = h.c AND g.i = h.i GROUP BY h.vec_id")
@@ -384,7 +385,7 @@ def gradient_alignment(spark, d):
     labels = [r["label"] for r in rows(spark, d).select("label").distinct().orderBy("label").collect()]
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
     r = s.select("vec_id", "v", F.transform("p", lambda x, i: x - F.when(i == place, F.lit(1.0)).otherwise(F.lit(0.0))).alias("r"))
-    return G.gradient_alignment(r, "vec_id", "r", "v").select("vec_id", F.round("alignment", 4).alias("alignment"))
+    return G.gradient_alignment(r, "vec_id", "r", "v").select("vec_id", rounded("alignment", 4).alias("alignment"))
 
 
 @query("grand_expected")
