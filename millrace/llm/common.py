@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import ctypes
-import functools
-import gc
-import inspect
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.memory import give_back, thrifty  # noqa: F401
+
 #: A token of a text, wherever an operator counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in bytes, that an operator may broadcast. Beyond it, each has a way without a broadcast.
@@ -92,35 +87,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def thrifty(run: Callable) -> Callable:
-    """A function over batches, or over a group, that gives its memory back to the system when it ends: Spark keeps Python workers for later tasks, and what they hold meanwhile counts against the executor."""
-
-    @functools.wraps(run)
-    def batches(*args):
-        try:
-            yield from run(*args)
-        finally:
-            give_back()
-
-    @functools.wraps(run)
-    def group(*args):
-        try:
-            return run(*args)
-        finally:
-            give_back()
-
-    return batches if inspect.isgeneratorfunction(run) else group
-
-
-def give_back() -> None:
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 class SideTable:
     """A table in the shared folder that tasks read by slot and chunk, so that what they look up comes to the rows they scan."""
 

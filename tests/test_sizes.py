@@ -1,6 +1,10 @@
 """What larger tables showed: results that differed from SQL, and steps that grew faster than their input."""
 
+import numpy as np
+import pyarrow as pa
+
 from millrace.functions.rounding import rounded
+from millrace.operators import neighbours as N
 from millrace.operators import order as O
 
 
@@ -17,3 +21,29 @@ def test_marks_round_as_ranks_do(spark):
     df = spark.createDataFrame([(1, 0.6938124999999999), (2, 0.693813), (3, 0.6)], "id long, s double")
     mark = O.top_k_marks(df, [df["s"]], 1, "id")[0]
     assert [r["id"] for r in df.where(mark).collect()] == [1]
+
+
+def test_a_large_cell_is_compared_piece_by_piece(monkeypatch):
+    """No matrix of distances grows with the rows of a cell, and the nearest are those of brute force."""
+    rng = np.random.default_rng(3)
+    x, k, dims = rng.normal(size=(5000, 4)), 3, 4
+    table = pa.table({
+        "side": [1] * 5000 + [0] * 700, "cell": pa.array([0] * 5700, pa.int32()), "h": range(5700), "g": range(5700), "v": [r.tobytes() for r in np.concatenate([x, x[:700]])],
+        "ids": [[i] for i in range(5000)] + [None] * 700, "bound": np.full(5700, np.inf)})
+    space = N.Space(x[:1], np.zeros(1), np.full(1, np.inf), np.zeros(1, np.int64), np.ones(1, np.int64), 6, False)
+    sizes, plain = [], N.distances
+    monkeypatch.setattr(N, "distances", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    found = N._search(space, dims, k)(table).column("found").to_pylist()
+    assert max(sizes) <= 512 * 2048
+    far = np.round(plain(x[:700], x), 6)
+    for i, near in enumerate(found):
+        assert [(n["order"], n["other"]) for n in near] == [(far[i, j], j) for j in np.lexsort((np.arange(5000), far[i]))[: k + 1]]
+
+
+def test_vectors_are_read_in_place():
+    rows = [np.arange(3.0) + i for i in range(5)]
+    column = pa.chunked_array([[r.tobytes() for r in rows[:2]], [r.tobytes() for r in rows[2:]]], pa.binary())
+    assert N.vectors_of(column, 3).tolist() == [r.tolist() for r in rows]
+    part = pa.array([r.tobytes() for r in rows], pa.binary()).slice(1, 2)
+    assert N.vectors_of(part, 3).tolist() == [r.tolist() for r in rows[1:3]]
+    assert not N.vectors_of(part, 3).flags.owndata and N.vectors_of(part.slice(0, 0), 3).shape == (0, 3)
