@@ -10,6 +10,7 @@ from millrace.functions.randomness import gumbel, gumbel_sql, stable_seed, unifo
 from millrace.functions.rounding import rounded
 from millrace.operators import order as O
 from millrace.operators import selection as S
+from millrace.operators import runs as R
 from millrace.operators.sets import compressed_sets
 from millrace.operators.sets import token_blocks as blocks_of
 from millrace.sources.tables import materialize, spread, table
@@ -369,25 +370,20 @@ v AS (SELECT g.g, """ + CRC_OF.format(g="g.g") + """ % 4096 AS h FROM (SELECT DI
 """
 
 
-def ngram_counts(df: DataFrame, id_col: str) -> DataFrame:
-    """Sparse counts (id, h, cnt) of hashed one- and two-word runs, and n, the row's number of runs."""
-    return df.select(id_col, F.explode(T.ngram_hashes(F.col("text"))).alias("h")).groupBy(id_col, "h").agg(F.count("*").alias("cnt"))
-
-
 @query("dsir_ngram_counts", "WITH " + CRC + ", " + NGRAMS.replace("{table}", "documents") + "SELECT doc_id, h::INT AS h, count(*) AS cnt FROM g JOIN v ON g.g = v.g GROUP BY 1, 2")
 def dsir_ngram_counts(spark, d):
-    return ngram_counts(table(spark, d, "documents"), "doc_id")
+    return R.run_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def dsir_scores(spark, d) -> DataFrame:
     """doc_id, summed (log ratio over all runs) and mean (over their number): how much likelier a document's runs are under the benchmark than under the pool."""
-    pool, target = materialize(ngram_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id"), "ngrams"), ngram_counts(table(spark, d, "benchmark"), "item_id")
-    h = spark.range(4096).select(F.col("id").cast("int").alias("h"))
-    p = h.join(pool.groupBy("h").agg(F.sum("cnt").alias("p")), "h", "left").join(target.groupBy("h").agg(F.sum("cnt").alias("t")), "h", "left").select("h", (F.coalesce("p", F.lit(0)) + 1.0).alias("p"), (F.coalesce("t", F.lit(0)) + 1.0).alias("t"))
+    pool, target = spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark")
+    h = spark.range(R.DIM).select(F.col("id").cast("int").alias("h"))
+    p = h.join(R.totals(pool, "text").select("h", F.col("n").alias("p")), "h", "left").join(R.totals(target, "text").select("h", F.col("n").alias("t")), "h", "left").select("h", (F.coalesce("p", F.lit(0)) + 1.0).alias("p"), (F.coalesce("t", F.lit(0)) + 1.0).alias("t"))
     w = Window.partitionBy()
-    ratio = p.select("h", rounded(F.log(F.col("t") / F.sum("t").over(w)) - F.log(F.col("p") / F.sum("p").over(w)), 9).alias("lr"))  # 4096 rows, always
-    total = F.sum(F.col("cnt") * F.col("lr"))
-    return materialize(pool.join(F.broadcast(ratio), "h").groupBy("doc_id").agg(total.alias("summed"), (total / (F.sum("cnt") + F.lit(1e-9))).alias("mean")), "dsir")
+    ratio = p.select("h", rounded(F.log(F.col("t") / F.sum("t").over(w)) - F.log(F.col("p") / F.sum("p").over(w)), 9).alias("lr")).orderBy("h").collect()  # 4096 rows, always
+    sums = R.weighed(pool, "doc_id", "text", [r["lr"] for r in ratio], 9)
+    return materialize(sums.select("doc_id", F.col("total").alias("summed"), (F.col("total") / (F.col("n") + F.lit(1e-9))).alias("mean")), "dsir")
 
 
 DSIR = "WITH " + CRC + ", " + NGRAMS.replace("{table}", "documents") + ", " + NGRAMS.replace("{table}", "benchmark").replace("doc_id", "item_id").replace("k AS", "bk AS").replace("FROM k)", "FROM bk)").replace("g AS (SELECT item_id", "bg AS (SELECT item_id").replace("FROM (SELECT DISTINCT g FROM g)", "FROM (SELECT DISTINCT g FROM bg)").replace("v AS (", "bv AS (") + r"""

@@ -2,10 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.functions.rounding import rounded
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
+from millrace.operators import runs as R
 
 
 def test_halves_round_as_in_sql(spark):
@@ -47,3 +50,32 @@ def test_vectors_are_read_in_place():
     part = pa.array([r.tobytes() for r in rows], pa.binary()).slice(1, 2)
     assert N.vectors_of(part, 3).tolist() == [r.tolist() for r in rows[1:3]]
     assert not N.vectors_of(part, 3).flags.owndata and N.vectors_of(part.slice(0, 0), 3).shape == (0, 3)
+
+
+ODD = ["", None, "one", "One two  one two", "é1 ü2 Kelvin İstanbul", "a-b_c\x00d\x0be", "x" * 50 + " " + "y z " * 40, "...", "日本 abc 日本"]
+
+
+def test_runs_are_counted_where_they_are(spark, monkeypatch):
+    """As the column expression hashes them, ids that repeat together, and without a shuffle where none does."""
+    from collections import Counter
+
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(ODD)], "id long, text string")
+    want = Counter((r["id"], h) for r in df.select("id", T.ngram_hashes(df["text"]).alias("hs")).collect() for h in r["hs"])
+    assert {(r["id"], r["h"]): r["cnt"] for r in R.run_counts(df, "id", "text").collect()} == want
+    once = R.run_counts(df.where("id > 1"), "id", "text")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(R, "PIECE", 5)
+    for r in df.select(F.lower(T.plain(df["text"])).alias("t"), T.ngram_hashes(df["text"]).alias("hs")).collect():
+        assert Counter(int(h) for part in R.hashes(r["t"].encode()) for h in part) == Counter(r["hs"])
+
+
+def test_weights_are_added_exactly(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (2, ""), (3, "a a a")], "id long, text string")
+    lr = [(h % 13 - 6) / 1e9 + h % 5 for h in range(R.DIM)]
+    want = {}
+    for r in df.select("id", T.ngram_hashes(df["text"]).alias("hs")).collect():
+        if r["hs"]:
+            a, n = want.get(r["id"], (0, 0))
+            want[r["id"]] = a + sum(round(lr[h] * 1e9) for h in r["hs"]), n + len(r["hs"])
+    assert {r["id"]: (r["total"], r["n"]) for r in R.weighed(df, "id", "text", lr, 9).collect()} == {i: (a / 1e9, n) for i, (a, n) in want.items()}
+    assert {r["h"]: r["n"] for r in R.totals(df, "text").collect()}
