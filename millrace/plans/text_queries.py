@@ -11,7 +11,7 @@ from millrace.functions.rounding import rounded
 from millrace.operators import order as O
 from millrace.operators import selection as S
 from millrace.operators import runs as R
-from millrace.operators.sets import compressed_sets
+from millrace.operators.sets import compressed_selections
 from millrace.operators.sets import token_blocks as blocks_of
 from millrace.sources.tables import materialize, spread, table
 
@@ -346,8 +346,8 @@ def compression_ratio(spark, d):
 @query("set_redundancy")
 def set_redundancy(spark, d):
     """How redundant each of four selections is as a set, and how far it compresses."""
-    texts = four_selections(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return compressed_sets(texts, "method", "doc_id").select("method", "raw", "packed", rounded("redundancy", 6).alias("redundancy"), rounded("ratio", 6).alias("ratio"))
+    chosen = materialize(four_selections(spark, d), "four")
+    return compressed_selections(chosen, table(spark, d, "documents"), "method", "doc_id").select("method", "raw", "packed", rounded("redundancy", 6).alias("redundancy"), rounded("ratio", 6).alias("ratio"))
 
 
 @query("token_blocks")

@@ -9,6 +9,7 @@ from millrace.functions.rounding import rounded
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
 from millrace.operators import runs as R
+from millrace.operators import sets
 
 
 def test_halves_round_as_in_sql(spark):
@@ -79,3 +80,21 @@ def test_weights_are_added_exactly(spark):
             want[r["id"]] = a + sum(round(lr[h] * 1e9) for h in r["hs"]), n + len(r["hs"])
     assert {r["id"]: (r["total"], r["n"]) for r in R.weighed(df, "id", "text", lr, 9).collect()} == {i: (a / 1e9, n) for i, (a, n) in want.items()}
     assert {r["h"]: r["n"] for r in R.totals(df, "text").collect()}
+
+
+def test_selections_compress_as_sets_do(spark, monkeypatch):
+    monkeypatch.setattr(sets, "BLOCK_BYTES", 200)
+    docs = spark.createDataFrame([(i, None if i == 3 else f"text {i} " * (i % 5)) for i in range(40)], "id long, text string")
+    chosen = docs.select(F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))).alias("s"), "id").where("id < 30")
+    want = sets.compressed_sets(chosen.join(docs, "id"), "s", "id").orderBy("s").collect()
+    assert sets.compressed_selections(chosen, docs, "s", "id").orderBy("s").collect() == want
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    """Blocks come from ids written out, not from the texts again."""
+    import public_tokenizers
+
+    spark.createDataFrame([(1, "a few words"), (2, None), (3, "more of them")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    blocks = sets.token_blocks(spark.read.parquet(str(tmp_path / "docs")), public_tokenizers.path("byte_bpe_50k.json"), 50256, 2)
+    assert not [f for f in blocks.inputFiles() if str(tmp_path) in f]
+    assert blocks.count() == (3 + 1 + 1 + 3 + 1) // 2
