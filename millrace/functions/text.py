@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -101,18 +100,14 @@ def structure_math(text: Column) -> Column:
     return F.least(F.lit(1.0), F.regexp_count(plain(text), F.lit(MATH)) / F.lit(8.0))
 
 
-@F.pandas_udf(DoubleType())
-def parses(text: pd.Series) -> pd.Series:
-    """1 where the text is valid Python, else 0."""
-
-    def ok(t: str | None) -> float:
-        try:
-            ast.parse(t or "")
-            return 1.0
-        except Exception:
-            return 0.0
-
-    return text.map(ok)
+@F.udf(DoubleType(), useArrow=False)
+def parses(text: str | None) -> float:
+    """1 where the text is valid Python, else 0. Rows come to a worker a hundred at a time: Arrow's batches, of ten thousand texts, grew with the rows of a task and were held twice, as a batch and as strings."""
+    try:
+        ast.parse(text or "")
+        return 1.0
+    except Exception:
+        return 0.0
 
 
 def code_words(text: Column) -> Column:
@@ -149,15 +144,11 @@ def richness_of(t: Column) -> Column:
     return F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1)).cast("double")
 
 
-@F.pandas_udf(DoubleType())
-def compression_ratio(text: pd.Series) -> pd.Series:
-    """zlib length over length at level 6, at most 1; 0 for empty."""
-
-    def ratio(t: str | None) -> float:
-        raw = (t or "").encode()
-        return min(1.0, len(zlib.compress(raw, 6)) / len(raw)) if raw else 0.0
-
-    return text.map(ratio)
+@F.udf(DoubleType(), useArrow=False)
+def compression_ratio(text: str | None) -> float:
+    """zlib length over length at level 6, at most 1; 0 for empty. In batches as `parses`."""
+    raw = (text or "").encode()
+    return min(1.0, len(zlib.compress(raw, 6)) / len(raw)) if raw else 0.0
 
 
 def ngram_hashes(text: Column, n: int = 2, dim: int = 4096) -> Column:

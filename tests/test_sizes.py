@@ -1,5 +1,7 @@
 """What larger tables showed: results that differed from SQL, and steps that grew faster than their input."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -98,3 +100,14 @@ def test_texts_are_encoded_once(spark, tmp_path):
     blocks = sets.token_blocks(spark.read.parquet(str(tmp_path / "docs")), public_tokenizers.path("byte_bpe_50k.json"), 50256, 2)
     assert not [f for f in blocks.inputFiles() if str(tmp_path) in f]
     assert blocks.count() == (3 + 1 + 1 + 3 + 1) // 2
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Not ten thousand whole texts at a time, with what odd texts gave before."""
+    texts = [None, "", "x = 1", "x =", "a\x00b", "\U0001f600", "s = '\U0001f600'", "(" * 500 + ")" * 500, "1and 2", "\\d", "def f():\n\treturn 1\n", "word " * 30000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", T.structure_code(df["text"]).alias("structure"), T.compression_ratio(df["text"]).alias("ratio"))
+    assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(got.collect())
+    assert [r["structure"] for r in rows] == [0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, 0.0, 1.0, 0.0]
+    assert [r["ratio"] for r in rows] == [min(1.0, len(zlib.compress(t.encode(), 6)) / len(t.encode())) if t else 0.0 for t in texts]
