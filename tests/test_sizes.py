@@ -111,3 +111,12 @@ def test_texts_reach_python_in_small_batches(spark):
     rows = sorted(got.collect())
     assert [r["structure"] for r in rows] == [0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 0.5, 0.5, 0.5, 0.0, 1.0, 0.0]
     assert [r["ratio"] for r in rows] == [min(1.0, len(zlib.compress(t.encode(), 6)) / len(t.encode())) if t else 0.0 for t in texts]
+
+
+def test_labels_are_counted_once(spark):
+    """What is joined are counts of labels and predictions, not the probe over all vectors again, and again inside the join's condition."""
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["accuracy_f1"](spark, "/root/testdata/sf0.001")
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in got.inputFiles() if "embeddings" in f]
