@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.memory import give_back, thrifty  # noqa: F401
+from millrace.sources.memory import give_back, kept, thrifty  # noqa: F401
 
 #: A token of a text, wherever an operator counts words.
 WORD = r"[^\x20\x09-\x0D]+"

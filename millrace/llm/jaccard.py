@@ -30,25 +30,14 @@ GROUP = 128
 
 
 class Shingler:
-    """Distinct shingles of texts, hashed to 64 bits and sorted; remembers words up to a bound."""
-
-    def __init__(self, words: int, most: int = 500_000) -> None:
-        self.words, self.known, self.most = words, {}, most
-
-    def hashes(self, flat: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, flat), U, len(flat))
-        except KeyError:
-            for w in set(flat).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, flat), U, len(flat))
+    """Distinct shingles of texts, hashed to 64 bits and sorted. Remembers no words: hashing one takes less than looking it up among very many."""
+
+    def __init__(self, words: int) -> None:
+        self.words = words
 
     def many(self, texts: list[bytes | None]) -> list[np.ndarray]:
         own = [(t or b"").lower().split() for t in texts]
-        h = self.hashes([w for ws in own for w in ws])
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for ws in own for w in ws), U, sum(map(len, own)))
         k, none, out, at = self.words, np.zeros(0, U), [], 0
         runs = np.full(max(0, len(h) - k + 1), k, U)
         for j in range(k):

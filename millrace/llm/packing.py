@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, thrifty
+from .common import kept, materialize, small_batches, table, thrifty
 
 CAPACITY, END = 4096, 1
 #: Bytes of text whose words a worker holds at once.
@@ -118,9 +118,10 @@ def parted(texts: list[bytes], most: int = PART_BYTES) -> Iterator[list[bytes]]:
         yield part
 
 
+@kept
 @functools.lru_cache(2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per process, so that what a task has learned serves the next."""
+    """One per process, so that what a task has learned serves the next, and the next packing; tasks of other operators let it go."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordTokenizer(path)
 
@@ -151,7 +152,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(thrifty(run), schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(thrifty(run, word_tokenizer), schema)
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
@@ -522,7 +523,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*columns, "rank").mapInArrow(thrifty(run), schema).withColumn("proved", F.lit(packing.proved))
+    return ranked.select(*columns, "rank").mapInArrow(thrifty(run, word_tokenizer), schema).withColumn("proved", F.lit(packing.proved))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, **columns: str) -> DataFrame:
