@@ -11,14 +11,17 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import json
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +34,53 @@ PART_BYTES = 1 << 20
 FILL_NODES, SEARCH_NODES, SEARCH_BINS = 400, 200_000, 64
 #: Groups of bins that are searched in vain before the packing of more than SEARCH_BINS stands; distinct lengths add to them.
 TRIES = 12
+#: A vocabulary's rules under which words are split before they are encoded: lower case, then letters in a row, single digits, what an apostrophe adds, other signs in a row.
+SPLIT_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: The same split of words, each ended by BREAK, in lower case and without a character of STRANGE: ASCII and the letters of Latin-1, on which Python agrees with those rules.
+LETTERS, BREAK = "a-zß-öø-ÿ", "\n"
+PIECES = re.compile(rf"[{LETTERS}]+|[0-9]|{BREAK}|'(?:s|t|re|ve|m|ll|d)|[^\t-\r 0-9{LETTERS}]+")
+STRANGE = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 
 Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
 class WordTokenizer:
-    """Token ids of whole texts, word by word: the vocabulary's rules never reach across white space, so words that recur are encoded once."""
+    """Token ids of whole texts, word by word: the vocabulary's rules never reach across white space, so words that recur are encoded once.
+
+    Where the rules are SPLIT_RULES, they don't reach across the pieces of a word either, and pieces, of which
+    there are far fewer, take the place of words: str for bytes. Words with a special token or a strange character stay whole.
+    """
 
     def __init__(self, path: str, most_words: int = 350_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [x.content.encode() for x in added]
         #: A symbol with one id of its own parts words that are encoded together. Words with it, or with a special token, go alone.
         self.mark, self.mark_id = next(((c, ids[0]) for c in "¦§¶†•★" if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1), ("", -1))
-        self.alone = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()] + [self.mark.encode()] * bool(self.mark)
+        self.alone = self.special + [self.mark.encode()] * bool(self.mark)
+        #: For pieces: the same merges without the rules that are done with, and which ids end a piece.
+        self.merges = None
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and follows(path, SPLIT_RULES) and all(x.special and not x.normalized for x in added) and all(c in vocabulary and c + suffix in vocabulary for c in pre_tokenizers.ByteLevel.alphabet()):
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place: dict[bytes | str, int] = {BREAK: 0}  # of no id
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -63,48 +95,91 @@ class WordTokenizer:
         ends = np.flatnonzero(ids == self.mark_id)
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
-    def learn(self, new: list[bytes]) -> None:
+    def encoded_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces."""
+        made = self.merges.encode_batch_fast([" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def learn(self, new: list[bytes | str]) -> None:
+        if pieces := [x for x in new if isinstance(x, str)]:
+            self.remember(pieces, *self.encoded_pieces(pieces))
+            new = [x for x in new if isinstance(x, bytes)]
         odd, every = [] if self.mark else new, b" ".join(new)
         if self.mark and any(x in every for x in self.alone):
             odd = [w for w in new if any(x in w for x in self.alone)]
             new = list(dict.fromkeys(new).keys() - set(odd))
         for words, together in ((odd, 1), (new, 256)) if self.mark else ((odd, 1),):
-            if not words:
-                continue
-            flat, counts = self.encoded(words, together)
-            first = len(self.place)
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(words) > len(self.start):
-                self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.start[first : first + len(words)] = self.used + np.cumsum(counts) - counts
-            self.count[first : first + len(words)] = counts
-            self.place.update(zip(words, range(first, first + len(words)), strict=True))
-            self.used += len(flat)
+            if words:
+                self.remember(words, *self.encoded(words, together))
+
+    def remember(self, words: list[bytes] | list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.place)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(words) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[first : first + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[first : first + len(words)] = counts
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+        self.used += len(flat)
+
+    def parts(self, words: bytes) -> list[bytes | str]:
+        """The pieces of words that BREAK ends, or the words as they are; after each word BREAK."""
+        if self.merges is not None:
+            plain = words.decode("utf-8", "replace")
+            if not STRANGE.search(plain) and not any(x in words for x in self.special):
+                return PIECES.findall(plain.lower())
+        out: list[bytes | str] = []
+        for word in words.split(BREAK.encode())[:-1]:
+            plain = word.decode("utf-8", "replace")
+            if self.merges is None or STRANGE.search(plain) or any(x in word for x in self.special):
+                out += (word, BREAK) if word else (BREAK,)
+            else:
+                out += PIECES.findall(plain.lower() + BREAK)
+        return out
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text. Arrow splits the texts and finds the distinct words, so that Python sees each of those once."""
         if len(self.place) > self.most:  # what was learned first tends to be what is frequent
             kept = self.most // 2
             self.place = dict(itertools.islice(self.place.items(), kept))
             self.used = int(self.start[kept - 1] + self.count[kept - 1])
-        words = [t.split() for t in texts]
-        flat = [w for own in words for w in own]
-        at = np.fromiter(map(self.place.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string(), safe=False))
+        words = split.values.dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), BREAK)[0]
+        parts = self.parts(distinct.as_buffer().to_pybytes() + BREAK.encode() if len(words.dictionary) else b"")
+        at = np.fromiter(map(self.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            unknown = [flat[i] for i in missing.tolist()]
+            unknown = [parts[i] for i in missing.tolist()]
             self.learn(list(dict.fromkeys(unknown)))
             at[missing] = np.fromiter(map(self.place.__getitem__, unknown), np.int64, len(unknown))
-        n = self.count[at]
-        ids = self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([len(own) for own in words])] if words else []
+        ids, ends = gathered(self.ids, self.start[at], self.count[at])
+        ends = ends[at == 0]  # of distinct words
+        count = np.diff(ends, prepend=0)
+        which = words.indices.to_numpy()
+        ids, ends = gathered(ids, (ends - count)[which], count[which])
         begin = 0
-        for end in ends:
+        for end in np.concatenate([[0], ends])[split.offsets.to_numpy()[1:]].tolist():
             yield ids[begin:end]
             begin = end
 
 
+def gathered(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, one after the other, and where each ends."""
+    ends = np.cumsum(count)
+    return values[np.repeat(start - (ends - count), count) + np.arange(int(count.sum()))], ends
+
+
+def follows(path: str, rules: dict) -> bool:
+    """Whether a vocabulary's file states these rules."""
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    return all(stated.get(k) == v for k, v in rules.items())
+
+
 def parted(texts: list[bytes], most: int = PART_BYTES) -> Iterator[list[bytes]]:
     """The texts in order, in parts of so many bytes at most; a longer text goes alone."""
     part, size = [], 0

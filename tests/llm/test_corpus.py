@@ -493,6 +493,41 @@ def test_packing_against_the_tokenizer(spark, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_words_that_share_pieces_are_encoded_once():
+    """Case and signs around a word make no new entry: what a worker remembers, and encodes, grows with the distinct runs of letters."""
+    t = packing.WordTokenizer(packing.default_tokenizer())
+    list(t.encode([b"word straSSe"]))
+    held = len(t.place)
+    texts = [f"{w}{x}" for w in ("word", "Word", "WORD", "straSSe", "STRAsse") for x in (*map(str, range(100)), ".", ",", "'s", "?!")]
+    list(t.encode([x.encode() for x in texts]))
+    assert len(t.place) - held <= 10 + 4
+
+
+def test_pieces_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole, t = Tokenizer.from_file(path), packing.WordTokenizer(path, most_words=500)
+    texts = [x.format(c=c) for c in map(chr, (*range(0x250), *range(0x300, 0x370), *range(0x2000, 0x2070), 0x212A, 0x3042, 0x1F600)) for x in ("{c}", "a{c}B", "É{c}ß x{c}", "{c}'s", "1{c}2", "!{c}'Ll", "<|{c}|>")]
+    texts += ["", " \t", "\n", "\n\na\n", "it's  IT'S'", "a'", "<|endoftext|>A <|ENDOFTEXT|>", "x<|startoftext|>y É", "w</w> </w>", "e\u0301 E\u0301\u0302.", "Ab" * 300]
+    for some in (texts[i : i + 700] for i in range(0, len(texts), 700)):
+        want = [e.ids for e in whole.encode_batch_fast(some, add_special_tokens=False)]
+        assert [ids.tolist() for ids in t.encode([x.encode() for x in some])] == want
+    broken = [b"a\xe9b \xff", b"\xc3", b"\xc3 \xa9 B."]
+    assert [ids.tolist() for ids in t.encode(broken)] == [whole.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in broken]
+    assert list(t.encode([])) == []
+
+
+def test_vocabularies_of_other_rules_keep_whole_words(tmp_path):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(packing.default_tokenizer())
+    other.normalizer = None  # capitals stay
+    other.save(str(tmp_path / "other.json"))
+    t, texts = packing.WordTokenizer(str(tmp_path / "other.json")), ["Some words, some Words.", "", "It's <|endoftext|> 12", LONG]
+    assert [ids.tolist() for ids in t.encode([x.encode() for x in texts])] == [other.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_bin_completion(seed):
     rng = np.random.default_rng(seed)
