@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.rounding import rounded
+from millrace.operators import greedy as G
+from millrace.operators import learned as L
 from millrace.operators import neighbours as N
 from millrace.operators import order as O
 from millrace.operators import runs as R
 from millrace.operators import sets
+from millrace.plans import controller as C
 
 
 def test_halves_round_as_in_sql(spark):
@@ -120,3 +123,52 @@ def test_labels_are_counted_once(spark):
     got = __spark_entry__.queries()["accuracy_f1"](spark, "/root/testdata/sf0.001")
     assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert not [f for f in got.inputFiles() if "embeddings" in f]
+
+
+def test_a_row_meets_a_chosen_one_once(spark, monkeypatch):
+    """Over several passes, with many ties; before, each pass compared all rows with all chosen ones again."""
+    monkeypatch.setattr(G, "SENT", 40)
+    for name, small in (("FALLING", 40), ("FRONT", 6), ("PIECE", 7), ("ASKED", 16)):
+        monkeypatch.setattr(G, name, small, raising=False)
+    rng = np.random.default_rng(6)
+    x, n, k = np.round(rng.normal(size=(300, 3)), 1), 300, 120
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    met = spark.sparkContext.accumulator(0)
+
+    def score(x, e, have, t):
+        met.add(len(x) * len(have))
+        return N.distances(x, have).min(1) if len(have) else np.zeros(len(x))
+
+    got = G.rounds(df, k, score, "id", "v", falling=True)
+    want, far = [0], N.distances(x, x)
+    while len(want) < k:
+        least = np.round(far[:, want].min(1), 6)
+        least[want] = -1
+        want.append(int(least.argmax()))
+    assert [i for i, _ in got] == want
+    # those of the tasks, and what the driver compares of rows sent
+    assert met.value < 2 * n * k
+
+
+def test_weights_of_one_scale_are_asked_for_once():
+    asked = []
+    probe = C.Prober(lambda fusions: fusions, lambda built: asked.extend(built) or [0.0] * len(built))
+    C.climb((1.0, 0.0), lambda w: probe((tuple(x / sum(w) for x in w), 0.0, 0.0)))
+    assert len(asked) == len(set(asked))
+
+
+def test_rows_meet_their_vectors_once(spark, monkeypatch):
+    """However often conditions over the same rows are asked, and by whichever of two gains; float vectors count as double ones."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, [float(np.float32(y)) for y in rng.normal(i % 3, 1, 4)]) for i in range(90)]
+    pool, val = (spark.createDataFrame(rows[part], "id long, label int, embedding array<float>") for part in (slice(0, 60), slice(60, 90)))
+    written, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: written.append(name) or write(df, name))
+    gain = L.centroid_gain(pool, val, "id", "label")
+    other = gain.on(val.where("id % 2 = 0"))
+    marks = [F.col("id") < 30, F.col("id") % 2 == 0]
+    plain = pool.select("id")
+    got = [g.marked(plain, marks) for g in (gain, gain, other, other)]
+    double = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    fresh = [L.centroid_gain(double(pool), double(v), "id", "label").many([pool.where(m).select("id") for m in marks]) for v in (val, val.where("id % 2 = 0"))]
+    assert got == [fresh[0], fresh[0], fresh[1], fresh[1]] and written == ["met"]
